@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_chats
 from .exact_dedup import exact_dedup
 from .shared import table
+from .simhash import simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,10 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 SQL = {
     "op7_chat_formatting": r"""
 with t as (
