@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, read_chats
 from .exact_dedup import exact_dedup
+from .pieces import encode_decode
 from .shared import table
 from .simhash import simhash_groups
 
@@ -19,6 +21,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return encode_decode(table(spark, sf_dir, "documents"), path, keep=False)
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
