@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .pieces import encode_decode
 from .shared import table
 from .simhash import simhash_groups
+from .token_blocks import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +27,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), path, keep=False)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
