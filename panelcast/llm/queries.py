@@ -14,6 +14,7 @@ from .pieces import encode_decode
 from .shared import table
 from .simhash import simhash_groups
 from .token_blocks import token_files
+from .warc import warc_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_transactions(table(spark, sf_dir, "pages")).drop("n_requests")
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -55,6 +60,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op4_warc": r"""
+with p as (
+  select page_id, strlen(coalesce(html, '')) as payload_bytes, coalesce(html, '') as h from pages),
+f as (
+  select *, min(page_id) over (partition by h) as first,
+         from_hex(sha1(h))::bit::varchar as bits
+  from p)
+select page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + list_aggregate(list_transform(range(5), lambda k: substr(bits, 1 + 5 * i + k, 1)::bigint * (1 << (4 - k))), 'sum')::bigint, 1)),
+         'string_agg', '') as payload_digest,
+       case when first = page_id then 'response' else 'revisit' end as record_type,
+       case when first <> page_id then first end as refers_to
+from f
+""",
     "op7_chat_formatting": r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
