@@ -14,6 +14,7 @@ from .pieces import encode_decode
 from .shared import table
 from .simhash import simhash_groups
 from .token_blocks import token_files
+from .toxicity import fit, fold, score
 from .warc import warc_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        "n_passages",
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_transactions(table(spark, sf_dir, "pages")).drop("n_requests")
 
