@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, read_chats
+from .embed_dedup import near_duplicates
 from .exact_dedup import exact_dedup
 from .pieces import encode_decode
 from .shared import table
@@ -68,11 +69,32 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
 SQL = {
+    "op8_embedding_dedup": r"""
+with recursive e as (
+  select vec_id, label, embedding::double[] as v from embeddings),
+ok as (
+  select * from e where label is not null and v is not null
+    and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+l as (
+  select a.vec_id as a, b.vec_id as b from ok a join ok b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as least from r group by a),
+n as (select a, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, least(vec_id, coalesce(c.least, vec_id)) as component_id,
+       vec_id <= coalesce(c.least, vec_id) as kept
+from e left join c on c.a = e.vec_id left join n on n.a = e.vec_id
+""",
     "op4_warc": r"""
 with p as (
   select page_id, strlen(coalesce(html, '')) as payload_bytes, coalesce(html, '') as h from pages),

@@ -29,7 +29,7 @@ from .shared import cut
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (6, 5, 4)
-NEVER = -30.0  # the statistic of a text without any positive token
+NEVER, MOST = -12.0, 12.0  # range of the statistic; the least is that of a text without any positive token
 
 
 def fold(doc_id: Column) -> Column:
@@ -65,8 +65,8 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 class _Scores(dict):
     """Word -> score; words met before are kept until the table is full."""
 
-    def __init__(self, known: dict[str, float], cost: float, limit: int = 300_000):
-        self.known, self.cost, self.limit = known, cost, limit
+    def __init__(self, known: dict[str, float], limit: int = 300_000):
+        self.known, self.limit = known, limit
 
     def __missing__(self, word: str) -> float:
         low = word.lower()
@@ -76,7 +76,7 @@ class _Scores(dict):
                 break
             if len(low) >= n:
                 found = self.known.get(f"{low[:n]}*")
-        out = (found or 0.0) - self.cost
+        out = found or 0.0
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -97,14 +97,17 @@ class ToxicityModel:
     def __getstate__(self):
         return self.__dict__ | {"_scores": None}
 
-    def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
-        """Maximal segments ``(first word, end word, score)`` and the number of words."""
+    def odds(self, text: str | None) -> np.ndarray:
+        """Log-odds of the words of a text."""
         if self._scores is None:
-            self._scores = _Scores(self.known, self.cost)
+            self._scores = _Scores(self.known)
         words = WORD.findall(text or "")
-        if not words:
-            return [], 0
-        return segments(np.fromiter(map(self._scores.__getitem__, words), np.float64, len(words))), len(words)
+        return np.fromiter(map(self._scores.__getitem__, words), np.float64, len(words))
+
+    def passages(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
+        """Maximal segments ``(first word, end word, score)`` and the number of words."""
+        odds = self.odds(text)
+        return (segments(odds - self.cost), len(odds)) if len(odds) else ([], 0)
 
     def normal(self, score: float, n: int) -> float:
         return self.lam * score - math.log(self.k * n)
@@ -113,7 +116,7 @@ class ToxicityModel:
         """The normalised score of the best segment, and how many segments are significant (E < 0.01)."""
         found, n = self.passages(text)
         values = [self.normal(s, n) for _, _, s in found]
-        return max(values, default=NEVER), sum(v > -math.log(0.01) for v in values)
+        return min(MOST, max(values, default=NEVER)), sum(v > -math.log(0.01) for v in values)
 
     def probability(self, statistic: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.a + self.b * max(statistic, NEVER)))))
@@ -128,9 +131,13 @@ def training_set(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
 
 
-def _features(text: str | None) -> set[str]:
-    low = {w.lower() for w in WORD.findall(text or "")}
-    return low | {f"{w[:n]}*" for w in low for n in PREFIXES if len(w) >= n}
+def _features(text: str | None) -> Counter:
+    found = Counter(w.lower() for w in WORD.findall(text or ""))
+    for w, n in list(found.items()):
+        for k in PREFIXES:
+            if len(w) >= k:
+                found[f"{w[:k]}*"] += n
+    return found
 
 
 def fit(
@@ -140,49 +147,63 @@ def fit(
     max_features: int = 200_000,
     least_docs: int = 5,
     prior: float = 1.0,
-    least_z: float = 2.5,
-    cost: float = 0.5,
+    least_z: float = 3.5,
+    costs: tuple[float, ...] = (0.02, 0.05, 0.1, 0.25, 0.5),
 ) -> ToxicityModel:
     """Learns from a bounded sample: ``max_training`` labelled documents, ``max_features`` words and prefixes.
 
-    Counts are of documents.  Features in fewer than ``least_docs`` training documents are unknown;
-    log-odds within ``least_z`` standard errors of zero count as zero.
+    Log-odds compare the rates of a feature among all tokens of toxic and of other documents.  Features
+    in fewer than ``least_docs`` documents are unknown; those whose document counts lie within ``least_z``
+    standard errors of the base rate count as zero.  Of ``costs`` per token the one with the least
+    logistic loss on the sample is taken.
     """
     sample = cut(training_set(docs, labels, max_training), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = (Counter(), Counter())
+        held: dict[str, list[int]] = {}
         for batch in batches:
             for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
-                both[1 if toxic else 0].update(_features(text))
-                if len(both[0]) + len(both[1]) > 500_000:
-                    yield from out(both)
-                    both = (Counter(), Counter())
-        yield from out(both)
-
-    def out(both) -> Iterator[pa.RecordBatch]:
-        names = list(both[0].keys() | both[1].keys())
+                side = 1 if toxic else 0
+                for f, n in _features(text).items():
+                    row = held.setdefault(f, [0, 0, 0, 0])
+                    row[side] += n
+                    row[2 + side] += 1
+                if len(held) > 300_000:
+                    yield from out(held)
+                    held = {}
+        yield from out(held)
+
+    def out(held) -> Iterator[pa.RecordBatch]:
+        names = list(held)
         for i in range(0, len(names), 20_000):
             part = names[i : i + 20_000]
-            yield pa.RecordBatch.from_pydict({"f": part, "clean": [both[0][w] for w in part], "toxic": [both[1][w] for w in part]})
+            columns = [pa.array([held[f][k] for f in part], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *columns], ["f", "nc", "nt", "c", "t"])
 
-    counts = sample.mapInArrow(count, "f string, clean long, toxic long")
-    counts = counts.groupBy("f").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") + F.col("t") >= least_docs)
-    kept = counts.orderBy(F.desc(F.col("c") + F.col("t")), "f").limit(max_features).collect()
+    counts = (
+        sample.mapInArrow(count, "f string, nc long, nt long, c long, t long")
+        .groupBy("f")
+        .agg(*[F.sum(x).alias(x) for x in ("nc", "nt", "c", "t")])
+    )
+    counts = cut(counts, "toxicity-counts")
+    word = ~F.col("f").endswith("*")
+    tokens = counts.where(word).agg(F.sum("nc"), F.sum("nt")).first()
+    kept = counts.where(F.col("c") + F.col("t") >= least_docs).orderBy(F.desc(F.col("c") + F.col("t")), "f").limit(max_features).collect()
     n_toxic, n_all = (x or 0 for x in sample.agg(F.count_if(F.col("toxic") == 1), F.count(F.lit(1))).first())
-    if not n_toxic or n_toxic == n_all:  # nothing to learn from: the base rate alone
+    if not n_toxic or n_toxic == n_all or not all(tokens):  # nothing to learn from: the base rate alone
         base = (n_toxic + 0.5) / (n_all + 1)
-        return ToxicityModel({}, cost, 1.0, a=math.log(base / (1 - base)), b=0.0)
-    base = n_toxic / n_all
+        return ToxicityModel({}, costs[0], 1.0, a=math.log(base / (1 - base)), b=0.0)
+    base, share = n_toxic / n_all, tokens[1] / (tokens[0] + tokens[1])
     known, weight = {}, Counter()
-    for f, c, t in kept:
+    for f, nc, nt, c, t in kept:
         up, down = t + prior * base, c + prior * (1 - base)
-        odds = math.log(up / down) - math.log(base / (1 - base))
-        known[f] = odds if abs(odds) >= least_z * math.sqrt(1 / up + 1 / down) else 0.0
+        z = (math.log(up / down) - math.log(base / (1 - base))) / math.sqrt(1 / up + 1 / down)
+        odds = math.log((nt + prior * share) / (nc + prior * (1 - share))) - math.log(share / (1 - share))
+        known[f] = odds if abs(z) >= least_z else 0.0
         if not f.endswith("*"):
-            weight[known[f]] += c + prior * (1 - base)
-    model = ToxicityModel(known, cost, _lambda(weight, cost))
-    return _calibrate(model, sample)
+            weight[known[f]] += nc + prior * (1 - share)
+    weight[0.0] += max(0.0, tokens[0] - sum(weight.values()))
+    return _calibrate([ToxicityModel(known, x, _lambda(weight, x)) for x in costs], sample)
 
 
 def _lambda(weight: Counter, cost: float) -> float:
@@ -192,42 +213,57 @@ def _lambda(weight: Counter, cost: float) -> float:
     p = p / p.sum() if p.sum() else p
     if not (s > 0).any():
         return 1.0
-    low, high = 0.0, 1.0
     over = lambda x: float((p * np.exp(np.minimum(x * s, 700))).sum()) > 1
+    low, high = 0.0, 1.0
     while not over(high) and high < 64:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (low, mid) if over(mid) else (mid, high)
-    return max(high, 1e-3)
+    return max(high, 1e-2)
 
 
-def _calibrate(model: ToxicityModel, sample: DataFrame) -> ToxicityModel:
-    """K by maximum likelihood over clean training documents, then the logistic curve."""
+def _calibrate(models: list[ToxicityModel], sample: DataFrame) -> ToxicityModel:
+    """For each model K by maximum likelihood over clean training documents, then the logistic curve; the best model."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, toxic = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_pydict({"x": [model.statistic(t)[0] for t in texts], "y": [int(v) for v in toxic]})
-
-    rows = np.array(sample.mapInArrow(best, "x double, y long").collect(), float)  # a number and a label for each of the bounded sample
-    x, y = rows[:, 0], rows[:, 1]
-    # the law has P(x <= v) = exp(-K exp(-v)), whose likelihood is greatest at K = count / sum of exp(-x)
-    clean = x[(y == 0) & (x > NEVER)]
-    if len(clean) >= 20:
-        model.k = float(len(clean) / np.exp(-clean).sum())
-        x = np.where(x > NEVER, x - math.log(model.k), NEVER)
-    # logistic regression with a weak pull to slope 1, by Newton steps
+            rows = []
+            for text in texts:
+                odds = models[0].odds(text)
+                tops = [max((x for _, _, x in segments(odds - m.cost)), default=None) if len(odds) else None for m in models]
+                rows.append([None if top is None else m.lam * top - math.log(len(odds)) for m, top in zip(models, tops)])
+            yield pa.RecordBatch.from_pydict({"x": pa.array(rows, pa.list_(pa.float64())), "y": [int(v) for v in toxic]})
+
+    found = sample.mapInArrow(best, "x array<double>, y long").collect()  # a few numbers for each of the bounded sample
+    y = np.array([r.y for r in found], float)
+    fitted = []
+    for i, model in enumerate(models):
+        raw = np.array([np.nan if r.x[i] is None else r.x[i] for r in found])
+        # the law has P(x <= v) = exp(-K exp(-v)), whose likelihood is greatest at K = count / sum of exp(-x)
+        clean = raw[(y == 0) & ~np.isnan(raw)]
+        if len(clean) >= 20:
+            model.k = float(len(clean) / np.exp(-clean).sum())
+        x = np.clip(np.nan_to_num(raw - math.log(model.k), nan=NEVER), NEVER, MOST)
+        fitted.append((_logistic(model, x, y), i))
+    return models[min(fitted)[1]]
+
+
+def _logistic(model: ToxicityModel, x: np.ndarray, y: np.ndarray) -> float:
+    """Sets the curve by Newton steps with a weak pull to a slope; returns its mean loss."""
     z = np.column_stack([np.ones_like(x), x / 10])
-    w, pull = np.array([0.0, 1.0]), np.diag([1e-3, 1e-1])
+    w, pull, rest = np.array([0.0, 1.0]), np.diag([1e-3, 1e-1]), np.array([0.0, 1.0])
+    prob = lambda: 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
     for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        step = np.linalg.solve(z.T @ (z * (q * (1 - q))[:, None]) + pull, z.T @ (y - q) - pull @ (w - [0.0, 1.0]))
+        q = prob()
+        step = np.linalg.solve(z.T @ (z * (q * (1 - q))[:, None]) + pull, z.T @ (y - q) - pull @ (w - rest))
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
     model.a, model.b = float(w[0]), float(w[1] / 10)
-    return model
+    q = np.clip(prob(), 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean())
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
