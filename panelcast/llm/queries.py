@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_chats
 from .embed_dedup import near_duplicates
 from .exact_dedup import exact_dedup
+from .pii import KINDS, find_pii, listed
 from .pieces import encode_decode
 from .shared import table
 from .simhash import simhash_groups
@@ -73,6 +74,12 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
