@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_chats
 from .embed_dedup import near_duplicates
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .pii import KINDS, find_pii, listed
 from .pieces import encode_decode
 from .shared import table
@@ -80,6 +81,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
