@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from .shared import cut
 
 DOMAINS = ("high", "low", "toxic")
+MOST_RATE = 8.0  # no document is repeated more often, whatever its domain lacks
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 
 
@@ -145,13 +146,13 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return rows.mapInArrow(each, "doc_id long, n_tokens long, p array<double>")
 
 
-def rate(p: Column, steps: list[list[float]], floor: float) -> Column:
-    """The rate after projected steps ``rate <- max(floor, rate - p . step)`` from 1, as one expression."""
+def rate(p: Column, steps: list[list[float]], floor: float, most: float = MOST_RATE) -> Column:
+    """The rate after steps ``rate - p . step`` from 1, each projected onto ``floor`` to ``most``, as one expression."""
     if not steps:
         return F.lit(1.0)
     listed = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
     dot = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-    return F.aggregate(listed, F.lit(1.0), lambda r, s: F.greatest(F.lit(float(floor)), r - dot(s)))
+    return F.aggregate(listed, F.lit(1.0), lambda r, s: F.least(F.lit(float(most)), F.greatest(F.lit(float(floor)), r - dot(s))))
 
 
 @dataclass(frozen=True)
@@ -169,7 +170,7 @@ def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tole
     tokens, so that a rate of at least ``floor`` for every document can be met.  A domain without
     any mass can't be reached and is left out.  Each step is a gradient step of length 1 for
     misses divided by their domain's tokens, for which the curvature is at most 1, projected
-    onto rates >= floor.  Steps end when every miss is below ``tolerance`` of the budget, when
+    onto rates from ``floor`` to ``MOST_RATE``.  Steps end when every miss is below ``tolerance`` of the budget, when
     they stand still, or at ``most_steps``.
     """
     k = len(weights)
@@ -236,7 +237,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float
                 p = m.posterior(m.raw(t.as_py())[1])
                 x = 1.0
                 for s in steps:
-                    x = max(floor, x - float(p @ s))
+                    x = min(MOST_RATE, max(floor, x - float(p @ s)))
                 r.append(x)
             yield batch.append_column("__rate", pa.array(r, pa.float64()))
 
