@@ -17,6 +17,7 @@ don't widen the others; those ids are the exceptions.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -128,40 +129,56 @@ def read_file(file, size: int) -> Iterator[tuple[int | None, int, list[np.ndarra
         start += n
 
 
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes the letters of Latin-1 beyond ASCII: a printable character for each UTF-8 byte."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(char[b] for b in chr(c).encode()) for c in range(0xDF, 0x100) if chr(c).isalpha()}
+
+
 class _Words(dict):
-    """Blank-separated word -> ids of the library, for words met before; emptied when full.
+    """Blank-separated word -> its ids as packed u32, for words met before; emptied when full.
 
     Case and a full stop or comma after a letter don't change how the rest of a word is
     split for this kind of tokenizer (lower-casing, white space dropped), so such words
-    are put together from the ids of simpler ones.
+    are put together from the ids of simpler ones.  A lower-case word of letters is one
+    unit of the tokenizer's model, which is then asked directly.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]{1,64}")
+
+    def __init__(self, path: str, limit: int = 500_000):
         import tokenizers
 
         self.library, self.limit = tokenizers.Tokenizer.from_file(path), limit
+        self.merges, self.letters = self.library.model, _byte_letters()
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        simple = len(word) > 1 and "<|" not in word and word.isascii()
-        if simple and word != (low := word.lower()):
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if self.LETTERS.fullmatch(word):
+            units = self.merges.tokenize(word if word.isascii() else word.translate(self.letters))
+            out = b"".join([u.id.to_bytes(4, "little") for u in units])
+        elif len(word) > 1 and "<|" not in word and word.isascii() and word != (low := word.lower()):
             out = self[low]
-        elif simple and word[-1] in ".," and word[-2].isalpha():
+        elif len(word) > 1 and "<|" not in word and word.isascii() and word[-1] in ".," and word[-2].isalpha():
+            out = self[word[:-1]] + self[word[-1]]
+        elif word[-1] in ".," and self.LETTERS.fullmatch(word[:-1]):
             out = self[word[:-1]] + self[word[-1]]
         else:
-            out = tuple(self.library.encode(word, add_special_tokens=False).ids)
+            out = self.whole(word)
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.clear()
             self[word] = out
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() takes these as blanks, the tokenizer doesn't
-            return self.library.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for ids in map(self.__getitem__, text.split()):
-            out += ids
-        return out
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @lru_cache(2)
@@ -182,7 +199,7 @@ def write_token_files(
     folder = scratch(docs.sparkSession, "token-blocks")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, writer = words(path), None
+        known, writer, end = words(path), None, end_id.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -192,9 +209,7 @@ def write_token_files(
                         fs.create_dir(top)
                         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.pfb"
                         writer = BlockWriter(fs.open_output_stream(f"{top}/{name}"))
-                    ids = known.encode(text or "")
-                    ids.append(end_id)
-                    writer.add(doc_id, np.array(ids, np.uint32))
+                    writer.add(doc_id, np.frombuffer(known.encode(text or "") + end, "<u4"))
         if writer:
             writer.close()
             shard = TaskContext.get().partitionId()

@@ -29,14 +29,18 @@ def test_block_round_trip(ids):
         assert (m.unpack_block(m.pack_block(a, p)) == a).all()
 
 
+def ids_of(known, text):
+    return np.frombuffer(known.encode(text), "<u4").tolist()
+
+
 def test_words_match_the_library(library):
     known = m._Words(PATH, limit=50)
     for t in HARD:
-        assert known.encode(t or "") == library.encode(t or "", add_special_tokens=False).ids, t
+        assert ids_of(known, t or "") == library.encode(t or "", add_special_tokens=False).ids, t
     rnd = random.Random(4)
     for _ in range(3000):
-        t = "".join(rnd.choice("abCDé.,' <|>1\ńßΣ") for _ in range(rnd.randint(1, 25)))
-        assert known.encode(t) == library.encode(t, add_special_tokens=False).ids, t
+        t = "".join(rnd.choice("abCDéÀÿ÷.,' <|>1\ńßΣ") for _ in range(rnd.randint(1, 25)))
+        assert ids_of(known, t) == library.encode(t, add_special_tokens=False).ids, t
 
 
 def test_file_round_trip():
