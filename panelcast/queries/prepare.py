@@ -350,10 +350,10 @@ def w23(spark, d):
     return X.spline_fill(dense(spark, d, "part"))
 
 
-@query("w27_trend_forecast", sql("supp", ", n as (select *, row_number() over (partition by panel_id, series order by ds)::double as t from p), s as (select *, regr_slope(value, t) over q as b, regr_intercept(value, t) over q as a, count(*) over q as n, avg(t) over q as mt, regr_sxx(value, t) over q as sxx, regr_syy(value, t) over q as syy, regr_sxy(value, t) over q as sxy from n window q as (partition by panel_id, series order by ds rows between unbounded preceding and 1 preceding)) select panel_id, series, ds, round(a + b * t, 5) as yhat, round(1.2815515655446004 * sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2)) * sqrt(1 + 1 / n + (t - mt) * (t - mt) / sxx), 5) as half from s where n > 2"))
+@query("w27_trend_forecast", sql("supp", ", n as (select *, row_number() over (partition by panel_id, series order by ds)::double as t from p), s as (select *, regr_slope(value, t) over q as b, regr_intercept(value, t) over q as a, count(*) over q as n, avg(t) over q as mt, regr_sxx(value, t) over q as sxx, regr_syy(value, t) over q as syy, regr_sxy(value, t) over q as sxy from n window q as (partition by panel_id, series order by ds rows between unbounded preceding and 1 preceding)) select panel_id, series, ds, round(a + b * t, 7) as yhat, round(1.2815515655446004 * sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2)) * sqrt(1 + 1 / n + (t - mt) * (t - mt) / sxx), 5) as half from s where n > 2"))
 def w27(spark, d):
     out = X.trend_forecast(panel(spark, d, "supp"))
-    return out.select(*KEYS, F.round("yhat", 5).alias("yhat"), F.round((F.col("upper") - F.col("lower")) / 2, 5).alias("half"))
+    return out.select(*KEYS, F.round("yhat", 7).alias("yhat"), F.round((F.col("upper") - F.col("lower")) / 2, 5).alias("half"))
 
 
 # --- splits, dates, names -----------------------------------------------------------------------
