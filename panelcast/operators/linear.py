@@ -108,6 +108,16 @@ def select_penalised(obs: DataFrame, work: DataFrame, m: int, alpha: float = 1.0
     return on_windows(obs, work, m, SELECTION, each)
 
 
+def lambda_choice(obs: DataFrame, work: DataFrame, m: int, alpha: float = 1.0, ic: str = "cv", **options) -> DataFrame:
+    """The penalty chosen for each window and how many series it keeps."""
+
+    def each(x, y, now, info):
+        fit = KL.penalised(x, y, info["h"], "lasso", alpha, ic, **options)
+        yield {"ic": ic, "lambda": fit["lambda"], "lambda_idx": fit["idx"], "n_selected": int((fit["coef"] != 0).sum())}
+
+    return on_windows(obs, work, m, "panel_id string, target string, h int, ic string, window_id int, lambda double, lambda_idx int, n_selected int", each)
+
+
 def select_one_per_group(obs: DataFrame, work: DataFrame, m: int, group_of: Callable[[str], str], steps: int = 50) -> DataFrame:
     """One series of each group: the first penalty with exactly one series, else the largest coefficient of the sparsest non-empty one."""
 

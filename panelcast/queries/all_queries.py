@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import evaluate, prepare  # noqa: F401
+from . import evaluate, models, prepare  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -85,10 +85,10 @@ def a05(spark, d):
     return errors(spark, d).groupBy(*UNIT).agg(r8(F.avg("err")).alias("mean"), F.round(F.var_pop("err"), 6).alias("variance"))
 
 
-@q("a06_scores", f"select panel_id, model, target, h, round({SQ}, 6) as mse, round(sqrt({SQ}), 6) as rmse, round(median(abs(err)), 6) as medae, round(100 * avg(abs(err) / abs(y_true)), 6) as mape, round(200 * avg(abs(err) / (abs(y_true) + abs(y_pred))), 6) as smape, round(abs(corr(y_true, y_pred)), 6) as abs_corr, round(1 - regr_slope(y_pred, y_true), 6) as slope_gap from e group by all")
+@q("a06_scores", f"select panel_id, model, target, h, round({SQ}, 6) as mse, round(sqrt({SQ}), 6) as rmse, round(median(abs(err)), 8) as medae, round(100 * avg(abs(err) / abs(y_true)), 6) as mape, round(200 * avg(abs(err) / (abs(y_true) + abs(y_pred))), 6) as smape, round(abs(corr(y_true, y_pred)), 6) as abs_corr, round(1 - regr_slope(y_pred, y_true), 6) as slope_gap from e group by all")
 def a06(spark, d):
     out = E.scores(errors(spark, d))
-    return out.select(*UNIT, *[F.round(c, 6).alias(c) for c in out.columns if c not in UNIT])
+    return out.select(*UNIT, *[F.round(c, 8 if c == "medae" else 6).alias(c) for c in out.columns if c not in UNIT])
 
 
 @q("a12_win_counts", ", b as (select panel_id, target, h, ds, arg_min(model, (abs(err), model)) as model from e group by all) select panel_id, h, model, count(*) as wins from b group by all")
