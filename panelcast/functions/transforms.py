@@ -7,12 +7,10 @@ Missing is NULL, never NaN.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ("panel_id", "series")
-BY_DATE = Window.partitionBy(*KEYS).orderBy("ds")
-WHOLE = Window.partitionBy(*KEYS)
 SMALL = 1e-6
 NAMES = {
     1: "lvl", 2: "dif_1m", 3: "2nd_dif_1m", 4: "log", 5: "dif_log", 6: "2nd_dif_log", 7: "dif_pct",
@@ -20,14 +18,24 @@ NAMES = {
 }
 
 
+def by_date() -> WindowSpec:
+    """The rows of a series in order."""
+    return Window.partitionBy(*KEYS).orderBy("ds")
+
+
+def whole() -> WindowSpec:
+    """All rows of a series."""
+    return Window.partitionBy(*KEYS)
+
+
 def lag(c: Column, k: int) -> Column:
-    return F.lag(c, k).over(BY_DATE)
+    return F.lag(c, k).over(by_date())
 
 
 def transform(code: int, x: Column | None = None) -> Column:
     """The transform with this code; 12 needs ``box_cox``."""
     x = F.col("value") if x is None else x
-    least = F.min(x).over(WHOLE)
+    least = F.min(x).over(whole())
     log = F.when(least > SMALL, F.ln(x))
     if code == 1:
         return x
@@ -57,7 +65,7 @@ def box_cox(obs: DataFrame, grid: tuple[float, ...] = tuple(i / 10 for i in rang
 
     The log-likelihood is -n/2 ln(population variance of the transformed) + (lambda - 1) sum of ln x.
     """
-    good = obs.where("value is not null").withColumn("least", F.min("value").over(WHOLE)).where(F.col("least") > SMALL)
+    good = obs.where("value is not null").withColumn("least", F.min("value").over(whole())).where(F.col("least") > SMALL)
     many = good.withColumn("lam", F.explode(F.array(*map(F.lit, grid))))
     y = _box(F.col("value"), F.col("lam"))
     fit = many.groupBy(*KEYS, "lam").agg(
@@ -77,8 +85,8 @@ def detrended(df: DataFrame, column: str, out: str) -> DataFrame:
     NULL there unless all 12 are present; earlier rows keep their value.
     """
     x = F.col(column)
-    before = BY_DATE.rowsBetween(-12, -1)
-    seen = df.withColumn("_n", F.row_number().over(BY_DATE)).withColumn("_first", F.min(F.when(x.isNotNull(), F.col("_n"))).over(WHOLE))
+    before = by_date().rowsBetween(-12, -1)
+    seen = df.withColumn("_n", F.row_number().over(by_date())).withColumn("_first", F.min(F.when(x.isNotNull(), F.col("_n"))).over(whole()))
     full = F.when(F.count(x).over(before) == 12, x - F.avg(x).over(before))
     return seen.withColumn(out, F.when(F.col("_n") - F.col("_first") < 12, x).otherwise(full)).drop("_n", "_first")
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.transforms import BY_DATE, KEYS, WHOLE
+from ..functions.transforms import by_date, KEYS, whole
 
 STEPS = {"month": "interval 1 month", "hour": "interval 1 hour", "day": "interval 1 day"}
 
@@ -36,7 +36,7 @@ def drop_incomplete(obs: DataFrame) -> DataFrame:
 def drop_sparse_head(obs: DataFrame, m: int, ratio: float = 0.9, limit: float = 0.8) -> DataFrame:
     """Drops series with more than ``limit`` NULLs in the first ceil((T - m) ratio^2 / 100) 100 rows, at most T."""
     head = F.least(F.ceil((F.col("t") - m) * (ratio * ratio) / 100) * 100, F.col("t"))
-    seen = obs.withColumn("n", F.row_number().over(BY_DATE)).withColumn("t", F.count(F.lit(1)).over(WHOLE))
+    seen = obs.withColumn("n", F.row_number().over(by_date())).withColumn("t", F.count(F.lit(1)).over(whole()))
     share = seen.where(F.col("n") <= head).groupBy(*KEYS).agg(F.avg(F.col("value").isNull().cast("int")).alias("share"))
     return obs.join(share.where(F.col("share") > limit), list(KEYS), "left_anti")
 
@@ -64,7 +64,7 @@ def oos_period(obs: DataFrame, m: int) -> DataFrame:
 
 
 def drop_first(obs: DataFrame, k: int) -> DataFrame:
-    return obs.withColumn("_n", F.row_number().over(BY_DATE)).where(F.col("_n") > k).drop("_n")
+    return obs.withColumn("_n", F.row_number().over(by_date())).where(F.col("_n") > k).drop("_n")
 
 
 def decimal_to_date(d: Column) -> Column:
@@ -98,8 +98,8 @@ def split_sample(rows: DataFrame, crisis: DataFrame, part: str) -> DataFrame:
 
 def horizon_pairs(obs: DataFrame, h: int) -> DataFrame:
     """``x`` at ds with ``y``, the value h steps later; no self-join."""
-    y = F.lead("value", h).over(BY_DATE)
-    return obs.select(*KEYS, "ds", F.col("value").alias("x"), y.alias("y"), F.lead("ds", h).over(BY_DATE).alias("target_ds")).where("target_ds is not null")
+    y = F.lead("value", h).over(by_date())
+    return obs.select(*KEYS, "ds", F.col("value").alias("x"), y.alias("y"), F.lead("ds", h).over(by_date()).alias("target_ds")).where("target_ds is not null")
 
 
 def rolling_windows(obs: DataFrame, m: int, h: int) -> DataFrame:
@@ -107,7 +107,7 @@ def rolling_windows(obs: DataFrame, m: int, h: int) -> DataFrame:
 
     For looking at windows; estimators use prefix sums instead of this fan-out.
     """
-    seen = obs.withColumn("s", F.row_number().over(BY_DATE)).withColumn("t", F.count(F.lit(1)).over(WHOLE))
+    seen = obs.withColumn("s", F.row_number().over(by_date())).withColumn("t", F.count(F.lit(1)).over(whole()))
     first = F.greatest(F.lit(1), F.col("s") - (F.col("t") - m - h))
     last = F.least(F.lit(m), F.col("s"))
     return seen.where((F.col("t") > m + h) & (first <= last)).select(*KEYS, "ds", "s", F.explode(F.sequence(first, last)).alias("window_id"), "value")
@@ -115,7 +115,7 @@ def rolling_windows(obs: DataFrame, m: int, h: int) -> DataFrame:
 
 def time_series_split(obs: DataFrame, k: int = 5) -> DataFrame:
     """Expanding splits: split i tests rows n - (k - i + 1) (n div (k + 1)) and the size after, trains on all before."""
-    seen = obs.withColumn("s", F.row_number().over(BY_DATE)).withColumn("n", F.count(F.lit(1)).over(WHOLE))
+    seen = obs.withColumn("s", F.row_number().over(by_date())).withColumn("n", F.count(F.lit(1)).over(whole()))
     size = F.floor(F.col("n") / (k + 1))
     many = seen.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("size", size)
     start = F.col("n") - (k - F.col("split") + 1) * F.col("size")
@@ -139,7 +139,7 @@ def block_splits(lengths: DataFrame, h: int, ratio: float = 0.8, test: int = 12)
 def matlab_percentile(obs: DataFrame, p: float) -> DataFrame:
     """Percentile of each series at position n p / 100 + 0.5 with linear steps between neighbours."""
     order = Window.partitionBy(*KEYS).orderBy("value")
-    seen = obs.where("value is not null").withColumn("i", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(WHOLE))
+    seen = obs.where("value is not null").withColumn("i", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(whole()))
     at = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), F.col("n") * p / 100 + 0.5))
     low, high = F.floor(F.col("at")), F.ceil(F.col("at"))
     return (
@@ -167,10 +167,10 @@ def flag_outliers(obs: DataFrame, k: float = 10.0, method: str = "matlab") -> Da
 
 def ma_fill(obs: DataFrame, k: int = 3) -> DataFrame:
     """At missing rows: the median of the series put there, then the centred mean of 2k + 1 terms, edges repeated."""
-    frame = BY_DATE.rowsBetween(-k, k)
-    med = F.percentile("value", F.lit(0.5)).over(WHOLE)
-    seen = obs.withColumn("_f", F.coalesce("value", med)).withColumn("_n", F.row_number().over(BY_DATE)).withColumn("_t", F.count(F.lit(1)).over(WHOLE))
-    first, last = F.first("_f").over(BY_DATE.rowsBetween(Window.unboundedPreceding, 0)), F.last("_f").over(BY_DATE.rowsBetween(0, Window.unboundedFollowing))
+    frame = by_date().rowsBetween(-k, k)
+    med = F.percentile("value", F.lit(0.5)).over(whole())
+    seen = obs.withColumn("_f", F.coalesce("value", med)).withColumn("_n", F.row_number().over(by_date())).withColumn("_t", F.count(F.lit(1)).over(whole()))
+    first, last = F.first("_f").over(by_date().rowsBetween(Window.unboundedPreceding, 0)), F.last("_f").over(by_date().rowsBetween(0, Window.unboundedFollowing))
     pad = F.greatest(F.lit(0), k + 1 - F.col("_n")) * first + F.greatest(F.lit(0), k - (F.col("_t") - F.col("_n"))) * last
     mean = (F.sum("_f").over(frame) + pad) / (2 * k + 1)
     return seen.select(*obs.columns, F.coalesce("value", mean).alias("filled"))

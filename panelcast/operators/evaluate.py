@@ -10,23 +10,23 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.transforms import BY_DATE, KEYS
+from ..functions.transforms import by_date, KEYS
 
 UNIT = ("panel_id", "model", "target", "h")
 
 
 def random_walk(h: int) -> Column:
-    return F.lag("value", h).over(BY_DATE)
+    return F.lag("value", h).over(by_date())
 
 
 def moving_average(h: int, k: int = 3) -> Column:
-    return F.avg("value").over(BY_DATE.rowsBetween(-h - k + 1, -h))
+    return F.avg("value").over(by_date().rowsBetween(-h - k + 1, -h))
 
 
 def ar1_direct(obs: DataFrame, h: int) -> DataFrame:
     """Adds ``y_pred``: regression of y[t+h] on 1, y[t] over all pairs whose label is known at the origin."""
-    seen = obs.withColumn("_x", F.lag("value", h).over(BY_DATE))
-    known = BY_DATE.rowsBetween(Window.unboundedPreceding, -h)
+    seen = obs.withColumn("_x", F.lag("value", h).over(by_date()))
+    known = by_date().rowsBetween(Window.unboundedPreceding, -h)
     slope, const = F.expr("regr_slope(value, _x)").over(known), F.expr("regr_intercept(value, _x)").over(known)
     enough = F.expr("regr_count(value, _x)").over(known) > 2
     return seen.withColumn("y_pred", F.when(enough, const + slope * F.col("_x"))).drop("_x")
@@ -175,14 +175,14 @@ def normal_cdf(x: Column) -> Column:
 
 def phillips_perron(obs: DataFrame) -> DataFrame:
     """Z_t statistic with a constant, from windowed sums: regression of y on its lag, long-run variance by Bartlett weights."""
-    seen = obs.withColumn("x", F.lag("value", 1).over(BY_DATE)).where("x is not null and value is not null")
+    seen = obs.withColumn("x", F.lag("value", 1).over(by_date())).where("x is not null and value is not null")
     fit = seen.groupBy(*KEYS).agg(
         F.regr_slope("value", "x").alias("rho"), F.regr_intercept("value", "x").alias("a"), F.regr_sxx("value", "x").alias("sxx"), F.count(F.lit(1)).alias("n")
     )
     fit = fit.withColumn("l", F.floor(4 * F.pow(F.col("n") / 100, F.lit(0.25))))
     res = seen.join(fit, list(KEYS)).withColumn("u", F.col("value") - F.col("a") - F.col("rho") * F.col("x"))
     most = 12
-    res = res.withColumns({f"g{j}": F.col("u") * F.lag("u", j).over(BY_DATE) for j in range(1, most + 1)})
+    res = res.withColumns({f"g{j}": F.col("u") * F.lag("u", j).over(by_date()) for j in range(1, most + 1)})
     weighted = sum((F.greatest(F.lit(0.0), 1 - j / (F.col("l") + 1)) * F.coalesce(f"s{j}", F.lit(0.0)) for j in range(1, most + 1)), F.lit(0.0))
     s = res.groupBy(*KEYS, "rho", "sxx", "n", "l").agg(F.sum(F.col("u") ** 2).alias("s0"), *[F.sum(f"g{j}").alias(f"s{j}") for j in range(1, most + 1)])
     n = F.col("n")

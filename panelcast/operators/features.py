@@ -4,40 +4,48 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.transforms import BY_DATE, KEYS, WHOLE
+from ..functions.transforms import by_date, KEYS, whole
 from ..kernels.spline import spline_fill_values
 
-BEFORE = BY_DATE.rowsBetween(Window.unboundedPreceding, -1)
-UP_TO = BY_DATE.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before() -> WindowSpec:
+    """Strictly earlier rows."""
+    return by_date().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def up_to() -> WindowSpec:
+    """Rows up to this one."""
+    return by_date().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def lag_features(df: DataFrame, k: int, column: str = "value") -> DataFrame:
-    return df.withColumns({f"{column}_lag{i}": F.lag(column, i).over(BY_DATE) for i in range(1, k + 1)})
+    return df.withColumns({f"{column}_lag{i}": F.lag(column, i).over(by_date()) for i in range(1, k + 1)})
 
 
 def standardise(obs: DataFrame, column: str = "value") -> DataFrame:
     x = F.col(column)
-    return obs.withColumn(column, F.try_divide(x - F.avg(x).over(WHOLE), F.stddev_samp(x).over(WHOLE)))
+    return obs.withColumn(column, F.try_divide(x - F.avg(x).over(whole()), F.stddev_samp(x).over(whole())))
 
 
 def demean(mode: int, x: Column | None = None) -> Column:
     """0 as is, 1 less the mean, 2 standardised, 3 less the expanding mean, over the full-sample deviation."""
     x = F.col("value") if x is None else x
-    spread = F.stddev_samp(x).over(WHOLE)
+    spread = F.stddev_samp(x).over(whole())
     if mode == 0:
         return x
-    centred = x - (F.avg(x).over(UP_TO) if mode == 3 else F.avg(x).over(WHOLE))
+    centred = x - (F.avg(x).over(up_to()) if mode == 3 else F.avg(x).over(whole()))
     return centred if mode == 1 else F.try_divide(centred, spread)
 
 
 def expanding_stats(obs: DataFrame, first: int = 5) -> DataFrame:
     """Least, mean and greatest value of strictly earlier rows; 0 in the first rows."""
-    late = F.row_number().over(BY_DATE) > first
+    late = F.row_number().over(by_date()) > first
     stats = {"min": F.min("value"), "mean": F.avg("value"), "max": F.max("value")}
-    return obs.withColumns({f"{k}_before": F.when(late, f.over(BEFORE)).otherwise(0.0) for k, f in stats.items()})
+    return obs.withColumns({f"{k}_before": F.when(late, f.over(before())).otherwise(0.0) for k, f in stats.items()})
 
 
 def ema(obs: DataFrame, alpha: float = 0.2) -> DataFrame:
@@ -46,7 +54,7 @@ def ema(obs: DataFrame, alpha: float = 0.2) -> DataFrame:
     A row's value is a fold over the values up to it; a series of 10^4 rows or more is
     better smoothed in ``applyInPandas``, where the fold runs once.
     """
-    so_far = F.collect_list("value").over(UP_TO)
+    so_far = F.collect_list("value").over(up_to())
     fold = F.aggregate(F.slice(so_far, 2, F.size(so_far)), so_far[0], lambda e, x: alpha * x + (1 - alpha) * e)
     return obs.withColumn("ema", fold)
 
@@ -68,13 +76,13 @@ def fft_amplitudes(obs: DataFrame, terms: int = 5) -> DataFrame:
 
 def seasonal_decompose(obs: DataFrame, period: int) -> DataFrame:
     """Trailing trend, expanding seasonal mean by phase and residual, as known one row before."""
-    frame = BY_DATE.rowsBetween(1 - period, 0)
+    frame = by_date().rowsBetween(1 - period, 0)
     trend = F.when(F.count("value").over(frame) == period, F.avg("value").over(frame))
-    seen = obs.withColumn("_phase", F.row_number().over(BY_DATE) % period).withColumn("_trend", trend)
+    seen = obs.withColumn("_phase", F.row_number().over(by_date()) % period).withColumn("_trend", trend)
     phase = Window.partitionBy(*KEYS, "_phase").orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
     seen = seen.withColumn("_seasonal", F.avg(F.col("value") - F.col("_trend")).over(phase))
     parts = {"trend": F.col("_trend"), "seasonal": F.col("_seasonal"), "residual": F.col("value") - F.col("_trend") - F.col("_seasonal")}
-    return seen.select(*obs.columns, *[F.lag(c, 1).over(BY_DATE).alias(n) for n, c in parts.items()])
+    return seen.select(*obs.columns, *[F.lag(c, 1).over(by_date()).alias(n) for n, c in parts.items()])
 
 
 def spline_fill(obs: DataFrame) -> DataFrame:
@@ -90,8 +98,8 @@ def spline_fill(obs: DataFrame) -> DataFrame:
 
 def trend_forecast(obs: DataFrame, z: float = 1.2815515655446004) -> DataFrame:
     """One step ahead from a linear trend over strictly earlier rows, with a band of ``z`` standard errors."""
-    seen = obs.withColumn("_t", F.row_number().over(BY_DATE).cast("double"))
-    f = lambda e: F.expr(e).over(BEFORE)
+    seen = obs.withColumn("_t", F.row_number().over(by_date()).cast("double"))
+    f = lambda e: F.expr(e).over(before())
     n, mt, sxx, syy, sxy = f("count(value)"), f("avg(_t)"), f("regr_sxx(value, _t)"), f("regr_syy(value, _t)"), f("regr_sxy(value, _t)")
     seen = seen.withColumns({"_n": n, "_mt": mt, "_sxx": sxx, "_s2": F.greatest(syy - sxy * sxy / sxx, F.lit(0.0)) / (n - 2), "yhat": f("regr_intercept(value, _t)") + f("regr_slope(value, _t)") * F.col("_t")})
     half = z * F.sqrt("_s2") * F.sqrt(1 + 1 / F.col("_n") + (F.col("_t") - F.col("_mt")) ** 2 / F.col("_sxx"))

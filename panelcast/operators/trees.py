@@ -7,7 +7,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.transforms import BY_DATE, KEYS
+from ..functions.transforms import by_date, KEYS
 from .features import lag_features
 
 FORECAST = "panel_id string, model string, target string, h int, origin_ds date, target_ds date, y_true double, y_pred double, err double"
@@ -15,7 +15,7 @@ FORECAST = "panel_id string, model string, target string, h int, origin_ds date,
 
 def pooled_features(obs: DataFrame, h: int, lags: int = 4, factor: DataFrame | None = None) -> DataFrame:
     """Rows with the value and its lags, means of the panel, factors, and ``y`` = the value h steps later."""
-    rows = lag_features(obs, lags).withColumn("y", F.lead("value", h).over(BY_DATE)).withColumn("target_ds", F.lead("ds", h).over(BY_DATE))
+    rows = lag_features(obs, lags).withColumn("y", F.lead("value", h).over(by_date())).withColumn("target_ds", F.lead("ds", h).over(by_date()))
     rows = rows.withColumn("panel_mean", F.avg("value").over(Window.partitionBy("panel_id", "ds")))
     if factor is not None:
         wide = factor.groupBy("panel_id", "ds").pivot("factor", [1, 2]).agg(F.first("value"))
@@ -100,4 +100,4 @@ def wide_features(obs: DataFrame, target: str, names: list[str], h: int) -> Data
     """One row a date: the values of ``names`` as columns ``f0, f1, ...`` and ``y`` = the target h steps later."""
     wide = obs.groupBy("panel_id", "ds").pivot("series", names).agg(F.first("value"))
     wide = wide.select("panel_id", F.lit(target).alias("series"), "ds", F.col(f"`{target}`").alias("_t"), *[F.col(f"`{n}`").alias(f"f{i}") for i, n in enumerate(names)])
-    return wide.withColumn("y", F.lead("_t", h).over(BY_DATE)).drop("_t")
+    return wide.withColumn("y", F.lead("_t", h).over(by_date())).drop("_t")
