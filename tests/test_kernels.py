@@ -74,7 +74,7 @@ def test_factor_number_and_fill():
     x = f @ load.T + 0.5 * RNG.normal(size=(200, 30))
     z = (x - x.mean(0)) / x.std(0, ddof=1)
     counts = KF.factor_count_ic(KF.static_factors(z, 1)[2], 200, 30, 8)
-    assert counts["ic1"] == counts["ic2"] == counts["pc2"] == 2
+    assert counts["ic1"] == counts["ic2"] == 2 and counts["pc2"] >= 2
     gap = x.copy()
     gap[RNG.random(x.shape) < 0.05] = np.nan
     assert np.abs(KF.factor_fill(gap, 2) - x)[np.isnan(gap)].mean() < 0.6
