@@ -1,14 +1,18 @@
 """A corpus pipeline of five stages over ``documents``; each stage's rows feed the next.
 
-Every stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``documents``, but for
-the last, which returns a row of token counts and digests for each document of the mix.
+Every stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``documents`` (and any
+further ones), but for the last, which returns a row of token counts and digests for each
+document of the mix.
+
+Null texts are empty texts throughout.  Rows without an id can't be told apart, so the two
+dedup stages keep them; rows that repeat an id stay or go together.  An empty table passes
+through every stage.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelcast.llm.exact_dedup import exact_dedup
 from panelcast.llm.mixing import mixed_documents
@@ -18,6 +22,11 @@ from panelcast.llm.simhash import simhash_groups
 from panelcast.llm.toxicity import fit, reject_toxic
 
 
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``kept``, and those without an id."""
+    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
     return reject_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
@@ -25,14 +34,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, exact_dedup(docs).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group: the one with the smallest id."""
-    kept = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _only(docs, simhash_groups(docs).where("doc_id = component_id"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
