@@ -98,3 +98,15 @@ def test_other_queries_keep_every_document(spark, name):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     got = Q.queries()[name](spark, DATA)
     assert got.count() == docs.count() and got.select("doc_id").distinct().count() == docs.count()
+
+
+def test_stages_take_nulls_repeats_and_empty_tables(spark, small):
+    d = small[0]
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = docs.limit(3).union(docs.limit(3)).union(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).withColumn("text", F.when(F.col("doc_id") != 1, F.col("text")))
+    for rows in (P.cut(odd, "t"), P.cut(docs.limit(0), "t")):
+        nulls = rows.where("doc_id is null").count()
+        for _, stage in P.STAGES[:4]:
+            rows = P.cut(stage(spark, rows, d), "t")
+            assert rows.columns == docs.columns and rows.where("doc_id is null").count() >= nulls
+        P.STAGES[4][1](spark, rows, d).count()
