@@ -41,14 +41,34 @@ class _Fits(dict):
         return out
 
 
+class _Shorter(dict):
+    """Piece -> its longest proper prefix that is a piece or one character; "" for one character."""
+
+    def __init__(self, pieces: dict, limit: int = 100_000):
+        self.pieces, self.limit = pieces, limit
+
+    def __missing__(self, piece):
+        if len(self) >= self.limit:
+            self.clear()
+        self[piece] = out = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if n == 1 or piece[:n] in self.pieces), "")
+        return out
+
+
 class _Known(dict):
-    """Segment -> ids, for segments met before; emptied when full, so memory is bounded."""
+    """Segment -> ids, for segments met before; emptied when full, so memory is bounded.
 
-    def __init__(self, encode, before: str, limit: int = 300_000):
-        self.encode, self.before, self.limit = encode, before, limit
+    ``marks`` are characters that no piece joins to an ASCII letter before them, so a mark at
+    the end of a word is encoded on its own and the word is shared with its bare form.
+    """
+
+    def __init__(self, encode, before: str, marks: dict[str, tuple], limit: int = 400_000):
+        self.encode, self.before, self.marks, self.limit = encode, before, marks, limit
 
     def __missing__(self, word):
-        out = tuple(self.encode(self.before + word)) if self.before + word else ()
+        if len(word) > 1 and word[-1] in self.marks and word[-2].isascii() and word[-2].isalpha():
+            out = self[word[:-1]] + self.marks[word[-1]]
+        else:
+            out = tuple(self.encode(self.before + word)) if self.before + word else ()
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -74,8 +94,9 @@ class PieceModel:
             self.matcher.add_word(p, len(p))
         self.matcher.make_automaton()
         self.fits = _Fits(self.merge)
-        self.shorter = lru_cache(100_000)(self._shorter)
-        self.after_blank, self.bare = _Known(self.segment, " "), _Known(self.segment, "")
+        self.shorter = _Shorter(self.id_of)
+        marks = {c: self._ids(c) for c in ".,;:!?" if not any(re.search(rf"[A-Za-z]{re.escape(c)}", p) for p in self.id_of)}
+        self.after_blank, self.bare = _Known(self.segment, " ", marks), _Known(self.segment, "", marks)
         self.line_feed = self._ids("\n")
         # decoding tables; unknown and control ids as the library writes them
         self.bytes_of = [
@@ -102,9 +123,6 @@ class PieceModel:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _shorter(self, piece: str) -> str:
-        return next((piece[:n] for n in range(len(piece) - 1, 0, -1) if n == 1 or piece[:n] in self.id_of), "")
-
     def _ids(self, piece: str) -> tuple[int, ...]:
         found = self.id_of.get(piece)
         return (found,) if found is not None else tuple(self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass"))
@@ -123,7 +141,7 @@ class PieceModel:
             while piece:
                 if not failed[at + len(piece)] and fits[before, piece]:
                     break
-                piece = shorter(piece)
+                piece = shorter[piece]
             if piece:
                 taken.append(piece)
                 at += len(piece)
