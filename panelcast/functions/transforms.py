@@ -50,8 +50,7 @@ def transform(code: int, x: Column | None = None) -> Column:
     if code == 6:
         return log - 2 * lag(log, 1) + lag(log, 2)
     if code == 7:
-        rate = lambda k: F.try_divide(lag(x, k) - lag(x, k + 1), lag(x, k + 1)) if k else F.try_divide(x - lag(x, 1), lag(x, 1))
-        return rate(0) - rate(1)
+        return F.try_divide(x - lag(x, 1), lag(x, 1)) - F.try_divide(lag(x, 1) - lag(x, 2), lag(x, 2))
     if code in (8, 10):
         back = lag(x, 12 if code == 8 else 3)
         return F.try_divide(100 * (x - back), F.abs(back))

@@ -141,6 +141,11 @@ def to_error_rows(errors: DataFrame, calendar: DataFrame, label: str, start: int
     )
 
 
+def _longest(rows: DataFrame, by: tuple[str, ...]) -> int:
+    """The greatest number of rows of a group: it says how many lags a bandwidth rule can ask for."""
+    return rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+
+
 def dm_test(errors: DataFrame, benchmark: str = "arp", hac_scale: bool = False) -> DataFrame:
     """Diebold-Mariano: mean loss difference, its Newey-West error with Bartlett weights, t, p, and the small-sample t.
 
@@ -150,7 +155,7 @@ def dm_test(errors: DataFrame, benchmark: str = "arp", hac_scale: bool = False)
     d = against_benchmark(errors, benchmark).where(F.col("model") != benchmark).withColumn("d", F.col("err") ** 2 - F.col("err_b") ** 2)
     unit = Window.partitionBy(*UNIT)
     c = d.withColumns({"u": F.col("d") - F.avg("d").over(unit), "m": F.count(F.lit(1)).over(unit)}).withColumn("b", F.floor(4 * F.pow(F.col("m") / 100, F.lit(2 / 9))) + 1)
-    most = 12  # the bandwidth for m up to 10^4; longer samples raise it
+    most = math.floor(4 * (_longest(errors, UNIT) / 100) ** (2 / 9)) + 1
     lags = {f"g{j}": F.col("u") * F.lag("u", j).over(order) for j in range(1, most + 1)}
     weighted = sum((F.greatest(F.lit(0.0), 1 - j / F.col("b")) * F.coalesce(f"s{j}", F.lit(0.0)) for j in range(1, most + 1)), F.lit(0.0))
     sums = c.withColumns(lags).groupBy(*UNIT).agg(
@@ -181,7 +186,7 @@ def phillips_perron(obs: DataFrame) -> DataFrame:
     )
     fit = fit.withColumn("l", F.floor(4 * F.pow(F.col("n") / 100, F.lit(0.25))))
     res = seen.join(fit, list(KEYS)).withColumn("u", F.col("value") - F.col("a") - F.col("rho") * F.col("x"))
-    most = 12
+    most = math.floor(4 * (_longest(obs, KEYS) / 100) ** 0.25) + 1
     res = res.withColumns({f"g{j}": F.col("u") * F.lag("u", j).over(by_date()) for j in range(1, most + 1)})
     weighted = sum((F.greatest(F.lit(0.0), 1 - j / (F.col("l") + 1)) * F.coalesce(f"s{j}", F.lit(0.0)) for j in range(1, most + 1)), F.lit(0.0))
     s = res.groupBy(*KEYS, "rho", "sxx", "n", "l").agg(F.sum(F.col("u") ** 2).alias("s0"), *[F.sum(f"g{j}").alias(f"s{j}") for j in range(1, most + 1)])
