@@ -136,28 +136,22 @@ def block_splits(lengths: DataFrame, h: int, ratio: float = 0.8, test: int = 12)
     )
 
 
-def matlab_percentile(obs: DataFrame, p: float) -> DataFrame:
-    """Percentile of each series at position n p / 100 + 0.5 with linear steps between neighbours."""
+def matlab_percentile(obs: DataFrame, **wanted: float) -> DataFrame:
+    """Percentiles of each series, ``name=p``, at position n p / 100 + 0.5 with linear steps between neighbours; one sort for all."""
     order = Window.partitionBy(*KEYS).orderBy("value")
     seen = obs.where("value is not null").withColumn("i", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(whole()))
-    at = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), F.col("n") * p / 100 + 0.5))
-    low, high = F.floor(F.col("at")), F.ceil(F.col("at"))
-    return (
-        seen.withColumn("at", at)
-        .groupBy(*KEYS)
-        .agg(F.max(F.when(F.col("i") == low, F.col("value"))).alias("lo"), F.max(F.when(F.col("i") == high, F.col("value"))).alias("hi"), F.max("at").alias("at"))
-        .select(*KEYS, (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))).alias("q"))
-    )
+    n, out = F.col("n"), []
+    for name, p in wanted.items():
+        at = F.greatest(F.lit(1.0), F.least(n.cast("double"), n * p / 100 + 0.5))
+        value = lambda place: F.max(F.when(F.col("i") == place, F.col("value")))
+        out.append((value(F.floor(at)) + (value(F.ceil(at)) - value(F.floor(at))) * F.max(at - F.floor(at))).alias(name))
+    return seen.groupBy(*KEYS).agg(*out)
 
 
 def flag_outliers(obs: DataFrame, k: float = 10.0, method: str = "matlab") -> DataFrame:
     """``is_outlier`` where a value is more than k interquartile ranges from the median; ``cleaned`` is NULL there."""
     if method == "matlab":
-        names = {25.0: "q1", 50.0: "med", 75.0: "q3"}
-        stats = None
-        for p, name in names.items():
-            one = matlab_percentile(obs, p).withColumnRenamed("q", name)
-            stats = one if stats is None else stats.join(one, list(KEYS))
+        stats = matlab_percentile(obs, q1=25.0, med=50.0, q3=75.0)
     else:
         q = lambda p: F.percentile("value", F.lit(p))
         stats = obs.groupBy(*KEYS).agg(q(0.25).alias("q1"), q(0.5).alias("med"), q(0.75).alias("q3"))

@@ -23,28 +23,28 @@ def moving_average(h: int, k: int = 3) -> Column:
     return F.avg("value").over(by_date().rowsBetween(-h - k + 1, -h))
 
 
-def ar1_direct(obs: DataFrame, h: int) -> DataFrame:
-    """Adds ``y_pred``: regression of y[t+h] on 1, y[t] over all pairs whose label is known at the origin."""
-    seen = obs.withColumn("_x", F.lag("value", h).over(by_date()))
+def ar1_direct(h: int, x: str) -> Column:
+    """Regression of y[t+h] on 1, y[t] over all pairs whose label is known at the origin; ``x`` names the value h rows before."""
     known = by_date().rowsBetween(Window.unboundedPreceding, -h)
-    slope, const = F.expr("regr_slope(value, _x)").over(known), F.expr("regr_intercept(value, _x)").over(known)
-    enough = F.expr("regr_count(value, _x)").over(known) > 2
-    return seen.withColumn("y_pred", F.when(enough, const + slope * F.col("_x"))).drop("_x")
+    f = lambda name: F.expr(f"{name}(value, {x})").over(known)
+    return F.when(f("regr_count") > 2, f("regr_intercept") + f("regr_slope") * F.col(x))
 
 
 def simple_errors(obs: DataFrame, horizons: tuple[int, ...] = (1, 3), m: int = 24) -> DataFrame:
-    """Errors of the last ``m`` dates of each series for ``rw``, ``ma3`` and the benchmark ``arp``."""
+    """Errors of the last ``m`` dates of each series for ``rw``, ``ma3`` and the benchmark ``arp``.
+
+    All models and horizons come from one sort of the series.
+    """
     late = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("ds"))) <= m
-    out = None
-    for h in horizons:
-        models = {"rw": obs.withColumn("y_pred", random_walk(h)), "ma3": obs.withColumn("y_pred", moving_average(h)), "arp": ar1_direct(obs, h)}
-        for name, df in models.items():
-            rows = df.withColumn("late", late).where("late and value is not null and y_pred is not null").select(
-                "panel_id", F.lit(name).alias("model"), F.col("series").alias("target"), F.lit(h).alias("h"), "ds",
-                F.col("value").alias("y_true"), F.round("y_pred", 6).alias("y_pred"), F.round(F.col("value") - F.col("y_pred"), 6).alias("err"),
-            )
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    seen = obs.withColumns({f"_x{h}": random_walk(h) for h in horizons})
+    made = [
+        F.struct(F.lit(name).alias("model"), F.lit(h).alias("h"), F.round(pred, 6).alias("y_pred"), F.round(F.col("value") - pred, 6).alias("err"))
+        for h in horizons
+        for name, pred in (("rw", F.col(f"_x{h}")), ("ma3", moving_average(h)), ("arp", ar1_direct(h, f"_x{h}")))
+    ]
+    rows = seen.select(*KEYS, "ds", "value", late.alias("late"), F.array(*made).alias("made")).where("late and value is not null")
+    each = rows.select("panel_id", F.col("series").alias("target"), "ds", F.col("value").alias("y_true"), F.explode("made").alias("f"))
+    return each.where("f.y_pred is not null").select("panel_id", "f.model", "target", "f.h", "ds", "y_true", "f.y_pred", "f.err")
 
 
 def mse(errors: DataFrame, by: tuple[str, ...] = UNIT) -> DataFrame:

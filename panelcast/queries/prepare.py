@@ -255,7 +255,7 @@ q{n} as (select panel_id, series, max(case when i = floor(pos) then value end) +
 
 @query("n03_matlab_percentile", sql("supp", _PCT.format(p=30.0, n="") + " select panel_id, series, round(q, 8) as q from q"))
 def n03(spark, d):
-    return C.matlab_percentile(dense(spark, d, "supp"), 30.0).withColumn("q", r8("q"))
+    return C.matlab_percentile(dense(spark, d, "supp"), q=30.0).withColumn("q", r8("q"))
 
 
 _OUT = "".join(_PCT.format(p=p, n=n).replace(" v as", f" v{n} as").replace("from v)", f"from v{n})").replace("\nx as", f"\nx{n} as").replace("from x group", f"from x{n} group") for p, n in ((25.0, 1), (50.0, 2), (75.0, 3))) + """
