@@ -49,9 +49,9 @@ def m01(spark, d):
     return errors(spark, d, "supp").where("model = 'rw'").drop("model")
 
 
-@query("m02_ar1", sql("supp", ERR + " select panel_id, target, h, ds, round(y_pred, 4) as y_pred from e where model = 'arp'"))
+@query("m02_ar1", sql("supp", ERR + " select panel_id, target, h, ds, y_pred from e where model = 'arp'"))
 def m02(spark, d):
-    return errors(spark, d, "supp").where("model = 'arp'").select("panel_id", "target", "h", "ds", F.round("y_pred", 4).alias("y_pred"))
+    return errors(spark, d, "supp").where("model = 'arp'").select("panel_id", "target", "h", "ds", "y_pred")
 
 
 @q("a01_mse", f"select panel_id, model, target, h, round({SQ}, 6) as mse, count(err) as n from e group by all")
