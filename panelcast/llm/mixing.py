@@ -2,14 +2,16 @@
 
 A classifier learned from the labelled table gives every document a posterior over domains.
 Nonnegative rates are then fitted so that the expected tokens of each domain, the sum over
-documents of rate x tokens x posterior, meet the domain's target: projected gradient steps on
-the least squares of the misses, each weighted by its domain's tokens.  A step needs one number
-a domain from a pass over the documents, so nothing else reaches the driver.
+documents of rate x tokens x posterior, meet the domain's target, by Newton's method on one
+multiplier a domain.  A step needs domains x domains sums from a pass over the documents, so
+nothing else reaches the driver.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+import logging
 import math
 import zlib
 from collections.abc import Iterator
@@ -24,8 +26,10 @@ from pyspark.sql import types as T
 from .shared import cut
 
 DOMAINS = ("high", "low", "toxic")
-MOST_RATE = 8.0  # no document is repeated more often, whatever its domain lacks
+MOST_RATE = 8.0  # the pipeline repeats no document more often, whatever its domain lacks
+RIDGES = [10.0**-i for i in range(9)]  # weights of the multipliers; the last is about the share by which targets that can be reached are missed
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
+log = logging.getLogger(__name__)
 
 
 def domain() -> Column:
@@ -146,13 +150,14 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return rows.mapInArrow(each, "doc_id long, n_tokens long, p array<double>")
 
 
-def rate(p: Column, steps: list[list[float]], floor: float, most: float = MOST_RATE) -> Column:
+def rate(p: Column, steps: list[list[float]], floor: float, most: float | None = MOST_RATE) -> Column:
     """The rate after steps ``rate - p . step`` from 1, each projected onto ``floor`` to ``most``, as one expression."""
     if not steps:
         return F.lit(1.0)
     listed = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
     dot = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
-    return F.aggregate(listed, F.lit(1.0), lambda r, s: F.least(F.lit(float(most)), F.greatest(F.lit(float(floor)), r - dot(s))))
+    top = F.lit(math.inf if most is None else float(most))
+    return F.aggregate(listed, F.lit(1.0), lambda r, s: F.least(top, F.greatest(F.lit(float(floor)), r - dot(s))))
 
 
 @dataclass(frozen=True)
@@ -163,20 +168,71 @@ class Mix:
     reached: list[float]
 
 
-def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tolerance: float = 1e-4, most_steps: int = 40) -> Mix:
+def _multipliers(members: DataFrame, want: np.ndarray, have: np.ndarray, live: np.ndarray, floor: float, most: float) -> np.ndarray:
+    """The multipliers x by domain, for rates ``1 + p . x`` within ``floor`` and ``most``, by Newton's method.
+
+    They minimise the convex dual of the squared distance of rates from 1 (by token) plus the squared
+    misses (by token of the domain, over the ridge), so targets that can be met are met, and others
+    missed by least squares.  A pass gives value, gradient and curvature at once; steps are halved until
+    the value falls, and end when a step would gain nothing that counts or, in floating point, can't.
+    Each ridge starts from the multipliers of the one before; the last is the one that moves nothing more.
+    """
+    k, total = len(want), have.sum()
+
+    def at(x: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+        p = [F.col("p")[i] for i in range(k)]
+        z = F.lit(1.0)
+        for i in range(k):
+            z = z + p[i] * F.lit(float(x[i]))
+        own = members.select("n_tokens", *[p[i].alias(f"p{i}") for i in range(k)], z.alias("z"))
+        own = own.withColumn("r", F.least(F.lit(float(most)), F.greatest(F.lit(float(floor)), "z")))
+        moves = F.when((F.col("z") >= floor) & (F.col("z") <= most), F.col("n_tokens")).otherwise(0)
+        row = own.agg(
+            F.sum(F.col("n_tokens") * F.col("r") * (F.col("z") - F.col("r") / 2)),
+            *[F.sum(F.col("n_tokens") * F.col("r") * F.col(f"p{i}")) for i in range(k)],
+            *[F.sum(moves * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)],
+        ).first()
+        sums = np.array(row, float) / total
+        value = sums[0] - want @ x / total + ridge * (have * x) @ x / total / 2
+        return value, sums[1 : k + 1] - want / total + ridge * have * x / total, sums[k + 1 :].reshape(k, k) + ridge * np.diag(have) / total
+
+    x, on, got = np.zeros(k), np.flatnonzero(live), np.zeros(k)
+    for ridge in RIDGES:
+        value, slope, curve = at(x, ridge)
+        for n in itertools.count():
+            unit = 1 / np.sqrt(np.diag(curve)[on])
+            way = np.zeros(k)
+            way[on] = -unit * np.linalg.solve(curve[np.ix_(on, on)] * np.outer(unit, unit), unit * slope[on])
+            length = 1.0
+            if np.abs(slope[on]).max(initial=0.0) < 1e-8 or n >= 20 and -ridge * (slope @ way) < 1e-10:  # misses within 1e-5 of all tokens of this ridge's
+                break
+            while (new := at(x + length * way, ridge))[0] > value + 1e-4 * length * (slope @ way) and length > 1e-9:
+                length /= 2
+            if length <= 1e-9:
+                break
+            x, (value, slope, curve) = x + length * way, new
+        before, got = got, slope - ridge * have * x / total  # less the targets
+        if ridge < 1e-3 and np.abs(got - before)[on].max(initial=0.0) < 1e-6:
+            break
+    return x
+
+
+def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tolerance: float = 1e-4, most_steps: int | None = None, most: float | None = MOST_RATE) -> Mix:
     """Fits rates over ``members(n_tokens, p)`` so that expected domain tokens match ``weights`` of the budget.
 
     The budget is all tokens; with a floor above 0 it is raised until no domain has to give up
     tokens, so that a rate of at least ``floor`` for every document can be met.  A domain without
-    any mass can't be reached and is left out.  Each step is a gradient step of length 1 for
-    misses divided by their domain's tokens, for which the curvature is at most 1, projected
-    onto rates from ``floor`` to ``MOST_RATE``.  Steps end when every miss is below ``tolerance`` of the budget, when
-    they stand still, or at ``most_steps``.
+    any mass can't be reached and is left out.  Rates are from ``floor`` to ``most``, or have no
+    ceiling where that is None.  Newton's method runs until it has converged (``_multipliers``), however
+    many passes that takes.  With ``most_steps`` there are plain gradient steps instead, of length 1 for
+    misses divided by their domain's tokens, until every miss is below ``tolerance`` of the budget, they
+    stand still, or ``most_steps`` are taken.  Every domain's target and reached tokens are logged,
+    misses of more than ``tolerance`` of the budget as warnings.
     """
     k = len(weights)
 
     def totals(steps: list[list[float]]) -> np.ndarray:
-        own = members.select((rate(F.col("p"), steps, floor) * F.col("n_tokens")).alias("w"), "p")
+        own = members.select((rate(F.col("p"), steps, floor, most) * F.col("n_tokens")).alias("w"), "p")
         row = own.agg(*[F.sum(F.col("w") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]).first()
         return np.array([x or 0.0 for x in row])
 
@@ -188,9 +244,12 @@ def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tole
         return Mix([], floor, [0.0] * k, [0.0] * k)
     budget = max(total, float((floor * have[live] / share[live]).max())) if floor and live.any() else total
     want, steps, got = share * budget, [], have
+    if most_steps is None:
+        steps = [(-_multipliers(members, want, have, live, floor, math.inf if most is None else most)).tolist()]
+        got = totals(steps)
     safe = np.where(have > 0, have, 1.0)
     before = math.inf
-    while len(steps) < most_steps:
+    while most_steps is not None and len(steps) < most_steps:
         miss = np.where(live, got - want, 0.0)
         size = float(np.abs(miss).max()) / budget
         if size < tolerance or abs(before - size) < tolerance * 1e-2:
@@ -198,6 +257,9 @@ def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tole
         before = size
         steps.append((miss / safe).tolist())
         got = totals(steps)
+    for i in range(k):
+        missed = abs(got[i] - want[i]) > tolerance * budget
+        log.log(logging.WARNING if missed else logging.INFO, "mixing domain %d: %.1f tokens wanted, %.1f reached%s", i, want[i], got[i], ", target missed" if missed else "")
     return Mix(steps, floor, want.tolist(), got.tolist())
 
 
@@ -213,23 +275,24 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     Null and wordless texts have no tokens and a posterior of the class shares.  Without labelled
     rows all domains are alike.  Null ids and repeated rows are documents of their own (copies of
     rows with one id agree); an empty table gives an empty result; other columns are not read.
+    Rates have no ceiling.
     """
     model = fit_domains(docs, labels, domains=tuple(targets))
     members = cut(posteriors(docs, model), "domain-members")
-    fitted = fit_rates(members, list(targets.values()), floor)
-    named = members.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(targets)], rate(F.col("p"), fitted.steps, floor).alias("rate"))
+    fitted = fit_rates(members, list(targets.values()), floor, most=None)
+    named = members.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(targets)], rate(F.col("p"), fitted.steps, floor, None).alias("rate"))
     return named.withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, floor: float = 1.0) -> DataFrame:
-    """``docs``, all columns, each row as often as its rate says; with a floor of 1 every row at least once."""
+def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, floor: float = 1.0, most: float | None = MOST_RATE) -> DataFrame:
+    """``docs``, all columns, each row as often as its rate says, up to ``most``; with a floor of 1 every row at least once."""
     model = fit_domains(docs, labels, domains=tuple(targets))
     members = cut(posteriors(docs, model).select("n_tokens", "p"), "domain-members")
-    fitted = fit_rates(members, list(targets.values()), floor)
+    fitted = fit_rates(members, list(targets.values()), floor, most=most)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, top = shared.value, math.inf if most is None else most
         steps = np.array(fitted.steps).reshape(-1, len(targets))
         for batch in batches:
             r = []
@@ -237,7 +300,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float
                 p = m.posterior(m.raw(t.as_py())[1])
                 x = 1.0
                 for s in steps:
-                    x = min(MOST_RATE, max(floor, x - float(p @ s)))
+                    x = min(top, max(floor, x - float(p @ s)))
                 r.append(x)
             yield batch.append_column("__rate", pa.array(r, pa.float64()))
 

@@ -72,3 +72,34 @@ def test_edges(spark):
     assert m.mixed_documents(docs, none).count() >= 5
     assert m.mix(docs.limit(0), none).count() == 0
     assert m.mixed_documents(docs.limit(0), none).count() == 0
+
+
+def test_rare_domains_reach_their_targets(spark, caplog):
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 500, 2000)
+    p = np.where(rng.random((2000, 1)) < 0.005, [[0.05, 0.05, 0.9]], rng.dirichlet([2.0, 6.0, 0.001], 2000) * 0.999 + 0.001 / 3)
+    want = np.array([0.3, 0.4, 0.3]) * n.sum()
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+    mix = m.fit_rates(members, [0.3, 0.4, 0.3], most=None)
+    r = np.array([x.r for x in members.select(m.rate(F.col("p"), mix.steps, 0.0, None).alias("r")).collect()])
+    assert r.min() >= 0 and r.max() > m.MOST_RATE
+    assert np.allclose((r * n) @ p, want, rtol=1e-4) and np.allclose(mix.reached, want, rtol=1e-4)
+    assert not caplog.records
+
+
+def test_targets_out_of_reach_are_logged_and_missed_least(spark, caplog):
+    rng = np.random.default_rng(6)
+    n = rng.integers(1, 500, 200)
+    p = np.array([0.3, 0.2, 0.1]) + rng.random((200, 3)) * 0.1
+    p /= p.sum(axis=1, keepdims=True)
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+    have, want = n @ p, np.array([0.1, 0.1, 0.8]) * n.sum()
+    for floor, most in ((0.0, None), (0.0, 8.0), (1.0, 8.0)):
+        caplog.clear()
+        mix = m.fit_rates(members, [0.1, 0.1, 0.8], floor, most=most)
+        slope = p @ ((np.array(mix.reached) - mix.targets) / have)  # of the squared misses, by rate
+        r = np.array([x.r for x in members.select(m.rate(F.col("p"), mix.steps, floor, most).alias("r")).collect()])
+        assert r.min() >= floor and r.max() <= (most or np.inf)
+        assert slope[r > floor + 1e-9].max(initial=-1) < 1e-2
+        assert slope[r < (most or np.inf) - 1e-9].min(initial=1) > -1e-2
+        assert sum("target missed" in x.getMessage() for x in caplog.records) >= 1
