@@ -14,6 +14,7 @@ rules accept are positive, candidates the rules reject are negative, and rewritt
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -158,6 +159,7 @@ def rewritten(kind: str, span: str) -> list[tuple[str, int]]:
     return [(f"({n[:3]}) {n[3:6]}-{n[6:]}", 1), (f"+1-{n[:3]}-{n[3:6]}-{n[6:]}", 1), (f"+{n}{n}", 0)] if len(n) == 10 else []
 
 
+BINS = 10_000  # of scores
 SPAN = "struct<kind:string,start:int,end:int>"
 SCORED = "struct<kind:string,start:int,end:int,features:array<double>,label:int>"
 _ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
@@ -207,35 +209,49 @@ def inspect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def added_spans(seen: DataFrame, max_training: int = 20_000, precision: float = 0.99, trees: int = 12, depth: int = 4) -> DataFrame:
     """``row, added``: candidates above the calibrated threshold of their kind, as arrays by row.
 
-    Trains on at most ``max_training`` labelled candidates chosen by a hash; a third of them calibrates
-    the thresholds: the lowest at which precision is at least ``precision``.
+    Trains on about ``max_training`` labelled candidates at most, as many of each kind and label, chosen
+    by a hash of document, place and format, and never on more than two thirds of those there are.  All
+    other labelled candidates calibrate the thresholds, from counts by score: the lowest at which
+    precision is at least ``precision``, each label weighted for what training took of it.
     """
-    each = seen.where(F.size("found") > 0).select("row", F.posexplode("found").alias("at", "c")).select("row", "at", "c.*")
+    each = seen.where(F.size("found") > 0).select("row", "doc_id", F.posexplode("found").alias("at", "c")).select("row", "doc_id", "at", "c.*")
     vectors = each.withColumn("features", array_to_vector("features"))
-    sample = cut(
-        each.where("label >= 0").orderBy(F.xxhash64("row", "at"), "row", "at").limit(max_training).withColumn("calibrates", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(3)) == 0),
-        "pii-training",
-    )
-    fitted = sample.where("not calibrates")
+    labelled = each.where("label >= 0")
+    known = {(r.kind, r.label): r["count"] for r in labelled.groupBy("kind", "label").count().collect()}  # two a kind
+    none = seen.select("row", F.array().cast(f"array<{SPAN}>").alias("added")).limit(0)
+    if len({label for _, label in known}) < 2:
+        return none
+    share = F.create_map(*[F.lit(x) for (k, y), n in known.items() for x in (f"{k}{y}", min(2 / 3, max_training / (2 * len(KINDS)) / n))])
+    place = F.pmod(F.xxhash64("doc_id", "start", "at", "features"), F.lit(1 << 30)) / float(1 << 30)
+    labelled = labelled.withColumn("trains", place < share[F.concat("kind", F.col("label").cast("string"))])
+    fitted = cut(labelled.where("trains").select("features", "label"), "pii-training")
     if fitted.select("label").distinct().count() < 2:
-        return seen.select("row", F.array().cast(f"array<{SPAN}>").alias("added")).limit(0)
+        return none
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, seed=1).fit(
         fitted.select(array_to_vector("features").alias("features"), "label").coalesce(1).cache()  # a bounded sample
     )
     prob = vector_to_array("probability")[1]
-    trial = model.transform(sample.where("calibrates").withColumn("features", array_to_vector("features"))).select("kind", prob.alias("p"), "label").collect()
+    score = F.floor(prob * BINS).cast("int")
+    trial = model.transform(labelled.where("not trains").withColumn("features", array_to_vector("features"))).groupBy("kind", "label", score.alias("bin")).count().collect()  # at most 2 x BINS a kind
+    left = Counter()
+    for r in trial:
+        left[r.kind, r.label] += r["count"]
     limits = {}
     for kind in KINDS:
-        rows = sorted(((r.p, r.label) for r in trial if r.kind == kind), reverse=True)
-        right = 0
-        for i, (p, label) in enumerate(rows):
-            right += label
-            if right / (i + 1) >= precision and (i + 1 == len(rows) or rows[i + 1][0] < p):
-                limits[kind] = max(p, 0.5)
+        at = Counter()
+        for r in trial:
+            if r.kind == kind:
+                at[r.bin, r.label] += r["count"] * known[kind, r.label] / left[kind, r.label]
+        right = every = 0.0
+        for score_ in sorted({b for b, _ in at}, reverse=True):
+            right += at[score_, 1]
+            every += at[score_, 0] + at[score_, 1]
+            if right >= precision * every:
+                limits[kind] = max(score_, BINS // 2)
     if not limits:
-        return seen.select("row", F.array().cast(f"array<{SPAN}>").alias("added")).limit(0)
+        return none
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])[F.col("kind")]
-    passed = model.transform(vectors.where("start >= 0")).withColumn("p", prob).where(F.col("p") >= limit)
+    passed = model.transform(vectors.where("start >= 0")).withColumn("p", prob).where(score >= limit)
     return passed.groupBy("row").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("o"), "start", "end", "kind"))),

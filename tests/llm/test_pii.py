@@ -56,5 +56,18 @@ def test_trees_add_what_the_rules_miss(spark):
     assert not any(got[i] for i in range(300))
 
 
+def test_rare_kinds_keep_their_thresholds(spark):
+    def card(i):
+        n = f"4{i * 7919 % 10**14:014d}"
+        return next(n + str(d) for d in range(10) if m.luhn(n + str(d)))
+    rows = [(i, " ".join(f"u{i}.{j}@host{j}.example.com" for j in range(10))) for i in range(2000)]
+    rows += [(5000 + i, f"number {card(i)} then {card(i)[:-1]}{(int(card(i)[-1]) + 1) % 10} stays") for i in range(40)]
+    rows.append((9000, "glued +1 (269) 555-3296 " + CARD + " end"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [{r.doc_id: {tuple(x) for x in r.spans} for r in m.find_pii(df.repartition(n), max_training=400).where("doc_id >= 5000").collect()} for n in (2, 7)]
+    assert ("card", 24, 40) in got[0][9000]
+    assert got[0] == got[1]
+
+
 def test_redact():
     assert m.redact("a b@c.de f", [{"kind": "email", "start": 2, "end": 8}, {"kind": "phone", "start": 3, "end": 5}]) == "a [email] f"
