@@ -17,6 +17,7 @@ don't widen the others; those ids are the exceptions.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -137,38 +138,74 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(char[b] for b in chr(c).encode()) for c in range(0xDF, 0x100) if chr(c).isalpha()}
 
 
+# fixed values: the rules under which a text may be cut into words between white space, as tokenizer files state them
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _cuts_at_blanks(tokenizer) -> bool:
+    """Whether blanks only part words for this tokenizer: lower-casing, white space dropped, word ends marked, no special token but <...>."""
+    rules = json.loads(tokenizer.to_str())
+    norm, pre, model = rules["normalizer"] or {}, rules["pre_tokenizer"] or {}, rules["model"]
+    norms, steps = norm.get("normalizers", []), pre.get("pretokenizers", [])
+    return (
+        [x["type"] for x in norms] == NORMALIZERS
+        and (norms[1]["pattern"], norms[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": SPLIT}, "Removed", True)
+        and not steps[1]["add_prefix_space"]
+        and not steps[1]["use_regex"]
+        and model["type"] == "BPE"
+        and not model["dropout"]
+        and not model["continuing_subword_prefix"]
+        and not rules["truncation"]
+        and not rules["padding"]
+        and all(x["content"].startswith("<") and not re.search(r"\s", x["content"]) and not (x["lstrip"] or x["rstrip"]) for x in rules["added_tokens"])
+    )
+
+
 class _Words(dict):
     """Blank-separated word -> its ids as packed u32, for words met before; emptied when full.
 
-    Case and a full stop or comma after a letter don't change how the rest of a word is
-    split for this kind of tokenizer (lower-casing, white space dropped), so such words
-    are put together from the ids of simpler ones.  A lower-case word of letters is one
-    unit of the tokenizer's model, which is then asked directly.
+    Where the tokenizer lower-cases, drops white space and takes runs of letters as units, a word of
+    Latin letters with a tail of marks has the ids of its lower-case letters, one unit which the
+    tokenizer's model is asked for directly, and those of its tail.  Other words go to the library,
+    and for tokenizers with other rules every text does, whole.
     """
 
-    LETTERS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]{1,64}")
+    # letters of Latin-1, then ASCII marks without ' (contractions) and < (special tokens)
+    LETTERS_TAIL = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]{1,64})([!-&(-/:;=-@\[-`{-~]*)")
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         import tokenizers
 
         self.library, self.limit = tokenizers.Tokenizer.from_file(path), limit
-        self.merges, self.letters = self.library.model, _byte_letters()
+        self.cuts = _cuts_at_blanks(self.library)
+        self.units, self.letters = self.library.model.tokenize, _byte_letters()
+        self.split, self.tails = self.LETTERS_TAIL.fullmatch, {}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if self.LETTERS.fullmatch(word):
-            units = self.merges.tokenize(word if word.isascii() else word.translate(self.letters))
-            out = b"".join([u.id.to_bytes(4, "little") for u in units])
-        elif len(word) > 1 and "<|" not in word and word.isascii() and word != (low := word.lower()):
-            out = self[low]
-        elif len(word) > 1 and "<|" not in word and word.isascii() and word[-1] in ".," and word[-2].isalpha():
-            out = self[word[:-1]] + self[word[-1]]
-        elif word[-1] in ".," and self.LETTERS.fullmatch(word[:-1]):
-            out = self[word[:-1]] + self[word[-1]]
-        else:
+        found = self.split(word)
+        if found is None:
             out = self.whole(word)
+        else:
+            low, tail = found.groups()
+            low = low.lower()
+            if low == word:
+                packed = self.packed
+                out = b"".join([packed[u.id] for u in self.units(word if word.isascii() else word.translate(self.letters))])
+            else:
+                out = self[low]
+                if tail:
+                    if (more := self.tails.get(tail)) is None:
+                        more = self.whole(tail)
+                        if len(tail) <= 8 and len(self.tails) < 100_000:
+                            self.tails[tail] = more
+                    out += more
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.clear()
@@ -176,7 +213,8 @@ class _Words(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() takes these as blanks, the tokenizer doesn't
+        # split() takes \x1c to \x1f as blanks, the tokenizer doesn't
+        if not self.cuts or any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self.whole(text)
         return b"".join(map(self.__getitem__, text.split()))
 
@@ -193,8 +231,9 @@ def write_token_files(
     """Encodes ``docs`` and writes files to the shared folder; a manifest ``shard, path, size, n_docs, n_ids``.
 
     Documents are dealt by ranges of their id, so shards in order hold ids in ascending
-    order (null first, equal ids by text).  A task writes under a name of its own and the
-    manifest names the files that count, so tasks that ran twice do no harm.
+    order (null first, equal ids by a hash of the text, then the text; the hash parts them over
+    shards, so rows without an id don't land in one task).  A task writes under a name of its own
+    and the manifest names the files that count, so tasks that ran twice do no harm.
     """
     folder = scratch(docs.sparkSession, "token-blocks")
 
@@ -217,8 +256,8 @@ def write_token_files(
                 [{"shard": shard, "path": f"{folder}/{name}", "size": writer.place, "n_docs": len(writer.docs), "n_ids": writer.ids}]
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(*([files] if files else []), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("part"))
+    dealt = rows.repartitionByRange(*([files] if files else []), "doc_id", "part").sortWithinPartitions("doc_id", "part", "text")
     return cut(dealt.mapInArrow(each, "shard long, path string, size long, n_docs long, n_ids long"), "token-files")
 
 

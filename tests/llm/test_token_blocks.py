@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from panelcast.llm import token_blocks as m
 from pyspark.sql import functions as F
 
@@ -43,6 +44,16 @@ def test_words_match_the_library(library):
         assert ids_of(known, t) == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_tokenizers_with_other_rules_take_whole_texts():
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known, lib = m._Words(path), tokenizers.Tokenizer.from_file(path)
+    assert not known.cuts and m._Words(PATH).cuts
+    for t in [x or "" for x in HARD] + ["Hello World, it's fine."]:
+        assert ids_of(known, t) == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_file_round_trip():
     rnd = np.random.default_rng(1)
     docs = [(i if i != 3 else None, rnd.integers(0, 50000, n).astype(np.uint32)) for i, n in enumerate([0, 1, 10, 5000, 0, 300, 9000])]
@@ -66,10 +77,18 @@ def test_files_match_brute_force(spark, library):
     rows = [(i * 7 % 31, t) for i, t in enumerate(HARD)] + [(3, "again"), (3, "again"), (None, "no id")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit(1)).withColumn("path", F.lit(1))
     start, want = 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")):
+    part = lambda t: 42 if t is None else (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0], part(r[1]))):
         ids = library.encode(t or "", add_special_tokens=False).ids + [1]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
         start += len(ids)
     got = m.token_files(df, PATH, files=4).collect()
     assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.ids) for r in got), key=lambda r: r[1]) == want
     assert m.token_files(df.limit(0), PATH).count() == 0
+
+
+def test_rows_without_ids_are_spread_over_files(spark):
+    df = spark.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string")
+    shards = m.write_token_files(df, PATH, files=4).collect()
+    assert len(shards) == 4 and max(r.n_docs for r in shards) < 250
+    assert sorted(r.start for r in m.token_files(df, PATH, files=4).collect())[:2] == [0, 4]
