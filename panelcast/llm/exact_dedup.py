@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, join_sized
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -74,6 +74,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     else:
         listed = _with_exceptions(recipes, odd)
 
+    listed = cut(listed, "chunk-recipes")  # digests only: texts are read once more at most
     # the longest original text first, then the smallest id, null last
     order = F.struct(
         (-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i")
@@ -85,7 +86,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .where("group_size > 1")
         .select("recipe", F.col("o.i").alias("keep_id"), "group_size")
     )
-    joined = listed.join(groups, "recipe", "left")
+    groups = cut(groups, "copy-groups")
+    joined = join_sized(listed, groups, ["recipe"], "group_size", F.monotonically_increasing_id(), "left")
     return joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -102,7 +104,7 @@ def _with_exceptions(recipes: DataFrame, odd: DataFrame) -> DataFrame:
     rows = recipes.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", "text_sha256", "chunks"
     )
-    rows = cut(rows, "chunk-recipes")
+    rows = cut(rows, "chunked-texts")
     each = rows.select("row", F.posexplode("chunks").alias("at", "chunk")).select(
         "row", "at", F.xxhash64("chunk").alias("digest"), "chunk"
     )

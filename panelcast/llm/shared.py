@@ -1,11 +1,11 @@
-"""Input, shared scratch tables and connected components used by several operators."""
+"""Input, shared scratch tables, joins on hot keys and connected components used by several operators."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
@@ -18,20 +18,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can see: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is taken.
+    Where that setting is absent, a local session takes a temporary folder; on a cluster
+    that is an error, since its machines share no such folder.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="panelcast-")
     return _OWN_DIR[app]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/panelcast/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/panelcast/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a path through Hadoop's file system, if it is there."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; to be called once no result that reads them is needed."""
+    drop(spark, run_folder(spark))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +64,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def join_sized(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: Column, how: str = "inner", pieces: int = 2000) -> DataFrame:
+    """``rows`` joined to ``groups`` (one row for each value of ``keys``, ``size`` = how many of ``rows`` have it), hot keys salted.
+
+    A key with more than a ``pieces``-th of all rows is hot, so at most ``pieces`` keys are, and only
+    their 64-bit hashes are broadcast.  Rows of a hot key are dealt by ``spread`` (a hash of what tells
+    them apart) over as many salts as the key has shares, and its group's row is copied to each, which
+    adds ``2 pieces`` rows at most.  Nulls in ``keys`` match nothing.
+    """
+    digest, salt, salts = (fresh(rows, n) for n in ("key_digest", "salt", "salts"))
+    least = max(1, (groups.agg(F.sum(size)).first()[0] or 0) // pieces)
+    hot = groups.where(F.col(size) > least).select(F.xxhash64(*keys).alias(digest), F.ceil(F.col(size) / least).cast("long").alias(salts))
+    hot = F.broadcast(hot.groupBy(digest).agg(F.max(salts).alias(salts)))  # at most ``pieces`` pairs of longs
+    left = rows.withColumn(digest, F.xxhash64(*keys)).join(hot, digest, "left").withColumn(salt, F.coalesce(F.pmod(spread, F.col(salts)), F.lit(0)))
+    right = groups.withColumn(digest, F.xxhash64(*keys)).join(hot, digest, "left")
+    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(salts), F.lit(1)) - 1)))
+    return left.drop(digest, salts).join(right.drop(digest, salts), [*keys, salt], how).drop(salt)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(a, b)`` as ``(node, component)``.
 
