@@ -38,7 +38,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")), keep=False)
     return scored.select(
         "doc_id",
         (fold(F.col("doc_id")) == 0).alias("held_out"),
@@ -56,8 +56,8 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = spark.createDataFrame(
-        [(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text")
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     said = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
@@ -126,19 +126,21 @@ from f
 """,
     "op7_chat_formatting": r"""
 with t as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'),
-                   (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text, case when conv_id is null then row_number() over () end as alone
+  from conversations
+  union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok', null),
+                   (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', null)),
 s as (
   select *, lag(role) over w is not distinct from role and row_number() over w > 1 as same,
-         regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') as escaped
-  from t window w as (partition by conv_id order by turn, role, text))
+         regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') as escaped,
+         regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') as escaped_role
+  from t window w as (partition by conv_id, alone order by turn nulls first, role, text))
 select conv_id, count(*) as n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-       sum(length(escaped) + case when same then 11 else 12 + length(role) + 1 + 11 end)::bigint as formatted_chars
-from s group by conv_id
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length(escaped) + case when same then 11 else 12 + length(escaped_role) + 1 + 11 end)::bigint as formatted_chars
+from s group by conv_id, alone
 """,
     "op2_exact_dedup": r"""
 with n as (

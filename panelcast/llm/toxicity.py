@@ -5,8 +5,11 @@ Dirichlet prior, less a constant, so that ordinary text scores below zero.  A li
 finds all maximal scoring segments of a text.  The scores of chance segments follow an
 extreme-value law: with n tokens, P(best >= S) = 1 - exp(-K n exp(-lambda S)).  lambda comes
 from the score distribution of clean text and K from the best segments of clean training
-documents.  A document's statistic is lambda S - ln(K n) of its best segment, and a logistic
-curve over training documents makes a probability of it.
+documents.  A segment's value is x = lambda S - ln(K n), the negative logarithm of the number
+of such segments expected by chance.  A document's statistic joins all its segments that chance
+would give less than once: the sum statistic of Karlin and Altschul (1993) of the r best of
+them, for the r that is least probable.  A logistic curve over training documents makes a
+probability of it.
 
 Words that training saw too rarely take the score of their longest known prefix.
 """
@@ -29,7 +32,8 @@ from .shared import cut
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (6, 5, 4)
-NEVER, MOST = -12.0, 12.0  # range of the statistic; the least is that of a text without any positive token
+NEVER, MOST = -12.0, 12.0  # range of the statistic on its curve; the least is that of a text without any positive token
+SIGNIFICANT = -math.log(0.01)  # value of a passage that chance gives once in a hundred texts
 
 
 def fold(doc_id: Column) -> Column:
@@ -62,6 +66,23 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, hi - lo) for s, e, lo, hi in stack]
 
 
+def joint(values: list[float]) -> float:
+    """The negative logarithm of the least probability of the r best of ``values``, over r = 1, 2, ...; values of 0 or less only count alone.
+
+    P(sum of the r best >= T) is about exp(-T) T^(r - 1) / (r! (r - 1)!); each further segment is charged a factor of 2.
+    """
+    best = total = -math.inf
+    for r, v in enumerate(sorted(values, reverse=True), 1):
+        if r == 1:
+            best = total = v
+        elif v <= 0:
+            break
+        else:
+            total += v
+            best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+    return best
+
+
 class _Scores(dict):
     """Word -> score; words met before are kept until the table is full."""
 
@@ -112,11 +133,18 @@ class ToxicityModel:
     def normal(self, score: float, n: int) -> float:
         return self.lam * score - math.log(self.k * n)
 
-    def statistic(self, text: str | None) -> tuple[float, int]:
-        """The normalised score of the best segment, and how many segments are significant (E < 0.01)."""
+    def statistic(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """The joint value of all segments, and the significant ones ``(first word, end word, value)``."""
         found, n = self.passages(text)
-        values = [self.normal(s, n) for _, _, s in found]
-        return min(MOST, max(values, default=NEVER)), sum(v > -math.log(0.01) for v in values)
+        valued = [(s, e, self.normal(x, n)) for s, e, x in found]
+        return min(MOST, max(NEVER, joint([v for _, _, v in valued]))), [x for x in valued if x[2] > SIGNIFICANT]
+
+    def spans(self, text: str | None, passages: list[tuple[int, int, float]]) -> list[dict]:
+        """Passages as ``start, end`` in code points and their value."""
+        if not passages:
+            return []
+        words = [m.span() for m in WORD.finditer(text or "")]
+        return [{"start": words[s][0], "end": words[e - 1][1], "value": v} for s, e, v in passages]
 
     def probability(self, statistic: float) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.a + self.b * max(statistic, NEVER)))))
@@ -128,7 +156,8 @@ def training_set(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     chosen = (
         usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
+    # at most ``most`` pairs of an id and a label are broadcast, so the texts of the corpus are only filtered
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def _features(text: str | None) -> Counter:
@@ -144,13 +173,12 @@ def fit(
     docs: DataFrame,
     labels: DataFrame,
     max_training: int = 20_000,
-    max_features: int = 200_000,
     least_docs: int = 5,
     prior: float = 1.0,
     least_z: float = 3.5,
     costs: tuple[float, ...] = (0.02, 0.05, 0.1, 0.25, 0.5),
 ) -> ToxicityModel:
-    """Learns from a bounded sample: ``max_training`` labelled documents, ``max_features`` words and prefixes.
+    """Learns from a bounded sample: ``max_training`` labelled documents, which bounds their words and prefixes, too.
 
     Log-odds compare the rates of a feature among all tokens of toxic and of other documents.  Features
     in fewer than ``least_docs`` documents are unknown; those whose document counts lie within ``least_z``
@@ -188,7 +216,7 @@ def fit(
     counts = cut(counts, "toxicity-counts")
     word = ~F.col("f").endswith("*")
     tokens = counts.where(word).agg(F.sum("nc"), F.sum("nt")).first()
-    kept = counts.where(F.col("c") + F.col("t") >= least_docs).orderBy(F.desc(F.col("c") + F.col("t")), "f").limit(max_features).collect()
+    kept = counts.where(F.col("c") + F.col("t") >= least_docs).collect()  # bounded by the sample
     n_toxic, n_all = (x or 0 for x in sample.agg(F.count_if(F.col("toxic") == 1), F.count(F.lit(1))).first())
     if not n_toxic or n_toxic == n_all or not all(tokens):  # nothing to learn from: the base rate alone
         base = (n_toxic + 0.5) / (n_all + 1)
@@ -224,7 +252,10 @@ def _lambda(weight: Counter, cost: float) -> float:
 
 
 def _calibrate(models: list[ToxicityModel], sample: DataFrame) -> ToxicityModel:
-    """For each model K by maximum likelihood over clean training documents, then the logistic curve; the best model."""
+    """For each model K by maximum likelihood over clean training documents, then the logistic curve of best segments.
+
+    The model with the least loss gets its curve anew from the joint statistic.
+    """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +278,16 @@ def _calibrate(models: list[ToxicityModel], sample: DataFrame) -> ToxicityModel:
             model.k = float(len(clean) / np.exp(-clean).sum())
         x = np.clip(np.nan_to_num(raw - math.log(model.k), nan=NEVER), NEVER, MOST)
         fitted.append((_logistic(model, x, y), i))
-    return models[min(fitted)[1]]
+    model = models[min(fitted)[1]]
+
+    def joint_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, toxic = (c.to_pylist() for c in batch.columns)
+            yield pa.RecordBatch.from_pydict({"x": pa.array([model.statistic(t)[0] for t in texts], pa.float64()), "y": [int(v) for v in toxic]})
+
+    found = sample.mapInArrow(joint_of, "x double, y long").collect()  # two numbers for each of the bounded sample
+    _logistic(model, np.array([r.x for r in found]), np.array([r.y for r in found], float))
+    return model
 
 
 def _logistic(model: ToxicityModel, x: np.ndarray, y: np.ndarray) -> float:
@@ -266,29 +306,38 @@ def _logistic(model: ToxicityModel, x: np.ndarray, y: np.ndarray) -> float:
     return float(-(y * np.log(q) + (1 - y) * np.log(1 - q)).mean())
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, n_passages``: a row for each row of ``docs``.
+def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """``doc_id, score, n_passages`` and, with ``keep``, ``passages``: a row for each row of ``docs``.
 
-    Null, empty and wordless texts have the probability of a text without any toxic token.  Null
-    ids and repeated rows are scored like others; an empty table gives an empty result; other
-    columns are not read.
+    ``passages`` are the significant ones as ``(start, end, value)``, in code points.  Null, empty and
+    wordless texts have the probability of a text without any toxic token.  Null ids and repeated rows
+    are scored like others; an empty table gives an empty result; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [m.statistic(t) for t in part.column(1).to_pylist()]
-                cols = [part.column(0), pa.array([m.probability(x) for x, _ in found]), pa.array([n for _, n in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "n_passages"])
+                texts = part.column(1).to_pylist()
+                found = [m.statistic(t) for t in texts]
+                cols = [part.column(0), pa.array([m.probability(x) for x, _ in found]), pa.array([len(p) for _, p in found], pa.int64())]
+                if keep:
+                    cols.append(pa.array([m.spans(t, p) for t, (_, p) in zip(texts, found)], pa.list_(_SPAN)))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "n_passages", "passages"][: len(cols)])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType())])
+    if keep:
+        span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("value", T.DoubleType())])
+        kind.add("passages", T.ArrayType(span))
     return rows.mapInArrow(each, kind)
 
 
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.float64())])
+
+
 def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below ``limit``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
