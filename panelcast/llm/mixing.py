@@ -23,10 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import cut
+from .shared import cut, fresh
 
 DOMAINS = ("high", "low", "toxic")
-MOST_RATE = 8.0  # the pipeline repeats no document more often, whatever its domain lacks
 RIDGES = [10.0**-i for i in range(9)]  # weights of the multipliers; the last is about the share by which targets that can be reached are missed
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 log = logging.getLogger(__name__)
@@ -91,7 +90,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_training: int = 20_000,
         .limit(max_training)
     )
     sample = cut(
-        docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "domain", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("tries")),
+        # at most ``max_training`` pairs of an id and a domain are broadcast, so the texts of the corpus are only filtered
+        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "domain", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("tries")),
         "domain-sample",
     )
 
@@ -150,7 +150,7 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return rows.mapInArrow(each, "doc_id long, n_tokens long, p array<double>")
 
 
-def rate(p: Column, steps: list[list[float]], floor: float, most: float | None = MOST_RATE) -> Column:
+def rate(p: Column, steps: list[list[float]], floor: float, most: float | None = None) -> Column:
     """The rate after steps ``rate - p . step`` from 1, each projected onto ``floor`` to ``most``, as one expression."""
     if not steps:
         return F.lit(1.0)
@@ -217,7 +217,7 @@ def _multipliers(members: DataFrame, want: np.ndarray, have: np.ndarray, live: n
     return x
 
 
-def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tolerance: float = 1e-4, most_steps: int | None = None, most: float | None = MOST_RATE) -> Mix:
+def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tolerance: float = 1e-4, most_steps: int | None = None, most: float | None = None) -> Mix:
     """Fits rates over ``members(n_tokens, p)`` so that expected domain tokens match ``weights`` of the budget.
 
     The budget is all tokens; with a floor above 0 it is raised until no domain has to give up
@@ -284,27 +284,26 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     return named.withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, floor: float = 1.0, most: float | None = MOST_RATE) -> DataFrame:
-    """``docs``, all columns, each row as often as its rate says, up to ``most``; with a floor of 1 every row at least once."""
+def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, floor: float = 1.0, most: float | None = None) -> DataFrame:
+    """``docs``, all columns, each row as often as its rate says; with a floor of 1 every row at least once.
+
+    ``most`` is a ceiling for rates, off where None.  Nulls, repeated rows and empty tables are as in ``mix``.
+    """
     model = fit_domains(docs, labels, domains=tuple(targets))
-    members = cut(posteriors(docs, model).select("n_tokens", "p"), "domain-members")
-    fitted = fit_rates(members, list(targets.values()), floor, most=most)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # size x domains numbers
+    n_col, p_col, nth = (fresh(docs, c) for c in ("n_tokens", "p", "nth"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, top = shared.value, math.inf if most is None else most
-        steps = np.array(fitted.steps).reshape(-1, len(targets))
+        m = shared.value
         for batch in batches:
-            r = []
-            for t in batch.column("text"):
-                p = m.posterior(m.raw(t.as_py())[1])
-                x = 1.0
-                for s in steps:
-                    x = min(top, max(floor, x - float(p @ s)))
-                r.append(x)
-            yield batch.append_column("__rate", pa.array(r, pa.float64()))
-
-    rated = docs.mapInArrow(each, T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())]))
-    n = copies(F.col("doc_id"), F.col("__rate")).cast("int")
-    return rated.withColumn("__nth", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = [m.raw(t) for t in part.column("text").to_pylist()]
+                p = m.posterior(np.array([x for _, x in raw]))
+                yield part.append_column(n_col, pa.array([n for n, _ in raw], pa.int64())).append_column(p_col, pa.array(p.tolist(), pa.list_(pa.float64())))
 
+    kinds = [T.StructField(n_col, T.LongType()), T.StructField(p_col, T.ArrayType(T.DoubleType()))]
+    scored = cut(docs.mapInArrow(each, T.StructType([*docs.schema.fields, *kinds])), "domain-members")  # texts are scored once
+    fitted = fit_rates(scored.select(F.col(n_col).alias("n_tokens"), F.col(p_col).alias("p")), list(targets.values()), floor, most=most)
+    n = copies(F.col("doc_id"), rate(F.col(p_col), fitted.steps, floor, most)).cast("int")
+    return scored.withColumn(nth, F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
