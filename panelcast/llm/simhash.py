@@ -10,10 +10,11 @@ at most r, all but r groups agree in every count, so two fingerprints meet in a
 of at least one choice of ``groups - r`` groups.  Pairs from a cell are checked by
 Manhattan distance, then by exact Hamming distance.
 
-A cell with more than ``cell_limit`` fingerprints is not paired: its members go to an
-exact way that costs 65 rows each.  Fingerprints are within distance 2 exactly when they
-have a common point within distance 1, so each is tied to itself and its 64 one-bit
-neighbours, and each such point links everything tied to it (65 at most).
+A cell with more than ``cell_limit`` fingerprints is not paired: its members are dealt anew
+into a finer grid, where more segments must agree.  Those crowded even there (many fingerprints
+whose counts agree) go to an exact way that costs 65 rows each.  Fingerprints are within
+distance 2 exactly when they have a common point within distance 1, so each is tied to itself
+and its 64 one-bit neighbours, and each such point links everything tied to it (65 at most).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, cut
+from .shared import components, cut, join_sized
 
 LOW = 0x5555555555555555
 SEGMENTS = 32
@@ -81,12 +82,14 @@ def cell_masks(groups: int, radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(distinct: DataFrame, groups: int = 6, cell_limit: int = 128) -> DataFrame:
+def links(distinct: DataFrame, levels: tuple[int, ...] = (6, 12), cell_limit: int = 128) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly the fingerprints ``fp`` reachable in steps of Hamming distance <= 2.
 
-    Within cells of up to ``cell_limit`` members every pair at distance <= 2 is an edge; members
-    of larger cells are tied through common one-bit neighbours instead.
+    Within cells of up to ``cell_limit`` members every pair at distance <= 2 is an edge; members of
+    larger cells go to the next of ``levels`` (numbers of segment groups), and after the last are tied
+    through common one-bit neighbours instead.
     """
+    groups = levels[0]
     cells = distinct.select("fp", embedding(F.col("fp")).alias("counts")).select(
         "fp",
         "counts",
@@ -113,7 +116,9 @@ def links(distinct: DataFrame, groups: int = 6, cell_limit: int = 128) -> DataFr
     )
     if large.isEmpty():
         return near
-    crowded = cells.join(large.select("k", "cell"), ["k", "cell"]).select("fp").distinct()
+    crowded = cut(cells.join(large.select("k", "cell"), ["k", "cell"]).select("fp").distinct(), "crowded")
+    if levels[1:]:
+        return near.union(links(crowded, levels[1:], cell_limit))
     points = crowded.select(
         "fp",
         F.explode(
@@ -135,15 +140,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     give a row each.  Empty tables give empty results; other columns are not read.
     """
     marked = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
     part = components(links(distinct))
     least = (
-        part.join(distinct.withColumnRenamed("fp", "node"), "node")
+        part.join(distinct.select(F.col("fp").alias("node"), "first"), "node")
         .groupBy("component")
         .agg(F.min("first").alias("component_id"))
     )
     named = part.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    both = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(both, "fp").select(
+    both = cut(distinct.join(named, "fp", "left").select("fp", "copies", F.coalesce("component_id", "first").alias("component_id")), "named-fingerprints")
+    return join_sized(marked, both, ["fp"], "copies", F.monotonically_increasing_id()).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

@@ -40,8 +40,8 @@ def test_fingerprint_matches_brute_force_and_spark_hash(spark):
         assert m.fingerprint(t, step=2) == brute_fp(t)
 
 
-@pytest.mark.parametrize("cell_limit", [1, 5, 1000])
-def test_links_find_every_component(spark, cell_limit):
+@pytest.mark.parametrize("levels,cell_limit", [((6, 12), 1), ((6, 12), 5), ((6,), 5), ((6,), 1000)])
+def test_links_find_every_component(spark, levels, cell_limit):
     rnd = random.Random(5)
     fps = [rnd.getrandbits(64) for _ in range(30)]
     for _ in range(170):
@@ -52,7 +52,7 @@ def test_links_find_every_component(spark, cell_limit):
     fps = sorted(set(fps))
     want = brute_components(fps)
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-    got = {r.node: r.component for r in m.components(m.links(df, cell_limit=cell_limit)).collect()}
+    got = {r.node: r.component for r in m.components(m.links(df, levels, cell_limit)).collect()}
     of = [got.get(signed(x), signed(x)) for x in fps]
     pairs = {(a, b) for a, b in zip(of, want)}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
