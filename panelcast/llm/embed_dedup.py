@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, cut
+from .shared import components, cut, join_sized
 
 SLACK = 1e-6  # rounding in distances to pivots; cells are only made larger by it
 
@@ -39,20 +39,35 @@ def _unit(rows: list) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def choose_pivots(distinct: DataFrame, per_cell: int, most: int) -> dict:
-    """Unit vectors by (label, dimension): one for about ``per_cell`` vectors, ``most`` at the most in all, chosen by a hash."""
-    sizes = distinct.groupBy("label", "dim").count()
-    total = sizes.agg(F.sum("count"), F.count(F.lit(1))).first()
-    if not total[0]:
-        return {}
-    share = max(per_cell, math.ceil(total[0] / most))
-    # about one vector in ``share`` by hash; ``most`` bounds what reaches the driver
-    picked = distinct.where(F.pmod(F.xxhash64("first", F.lit(11)), F.lit(share)) == 0)
-    rows = picked.select("label", "dim", "embedding").orderBy(F.xxhash64("first")).limit(2 * most).collect()
-    pivots: dict = {}
-    for r in rows:
-        pivots.setdefault((r.label, r.dim), []).append(r.embedding)
-    return {k: _unit(v) for k, v in pivots.items()}
+def choose_pivots(distinct: DataFrame, most_bytes: int = 64 << 20) -> dict:
+    """Unit vectors by (label, dimension): half the cube root of a label's vectors, two at least.
+
+    So every label has cells and, on vectors without any structure, where a vector is copied to about
+    half the cells, copies grow with the cube root of a label only.  A hash picks about twice as many
+    candidates and eight more; of these each pivot is the one farthest from the pivots before it.  All
+    pivots together take ``most_bytes`` at most; beyond that every label gets its share of them.
+    """
+    sizes = distinct.groupBy("label", "dim").count().where("count > 1 and dim > 0")
+    sizes = sizes.withColumn("wanted", F.greatest(F.lit(2), F.ceil(F.cbrt("count") / 2)))
+    total = sizes.agg(F.sum(F.col("wanted") * F.col("dim") * 8)).first()[0] or 0
+    sizes = sizes.withColumn("wanted", F.floor(F.col("wanted") * min(1.0, most_bytes / max(1, total)))).where("wanted > 1")
+    u = F.pmod(F.xxhash64("first", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    many = 2 * F.col("wanted") + 8
+    some = distinct.join(sizes, ["label", "dim"]).where(u < 2 * many / F.col("count"))
+    place = F.row_number().over(Window.partitionBy("label", "dim").orderBy(u, "first"))
+    found: dict = {}
+    for r in some.select("label", "dim", "embedding", "wanted", many.alias("many"), place.alias("place")).where("place <= many").collect():  # a few times most_bytes
+        found.setdefault((r.label, r.dim, r.wanted), []).append(r.embedding)
+    return {(label, dim): _farthest(_unit(v), wanted) for (label, dim, wanted), v in found.items()}
+
+
+def _farthest(units: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the rows: the first, then each time the one whose nearest chosen row is farthest."""
+    chosen, near = [0], units @ units[0]
+    while len(chosen) < min(n, len(units)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, units @ units[chosen[-1]])
+    return units[chosen]
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -74,7 +89,51 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.93, per_cell: int = 2000, block: int = 4000, most_pivots: int = 4096) -> DataFrame:
+def deal(distinct: DataFrame, pivots: dict, cosine: float, most_numbers: int = 1 << 20) -> DataFrame:
+    """``label, dim, cell, home, node, copies, embedding``: each vector in its own cell and wherever a partner may be at home.
+
+    Matrices of vectors x pivots hold ``most_numbers`` numbers at most.
+    """
+    r = math.sqrt(2 - 2 * cosine) + SLACK
+    shared = distinct.sparkSession.sparkContext.broadcast(pivots)  # bounded in bytes by ``choose_pivots``
+
+    def place(rows: list, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dots = _unit(rows) @ at.T
+        d = np.sqrt(np.maximum(0, 2 - 2 * dots))
+        home = d.argmin(axis=1)
+        near = d[np.arange(len(d)), home][:, None]
+        # a partner y in cell j has d(y, j) <= d(y, home of x), so d(x, j) <= d(x, home) + 2 r; the
+        # halfspace between two pivots is at least (d(x, j)^2 - d(x, home)^2) / (2 d(home, j)) away
+        between = np.sqrt(np.maximum(0, 2 - 2 * at @ at.T))[home]
+        wall = np.divide(d * d - near * near, 2 * between, out=np.zeros_like(d), where=between > 1e-9)
+        reach = (d <= near + 2 * r) & (wall <= r + SLACK)
+        reach &= np.arange(at.shape[0])[None, :] <= home[:, None]  # the lower cell of two joins them
+        reach[np.arange(len(d)), home] = True
+        own, cell = np.nonzero(reach)
+        return own, cell, home[own]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(batch.column("label").to_pylist(), batch.column("dim").to_pylist()))
+            for key in dict.fromkeys(keys):
+                at, index = shared.value.get(key), np.array([i for i, k in enumerate(keys) if k == key])
+                step = max(1, most_numbers // max(1, 0 if at is None else len(at)))
+                for k in range(0, len(index), step):
+                    part = batch.take(pa.array(index[k : k + step]))
+                    if at is None:  # a label without pivots is one cell
+                        own, cell, home = np.arange(len(part)), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+                    else:
+                        own, cell, home = place(part.column("embedding").to_pylist(), at)
+                    out = part.take(pa.array(own))
+                    cols = {c: out.column(c) for c in ("label", "dim")} | {"cell": pa.array(cell, pa.int32()), "home": pa.array(home, pa.int32())}
+                    yield pa.RecordBatch.from_pydict(cols | {c: out.column(c) for c in ("node", "copies", "embedding")})
+
+    kind = distinct.schema["label"].dataType.simpleString()
+    schema = f"label {kind}, dim int, cell int, home int, node long, copies long, embedding array<double>"
+    return distinct.select("label", "dim", "embedding", "node", "copies").mapInArrow(each, schema)
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = 4000) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row for each row of ``vec_id, embedding, label``.
 
     Vectors link when labels are equal and their cosine in double precision is at least ``cosine``;
@@ -91,43 +150,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, per_cell: int = 20
         .select("label", F.size("embedding").alias("dim"), "embedding", "first", "copies", F.monotonically_increasing_id().alias("node"))
     )
     distinct = cut(distinct, "distinct-vectors")
-    pivots = choose_pivots(distinct, per_cell, most_pivots)
-    r = math.sqrt(2 - 2 * cosine) + SLACK
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots)  # at most 2 * most_pivots vectors
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pdf = batch.to_pandas()
-            for (label, dim), part in pdf.groupby(["label", "dim"]):
-                at = shared.value.get((label, dim))
-                if at is None:
-                    home = cell = np.zeros(len(part), np.int64)  # a label without pivots is one cell
-                    own = np.arange(len(part))
-                else:
-                    d = np.sqrt(np.maximum(0, 2 - 2 * _unit(part["embedding"].tolist()) @ at.T))
-                    home = d.argmin(axis=1)
-                    near = d[np.arange(len(d)), home][:, None]
-                    # a partner y in cell j has d(y, j) <= d(y, home of x), so d(x, j) <= d(x, home) + 2 r; the
-                    # halfspace between two pivots is at least (d(x, j)^2 - d(x, home)^2) / (2 d(home, j)) away
-                    between = np.sqrt(np.maximum(0, 2 - 2 * at @ at.T))[home]
-                    wall = np.divide(d * d - near * near, 2 * between, out=np.zeros_like(d), where=between > 1e-9)
-                    reach = (d <= near + 2 * r) & (wall <= r + SLACK)
-                    reach &= np.arange(at.shape[0])[None, :] <= home[:, None]  # the lower cell of two joins them
-                    reach[np.arange(len(d)), home] = True
-                    own, cell = np.nonzero(reach)
-                taken = pa.array(part.index.to_numpy()[own])
-                rows = pa.Table.from_batches([batch]).take(taken).combine_chunks().to_batches()
-                for out in rows:
-                    cols = {c: out.column(c) for c in ("label", "dim")}
-                    cols |= {"cell": pa.array(cell, pa.int32()), "home": pa.array(home[own], pa.int32())}
-                    cols |= {c: out.column(c) for c in ("node", "copies", "embedding")}
-                    yield pa.RecordBatch.from_pydict(cols)
-
-    kind = base.schema["label"].dataType
-    dealt = distinct.select("label", "dim", "embedding", "node", "copies").mapInArrow(
-        deal, f"label {kind.simpleString()}, dim int, cell int, home int, node long, copies long, embedding array<double>"
-    )
-    dealt = cut(dealt, "cells")
+    dealt = cut(deal(distinct, choose_pivots(distinct), cosine), "cells")
     # a cell is joined in pairs of blocks, each block of about ``block`` members
     sizes = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = dealt.join(sizes, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -139,20 +162,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, per_cell: int = 20
         p, q, cell = pdf["p"].iat[0], pdf["q"].iat[0], pdf["cell"].iat[0]
         unit, node, home = _unit(pdf["embedding"].tolist()), pdf["node"].to_numpy(), pdf["home"].to_numpy()
         copies, part = pdf["copies"].to_numpy(), pdf["part"].to_numpy()
-        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q)
         links, edges = np.zeros(len(node), np.int64), []
-        for at in range(0, len(left), 512):
-            rows = left[at : at + 512]
-            close = unit[rows] @ unit[right].T >= cosine
-            # one of the two is at home here; inside one block each pair is seen once
-            close &= (home[rows] == cell)[:, None] | (home[right] == cell)[None, :]
-            if p == q:
-                close &= node[rows][:, None] < node[right][None, :]
-            i, j = np.nonzero(close)
-            i, j = rows[i], right[j]
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            edges += _forest(node[i], node[j])
+        # one of the two is at home here; inside one block each pair is seen once
+        inside = home == cell
+        for left, right, once in ((inside & (part == p), part == q, p == q), (~inside & (part == p), inside & (part == q), False)):
+            if p == q and not once:
+                continue  # members from elsewhere met those at home in the first turn
+            left, right = np.flatnonzero(left), np.flatnonzero(right)
+            for at in range(0, len(left), 512):
+                rows = left[at : at + 512]
+                close = unit[rows] @ unit[right].T >= cosine
+                if once:
+                    close &= (node[rows][:, None] < node[right][None, :]) | ~inside[right][None, :]
+                i, j = np.nonzero(close)
+                i, j = rows[i], right[j]
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                edges += _forest(node[i], node[j])
         a = np.array([e[0] for e in edges], np.int64)
         forest = _forest(a, np.array([e[1] for e in edges], np.int64))
         some = np.flatnonzero(links)
@@ -176,10 +202,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, per_cell: int = 20
         .select(
             "label",
             "embedding",
+            "copies",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("component_id", "first").alias("component_id"),
         )
     )
-    joined = base.where(usable()).join(per_vector, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    per_vector = cut(per_vector, "linked-vectors")
+    joined = join_sized(base.where(usable()), per_vector, ["label", "embedding"], "copies", F.monotonically_increasing_id()).select("vec_id", "n_links", "component_id")
     alone = base.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

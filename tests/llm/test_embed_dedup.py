@@ -1,8 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from panelcast.llm import embed_dedup as m
 from pyspark.sql import functions as F
 
+DATA = "/root/testdata/sf0.1"
+
 
 def brute(rows, c):
     def good(v, label):
@@ -23,8 +27,8 @@ def brute(rows, c):
     return sorted((str(r[0]), sum(link[i]), best[comp[i]]) for i, r in enumerate(rows))
 
 
-@pytest.mark.parametrize("per_cell,block", [(2000, 4000), (10, 7)])
-def test_matches_brute_force(spark, per_cell, block):
+@pytest.mark.parametrize("block", [4000, 7])
+def test_matches_brute_force(spark, block):
     rng = np.random.default_rng(0)
     rows, at = [], 0
     for label in (0, 1):
@@ -37,7 +41,7 @@ def test_matches_brute_force(spark, per_cell, block):
     rows += [(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float("nan")] * 16, 1), (2003, [1.0, None], 1), (2004, rows[5][1], None)]
     rows += [(2005, [1.0, 2.0], 0), (2006, [2.0, 4.0], 0), (2007, [1e-200] * 16, 1), (2007, [1e-200] * 16, 1), (None, [3e-200] * 16, 1), (2008, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1)).withColumn("first", F.lit(1))
-    got = m.near_duplicates(df, per_cell=per_cell, block=block).collect()
+    got = m.near_duplicates(df, block=block).collect()
     for r in rows:  # the brute force squares these
         if r[1] and r[1][0] and abs(r[1][0] or 0) < 1e-100:
             r[1][:] = [x * 1e200 for x in r[1]]
@@ -46,3 +50,33 @@ def test_matches_brute_force(spark, per_cell, block):
 
 def test_empty(spark):
     assert m.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def compared(cells):
+    """Pairs that cells compare: one of the two at home there."""
+    per = cells.groupBy("label", "dim", "cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("n"), F.count_if(F.col("home") != F.col("cell")).alias("o"))
+    return per.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2 + F.col("n") * F.col("o"))).first()[0]
+
+
+@pytest.mark.parametrize("noise,share", [(0.02, 0.35), (1.0, 1.0)])
+def test_pivots_part_labels_and_no_pair_is_compared_twice(spark, noise, share):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(4, 64))
+    rows = [(i, (centres[rng.integers(4)] + noise * rng.normal(size=64)).tolist(), i % 3, 64, 1, i) for i in range(1500)]
+    distinct = spark.createDataFrame(rows, "node long, embedding array<double>, label int, dim int, copies long, first long")
+    pivots = m.choose_pivots(distinct)
+    assert sorted(map(len, pivots.values())) == [4, 4, 4]
+    pairs = compared(m.deal(distinct, pivots, 0.93))
+    assert pairs <= share * 3 * 500 * 499 / 2
+    assert sum(map(len, m.choose_pivots(distinct, 64 * 8 * 6).values())) <= 6
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_pairs_compared_on_the_tables(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").where(m.usable())
+    distinct = rows.groupBy("label", F.col("embedding").cast("array<double>").alias("embedding")).agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    distinct = distinct.withColumn("dim", F.size("embedding")).withColumn("node", F.col("first"))
+    pivots = m.choose_pivots(distinct)
+    sizes = [r["count"] for r in distinct.groupBy("label").count().collect()]
+    assert len(pivots) == len(sizes) and min(map(len, pivots.values())) >= 2
+    assert compared(m.deal(distinct, pivots, 0.93)) <= sum(n * (n - 1) / 2 for n in sizes)
