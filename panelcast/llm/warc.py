@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, scratch
+from .shared import cut, join_sized, scratch
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = (
@@ -45,7 +45,7 @@ def _record(kind: str, record_id: str, headers: dict[str, str], block: bytes) ->
     return pack.compress(head + block + b"\r\n\r\n") + pack.flush()
 
 
-def capture_records(page_id: int | None, nth: int, url: str | None, payload: bytes, refers_to: int | None, date: str) -> Iterator[bytes]:
+def capture_records(page_id: int | None, nth: int | str, url: str | None, payload: bytes, refers_to: int | None, date: str) -> Iterator[bytes]:
     """The compressed records of one capture; ``refers_to`` is the page whose response has the same payload."""
     own = f"urn:page:{'' if page_id is None else page_id}:{nth}"
     uri = quote(url or own, safe="".join(map(chr, range(33, 127))))
@@ -80,22 +80,25 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T0
     keys = rows.select(
         "page_id", F.sha1("payload").alias("sha1"), F.md5("payload").alias("md5"), F.length("payload").alias("n")
     ).where(F.col("n") >= least_bytes)
-    firsts = (
+    firsts = cut(
         keys.groupBy("sha1", "md5", "n")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("of"))
-        .where("of > 1")
+        .where("of > 1"),
+        "equal-payloads",
     )
     again = (
-        keys.join(firsts, ["sha1", "md5", "n"])
+        join_sized(keys, firsts, ["sha1", "md5", "n"], "of", F.xxhash64("page_id"))
         .where("page_id <> first")
         .select("page_id", "sha1", "first")
         .distinct()
-        .groupBy("page_id")
+        .groupBy(F.col("page_id").alias("place"))
         .agg(F.map_from_entries(F.collect_list(F.struct("sha1", "first"))).alias("firsts"))
     )
-    # payloads move once, dealt by page
-    dealt = rows.repartition("page_id").join(again, "page_id", "left").sortWithinPartitions("page_id")
-    dealt = dealt.select("page_id", "url", "payload", F.col("firsts")[F.sha1("payload")].alias("refers_to"))
+    # payloads move once, dealt by page; pages without an id are dealt by their content
+    placed = rows.withColumn("place", F.coalesce("page_id", F.xxhash64("url", "payload")))
+    dealt = placed.repartition("place").join(again, "place", "left").sortWithinPartitions("page_id")
+    refers = F.when(F.col("page_id").isNotNull(), F.col("firsts")[F.sha1("payload")])
+    dealt = dealt.select("page_id", "url", "payload", refers.alias("refers_to"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, last, nth, records, size = None, None, 0, 0, 0
@@ -112,7 +115,9 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T0
                     size = len(raw)
                 nth = nth + 1 if records and page_id == last else 0
                 last = page_id
-                for raw in capture_records(page_id, nth, url, payload, refers_to, date):
+                # pages without an id are counted by file
+                own = nth if page_id is not None else f"{TaskContext.get().partitionId()}-{nth}"
+                for raw in capture_records(page_id, own, url, payload, refers_to, date):
                     out.write(raw)
                     records, size = records + 1, size + len(raw)
         if out:
@@ -122,15 +127,21 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T0
     return cut(dealt.mapInArrow(each, "path string, size long, records long"), "warc-files")
 
 
-def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The uncompressed gzip members of a stream, one at a time."""
-    unpack, parts, left = zlib.decompressobj(31), [], b""
+def members(stream, chunk: int = 1 << 20, step: int = 1 << 14) -> Iterator[bytes]:
+    """The uncompressed gzip members of a stream, one at a time.
+
+    The decompressor gets ``step`` bytes at a time, so that what it hands back after the end of a
+    member is never longer than that.
+    """
+    unpack, parts, raw, at = zlib.decompressobj(31), [], b"", 0
     while True:
-        raw = left or stream.read(chunk)
-        if not raw:
-            return
-        parts.append(unpack.decompress(raw))
-        left = unpack.unused_data
+        if at == len(raw):
+            raw, at = stream.read(chunk), 0
+            if not raw:
+                return
+        given = raw[at : at + step]
+        parts.append(unpack.decompress(given))
+        at += len(given) - len(unpack.unused_data)
         if unpack.eof:
             yield b"".join(parts)
             unpack, parts = zlib.decompressobj(31), []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 ROWS = [
     (5, "http://a.example/x", "<p>é</p>"), (2, "http://b.example/\r\ny z", "<p>é</p>"), (9, None, "<p>é</p>"), (1, "u", None), (3, "u", ""), (4, "v", "x\r\n\r\nWARC/1.1\r\n\r\n"),
-    (6, "w", "long " * 300000), (7, "w", "long " * 300000), (8, "w", "other"), (None, "w", "other"), (8, "w", "third"), (2, "again", "<p>é</p>"),
+    (6, "w", "long " * 300000), (7, "w", "long " * 300000), (8, "w", "other"), (None, "w", "other"), (8, "w", "third"), (2, "again", "<p>é</p>"), *[(None, "n", f"no id {i}") for i in range(40)],
 ]
 
 
@@ -41,6 +41,6 @@ def test_payloads_come_back(spark):
 
 def test_members_across_chunks():
     raw = b"".join(m.capture_records(1, 0, "http://x/", b"p" * 5000, None, "d"))
-    for chunk in (1, 7, 1000, 1 << 20):
-        kinds = [m.parse_record(r)["type"] for r in m.members(io.BytesIO(raw), chunk)]
+    for chunk, step in ((1, 1), (7, 3), (1000, 64), (1 << 20, 1 << 14)):
+        kinds = [m.parse_record(r)["type"] for r in m.members(io.BytesIO(raw), chunk, step)]
         assert kinds == ["request", "response", "metadata"]
