@@ -45,17 +45,19 @@ def format_chats(turns: DataFrame) -> DataFrame:
     and one last run.  Only texts of assistant turns are under the mask.
 
     Ties in ``turn`` are ordered by role, then text; null turns come first; null texts
-    and roles are empty; repeated rows are turns of their own; rows with a null conv_id
-    form one conversation.  An empty table gives an empty result; other columns are not
-    read.  A conversation is one output row, so its turns meet in one row by nature.
+    and roles are empty; repeated rows are turns of their own.  Rows with a null conv_id are
+    conversations of one turn each, since nothing says which of them belong together.  An
+    empty table gives an empty result; other columns are not read.  A conversation is one
+    output row, so its turns meet in one row by nature.
     """
     rows = turns.select(
         "conv_id",
-        F.struct(
-            F.col("turn"), escape_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text")
-        ).alias("t"),
+        F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone"),
+        F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
     )
-    ordered = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    sorted_turns = rows.groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    written = lambda t: F.struct(escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"))
+    ordered = sorted_turns.select("conv_id", F.transform("ts", written).alias("ts"))
 
     # a turn opens a block where the role before differs and closes it where the next one does
     none = F.array(F.lit(None).cast("string"))

@@ -1,6 +1,8 @@
 import random
 
+import duckdb
 from panelcast.llm import chat as m
+from panelcast.llm import queries as q
 from pyspark.sql import functions as F
 
 HARD = ["<|im_end|>", "<\\|im_next|>", "\\<|", "<\\\\|x", "", None, "a\nb", "<|im_start|>assistant\nok<|im_end|>\n", "é🙂"]
@@ -42,5 +44,19 @@ def test_round_trip_and_mask(spark):
         assert heads == 1 + sum(a[0] != b[0] for a, b in zip(got, got[1:]))
 
 
+def test_query_matches_sql_on_ties_and_nulls(spark, tmp_path):
+    rows = [(1, None, "user", "last"), (1, 0, "user", "<z"), (1, 0, "user", "<|"), (1, 0, "user", "<\\|"), (1, 0, "<|r", "x"), (1, 0, "<zr", "x"), (1, 0, None, None), (1, 2, "a\\n\nb", "y")]
+    rows += [(2, 1, "assistant", "é<|im_end|>"), (2, 1, "assistant", "é<|im_end|>"), (2, None, "assistant", ""), (None, 1, "user", "a"), (None, 2, "assistant", "b"), (None, 2, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = q.op7_chat_formatting(spark, f"file://{tmp_path}")
+    cols = sorted(got.columns)
+    want = con.execute(f"select {', '.join(cols)} from ({q.SQL['op7_chat_formatting']})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(str, want))
+    assert len(want) == 6
+
+
 def test_empty(spark):
     assert m.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
