@@ -91,9 +91,9 @@ def detrended(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def apply_tcode(obs: DataFrame, meta: DataFrame) -> DataFrame:
-    """One transform for each series, by ``meta(series, tcode)`` with codes 1 to 7."""
+    """One transform for each series, by ``meta(panel_id, series, tcode)`` with codes 1 to 7."""
     chosen = F.coalesce(*[F.when(F.col("tcode") == c, transform(c)) for c in range(1, 8)])
-    coded = obs.join(F.broadcast(meta.select("series", "tcode")), "series")  # a row for each series name of one vintage
+    coded = obs.join(meta.select(*KEYS, "tcode"), list(KEYS))
     name = F.element_at(F.create_map(*[F.lit(v) for c in range(1, 8) for v in (c, NAMES[c])]), F.col("tcode"))
     return coded.select(*KEYS, "ds", name.alias("transform"), chosen.alias("value"))
 

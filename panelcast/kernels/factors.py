@@ -7,16 +7,21 @@ import numpy as np
 from .linear import ols, scale
 
 
-def static_factors(x: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Loadings sqrt(N) times eigenvectors, factors X L / N, and all eigenvalues of X'X in falling order.
+def gram_loadings(gram: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Loadings sqrt(N) times eigenvectors of X'X, and all its eigenvalues in falling order.
 
     The sign makes each factor's largest absolute loading positive.
     """
-    w, v = np.linalg.eigh(x.T @ x)
+    w, v = np.linalg.eigh(gram)
     w, v = w[::-1], v[:, ::-1][:, :r]
     v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
-    loadings = np.sqrt(x.shape[1]) * v
-    return loadings, x @ loadings / x.shape[1], np.maximum(w, 0)
+    return np.sqrt(len(gram)) * v, np.maximum(w, 0)
+
+
+def static_factors(x: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loadings, factors X L / N, and all eigenvalues of X'X in falling order."""
+    loadings, w = gram_loadings(x.T @ x, r)
+    return loadings, x @ loadings / x.shape[1], w
 
 
 def factor_count_ic(eigen: np.ndarray, t: int, n: int, most: int) -> dict[str, int]:
@@ -30,9 +35,13 @@ def factor_count_ic(eigen: np.ndarray, t: int, n: int, most: int) -> dict[str, i
 
 
 def factor_count_gap(eigen: np.ndarray, most: int, rounds: int = 4) -> int:
-    """Number of factors by eigenvalue differences (Onatski 2010): a threshold from the slope of eigenvalues beyond a start."""
+    """Number of factors by eigenvalue differences (Onatski 2010): a threshold from the slope of eigenvalues beyond a start.
+
+    ``eigen`` are those of the sample covariance.  The rule is applied once and then ``rounds`` times more,
+    each time from the number found before.
+    """
     j, count = most + 1, 0
-    for _ in range(rounds):
+    for _ in range(rounds + 1 if most > 0 else 0):
         at = np.arange(j - 1, j + 4)
         if at[-1] >= len(eigen):
             break
@@ -81,13 +90,18 @@ def var_order(f: np.ndarray, most: int) -> dict[str, int]:
     return {c: min(rows, key=lambda p: (rows[p][c], p)) for c in ("fpe", "aic", "hq", "sc")}
 
 
-def dynamic_factor_count(f: np.ndarray, p: int, delta: float = 0.1, m: float = 1.0) -> int:
-    """Number of dynamic shocks: eigenvalues of the residual correlation whose tail share stays above m T^(-1/2+delta)."""
+def dynamic_factor_count(f: np.ndarray, p: int, n: int, most: int | None = None) -> tuple[int, int]:
+    """Numbers of dynamic shocks behind static factors (Bai and Ng 2007), from the eigenvalues of the residual products of a VAR(p).
+
+    The first number is the least k whose next eigenvalue, the second the least k whose further eigenvalues
+    together, have a share (root of squares over those of all ``most``) below 1 / min(N, T)^0.4; 1 where none has.
+    """
     _, e = var_fit(f, p)
-    w = np.linalg.eigvalsh(np.corrcoef(e.T) if e.shape[1] > 1 else np.ones((1, 1)))[::-1]
-    limit = m / len(e) ** (0.5 - delta)
-    tail = [np.sqrt((w[k] ** 2 if k < len(w) else 0.0) / (w**2).sum()) for k in range(1, len(w) + 1)]
-    return int(next((k + 1 for k, v in enumerate(tail) if v < limit), len(w)))
+    w = np.linalg.eigvalsh(e.T @ e)[::-1][: most or f.shape[1]]
+    limit, whole = min(n, len(f)) ** -0.4, max((w**2).sum(), 1e-300)
+    one = np.sqrt(w[1:] ** 2 / whole) < limit
+    rest = np.sqrt(np.array([(w[k:] ** 2).sum() for k in range(1, len(w))]) / whole) < limit
+    return tuple(int(x.argmax() + 1) if x.any() else 1 for x in (one, rest))
 
 
 def kalman(x: np.ndarray, loadings: np.ndarray, r: np.ndarray, a: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,10 @@ import numpy as np
 from .linear import criterion, ols
 
 
+# fixed values: MacKinnon (2010), response surface for one variable, constant, 5 %: terms of 1, 1/n, 1/n^2, 1/n^3
+CRITICAL = (-2.86154, -2.8903, -4.234, -40.04)
+
+
 def adf(y: np.ndarray, most: int = 10, ic: str = "bic") -> tuple[float, int, int]:
     """Augmented Dickey-Fuller t with a constant, the lag by criterion on equal rows, and the rows used."""
     y = y[~np.isnan(y)]
@@ -28,8 +32,7 @@ def adf(y: np.ndarray, most: int = 10, ic: str = "bic") -> tuple[float, int, int
 
 def critical(n: int) -> float:
     """5 % critical value with a constant."""
-    # fixed values: MacKinnon (2010), response surface for one variable, constant, 5 %
-    return -2.86154 - 2.8903 / n - 4.234 / n**2 - 40.04 / n**3
+    return sum(c / n**i for i, c in enumerate(CRITICAL))
 
 
 def confidence_set(mean: np.ndarray, boot: np.ndarray, statistic: str = "R") -> tuple[list[int], np.ndarray]:

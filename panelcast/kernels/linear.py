@@ -30,22 +30,120 @@ def lambda_grid(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, steps: int = 2
 
 
 def lasso_path(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray, alpha: float = 1.0, sweeps: int = 500, tol: float = 1e-8) -> np.ndarray:
-    """Elastic-net coefficients for each penalty by coordinate descent on X'X/n and X'y/n, each starting from the one before.
+    """Elastic-net coefficients for each penalty (falling) on X'X/n and X'y/n.
 
-    Minimises half the mean squared error + lambda (alpha |b|_1 + (1 - alpha)/2 |b|^2).
+    Minimises half the mean squared error + lambda (alpha |b|_1 + (1 - alpha)/2 |b|^2).  For alpha 1 the
+    path is piecewise linear and is followed from knot to knot; for others, and where rounding hides a
+    knot, from one active set to the next; where that breaks down (columns that depend on each other),
+    by coordinate descent.
     """
+    if alpha == 1.0 and (out := _knots(gram, xy, lambdas)) is not None:
+        return out
+    if alpha > 0 and (out := _active(gram, xy, lambdas, alpha)) is not None:
+        return out
+    return _descent(gram, xy, lambdas, alpha, sweeps, tol)
+
+
+def _knots(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray) -> np.ndarray | None:
+    """The lasso path from knot to knot; None where the optimality conditions aren't met at the end."""
+    k, out = len(xy), np.zeros((len(lambdas), len(xy)))
+    usable = np.diag(gram) > 1e-12
+    top = np.abs(np.where(usable, xy, 0.0)).max(initial=0.0)
+    if top <= 0:
+        return out
+    level, least, i = top, float(np.min(lambdas)), 0
+    active, sign = [int(np.argmax(np.where(usable, np.abs(xy), -1.0)))], []
+    sign = [float(np.sign(xy[active[0]]))]
+    order = np.argsort(-np.asarray(lambdas), kind="stable")
+    while i < len(order) and lambdas[order[i]] >= level:
+        i += 1
+    left = -1  # the coefficient that has just become zero may not come back at once
+    for _ in range(20 * k + 20):
+        try:
+            u, d = np.linalg.solve(gram[np.ix_(active, active)], np.column_stack([xy[active], sign])).T
+        except np.linalg.LinAlgError:
+            return None
+        rest, slope = xy - gram[:, active] @ u, gram[:, active] @ d  # correlation at a level: rest + level * slope
+        free = usable.copy()
+        free[active] = False
+        if left >= 0:
+            free[left] = False
+        with np.errstate(divide="ignore", invalid="ignore"):
+            meets = np.stack([rest / (1 - slope), -rest / (1 + slope)])
+            zeros = np.asarray(u) / np.asarray(d)
+        meets[:, ~free] = -np.inf
+        meets[~np.isfinite(meets) | (meets >= level - 1e-14 * top)] = -np.inf
+        zeros[~np.isfinite(zeros) | (zeros >= level - 1e-12 * top)] = -np.inf
+        enters, drops = meets.max(initial=-np.inf), zeros.max(initial=-np.inf)
+        new = max(enters, drops, 0.0)
+        while i < len(order) and lambdas[order[i]] >= new:
+            out[order[i], active] = u - lambdas[order[i]] * d
+            i += 1
+        if i == len(order) or new <= min(least, 0.0):
+            break
+        level, left = new, -1
+        if drops >= enters:
+            at = int(zeros.argmax())
+            left = active.pop(at)
+            sign.pop(at)
+            if not active:
+                return None
+        else:
+            side, j = np.unravel_index(int(meets.argmax()), meets.shape)
+            active.append(int(j))
+            sign.append(1.0 if side == 0 else -1.0)
+    if i < len(order):
+        return None
+    slack = xy - out @ gram
+    pull = np.asarray(lambdas)[:, None]
+    fits = np.where(out != 0, np.abs(slack - pull * np.sign(out)), np.abs(slack) - pull)
+    return out if fits[:, usable].max(initial=0.0) <= 1e-7 * top else None
+
+
+def _active(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray, alpha: float) -> np.ndarray | None:
+    """Elastic-net coefficients by solving for the active set, from that of the penalty before; None where it doesn't settle."""
+    k, out = len(xy), np.zeros((len(lambdas), len(xy)))
+    usable, sign = np.diag(gram) > 1e-12, np.zeros(len(xy))
+    for i, lam in enumerate(lambdas):
+        pull, ridge = lam * alpha, lam * (1 - alpha)
+        for _ in range(6 * k + 10):
+            on = np.flatnonzero(sign)
+            b = np.zeros(k)
+            if len(on):
+                try:
+                    b[on] = np.linalg.solve(gram[np.ix_(on, on)] + ridge * np.eye(len(on)), xy[on] - pull * sign[on])
+                except np.linalg.LinAlgError:
+                    return None
+                wrong = on[b[on] * sign[on] <= 0]
+                if len(wrong):
+                    sign[wrong] = 0.0
+                    continue
+            slope = xy - gram @ b
+            over = np.where(usable & (sign == 0), np.abs(slope) - pull, -np.inf)
+            j = int(over.argmax())
+            if over[j] <= 1e-10 * max(pull, 1e-300):
+                break
+            sign[j] = np.sign(slope[j])
+        else:
+            return None
+        out[i] = b
+    return out
+
+
+def _descent(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray, alpha: float, sweeps: int, tol: float) -> np.ndarray:
+    """Coordinate descent, each penalty from the coefficients of the one before; full sweeps only to find who joins."""
     k = len(xy)
     b, out = np.zeros(k), np.zeros((len(lambdas), k))
-    fit = gram @ b
+    fit, diag = gram @ b, np.diag(gram)
+    usable = np.flatnonzero(diag > 0)
     for i, lam in enumerate(lambdas):
         pull, ridge = lam * alpha, lam * (1 - alpha)
         for _ in range(sweeps):
+            waiting = usable[(b[usable] != 0) | (np.abs(xy - fit)[usable] > pull)]
             most = 0.0
-            for j in range(k):
-                if gram[j, j] <= 0:
-                    continue
-                rho = xy[j] - fit[j] + gram[j, j] * b[j]
-                new = np.sign(rho) * max(abs(rho) - pull, 0.0) / (gram[j, j] + ridge)
+            for j in waiting:
+                rho = xy[j] - fit[j] + diag[j] * b[j]
+                new = np.sign(rho) * max(abs(rho) - pull, 0.0) / (diag[j] + ridge)
                 if new != b[j]:
                     fit += gram[:, j] * (new - b[j])
                     most = max(most, abs(new - b[j]))
@@ -63,31 +161,46 @@ def ridge_path(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray) -> np.ndar
     return np.array([v @ (z / (np.maximum(w, 0) + lam)) for lam in lambdas])
 
 
-def block_splits(t: int, h: int, ratio: float, test: int) -> list[tuple[slice, slice]]:
-    """Rolling training rows, a gap of h, then test rows; the last block takes the rest."""
+def block_splits(n: int, h: int, ratio: float, test: int) -> list[tuple[slice, slice]]:
+    """Rows of ``n`` pairs (x[s], y[s + h]): rolling training pairs, a gap of h, then test pairs; the last block takes the rest.
+
+    The n pairs span n + h dates, and shares and blocks are counted in dates.  A test pair's x is at
+    least h dates later than the last training x, so no training label is later than a test origin.
+    """
+    t = n + h
     train = int(np.floor(ratio * t))
     blocks = int((t - train - 2 * h) // test)
     out = []
     for b in range(max(blocks, 0)):
         a = b * test
-        start = a + train + h - 1
+        start = a + train + h
         out.append((slice(a, a + train), slice(start, t - h if b == blocks - 1 else start + test)))
     return out
 
 
-def path(method: str, x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, alpha: float) -> np.ndarray:
+def path(method: str, x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, alpha: float, gram: np.ndarray | None = None) -> np.ndarray:
+    gram = x.T @ x if gram is None else gram
     if method == "ridge":
-        return ridge_path(x.T @ x, x.T @ y, lambdas)
-    return lasso_path(x.T @ x / len(y), x.T @ y / len(y), lambdas, alpha)
+        return ridge_path(gram, x.T @ y, lambdas)
+    return lasso_path(gram / len(y), x.T @ y / len(y), lambdas, alpha)
 
 
-def block_cv(method: str, x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, h: int, alpha: float = 1.0, ratio: float = 0.6, test: int = 6) -> np.ndarray:
-    """Mean squared test error of each penalty over the blocks; scaling from training rows only."""
+def first_stage(z: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, h: int, **cv) -> np.ndarray:
+    """Weights of the adaptive lasso: absolute ridge coefficients at the ridge penalty chosen by block validation, plus 1e-6."""
+    start = np.logspace(-3, 5, 50)
+    lam = start[block_cv("ridge", x, y, start, h, **cv).argmin()]
+    return np.abs(ridge_path(z.T @ z, z.T @ v, np.array([lam]))[0]) + 1e-6
+
+
+def block_cv(method: str, x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, h: int, alpha: float = 1.0, ratio: float = 0.7, test: int = 5) -> np.ndarray:
+    """Mean squared test error of each penalty over the blocks; scaling, and the weights of ``adaptive``, from training rows only."""
     errors = []
     for tr, te in block_splits(len(y), h, ratio, test):
         mean, sd = scale(x[tr])
         my = y[tr].mean()
-        b = path(method, (x[tr] - mean) / sd, y[tr] - my, lambdas, alpha)
+        z, v = (x[tr] - mean) / sd, y[tr] - my
+        weights = first_stage(z, v, x[tr], y[tr], h, ratio=ratio, test=test) if method == "adaptive" else 1.0
+        b = path(method, z * weights, v, lambdas, alpha) * weights
         miss = (y[te] - my)[None, :] - b @ ((x[te] - mean) / sd).T
         errors.append((miss**2).mean(axis=1))
     return np.mean(errors, axis=0) if errors else np.zeros(len(lambdas))
@@ -108,26 +221,32 @@ def adaptive_search(score, start: float, steps: int = 25) -> float:
     return float(np.mean(sorted(seen, key=lambda k: (seen[k], k))[:2]))
 
 
-def penalised(x: np.ndarray, y: np.ndarray, h: int, method: str = "lasso", alpha: float = 1.0, ic: str = "cv", steps: int = 50, **cv) -> dict:
-    """Fits one window.  ``ic``: cv, aic, bic, or grid (adaptive search).  Coefficients are for standardised x."""
-    mean, sd = scale(x)
-    z, my = (x - mean) / sd, y.mean()
-    v, weights = y - my, np.ones(x.shape[1])
+def penalised(x: np.ndarray, y: np.ndarray, h: int, method: str = "lasso", alpha: float = 1.0, ic: str = "cv", steps: int = 200, shared: dict | None = None, **cv) -> dict:
+    """Fits one window.  ``ic``: cv, aic, bic, or grid (adaptive search).  Coefficients are for standardised x.
+
+    Windows with the same ``x`` may hand in one dict as ``shared``, which keeps scaling and products of x.
+    """
+    kept = {} if shared is None else shared
+    if "scaled" not in kept:
+        mean, sd = scale(x)
+        z = (x - mean) / sd
+        kept["scaled"] = mean, sd, z, z.T @ z
+    mean, sd, z, gram = kept["scaled"]
+    my = y.mean()
+    v, weights = y - my, 1.0
     if method == "adaptive":
-        start = np.logspace(-3, 5, 50)
-        first = start[block_cv("ridge", x, y, start, h, **cv).argmin()]
-        weights = np.abs(ridge_path(z.T @ z, z.T @ v, np.array([first]))[0]) + 1e-6
-        z = z * weights
+        weights = first_stage(z, v, x, y, h, **cv)
+        z, gram = z * weights, gram * np.outer(weights, weights)
     kind = "ridge" if method == "ridge" else "lasso"
     lambdas = np.linspace(1e-3, 1e5, 200) if kind == "ridge" else lambda_grid(z, v, alpha, steps)
     if ic == "grid":
-        lam = adaptive_search(lambda k: float(block_cv(kind, z, y, np.array([k]), h, alpha, **cv)[0]), float(np.median(lambdas)))
+        lam = adaptive_search(lambda k: float(block_cv(method, x, y, np.array([k]), h, alpha, **cv)[0]), float(np.median(lambdas)))
         lambdas = np.array([lam])
-    b = path(kind, z, v, lambdas, alpha)
+    b = path(kind, z, v, lambdas, alpha, gram)
     if ic in ("aic", "bic"):
         at = int(np.argmin([criterion(float(((v - z @ c) ** 2).sum()), len(y), int((c != 0).sum()), ic) for c in b]))
     else:
-        at = 0 if len(lambdas) == 1 else int(block_cv(kind, z if method == "adaptive" else x, y, lambdas, h, alpha, **cv).argmin())
+        at = 0 if len(lambdas) == 1 else int(block_cv(method, x, y, lambdas, h, alpha, **cv).argmin())
     return {"coef": b[at] * weights, "lambda": float(lambdas[at]), "idx": at, "mean": mean, "sd": sd, "const": my, "path": b * weights, "lambdas": lambdas}
 
 
@@ -143,10 +262,10 @@ def lags(y: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
-def ar_direct(y: np.ndarray, h: int, most: int = 6, ic: str = "bic", extra: np.ndarray | None = None, extra_lags: int = 0) -> tuple[float, int, int]:
+def ar_direct(y: np.ndarray, h: int, most: int = 6, ic: str = "bic", extra: np.ndarray | None = None, extra_lags: int = 0) -> tuple[float, int, int, float | None]:
     """h-step forecast from the end of y by a direct autoregression, with lags of ``extra`` columns; orders by criterion.
 
-    All orders are compared on the same rows.  Returns forecast, AR lags and factor lags.
+    All orders are compared on the same rows.  Returns forecast, AR lags, factor lags and the mean squared residual.
     """
     x = lags(y, most)
     f = [np.column_stack([np.vstack([np.full((k, extra.shape[1]), np.nan), extra[: len(y) - k]]) for k in range(m)]) for m in range(1, extra_lags + 1)] if extra is not None else []
@@ -166,27 +285,38 @@ def ar_direct(y: np.ndarray, h: int, most: int = 6, ic: str = "bic", extra: np.n
             b, ssr = ols(z[rows], y[rows + h])
             c = criterion(ssr, len(rows), z.shape[1], ic)
             if best is None or c < best[0] - 1e-12:
-                best = (c, float(z[-1] @ b), p, m)
-    return best[1:] if best else (float("nan"), 0, 0)
+                best = (c, float(z[-1] @ b), p, m, ssr / len(rows))
+    return best[1:] if best else (float("nan"), 0, 0, None)
 
 
-def ar_iterated(y: np.ndarray, h: int, most: int = 6, ic: str = "bic") -> tuple[float, int]:
-    """h-step forecast by iterating a one-step autoregression."""
-    x = lags(y, most)
-    t = np.arange(len(y) - 1)
-    rows = t[~np.isnan(x[t]).any(axis=1)]
+def ar_iterated(y: np.ndarray, h: int, most: int = 6, ic: str = "bic", extra: np.ndarray | None = None, extra_lags: int = 0) -> tuple[float, int, int, float | None]:
+    """h-step forecast by iterating a one-step autoregression, with lags of ``extra`` columns; orders by criterion.
+
+    All orders are compared on the same rows.  Future values of the extra columns come from a
+    vector autoregression of order 1 on themselves.  Returns as ``ar_direct``.
+    """
+    k = 0 if extra is None else extra.shape[1]
+    least = max(most, extra_lags if k else 0)
+    rows = np.arange(least - 1, len(y) - 1)
+    past = lambda x, p: np.column_stack([x[rows - i] for i in range(p)])
     best = None
     for p in range(1, most + 1):
-        z = np.column_stack([np.ones(len(y)), x[:, :p]])
-        if len(rows) <= p + 2:
-            continue
-        b, ssr = ols(z[rows], y[rows + 1])
-        c = criterion(ssr, len(rows), p + 1, ic)
-        if best is None or c < best[0] - 1e-12:
-            best = (c, b, p)
+        for m in range(1, extra_lags + 1) if k else (0,):
+            z = np.column_stack([np.ones(len(rows)), past(y, p), *([past(extra, m)] if m else [])])
+            if len(rows) <= z.shape[1] + 1:
+                continue
+            b, ssr = ols(z, y[rows + 1])
+            c = criterion(ssr, len(rows), z.shape[1], ic)
+            if best is None or c < best[0] - 1e-12:
+                best = (c, b, p, m, ssr / len(rows))
     if best is None:
-        return float("nan"), 0
-    state = list(y[::-1][: best[2]])
+        return float("nan"), 0, 0, None
+    _, b, p, m, mse = best
+    state, f = list(y[::-1][:p]), [] if not m else list(extra[::-1][:m])
+    if m:
+        step, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(extra) - 1), extra[:-1]]), extra[1:], rcond=None)
     for _ in range(h):
-        state = [float(best[1][0] + best[1][1:] @ state), *state][: best[2]]
-    return state[0], best[2]
+        new = float(b[0] + b[1 : p + 1] @ state + (b[p + 1 :] @ np.concatenate(f) if m else 0.0))
+        state = [new, *state][:p]
+        f = [step[0] + f[0] @ step[1:], *f][:m] if m else []
+    return state[0], p, m, mse

@@ -123,13 +123,16 @@ def time_series_split(obs: DataFrame, k: int = 5) -> DataFrame:
     return many.withColumn("part", part).where("part is not null").select(*KEYS, "ds", "split", "part")
 
 
-def block_splits(lengths: DataFrame, h: int, ratio: float = 0.8, test: int = 12) -> DataFrame:
-    """Rolling blocks of ``lengths(panel_id, series, t)``: train floor(ratio t) rows, then a gap of h, then ``test`` rows; the last takes the rest."""
+def block_splits(lengths: DataFrame, h: int, ratio: float = 0.7, test: int = 5) -> DataFrame:
+    """Rolling blocks of ``lengths(panel_id, series, t)``: train floor(ratio t) rows, then a gap of h, then ``test`` rows; the last takes the rest.
+
+    Rows are those of the predictors; labels are h rows later, so the first test row is h after the last training label's origin.
+    """
     train = F.floor(F.col("t") * ratio).cast("int")
     blocks = F.floor((F.col("t") - F.col("train") - 2 * h) / test).cast("int")
     many = lengths.withColumn("train", train).withColumn("blocks", blocks).where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
     a = (F.col("block") - 1) * test + 1
-    test_a = a + F.col("train") - 1 + h
+    test_a = a + F.col("train") + h
     return many.select(
         *KEYS, "block", a.alias("train_from"), (a + F.col("train") - 1).alias("train_to"), test_a.alias("test_from"),
         F.when(F.col("block") == F.col("blocks"), F.col("t") - h).otherwise(test_a + test - 1).alias("test_to"),
@@ -168,3 +171,9 @@ def ma_fill(obs: DataFrame, k: int = 3) -> DataFrame:
     pad = F.greatest(F.lit(0), k + 1 - F.col("_n")) * first + F.greatest(F.lit(0), k - (F.col("_t") - F.col("_n"))) * last
     mean = (F.sum("_f").over(frame) + pad) / (2 * k + 1)
     return seen.select(*obs.columns, F.coalesce("value", mean).alias("filled"))
+
+
+def carry_forward(obs: DataFrame) -> DataFrame:
+    """Gaps take the last value before them, so a fill never sees later rows."""
+    so_far = by_date().rowsBetween(Window.unboundedPreceding, 0)
+    return obs.withColumn("value", F.last("value", ignorenulls=True).over(so_far))

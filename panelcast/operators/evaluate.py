@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transforms import by_date, KEYS
+from ..kernels.inference import CRITICAL
 
 UNIT = ("panel_id", "model", "target", "h")
 
@@ -79,7 +80,8 @@ def totals(errors: DataFrame) -> DataFrame:
     return grouped.select(F.coalesce("panel_id", F.lit("all")).alias("panel_id"), "model", "h", F.coalesce("target", F.lit("all")).alias("target"), "mse")
 
 
-def scores(errors: DataFrame, by: tuple[str, ...] = UNIT) -> DataFrame:
+def scores(errors: DataFrame, by: tuple[str, ...] = UNIT, train: DataFrame | None = None) -> DataFrame:
+    """Scores of each group; with in-sample errors as ``train`` also ``fit_ratio``, out-of-sample over in-sample MSE."""
     y, p, e = F.col("y_true"), F.col("y_pred"), F.col("err")
     out = {
         "mse": F.avg(e * e),
@@ -90,7 +92,17 @@ def scores(errors: DataFrame, by: tuple[str, ...] = UNIT) -> DataFrame:
         "abs_corr": F.abs(F.corr(y, p)),
         "slope_gap": 1 - F.regr_slope(p, y),
     }
-    return errors.groupBy(*by).agg(*[c.alias(n) for n, c in out.items()])
+    scored = errors.groupBy(*by).agg(*[c.alias(n) for n, c in out.items()])
+    if train is None:
+        return scored
+    own = train.groupBy(*by).agg(F.avg(e * e).alias("_in"))
+    return scored.join(own, list(by), "left").withColumn("fit_ratio", F.try_divide("mse", "_in")).drop("_in")
+
+
+def accuracy(labels: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Share of rows whose predicted label is the true one, from ``y_true, y_pred``; rows without a prediction are left out."""
+    hit = F.avg((F.col("y_true") == F.col("y_pred")).cast("double"))
+    return labels.where("y_pred is not null").groupBy(*by).agg(hit.alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
 def combine(errors: DataFrame, models: tuple[str, ...]) -> DataFrame:
@@ -120,11 +132,11 @@ def results_table(errors: DataFrame, targets: list[str], benchmark: str = "arp")
 
 
 def errors_to_predictions(errors: DataFrame, truth: DataFrame) -> DataFrame:
-    """pred = truth - err; more than one row for a model and date is an error."""
+    """pred = truth - err; more than one row for a model and date is an error, raised when the result is computed."""
     key = ["panel_id", "model", "target", "h", "ds"]
-    if not errors.groupBy(*key).count().where("count > 1").isEmpty():
-        raise ValueError("more than one error for a model and date")
-    return errors.drop("y_true", "y_pred").join(truth, ["panel_id", "target", "ds"]).select(*key, "truth", (F.col("truth") - F.col("err")).alias("y_pred"))
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one error for a model and date"))).otherwise(F.first("err"))
+    single = errors.groupBy(*key).agg(once.cast("double").alias("err"))
+    return single.join(truth, ["panel_id", "target", "ds"]).select(*key, "truth", (F.col("truth") - F.col("err")).alias("y_pred"))
 
 
 def open_work(work: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
@@ -135,15 +147,26 @@ def to_error_rows(errors: DataFrame, calendar: DataFrame, label: str, start: int
     """Rows of the error table: date and crisis label are attached by position, counted from the first error."""
     n = F.row_number().over(Window.partitionBy(*UNIT).orderBy("ds"))
     days = calendar.select(F.col("date").alias("cal_date"), "crisis", F.row_number().over(Window.orderBy("date")).alias("n"))  # a row for each date of one calendar
-    return errors.withColumn("n", n).join(F.broadcast(days), "n").select(
+    return errors.withColumn("n", n).join(days, "n").select(
         F.lit(source).alias("filename"), F.col("model").alias("model_name"), F.lit(start).alias("start"), F.concat(F.lit("h"), F.col("h").cast("string")).alias("horizon"),
         F.col("target").alias("target_var"), F.lit(label).alias("model_label"), F.col("cal_date").alias("date"), "crisis", F.col("err").alias("values"),
     )
 
 
-def _longest(rows: DataFrame, by: tuple[str, ...]) -> int:
-    """The greatest number of rows of a group: it says how many lags a bandwidth rule can ask for."""
-    return rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 1
+def _lag_sum(rows: str, value: str, place: str, bandwidth: Column) -> Column:
+    """sum over j of (1 - j / bandwidth) times the sum of u[t] u[t - j], j below the bandwidth, over an array of structs in order.
+
+    Products are taken of rows whose places are exactly j apart.
+    """
+    u = lambda i: F.element_at(rows, (i + 1).cast("int"))[value]
+    at = lambda i: F.element_at(rows, (i + 1).cast("int"))[place]
+    n = F.size(rows)
+    def one(j: Column) -> Column:
+        terms = F.sequence(j, n - 1)
+        pair = lambda i: F.when(at(i) - at(i - j) == j, u(i) * u(i - j)).otherwise(0.0)
+        return (1 - j / bandwidth) * F.aggregate(terms, F.lit(0.0), lambda a, i: a + F.coalesce(pair(i), F.lit(0.0)))
+    lags = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(bandwidth).cast("int"))), lambda j: (j < bandwidth) & (j < n))
+    return F.aggregate(lags, F.lit(0.0), lambda a, j: a + one(j))
 
 
 def dm_test(errors: DataFrame, benchmark: str = "arp", hac_scale: bool = False) -> DataFrame:
@@ -151,19 +174,15 @@ def dm_test(errors: DataFrame, benchmark: str = "arp", hac_scale: bool = False)
 
     Bandwidth floor(4 (m / 100)^(2/9)) + 1.  ``hac_scale`` multiplies the variance by m / (m - 1).
     """
-    order = Window.partitionBy(*UNIT).orderBy("ds")
     d = against_benchmark(errors, benchmark).where(F.col("model") != benchmark).withColumn("d", F.col("err") ** 2 - F.col("err_b") ** 2)
-    unit = Window.partitionBy(*UNIT)
-    c = d.withColumns({"u": F.col("d") - F.avg("d").over(unit), "m": F.count(F.lit(1)).over(unit)}).withColumn("b", F.floor(4 * F.pow(F.col("m") / 100, F.lit(2 / 9))) + 1)
-    most = math.floor(4 * (_longest(errors, UNIT) / 100) ** (2 / 9)) + 1
-    lags = {f"g{j}": F.col("u") * F.lag("u", j).over(order) for j in range(1, most + 1)}
-    weighted = sum((F.greatest(F.lit(0.0), 1 - j / F.col("b")) * F.coalesce(f"s{j}", F.lit(0.0)) for j in range(1, most + 1)), F.lit(0.0))
-    sums = c.withColumns(lags).groupBy(*UNIT).agg(
-        F.avg("d").alias("dm"), F.count(F.lit(1)).alias("m"), F.first("b").alias("b"), F.sum(F.col("u") ** 2).alias("s0"), *[F.sum(f"g{j}").alias(f"s{j}") for j in range(1, most + 1)]
-    )
+    rows = F.array_sort(F.collect_list(F.struct("ds", "d")))  # a unit's dates
+    g = d.groupBy(*UNIT).agg(F.avg("d").alias("dm"), F.count(F.lit(1)).alias("m"), rows.alias("v"))
+    g = g.withColumn("b", F.floor(4 * F.pow(F.col("m") / 100, F.lit(2 / 9))) + 1)
+    g = g.withColumn("u", F.transform("v", lambda x, i: F.struct(i.alias("i"), (x["d"] - F.col("dm")).alias("u"))))
+    s0 = F.aggregate("u", F.lit(0.0), lambda a, x: a + x["u"] * x["u"])
     m, h = F.col("m"), F.col("h")
-    var = (F.col("s0") + 2 * weighted) / m * (m / (m - 1) if hac_scale else F.lit(1.0))
-    out = sums.withColumn("se", F.sqrt(var / m)).withColumn("t", F.try_divide(F.col("dm"), F.col("se")))
+    var = (s0 + 2 * _lag_sum("u", "u", "i", F.col("b").cast("double"))) / m * (m / (m - 1) if hac_scale else F.lit(1.0))
+    out = g.withColumn("se", F.sqrt(var / m)).withColumn("t", F.try_divide(F.col("dm"), F.col("se")))
     small = F.sqrt((m + 1 - 2 * h + h * (h - 1) / m) / m)
     return out.select(*UNIT, "m", "dm", "se", "t", (F.col("t") * small).alias("t_small"), (2 * (1 - normal_cdf(F.abs("t")))).alias("p"), (2 * (1 - normal_cdf(F.abs(F.col("t") * small)))).alias("p_small"))
 
@@ -179,19 +198,18 @@ def normal_cdf(x: Column) -> Column:
 
 
 def phillips_perron(obs: DataFrame) -> DataFrame:
-    """Z_t statistic with a constant, from windowed sums: regression of y on its lag, long-run variance by Bartlett weights."""
-    seen = obs.withColumn("x", F.lag("value", 1).over(by_date())).where("x is not null and value is not null")
+    """Z_t statistic with a constant: regression of y on its lag, long-run variance by Bartlett weights over neighbouring rows."""
+    seen = obs.withColumn("i", F.row_number().over(by_date())).withColumn("x", F.lag("value", 1).over(by_date())).where("x is not null and value is not null")
+    rows = F.array_sort(F.collect_list(F.struct("i", "value", "x")))
     fit = seen.groupBy(*KEYS).agg(
-        F.regr_slope("value", "x").alias("rho"), F.regr_intercept("value", "x").alias("a"), F.regr_sxx("value", "x").alias("sxx"), F.count(F.lit(1)).alias("n")
+        F.regr_slope("value", "x").alias("rho"), F.regr_intercept("value", "x").alias("a"), F.regr_sxx("value", "x").alias("sxx"), F.count(F.lit(1)).alias("n"), rows.alias("v")
     )
     fit = fit.withColumn("l", F.floor(4 * F.pow(F.col("n") / 100, F.lit(0.25))))
-    res = seen.join(fit, list(KEYS)).withColumn("u", F.col("value") - F.col("a") - F.col("rho") * F.col("x"))
-    most = math.floor(4 * (_longest(obs, KEYS) / 100) ** 0.25) + 1
-    res = res.withColumns({f"g{j}": F.col("u") * F.lag("u", j).over(by_date()) for j in range(1, most + 1)})
-    weighted = sum((F.greatest(F.lit(0.0), 1 - j / (F.col("l") + 1)) * F.coalesce(f"s{j}", F.lit(0.0)) for j in range(1, most + 1)), F.lit(0.0))
-    s = res.groupBy(*KEYS, "rho", "sxx", "n", "l").agg(F.sum(F.col("u") ** 2).alias("s0"), *[F.sum(f"g{j}").alias(f"s{j}") for j in range(1, most + 1)])
+    fit = fit.withColumn("u", F.transform("v", lambda r, i: F.struct(i.alias("i"), (r["value"] - F.col("a") - F.col("rho") * r["x"]).alias("u"))))
+    s0 = F.aggregate("u", F.lit(0.0), lambda a, r: a + r["u"] * r["u"])
     n = F.col("n")
-    s = s.withColumns({"g0": F.col("s0") / n, "lam": (F.col("s0") + 2 * weighted) / n, "s2": F.col("s0") / (n - 2)})
+    s = fit.withColumn("s0", s0).withColumn("lam", (F.col("s0") + 2 * _lag_sum("u", "u", "i", (F.col("l") + 1).cast("double"))) / n)
+    s = s.withColumns({"g0": F.col("s0") / n, "s2": F.col("s0") / (n - 2)})
     t = (F.col("rho") - 1) / F.sqrt(F.col("s2") / F.col("sxx"))
     z = F.sqrt(F.col("g0") / F.col("lam")) * t - (F.col("lam") - F.col("g0")) / (2 * F.sqrt("lam")) * n * F.sqrt(F.col("s2") / F.col("sxx")) / F.sqrt("s2")
     return s.select(*KEYS, "n", z.alias("z_t"), critical_value(n).alias("critical"))
@@ -199,22 +217,42 @@ def phillips_perron(obs: DataFrame) -> DataFrame:
 
 def critical_value(n: Column) -> Column:
     """5 % critical value with a constant."""
-    # fixed values: MacKinnon (2010), response surface for one variable, constant, 5 %
-    return -2.86154 - 2.8903 / n - 4.234 / n**2 - 40.04 / n**3
+    c = CRITICAL
+    return c[0] + c[1] / n + c[2] / n**2 + c[3] / n**3
+
+
+def bootstrap_block(b: Column, t: Column, n, w: int, kind: str, seed: int = 7) -> tuple[Column, Column]:
+    """Whether a block begins at place t of draw b, and the row it begins with; random numbers are integer hashes of (b, t)."""
+    u = lambda k: F.pmod((b * 7919 + t * 104729 + seed + k) * 1103515245 + 12345, F.lit(2147483647))
+    mixed = lambda k: F.pmod(u(k) * 48271, F.lit(2147483647))
+    begins = (t % w == 0) if kind == "block" else (t == 0) | (mixed(1) % w == 0)
+    return begins, mixed(2) % n
 
 
 def bootstrap_index(spark, t: int, b: int, w: int, kind: str = "block", seed: int = 7) -> DataFrame:
-    """``b, t, i``: row i of the sample stands at place t of draw b; random numbers are integer hashes of (b, t)."""
+    """``b, t, i``: row i of the sample stands at place t of draw b."""
     grid = spark.range(b * t).select(F.floor(F.col("id") / t).cast("long").alias("b"), (F.col("id") % t).cast("long").alias("t"))
-    u = lambda k: F.pmod((F.col("b") * 7919 + F.col("t") * 104729 + seed + k) * 1103515245 + 12345, F.lit(2147483647))
-    mixed = lambda k: F.pmod(u(k) * 48271, F.lit(2147483647))
-    begins = (F.col("t") % w == 0) if kind == "block" else (F.col("t") == 0) | (mixed(1) % w == 0)
-    starts = grid.withColumn("start", F.when(begins, mixed(2) % t)).withColumn("from", F.when(begins, F.col("t")))
+    begins, start = bootstrap_block(F.col("b"), F.col("t"), t, w, kind, seed)
+    starts = grid.withColumn("start", F.when(begins, start)).withColumn("from", F.when(begins, F.col("t")))
     order = Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     s, f = F.last("start", ignorenulls=True).over(order), F.last("from", ignorenulls=True).over(order)
     return starts.select(*[c.cast("int").alias(n) for n, c in (("b", F.col("b")), ("t", F.col("t")), ("i", F.pmod(s + F.col("t") - f, F.lit(t))))])
 
 
+def bootstrap_mean(values: Column, b: Column, w: int, kind: str = "block", seed: int = 7) -> Column:
+    """Mean of draw ``b`` (long) of an array of doubles, by the index of ``bootstrap_index`` for its length."""
+    n = F.size(values).cast("long")
+    none = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("from"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, t: Column) -> Column:
+        begins, first = bootstrap_block(b, t, n, w, kind, seed)
+        start, place = F.when(begins, first).otherwise(s["start"]), F.when(begins, t).otherwise(s["from"])
+        at = F.pmod(start + t - place, n)
+        return F.struct(start.alias("start"), place.alias("from"), (s["sum"] + F.get(values, at.cast("int"))).alias("sum"))
+
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), n - 1), none, step)["sum"] / n
+
+
 def selection_counts(selection: DataFrame, group: str) -> DataFrame:
     return selection.groupBy("window_id", group).agg(F.count(F.lit(1)).alias("n"))
 
@@ -229,10 +267,11 @@ def minmax_normalise(df: DataFrame, column: str, by: str) -> DataFrame:
     return df.withColumn("scaled", F.try_divide(F.col(column) - lo, hi - lo))
 
 
-def min_selected(selection: DataFrame, fewer: int = 2) -> DataFrame:
-    """Targets whose least number of selected series over windows is below ``fewer``."""
+def min_selected(selection: DataFrame, windows: DataFrame, fewer: int = 2) -> DataFrame:
+    """Targets whose least number of selected series over ``windows(target, window_id)`` is below ``fewer``; a window without any has 0."""
     per = selection.groupBy("target", "window_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("target").agg(F.min("n").alias("least")).where(F.col("least") < fewer)
+    every = windows.select("target", "window_id").distinct().join(per, ["target", "window_id"], "left")
+    return every.groupBy("target").agg(F.min(F.coalesce("n", F.lit(0))).alias("least")).where(F.col("least") < fewer)
 
 
 def argmin_ic(table: DataFrame, by: list[str], order: str, ic: str) -> DataFrame:

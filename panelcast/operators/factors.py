@@ -1,16 +1,22 @@
-"""Factor operators: one task holds the matrix of one panel."""
+"""Factor operators.
+
+Loadings and eigenvalues need the products X'X of a panel's standardised series only.  These are summed
+on Spark from rows by date, so a panel may have any number of dates; what meets in one task is the N x N
+numbers of a panel.  Factors are projections: a join and a sum.  Operators that go through a panel's dates
+in order (fill, Kalman) hold one panel in a task.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import factors as K
-from ..kernels.linear import scale
 
 LOADINGS = "panel_id string, series string, factor int, loading double"
 FACTORS = "panel_id string, ds date, factor int, value double"
@@ -28,17 +34,90 @@ def per_panel(obs: DataFrame, schema: str, each: Callable, gaps: bool = False) -
     return obs.groupBy("panel_id").applyInPandas(task, schema)
 
 
-def _z(x: np.ndarray) -> np.ndarray:
-    mean, sd = scale(x)
-    return (x - mean) / sd
+def standard(obs: DataFrame) -> DataFrame:
+    """Standardised rows of the series that have a value at every date of their panel; a constant series becomes zeros."""
+    own = Window.partitionBy("panel_id", "series")
+    sd = F.stddev_samp("value").over(own)
+    seen = obs.select("panel_id", "series", "ds", "value", F.avg("value").over(own).alias("mean"), F.when(sd > 1e-12, sd).otherwise(1.0).alias("sd"), F.count("value").over(own).alias("_n"))
+    dates = obs.groupBy("panel_id").agg(F.count_distinct("ds").alias("_t"))
+    return seen.join(dates, "panel_id").where("_n = _t").select("panel_id", "series", "ds", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("value"))
+
+
+def scaling(obs: DataFrame) -> DataFrame:
+    """``mean, sd`` by series; a constant series has deviation 1, so it becomes zeros."""
+    sd = F.stddev_samp("value")
+    return obs.groupBy("panel_id", "series").agg(F.avg("value").alias("mean"), F.when(sd > 1e-12, sd).otherwise(1.0).alias("sd"))
+
+
+def scaled(obs: DataFrame, by: DataFrame) -> DataFrame:
+    return obs.join(by, ["panel_id", "series"]).select("panel_id", "series", "ds", ((F.col("value") - F.col("mean")) / F.col("sd")).alias("value"))
+
+
+def products(z: DataFrame, most_numbers: int = 1 << 24) -> DataFrame:
+    """``panel_id, t, names, row, sums``: the rows of X'X of each panel, from partial sums by task.
+
+    A task holds the sums of the panels it meets, and hands them on before they exceed ``most_numbers``.
+    """
+    by_date = z.groupBy("panel_id", "ds").agg(F.array_sort(F.collect_list(F.struct("series", "value"))).alias("v"))
+    rows = by_date.select("panel_id", F.col("v.series").alias("names"), F.col("v.value").alias("x"))
+    kind = pa.schema([("panel_id", pa.string()), ("names", pa.list_(pa.string())), ("row", pa.int32()), ("t", pa.int64()), ("sums", pa.list_(pa.float64()))])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            met: dict = {}
+            for panel, names, x in zip(*(c.to_pylist() for c in batch.columns)):
+                met.setdefault(panel, (names, []))[1].append(x)
+            for panel, (names, x) in met.items():
+                if panel not in held:
+                    if sum(len(n) ** 2 for n, _, _ in held.values()) + len(names) ** 2 > most_numbers:
+                        yield from out(held)
+                        held = {}
+                    held[panel] = [names, np.zeros((len(names), len(names))), 0]
+                v = np.array(x)
+                held[panel][1] += v.T @ v
+                held[panel][2] += len(v)
+        yield from out(held)
+
+    def out(held: dict) -> Iterator[pa.RecordBatch]:
+        for panel, (names, sums, t) in held.items():
+            yield pa.RecordBatch.from_pylist([{"panel_id": panel, "names": names, "row": i, "t": t, "sums": r.tolist()} for i, r in enumerate(sums)], kind)
+
+    parts = rows.mapInArrow(each, "panel_id string, names array<string>, row int, t long, sums array<double>")
+    cells = parts.select("panel_id", "names", "row", "t", F.posexplode("sums").alias("col", "s")).groupBy("panel_id", "row", "col").agg(F.first("names").alias("names"), F.sum("t").alias("t"), F.sum("s").alias("s"))
+    listed = cells.groupBy("panel_id", "row").agg(F.first("names").alias("names"), F.first("t").alias("t"), F.array_sort(F.collect_list(F.struct("col", "s"))).alias("c"))
+    return listed.select("panel_id", "names", "row", "t", F.col("c.s").alias("sums"))
+
+
+def from_products(rows: DataFrame, schema: str, each: Callable) -> DataFrame:
+    """``each(X'X, t, names)`` gives rows for each panel."""
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row")
+        made = [(pdf["panel_id"].iat[0], *r) for r in each(np.vstack(pdf["sums"].to_list()), int(pdf["t"].iat[0]), list(pdf["names"].iat[0]))]
+        return pd.DataFrame(made, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return rows.groupBy("panel_id").applyInPandas(task, schema)
+
+
+def _loadings(z: DataFrame, r: int) -> DataFrame:
+    each = lambda gram, t, names: [(n, k + 1, float(v)) for n, row in zip(names, K.gram_loadings(gram, r)[0]) for k, v in enumerate(row)]
+    return from_products(products(z), LOADINGS, each)
 
 
 def loadings(obs: DataFrame, r: int) -> DataFrame:
-    return per_panel(obs, LOADINGS, lambda x, _, names: [(n, k + 1, float(v)) for n, row in zip(names, K.static_factors(_z(x), r)[0]) for k, v in enumerate(row)])
+    return _loadings(standard(obs), r)
 
 
 def factors(obs: DataFrame, r: int) -> DataFrame:
-    return per_panel(obs, FACTORS, lambda x, days, _: [(d, k + 1, float(v)) for d, row in zip(days, K.static_factors(_z(x), r)[1]) for k, v in enumerate(row)])
+    z = standard(obs)
+    return project(z, _loadings(z, r)).select("panel_id", "ds", F.col("factor").cast("int").alias("factor"), "value")
+
+
+def factors_at(obs: DataFrame, origin, r: int) -> DataFrame:
+    """Factors at all dates with scaling and loadings from rows up to ``origin``."""
+    known = obs.where(F.col("ds") <= F.lit(origin))
+    return project(scaled(obs, scaling(known)), loadings(known, r))
 
 
 def project(standardised: DataFrame, loading: DataFrame) -> DataFrame:
@@ -48,13 +127,13 @@ def project(standardised: DataFrame, loading: DataFrame) -> DataFrame:
 
 
 def factor_counts(obs: DataFrame, most: int = 8) -> DataFrame:
-    def each(x, days, names):
-        eigen = K.static_factors(_z(x), 1)[2]
-        for rule, k in K.factor_count_ic(eigen, *x.shape, min(most, x.shape[1] - 1)).items():
+    def each(gram, t, names):
+        n, eigen = len(names), K.gram_loadings(gram, 1)[1]
+        for rule, k in K.factor_count_ic(eigen, t, n, min(most, n - 1)).items():
             yield rule, k
-        yield "gap", K.factor_count_gap(eigen / x.shape[0], min(most, x.shape[1] - 6))
+        yield "gap", K.factor_count_gap(eigen / t, min(most, n - 6))
 
-    return per_panel(obs, "panel_id string, rule string, n_factors int", each)
+    return from_products(products(standard(obs)), "panel_id string, rule string, n_factors int", each)
 
 
 def factor_fill(obs: DataFrame, r: int = 2) -> DataFrame:
@@ -62,13 +141,18 @@ def factor_fill(obs: DataFrame, r: int = 2) -> DataFrame:
 
 
 def factor_r2(standardised: DataFrame, loading: DataFrame, factor: DataFrame) -> DataFrame:
-    """``r2`` of each series with the first k factors, and the gain of the k-th, from sums of squared residuals."""
+    """By series and factor k: ``r2`` with the first k factors, ``marginal`` = the gain of the k-th; and the panel's means of them.
+
+    ``factor_share`` is the mean over series of the k-th factor's gain, ``total_share`` that of all up to it.
+    """
     parts = loading.join(factor.withColumnRenamed("value", "f"), ["panel_id", "factor"]).withColumn("part", F.col("loading") * F.col("f"))
     w = Window.partitionBy("panel_id", "series", "ds").orderBy("factor")
     fit = parts.withColumn("fit", F.sum("part").over(w)).join(standardised, ["panel_id", "series", "ds"])
     r2 = fit.groupBy("panel_id", "series", "factor").agg((1 - F.var_samp(F.col("value") - F.col("fit")) / F.var_samp("value")).alias("r2"))
     before = F.lag("r2", 1, 0.0).over(Window.partitionBy("panel_id", "series").orderBy("factor"))
-    return r2.withColumn("marginal", F.col("r2") - before)
+    each = r2.withColumn("marginal", F.col("r2") - before)
+    shares = each.groupBy("panel_id", "factor").agg(F.avg("marginal").alias("factor_share"), F.avg("r2").alias("total_share"))
+    return each.join(shares, ["panel_id", "factor"]).select("panel_id", "series", "factor", "r2", "marginal", "factor_share", "total_share")
 
 
 def top_series(r2: DataFrame, k: int = 10) -> DataFrame:
@@ -76,12 +160,26 @@ def top_series(r2: DataFrame, k: int = 10) -> DataFrame:
     return r2.withColumn("place", n).where(F.col("place") <= k)
 
 
+def _on_factors(factor: DataFrame, schema: str, each: Callable) -> DataFrame:
+    """``each(T x r matrix)`` gives rows for each panel; only r numbers a date meet in a task."""
+    return per_panel(factor.select("panel_id", "ds", F.col("factor").alias("series"), "value"), schema, lambda x, days, names: each(x))
+
+
 def var_orders(obs: DataFrame, r: int = 2, most: int = 4) -> DataFrame:
-    return per_panel(obs, "panel_id string, rule string, p int", lambda x, d, n: list(K.var_order(K.static_factors(_z(x), r)[1], most).items()))
+    return _on_factors(factors(obs, r), "panel_id string, rule string, p int", lambda f: list(K.var_order(f, most).items()))
 
 
 def dynamic_counts(obs: DataFrame, r: int = 4, p: int = 1) -> DataFrame:
-    return per_panel(obs, "panel_id string, n_dynamic int", lambda x, d, n: [(K.dynamic_factor_count(K.static_factors(_z(x), r)[1], p),)])
+    """``rule, n_dynamic``: by the next eigenvalue (``one``) and by all further ones (``rest``)."""
+    n = standard(obs).groupBy("panel_id").agg(F.count_distinct("series").alias("n"))
+    rows = factors(obs, r).join(n, "panel_id").select("panel_id", "ds", F.col("factor").cast("string").alias("series"), "value", "n")
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = pdf.pivot(index="ds", columns="series", values="value").sort_index().to_numpy(float)
+        made = K.dynamic_factor_count(f, p, int(pdf["n"].iat[0]))
+        return pd.DataFrame([(pdf["panel_id"].iat[0], rule, k) for rule, k in zip(("one", "rest"), made)], columns=["panel_id", "rule", "n_dynamic"])
+
+    return rows.groupBy("panel_id").applyInPandas(task, "panel_id string, rule string, n_dynamic int")
 
 
 def two_step_factors(obs: DataFrame, r: int = 2) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.transforms import by_date, KEYS, whole
 from ..kernels.spline import spline_fill_values
-
+from .calendar import ma_fill, trim_bad_edges
 
 
 def before() -> WindowSpec:
@@ -49,27 +49,32 @@ def expanding_stats(obs: DataFrame, first: int = 5) -> DataFrame:
 
 
 def ema(obs: DataFrame, alpha: float = 0.2) -> DataFrame:
-    """e = alpha x + (1 - alpha) e before it, from the first value, without bias adjustment.
+    """e = alpha x + (1 - alpha) e before it, from the first value, without bias adjustment; one pass over each series."""
 
-    A row's value is a fold over the values up to it; a series of 10^4 rows or more is
-    better smoothed in ``applyInPandas``, where the fold runs once.
-    """
-    so_far = F.collect_list("value").over(up_to())
-    fold = F.aggregate(F.slice(so_far, 2, F.size(so_far)), so_far[0], lambda e, x: alpha * x + (1 - alpha) * e)
-    return obs.withColumn("ema", fold)
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ds")
+        return pdf.assign(ema=pdf["value"].ewm(alpha=alpha, adjust=False).mean())
+
+    rows = obs.select(*KEYS, "ds", "value")
+    out = rows.groupBy(*KEYS).applyInPandas(each, f"panel_id string, series string, ds {rows.schema['ds'].dataType.simpleString()}, value double, ema double")
+    blank = F.lit(None).cast("double")
+    return out.withColumns({c: F.nanvl(c, blank) for c in ("value", "ema")})
 
 
 def fft_amplitudes(obs: DataFrame, terms: int = 5) -> DataFrame:
-    """Amplitudes of the first Fourier terms of each strictly earlier prefix, long form."""
+    """Amplitudes of the first Fourier terms of each strictly earlier prefix, long form; only these terms are computed."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
-        x, rows = pdf["value"].to_numpy(float), []
-        for n in range(1, len(x)):
-            amp = np.abs(np.fft.fft(x[:n])[:terms])
-            rows += [(pdf["ds"].iat[n], k, a) for k, a in enumerate(amp)]
-        out = pd.DataFrame(rows, columns=["ds", "term", "amplitude"])
-        return out.assign(panel_id=pdf["panel_id"].iat[0], series=pdf["series"].iat[0])[["panel_id", "series", "ds", "term", "amplitude"]]
+        x, days = pdf["value"].to_numpy(float), pdf["ds"].to_numpy()
+        n, k = len(x), np.arange(terms)
+        amp = np.full((max(n - 1, 0), terms), np.nan)
+        for size in range(1, n):
+            wave = np.exp(-2j * np.pi / size * (np.outer(k[: min(terms, size)], np.arange(size)) % size))
+            amp[size - 1, : len(wave)] = np.abs(wave @ x[:size])
+        out = pd.DataFrame({"ds": np.repeat(days[1:], terms), "term": np.tile(k, max(n - 1, 0)), "amplitude": amp.ravel()})
+        short = np.tile(k, max(n - 1, 0)) >= np.repeat(np.arange(1, n), terms)
+        return out[~short].assign(panel_id=pdf["panel_id"].iat[0], series=pdf["series"].iat[0])[["panel_id", "series", "ds", "term", "amplitude"]]
 
     return obs.groupBy(*KEYS).applyInPandas(each, "panel_id string, series string, ds date, term long, amplitude double")
 
@@ -96,6 +101,29 @@ def spline_fill(obs: DataFrame) -> DataFrame:
     return out.select(*KEYS, "ds", F.nanvl("filled", F.lit(None).cast("double")).alias("filled"))
 
 
+def fill_gaps(obs: DataFrame, mode: int, k: int = 3) -> DataFrame:
+    """``filled`` by one of five ways: 1 moving average at all gaps; 2 dates that lack most series at the edges are cut, then spline, then moving
+    average at what is left; 3 dates without any value at the edges are cut, nothing is filled; 4 as 2 with the cut of 3; 5 as 2 without a cut.
+    """
+    if mode == 1:
+        return ma_fill(obs, k).select(*KEYS, "ds", "filled")
+    rows = trim_bad_edges(obs, all_missing=mode != 2) if mode in (2, 3, 4) else obs
+    if mode == 3:
+        return rows.select(*KEYS, "ds", F.col("value").alias("filled"))
+    return ma_fill(spline_fill(rows).withColumnRenamed("filled", "value"), k).select(*KEYS, "ds", "filled")
+
+
+def enrich(obs: DataFrame, factor: DataFrame, r: int = 2, terms: int = 5, period: int = 31) -> DataFrame:
+    """Values with statistics, Fourier amplitudes and seasonal parts of earlier rows, the exponential average and the panel's factors."""
+    wide = factor.groupBy("panel_id", "ds").pivot("factor", list(range(1, r + 1))).agg(F.first("value"))
+    wide = wide.select("panel_id", "ds", *[F.col(str(k)).alias(f"factor{k}") for k in range(1, r + 1)])
+    waves = fft_amplitudes(obs, terms).groupBy(*KEYS, "ds").pivot("term", list(range(terms))).agg(F.first("amplitude"))
+    waves = waves.select(*KEYS, "ds", *[F.col(str(k)).alias(f"fft{k}") for k in range(terms)])
+    on = [*KEYS, "ds"]
+    out = expanding_stats(obs.select(*on, "value")).join(ema(obs).drop("value"), on).join(seasonal_decompose(obs.select(*on, "value"), period).drop("value"), on)
+    return out.join(waves, on, "left").join(wide, ["panel_id", "ds"])
+
+
 def trend_forecast(obs: DataFrame, z: float = 1.2815515655446004) -> DataFrame:
     """One step ahead from a linear trend over strictly earlier rows, with a band of ``z`` standard errors."""
     seen = obs.withColumn("_t", F.row_number().over(by_date()).cast("double"))

@@ -1,7 +1,7 @@
 """Forecasts and selections on rolling windows by small regressions.
 
-One task holds the matrix of one panel for one (target, horizon, chunk of windows); the chunk
-keeps a large panel from landing in one task.  A window uses labels up to its origin only.
+One task holds the matrix of one panel for a share of its targets and a chunk of windows, which keeps
+a large panel from landing in one task.  A window uses labels up to its origin only.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..kernels import factors as KF
 from ..kernels import linear as KL
 
-FORECAST = "panel_id string, model string, target string, h int, window_id int, origin_ds date, target_ds date, y_true double, y_pred double, err double"
+FORECAST = "panel_id string, model string, target string, h int, window_id int, origin_ds date, target_ds date, y_true double, y_pred double, err double, in_sample double"
 SELECTION = "panel_id string, target string, h int, method string, ic string, window_id int, series string, coef double, lambda double, lambda_idx int"
 
 
@@ -33,75 +33,156 @@ def lambda_grid(obs: DataFrame, target: str, alpha: float = 1.0, steps: int = 20
     return top.select("top", i.alias("idx")).select(F.col("idx").cast("long").alias("idx"), (F.col("top") * (1 - F.col("idx") * (1 - 1e-4) / (steps - 1))).alias("lambda"))
 
 
-def work_list(obs: DataFrame, targets: list[str], horizons: list[int], m: int, chunk: int = 12) -> DataFrame:
-    """``panel_id, target, h, chunk``: one row a task."""
-    panels = obs.select("panel_id").distinct()
-    grid = panels.select("panel_id", F.explode(F.array(*map(F.lit, targets))).alias("target"))
+def work_list(obs: DataFrame, targets: list[str] | None, horizons: list[int], m: int, chunk: int = 12) -> DataFrame:
+    """``panel_id, target, h, chunk``: what is to be done; every series is a target where ``targets`` is None."""
+    if targets is None:
+        grid = obs.select("panel_id", F.col("series").alias("target")).distinct()
+    else:
+        grid = obs.select("panel_id").distinct().select("panel_id", F.explode(F.array(*map(F.lit, targets))).alias("target"))
     grid = grid.select("*", F.explode(F.array(*map(F.lit, horizons))).alias("h"))
     return grid.select("*", F.explode(F.sequence(F.lit(0), F.lit((m - 1) // chunk))).alias("chunk"))
 
 
-def on_windows(obs: DataFrame, work: DataFrame, m: int, schema: str, each: Callable, chunk: int = 12, least: int = 24) -> DataFrame:
-    """Runs ``each(x, y, x_now, info)`` for every window of every task of ``work``.
+def on_windows(obs: DataFrame, work: DataFrame, m: int, schema: str, each: Callable, chunk: int = 12, least: int = 24, parts: int = 4) -> DataFrame:
+    """Runs ``each(x, y, x_now, info)`` for every window of all of ``work``.
 
     ``x``, ``y`` are the training pairs (x[s], y[s+h]) with labels up to the origin, ``x_now`` the row
-    at the origin; ``info`` has names, dates, history and keys.  Series with gaps are left out.
+    at the origin; ``info`` has names, dates, history and keys, and ``shared``, a dict that all targets
+    of one window and horizon have in common.  Series with gaps are left out.
+
+    A task has one chunk of windows and one of ``parts`` shares of a panel's targets, at all horizons,
+    so a panel is shipped once for each chunk and share, whatever the number of targets and horizons.
     """
-    dealt = obs.join(work, "panel_id")
+    key = ["panel_id", "chunk", "part"]
+    todo = work.withColumn("part", F.pmod(F.xxhash64("target"), F.lit(parts)).cast("int"))
+    dealt = obs.select("panel_id", "series", "ds", "value").join(todo.select(*key).distinct(), "panel_id")
+    columns = [c.split()[0] for c in schema.split(", ")]
 
-    def task(pdf: pd.DataFrame) -> pd.DataFrame:
-        target, h, part = pdf["target"].iat[0], int(pdf["h"].iat[0]), int(pdf["chunk"].iat[0])
+    def task(pdf: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
+        rows: list[dict] = []
+        if not len(pdf) or not len(todo):
+            return pd.DataFrame(rows, columns=columns)
+        panel, part = todo["of"].iat[0], int(todo["at"].iat[0])
         wide = pdf.pivot(index="ds", columns="series", values="value").sort_index()
         wide = wide.loc[:, wide.notna().all()]
-        rows: list[dict] = []
-        if target not in wide:
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-        values, y, t = wide.to_numpy(float), wide[target].to_numpy(float), len(wide)
+        values, t, names = wide.to_numpy(float), len(wide), list(wide.columns)
+        place = {n: i for i, n in enumerate(names)}
+        by_h = {int(h): sorted(set(g["target"]) & place.keys()) for h, g in todo.groupby("h")}
         for tt in range(part * chunk, min(m, (part + 1) * chunk)):
-            now = t - m + tt - h  # the origin; its label is row now + h
-            if now - h - tt + 1 < least:
-                continue
-            s = np.arange(tt, now - h + 1)
-            info = {"names": list(wide.columns), "history": values[tt : now + 1], "y": y[tt : now + 1], "h": h, "target": target, "window": tt + 1}
-            base = {"panel_id": pdf["panel_id"].iat[0], "target": target, "h": h, "window_id": tt + 1}
-            for row in each(values[s], y[s + h], values[now], info):
-                if "y_pred" in row:
-                    row |= {"origin_ds": wide.index[now], "target_ds": wide.index[now + h], "y_true": y[now + h], "err": y[now + h] - row["y_pred"]}
-                rows.append(base | row)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+            for h, targets in sorted(by_h.items()):
+                now = t - m + tt - h  # the origin; its label is row now + h
+                if now - h - tt + 1 < least:
+                    continue
+                s = np.arange(tt, now - h + 1)
+                common = {"names": names, "history": values[tt : now + 1], "h": h, "window": tt + 1, "shared": {}}
+                for target in targets:
+                    y = values[:, place[target]]
+                    base = {"panel_id": panel, "target": target, "h": h, "window_id": tt + 1}
+                    for row in each(values[s], y[s + h], values[now], common | {"y": y[tt : now + 1], "target": target}):
+                        if "y_pred" in row:
+                            row |= {"origin_ds": wide.index[now], "target_ds": wide.index[now + h], "y_true": y[now + h], "err": y[now + h] - row["y_pred"]}
+                        rows.append(base | row)
+        return pd.DataFrame(rows, columns=columns)
+
+    other = todo.select(F.col("panel_id").alias("of"), F.col("chunk").alias("at"), F.col("part").alias("share"), "target", "h")
+    return dealt.groupBy(*key).cogroup(other.groupBy("of", "at", "share")).applyInPandas(task, schema)
+
+
+Fitted = tuple[float, float | None, dict[str, float]]
+MODELS: dict[str, Callable[..., Fitted]] = {}
+
+
+def model(name: str) -> Callable:
+    """Registers ``fit_predict(x, y, now, info, **options) -> (prediction, in-sample mean squared error, importances)``."""
+
+    def put(f: Callable[..., Fitted]) -> Callable[..., Fitted]:
+        MODELS[name] = f
+        return f
+
+    return put
+
+
+@model("arp_direct")
+def _(x, y, now, info, **options) -> Fitted:
+    value, _, _, mse = KL.ar_direct(info["y"], info["h"], **options)
+    return value, mse, {}
+
+
+@model("arp_iterated")
+def _(x, y, now, info, **options) -> Fitted:
+    value, _, _, mse = KL.ar_iterated(info["y"], info["h"], **options)
+    return value, mse, {}
+
+
+def _window_factors(info: dict, r: int) -> np.ndarray:
+    if ("factors", r) not in info["shared"]:
+        mean, sd = KL.scale(info["history"])
+        info["shared"]["factors", r] = KF.static_factors((info["history"] - mean) / sd, r)[1]
+    return info["shared"]["factors", r]
+
 
-    return dealt.groupBy("panel_id", "target", "h", "chunk").applyInPandas(task, schema)
+@model("ar_factor")
+def _(x, y, now, info, r: int = 2, most: int = 3, factor_lags: int = 2, ic: str = "bic") -> Fitted:
+    value, _, _, mse = KL.ar_direct(info["y"], info["h"], most, ic, _window_factors(info, r), factor_lags)
+    return value, mse, {}
 
 
-def forecast(obs: DataFrame, work: DataFrame, m: int, model: str, **options) -> DataFrame:
-    """Forecast rows of one model: arp_direct, arp_iterated, ar_factor, lasso, elastic_net, ridge, adaptive_lasso, state."""
+@model("ar_factor_iterated")
+def _(x, y, now, info, r: int = 2, most: int = 3, factor_lags: int = 2, ic: str = "bic") -> Fitted:
+    value, _, _, mse = KL.ar_iterated(info["y"], info["h"], most, ic, _window_factors(info, r), factor_lags)
+    return value, mse, {}
+
+
+@model("state")
+def _(x, y, now, info, r: int = 2) -> Fitted:
+    if ("state", r) not in info["shared"]:
+        info["shared"]["state", r] = KF.state_forecast(KF.two_step(info["history"], r), info["h"])
+    return float(info["shared"]["state", r][info["names"].index(info["target"])]), None, {}
+
+
+def _penalised(method: str, alpha: float) -> Callable[..., Fitted]:
+    def fit_predict(x, y, now, info, **options) -> Fitted:
+        fit = KL.penalised(x, y, info["h"], method, alpha, shared=info["shared"], **options)
+        mse = float(((y - KL.predict(fit, x)) ** 2).mean())
+        return float(KL.predict(fit, now)), mse, dict(zip(info["names"], map(float, fit["coef"])))
+
+    return fit_predict
+
+
+for _name, _method, _alpha in (("lasso", "lasso", 1.0), ("elastic_net", "lasso", 0.5), ("ridge", "ridge", 1.0), ("adaptive_lasso", "adaptive", 1.0)):
+    model(_name)(_penalised(_method, _alpha))
+
+
+def forecast(obs: DataFrame, work: DataFrame, m: int, model: str | Callable[..., Fitted], name: str | None = None, **options) -> DataFrame:
+    """Forecast rows of one model, a name of ``MODELS`` or a function of that protocol; ``in_sample`` is its mean squared error in training."""
+    fit_predict = MODELS[model] if isinstance(model, str) else model
+    label = name or (model if isinstance(model, str) else model.__name__)
 
     def each(x, y, now, info):
-        h = info["h"]
-        if model == "arp_direct":
-            yield {"model": model, "y_pred": KL.ar_direct(info["y"], h, **options)[0]}
-        elif model == "arp_iterated":
-            yield {"model": model, "y_pred": KL.ar_iterated(info["y"], h, **options)[0]}
-        elif model == "ar_factor":
-            mean, sd = KL.scale(info["history"])
-            _, f, _ = KF.static_factors((info["history"] - mean) / sd, options.get("r", 2))
-            yield {"model": model, "y_pred": KL.ar_direct(info["y"], h, options.get("most", 3), "bic", f, options.get("factor_lags", 2))[0]}
-        elif model == "state":
-            fit = KF.two_step(info["history"], options.get("r", 2))
-            yield {"model": model, "y_pred": float(KF.state_forecast(fit, h)[info["names"].index(info["target"])])}
-        else:
-            method = {"ridge": "ridge", "adaptive_lasso": "adaptive"}.get(model, "lasso")
-            fit = KL.penalised(x, y, h, method, 0.5 if model == "elastic_net" else 1.0, **options)
-            yield {"model": model, "y_pred": float(KL.predict(fit, now))}
+        value, mse, _ = fit_predict(x, y, now, info, **options)
+        yield {"model": label, "y_pred": value, "in_sample": mse}
 
     return on_windows(obs, work, m, FORECAST, each)
 
 
+def importances(obs: DataFrame, work: DataFrame, m: int, model: str | Callable[..., Fitted], **options) -> DataFrame:
+    """``feature, importance`` of each window's fit, as the model reports them (coefficients of standardised series); zeros are left out."""
+    fit_predict = MODELS[model] if isinstance(model, str) else model
+    label = model if isinstance(model, str) else model.__name__
+
+    def each(x, y, now, info):
+        for feature, value in fit_predict(x, y, now, info, **options)[2].items():
+            if value:
+                yield {"model": label, "feature": feature, "importance": value}
+
+    return on_windows(obs, work, m, "panel_id string, model string, target string, h int, window_id int, feature string, importance double", each)
+
+
 def select_penalised(obs: DataFrame, work: DataFrame, m: int, alpha: float = 1.0, ic: str = "bic", **options) -> DataFrame:
     """Selected series of each window as sparse rows."""
 
     def each(x, y, now, info):
-        fit = KL.penalised(x, y, info["h"], "lasso", alpha, ic, **options)
+        fit = KL.penalised(x, y, info["h"], "lasso", alpha, ic, shared=info["shared"], **options)
         for j in np.flatnonzero(fit["coef"]):
             yield {"method": f"alpha{alpha}", "ic": ic, "series": info["names"][j], "coef": float(fit["coef"][j]), "lambda": fit["lambda"], "lambda_idx": fit["idx"]}
 
@@ -112,7 +193,7 @@ def lambda_choice(obs: DataFrame, work: DataFrame, m: int, alpha: float = 1.0, i
     """The penalty chosen for each window and how many series it keeps."""
 
     def each(x, y, now, info):
-        fit = KL.penalised(x, y, info["h"], "lasso", alpha, ic, **options)
+        fit = KL.penalised(x, y, info["h"], "lasso", alpha, ic, shared=info["shared"], **options)
         yield {"ic": ic, "lambda": fit["lambda"], "lambda_idx": fit["idx"], "n_selected": int((fit["coef"] != 0).sum())}
 
     return on_windows(obs, work, m, "panel_id string, target string, h int, ic string, window_id int, lambda double, lambda_idx int, n_selected int", each)
@@ -142,10 +223,18 @@ def select_one_per_group(obs: DataFrame, work: DataFrame, m: int, group_of: Call
     return on_windows(obs, work, m, SELECTION, each)
 
 
-def hyperparameter_search(obs: DataFrame, targets: list[str], h: int, candidates: list[dict], splits: int = 5) -> DataFrame:
+def random_candidates(n: int, lags: tuple[int, int] = (1, 12), lam: tuple[float, float] = (1e-3, 1e3), seed: int = 1) -> list[dict]:
+    """``n`` seeded points of the box: lags uniform, penalties uniform in their logarithm."""
+    rng = np.random.default_rng(seed)
+    p = rng.integers(lags[0], lags[1] + 1, n)
+    x = np.exp(rng.uniform(np.log(lam[0]), np.log(lam[1]), n))
+    return [{"lags": int(a), "lambda": float(b)} for a, b in zip(p, x)]
+
+
+def hyperparameter_search(obs: DataFrame, targets: list[str] | None, h: int, candidates: list[dict], splits: int = 5) -> DataFrame:
     """Ridge candidates (penalty and lags) scored over expanding splits of each target; the best by mean score, none scored twice."""
     seen = sorted({(int(c["lags"]), float(c["lambda"])) for c in candidates})
-    series = obs.where(F.col("series").isin(targets) & F.col("value").isNotNull())
+    series = obs.where(F.col("value").isNotNull() & (F.lit(True) if targets is None else F.col("series").isin(targets)))
     many = series.withColumn("c", F.explode(F.array(*[F.struct(F.lit(a).alias("lags"), F.lit(b).alias("lambda")) for a, b in seen])))
     many = many.select("panel_id", "series", "ds", "value", "c.lags", "c.lambda")
 

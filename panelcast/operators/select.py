@@ -17,10 +17,9 @@ def codes(spark) -> DataFrame:
 def selection_codes(selection: DataFrame, bases: DataFrame) -> DataFrame:
     """``window_id, base, code``: the lowest code of the transforms selected, 0 if none."""
     coded = selection.join(F.broadcast(codes(selection.sparkSession)), "transform").groupBy("window_id", "base").agg(F.min("code").alias("code"))  # 24 rows
-    # every window meets every base name by definition of the result
+    # every window meets every base name by definition of the result; the names are one copy a window
     windows = selection.select("window_id").distinct()
-    names = bases.agg(F.collect_set("base").alias("bases"))  # the base names of one vintage
-    grid = windows.join(F.broadcast(names)).select("window_id", F.explode("bases").alias("base"))
+    grid = windows.join(bases.select("base").distinct())
     return grid.join(coded, ["window_id", "base"], "left").withColumn("code", F.coalesce("code", F.lit(0)))
 
 

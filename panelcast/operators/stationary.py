@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.transforms import KEYS
-from ..kernels import tests as K
-from .evaluate import bootstrap_index, phillips_perron
+from ..kernels import inference as K
+from .evaluate import bootstrap_mean, phillips_perron
 
 
 def adf(obs: DataFrame, most: int = 10, ic: str = "bic") -> DataFrame:
@@ -37,17 +37,17 @@ def keep_stationary(obs: DataFrame, mode: str = "both") -> tuple[DataFrame, Data
 def confidence_set(errors: DataFrame, alpha: float = 0.1, draws: int = 200, width: int = 6, statistic: str = "R") -> DataFrame:
     """``place, model, p, kept`` for each panel, target and horizon, from squared errors.
 
-    Bootstrap means are sums over resampled dates; only draws x models numbers of a unit meet in a task.
+    Dates that lack a model are left out.  A model's losses are an array of its unit, and each draw is a fold
+    over it, so nothing is joined; only draws x models numbers of a unit meet in a task.
     """
     by = ["panel_id", "target", "h"]
-    days = errors.select(*by, "ds").distinct()
-    place = F.row_number().over(Window.partitionBy(*by).orderBy("ds")) - 1
-    days = days.withColumn("i", place)
-    losses = errors.join(days, [*by, "ds"]).select(*by, "model", "i", (F.col("err") ** 2).alias("loss"))
-    t = int(days.agg(F.max("i")).first()[0] or 0) + 1
-    index = bootstrap_index(errors.sparkSession, t, draws, width, "stationary")
-    means = losses.join(index, "i").groupBy(*by, "model", "b").agg(F.avg("loss").alias("m"))
-    point = losses.groupBy(*by, "model").agg(F.avg("loss").alias("m")).withColumn("b", F.lit(-1))
+    models = errors.groupBy(*by).agg(F.count_distinct("model").alias("models"))
+    days = errors.groupBy(*by, "ds").agg(F.count_distinct("model").alias("here")).join(models, by).where("here = models").select(*by, "ds")
+    losses = F.array_sort(F.collect_list(F.struct("ds", (F.col("err") ** 2).alias("loss"))))
+    arrays = errors.join(days, [*by, "ds"], "left_semi").groupBy(*by, "model").agg(losses.alias("v")).select(*by, "model", F.col("v.loss").alias("v"))
+    point = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")
+    drawn = arrays.withColumn("b", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(draws - 1).cast("long"))))
+    every = drawn.select(*by, "model", "b", F.when(F.col("b") < 0, point).otherwise(bootstrap_mean(F.col("v"), F.col("b"), width, "stationary")).alias("m"))
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="b", columns="model", values="m").sort_index()
@@ -55,6 +55,5 @@ def confidence_set(errors: DataFrame, alpha: float = 0.1, draws: int = 200, widt
         first = pdf.iloc[0]
         return pd.DataFrame([(first["panel_id"], first["target"], first["h"], k + 1, wide.columns[i], float(q), bool(q >= alpha)) for k, (i, q) in enumerate(zip(order, p))], columns=["panel_id", "target", "h", "place", "model", "p", "kept"])
 
-    every = point.select(*by, "model", "b", "m").unionByName(means.select(*by, "model", "b", "m"))
     return every.groupBy(*by).applyInPandas(each, "panel_id string, target string, h int, place int, model string, p double, kept boolean")
 

@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transforms import by_date, KEYS
+from .factors import factors_at
 from .features import lag_features
 
 FORECAST = "panel_id string, model string, target string, h int, origin_ds date, target_ds date, y_true double, y_pred double, err double"
 
 
-def pooled_features(obs: DataFrame, h: int, lags: int = 4, factor: DataFrame | None = None) -> DataFrame:
-    """Rows with the value and its lags, means of the panel, factors, and ``y`` = the value h steps later."""
+def pooled_features(obs: DataFrame, h: int, lags: int = 4) -> DataFrame:
+    """Rows with the value and its lags, the mean of the panel, and ``y`` = the value h steps later."""
     rows = lag_features(obs, lags).withColumn("y", F.lead("value", h).over(by_date())).withColumn("target_ds", F.lead("ds", h).over(by_date()))
-    rows = rows.withColumn("panel_mean", F.avg("value").over(Window.partitionBy("panel_id", "ds")))
-    if factor is not None:
-        wide = factor.groupBy("panel_id", "ds").pivot("factor", [1, 2]).agg(F.first("value"))
-        rows = rows.join(wide.select("panel_id", "ds", F.col("1").alias("factor1"), F.col("2").alias("factor2")), ["panel_id", "ds"])
-    return rows
+    return rows.withColumn("panel_mean", F.avg("value").over(Window.partitionBy("panel_id", "ds")))
 
 
 def feature_names(rows: DataFrame) -> list[str]:
@@ -34,41 +34,99 @@ def learner(kind: str, trees: int, seed: int = 7):
     return RandomForestRegressor(numTrees=trees, maxDepth=6, featureSubsetStrategy="all" if kind == "bagged" else "onethird", **common)
 
 
-def tree_forecast(rows: DataFrame, h: int, m: int, kind: str = "forest", trees: int = 20, refit: int = 12) -> DataFrame:
-    """Forecasts of the last ``m`` origins; the model is fitted anew every ``refit`` origins on labels known by then."""
-    names = feature_names(rows)
-    whole = VectorAssembler(inputCols=names, outputCol="x", handleInvalid="skip").transform(rows.dropna(subset=names))
-    days = [r.target_ds for r in whole.where("target_ds is not null").select("target_ds").distinct().orderBy(F.desc("target_ds")).limit(m).collect()][::-1]  # m dates
+def _by_refit(obs: DataFrame, h: int, m: int, kind: str, trees: int, refit: int, rows_at: Callable, work: DataFrame | None) -> DataFrame:
+    """Forecasts of the last ``m`` dates; every ``refit`` of them a new fit of ``rows_at(origin, window)`` on labels known at its first origin.
+
+    ``rows_at`` gives rows ``panel_id, series, ds, target_ds, y, x``.  With ``work(panel_id, target, h)`` only
+    its targets are forecast.
+    """
+    spark = obs.sparkSession
+    days = [r.ds for r in obs.select("ds").distinct().orderBy(F.desc("ds")).limit(m + h).collect()][::-1]  # m + h dates
+    if work is not None:
+        work = work.where(F.col("h") == h).select("panel_id", F.col("target").alias("series")).distinct()
+        if work.isEmpty():
+            return spark.createDataFrame([], FORECAST)
     out = None
-    for at in range(0, len(days), refit):
-        part = days[at : at + refit]
-        tested = whole.where(F.col("target_ds").between(F.lit(part[0]), F.lit(part[-1])))
-        origin = tested.agg(F.min("ds")).first()[0]
+    for at in range(0, len(days) - h, refit):
+        origin, part = days[at], days[at + h : at + h + refit]
+        whole = rows_at(origin, at + 1)
         known = whole.where((F.col("target_ds") <= F.lit(origin)) & F.col("y").isNotNull())
         if known.isEmpty():
             continue
-        pred = learner(kind, trees).fit(known).transform(tested.where("y is not null"))
+        tested = whole.where(F.col("target_ds").between(F.lit(part[0]), F.lit(part[-1])) & F.col("y").isNotNull())
+        if work is not None:
+            tested = tested.join(work, ["panel_id", "series"], "left_semi")
+        pred = learner(kind, trees).fit(known.select("x", "y")).transform(tested)
         one = pred.select(
             "panel_id", F.lit(kind).alias("model"), F.col("series").alias("target"), F.lit(h).alias("h"), F.col("ds").alias("origin_ds"), "target_ds",
             F.col("y").alias("y_true"), F.col("prediction").alias("y_pred"), (F.col("y") - F.col("prediction")).alias("err"),
         )
         out = one if out is None else out.unionByName(one)
-    return rows.sparkSession.createDataFrame([], FORECAST) if out is None else out
+    return spark.createDataFrame([], FORECAST) if out is None else out
+
+
+def tree_forecast(obs: DataFrame, h: int, m: int, kind: str = "forest", trees: int = 20, refit: int = 12, lags: int = 4, r: int = 0, work: DataFrame | None = None) -> DataFrame:
+    """Forecasts of the last ``m`` dates from pooled features and, with ``r``, that many factors of the panel.
+
+    Scaling and loadings of the factors come from rows up to the first origin of each refit.
+    """
+    rows = pooled_features(obs, h, lags)
+
+    def rows_at(origin, window: int) -> DataFrame:
+        now = rows
+        if r:
+            wide = factors_at(obs, origin, r).groupBy("panel_id", "ds").pivot("factor", list(range(1, r + 1))).agg(F.first("value"))
+            now = rows.join(wide.select("panel_id", "ds", *[F.col(str(k)).alias(f"factor{k}") for k in range(1, r + 1)]), ["panel_id", "ds"])
+        names = feature_names(now)
+        return VectorAssembler(inputCols=names, outputCol="x", handleInvalid="skip").transform(now.dropna(subset=names))
+
+    return _by_refit(obs, h, m, kind, trees, refit, rows_at, work)
+
+
+def preselected_forecast(obs: DataFrame, selection: DataFrame, h: int, m: int, kind: str = "forest", trees: int = 20, refit: int = 1, lags: int = 4) -> DataFrame:
+    """Forecasts of the targets of ``selection(panel_id, target, h, window_id, series)`` from their lags and the series selected for the window.
+
+    Window i has the i-th of the last ``m`` dates for its target date.  A fit serves ``refit`` windows with the
+    selection of the first of them, so none sees a later one; series that are not selected count as zero.
+    Panels must be complete.
+    """
+    own = lag_features(obs, lags).withColumns({"y": F.lead("value", h).over(by_date()), "target_ds": F.lead("ds", h).over(by_date())})
+    own = own.dropna(subset=["value", *[f"value_lag{k}" for k in range(1, lags + 1)]])
+    places = F.array_sort(F.collect_list(F.struct("series", "value")))
+    others = obs.groupBy("panel_id", "ds").agg(places.alias("v")).select("panel_id", "ds", F.col("v.series").alias("names"), F.col("v.value").alias("others"))
+    width = others.agg(F.max(F.size("names"))).first()[0] or 0
+
+    def rows_at(origin, window: int) -> DataFrame:
+        chosen = selection.where((F.col("window_id") == window) & (F.col("h") == h)).groupBy("panel_id", F.col("target").alias("series")).agg(F.collect_set(selection["series"]).alias("chosen"))
+        rows = own.join(chosen, list(KEYS)).join(others, ["panel_id", "ds"])
+        kept = F.zip_with("names", "others", lambda n, v: F.when(F.array_contains("chosen", n), v).otherwise(0.0))
+        padded = F.concat(kept, F.array_repeat(F.lit(0.0), F.lit(width) - F.size("names")))
+        x = array_to_vector(F.concat(F.array("value", *[f"value_lag{k}" for k in range(1, lags + 1)]), padded))
+        return rows.select(*KEYS, "ds", "target_ds", "y", x.alias("x"))
+
+    return _by_refit(obs, h, m, kind, trees, refit, rows_at, None)
 
 
-def permutation_importance(rows: DataFrame, trees: int = 20, kind: str = "forest", names: list[str] | None = None) -> DataFrame:
-    """``feature, importance``: rise of the mean squared error when one feature's values trade places in a hashed order.
+def permutation_importance(rows: DataFrame, trees: int = 20, kind: str = "forest", names: list[str] | None = None, share: float = 0.7, parts: int = 16) -> DataFrame:
+    """``feature, importance``: rise of the held-out mean squared error when one feature's values trade places.
 
-    Features are the rows of one exploded copy; the places are two row numbers joined on equality.
+    The model learns from labels known by the date at ``share`` of the rows and is scored on later rows.
+    Values trade places in a hashed order within each of ``parts`` hashed shares of a panel: features are the
+    rows of one exploded copy, places are two row numbers joined on equality.
     """
     names = names or feature_names(rows)
-    good = rows.dropna(subset=[*names, "y"]).select(*KEYS, "ds", "y", *names)
-    model = learner(kind, trees).fit(VectorAssembler(inputCols=names, outputCol="x").transform(good))
-    key = Window.partitionBy("panel_id").orderBy("series", "ds")
-    hashed = Window.partitionBy("panel_id").orderBy(F.xxhash64("series", "ds", F.lit(5)), "series", "ds")
-    a = good.withColumn("_i", F.row_number().over(key))
-    b = good.withColumn("_i", F.row_number().over(hashed)).select("panel_id", "_i", *[F.col(n).alias(f"_p_{n}") for n in names])
-    many = a.join(b, ["panel_id", "_i"]).withColumn("feature", F.explode(F.array(F.lit(""), *map(F.lit, names))))
+    good = rows.dropna(subset=[*names, "y"]).select(*KEYS, "ds", "target_ds", "y", *names)
+    day = F.unix_date(F.col("ds").cast("date"))
+    split = good.agg(F.percentile_approx(day, share)).first()[0]
+    if split is None:
+        return rows.sparkSession.createDataFrame([], "feature string, importance double")
+    model = learner(kind, trees).fit(VectorAssembler(inputCols=names, outputCol="x").transform(good.where(F.unix_date(F.col("target_ds").cast("date")) <= split)))
+    held = good.where(day >= split).withColumn("_part", F.pmod(F.xxhash64("series", "ds", F.lit(3)), F.lit(parts)))
+    key = Window.partitionBy("panel_id", "_part").orderBy("series", "ds")
+    hashed = Window.partitionBy("panel_id", "_part").orderBy(F.xxhash64("series", "ds", F.lit(5)), "series", "ds")
+    a = held.withColumn("_i", F.row_number().over(key))
+    b = held.withColumn("_i", F.row_number().over(hashed)).select("panel_id", "_part", "_i", *[F.col(n).alias(f"_p_{n}") for n in names])
+    many = a.join(b, ["panel_id", "_part", "_i"]).withColumn("feature", F.explode(F.array(F.lit(""), *map(F.lit, names))))
     many = many.select("feature", "y", *[F.when(F.col("feature") == n, F.col(f"_p_{n}")).otherwise(F.col(n)).alias(n) for n in names])
     scored = model.transform(VectorAssembler(inputCols=names, outputCol="x").transform(many))
     mse = scored.groupBy("feature").agg(F.avg((F.col("y") - F.col("prediction")) ** 2).alias("mse"))
@@ -84,10 +142,10 @@ def best_per_group(importance: DataFrame, groups: dict[str, str]) -> DataFrame:
     )
 
 
-def select_recursive(rows: DataFrame, groups: dict[str, str], rounds: int = 3, trees: int = 10) -> DataFrame:
-    """Round by round the most important feature; its whole group leaves before the next."""
+def select_recursive(rows: DataFrame, groups: dict[str, str], rounds: int | None = None, trees: int = 10) -> DataFrame:
+    """Round by round the most important feature; its whole group leaves before the next, until no group is left."""
     left, picked = sorted(groups), []
-    for k in range(rounds):
+    for k in range(len(set(groups.values())) if rounds is None else rounds):
         if not left:
             break
         top = permutation_importance(rows, trees, names=left).orderBy(F.desc("importance"), "feature").first()
@@ -100,4 +158,4 @@ def wide_features(obs: DataFrame, target: str, names: list[str], h: int) -> Data
     """One row a date: the values of ``names`` as columns ``f0, f1, ...`` and ``y`` = the target h steps later."""
     wide = obs.groupBy("panel_id", "ds").pivot("series", names).agg(F.first("value"))
     wide = wide.select("panel_id", F.lit(target).alias("series"), "ds", F.col(f"`{target}`").alias("_t"), *[F.col(f"`{n}`").alias(f"f{i}") for i, n in enumerate(names)])
-    return wide.withColumn("y", F.lead("_t", h).over(by_date())).drop("_t")
+    return wide.withColumns({"y": F.lead("_t", h).over(by_date()), "target_ds": F.lead("ds", h).over(by_date())}).drop("_t")

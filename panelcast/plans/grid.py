@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from ..operators import linear as L
 from ..operators.evaluate import open_work
-from ..operators.trees import pooled_features, tree_forecast
+from ..operators.trees import tree_forecast
 
 TREES = ("forest", "bagged", "boosted")
+KEY = ["panel_id", "target", "h"]
 
 
-def run_models(obs: DataFrame, targets: list[str], horizons: list[int], models: list[str], m: int, done: DataFrame | None = None, trees: int = 20) -> DataFrame:
-    """Forecast rows of every open (panel, target, horizon, model); ``done`` has the keys already stored."""
+def run_models(obs: DataFrame, targets: list[str] | None, horizons: list[int], models: list[str], m: int, done: DataFrame | None = None, trees: int = 20, refit: int = 12) -> DataFrame:
+    """Forecast rows of every open (panel, target, horizon, model); ``done`` has the keys already stored.
+
+    A tree model whose targets are all done at a horizon isn't fitted there.
+    """
     out = None
     for model in models:
+        work = L.work_list(obs, targets, horizons, m)
+        if done is not None:
+            work = open_work(work, done.where(F.col("model") == model), KEY)
         if model in TREES:
             for h in horizons:
-                rows = tree_forecast(pooled_features(obs, h), h, m, model, trees)
-                out = _add(out, rows.where(F.col("target").isin(targets)))
+                out = _add(out, tree_forecast(obs, h, m, model, trees, refit, work=work.select(*KEY).distinct()))
             continue
-        work = L.work_list(obs, targets, horizons, m)
-        if done is not None:
-            work = open_work(work, done.where(F.col("model") == model), ["panel_id", "target", "h"])
         out = _add(out, L.forecast(obs, work, m, model).select("panel_id", "model", "target", "h", "origin_ds", "target_ds", "y_true", "y_pred", "err"))
     return out
 

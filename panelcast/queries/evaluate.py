@@ -19,7 +19,7 @@ def errors(spark, d, name="brand"):
     return E.simple_errors(dense(spark, d, name), (1, 3), M)
 
 
-def _errors_sql(source: str = "d") -> str:
+def _errors_sql(source: str = "d", m: int = M, name: str = "e") -> str:
     one = []
     for h in (1, 3):
         x = f"(select *, lag(value, {h}) over (partition by panel_id, series order by ds) as x from {source})"
@@ -33,7 +33,7 @@ def _errors_sql(source: str = "d") -> str:
             f"select panel_id, '{n}' as model, series as target, {h} as h, ds, value as y_true, {p} as pred, row_number() over (partition by panel_id, series order by ds desc) as n from {x}"
             for n, p in preds.items()
         ]
-    return ", e as (select panel_id, model, target, h, ds, y_true, round(pred, 6) as y_pred, round(y_true - pred, 6) as err from (" + " union all ".join(one) + f") where n <= {M} and y_true is not null and pred is not null)"
+    return f", {name} as materialized (select panel_id, model, target, h, ds, y_true, round(pred, 6) as y_pred, round(y_true - pred, 6) as err from (" + " union all ".join(one) + f") where n <= {m} and y_true is not null and pred is not null)"
 
 
 ERR = _errors_sql()
@@ -64,7 +64,7 @@ def a02(spark, d):
     return E.relative_mse(errors(spark, d)).withColumn("relative", r8("relative"))
 
 
-@q("j03_against_benchmark", "select panel_id, target, h, ds, e.model, e.y_true, e.y_pred, e.err, b.err as err_b from e join e b using (panel_id, target, h, ds) where b.model = 'arp'")
+@q("j03_against_benchmark", ", b as materialized (select panel_id, target, h, ds, err from e where model = 'arp') select panel_id, target, h, ds, e.model, e.y_true, e.y_pred, e.err, b.err as err_b from e join b using (panel_id, target, h, ds)")
 def j03(spark, d):
     return E.against_benchmark(errors(spark, d))
 
@@ -74,7 +74,7 @@ def a03(spark, d):
     return E.all_targets(errors(spark, d)).withColumns({c: F.round(c, 6) for c in ("mse_of_mean", "mean_of_mse")})
 
 
-@query("a04_totals", sql("brand", ERR + f", o as (select 'order' as panel_id, o_orderpriority as series, date_trunc('month', o_orderdate)::date as ds, sum(o_totalprice::decimal(18,2))::double / 1000 as value from orders group by all), " + _errors_sql("o")[2:].replace("e as (", "eo as (", 1) + f", x as (select * from e union all select * from eo) select coalesce(panel_id, 'all') as panel_id, model, h, coalesce(target, 'all') as target, round({SQ}, 4) as mse from x group by grouping sets ((panel_id, model, h, target), (model, h, target), (panel_id, model, h))"))
+@query("a04_totals", sql("brand", ERR + f", o as (select 'order' as panel_id, o_orderpriority as series, date_trunc('month', o_orderdate)::date as ds, sum(o_totalprice::decimal(18,2))::double / 1000 as value from orders group by all), " + _errors_sql("o", name="eo")[2:] + f", x as (select * from e union all select * from eo) select coalesce(panel_id, 'all') as panel_id, model, h, coalesce(target, 'all') as target, round({SQ}, 4) as mse from x group by grouping sets ((panel_id, model, h, target), (model, h, target), (panel_id, model, h))"))
 def a04(spark, d):
     both = errors(spark, d).unionByName(E.simple_errors(panel(spark, d, "order"), (1, 3), M))
     return E.totals(both).withColumn("mse", F.round("mse", 4))
@@ -85,12 +85,22 @@ def a05(spark, d):
     return errors(spark, d).groupBy(*UNIT).agg(r8(F.avg("err")).alias("mean"), F.round(F.var_pop("err"), 6).alias("variance"))
 
 
-@q("a06_scores", f"select panel_id, model, target, h, round({SQ}, 6) as mse, round(sqrt({SQ}), 6) as rmse, round(median(abs(err)), 8) as medae, round(100 * avg(abs(err) / abs(y_true)), 6) as mape, round(200 * avg(abs(err) / (abs(y_true) + abs(y_pred))), 6) as smape, round(abs(corr(y_true, y_pred)), 6) as abs_corr, round(1 - regr_slope(y_pred, y_true), 6) as slope_gap from e group by all")
+@q("a06_scores", _errors_sql(m=2 * M, name="w") + f", t as (select panel_id, model, target, h, {SQ} as mse_in from w anti join e using (panel_id, model, target, h, ds) group by all), s as (select panel_id, model, target, h, {SQ} as mse, round(sqrt({SQ}), 6) as rmse, round(median(abs(err)), 8) as medae, round(100 * avg(abs(err) / abs(y_true)), 6) as mape, round(200 * avg(abs(err) / (abs(y_true) + abs(y_pred))), 6) as smape, round(abs(corr(y_true, y_pred)), 6) as abs_corr, round(1 - regr_slope(y_pred, y_true), 6) as slope_gap from e group by all) select s.* exclude (mse), round(mse, 6) as mse, round(mse / nullif(mse_in, 0), 6) as fit_ratio from s left join t using (panel_id, model, target, h)")
 def a06(spark, d):
-    out = E.scores(errors(spark, d))
+    test = errors(spark, d)
+    both = E.simple_errors(dense(spark, d, "brand"), (1, 3), 2 * M)
+    train = both.join(test.select(*UNIT, "ds"), [*UNIT, "ds"], "left_anti")  # the errors of the years before
+    out = E.scores(test, train=train)
     return out.select(*UNIT, *[F.round(c, 8 if c == "medae" else 6).alias(c) for c in out.columns if c not in UNIT])
 
 
+@q("a06_accuracy", ", b as (select panel_id, target, h, ds, arg_min(model, (abs(err), model)) as y_true from e group by all), l as (select *, lag(y_true) over (partition by panel_id, target, h order by ds) as y_pred from b) select panel_id, h, round(avg((y_true = y_pred)::int), 8) as accuracy, count(*) as n from l where y_pred is not null group by all")
+def a06_accuracy(spark, d):
+    best = E.best_models(errors(spark, d)).withColumnRenamed("model", "y_true")
+    before = F.lag("y_true").over(Window.partitionBy("panel_id", "target", "h").orderBy("ds"))  # yesterday's best model as the guess
+    return E.accuracy(best.withColumn("y_pred", before), ("panel_id", "h")).withColumn("accuracy", r8("accuracy"))
+
+
 @q("a12_win_counts", ", b as (select panel_id, target, h, ds, arg_min(model, (abs(err), model)) as model from e group by all) select panel_id, h, model, count(*) as wins from b group by all")
 def a12(spark, d):
     return E.win_counts(errors(spark, d))
@@ -121,9 +131,9 @@ def a13(spark, d):
     return E.pivot_models(errors(spark, d), ("rw", "ma3", "arp"))
 
 
-@q("a14_results_table", ", r as (select e.panel_id, e.model, e.target, e.h, avg(e.err * e.err) / avg(b.err * b.err) as relative from e join e b using (panel_id, target, h, ds) where b.model = 'arp' group by all) select panel_id, model, h, " + ", ".join(f"round(max(relative) filter (target = 'Brand#{i}'), 8) as \"Brand#{i}\"" for i in (1, 2, 3)) + " from r group by all")
+@q("a14_results_table", ", r as (select e.panel_id, e.model, e.target, e.h, avg(e.err * e.err) / avg(b.err * b.err) as relative from e join e b using (panel_id, target, h, ds) where b.model = 'arp' group by all) select panel_id, model, h, " + ", ".join(f"round(max(relative) filter (target = 'Brand#{i}'), 8) as \"Brand#{i}\"" for i in range(1, 26)) + " from r group by all")
 def a14(spark, d):
-    names = [f"Brand#{i}" for i in (1, 2, 3)]
+    names = [f"Brand#{i}" for i in range(1, 26)]
     return E.results_table(errors(spark, d), names).withColumns({c: r8(f"`{c}`") for c in names})
 
 
@@ -160,7 +170,7 @@ def j09(spark, d):
     return E.errors_to_predictions(errors(spark, d), truth).withColumn("y_pred", F.round("y_pred", 6))
 
 
-_CRISIS = f", c as (select distinct unnest(generate_series(a, b, interval 1 month))::date as ds from {RECESSIONS_SQL}), cal as (select distinct ds as date, case when ds in (select ds from c) then 'crisis' else 'non-crisis' end as crisis from d)"
+CRISIS_SQL = _CRISIS = f", c as (select distinct unnest(generate_series(a, b, interval 1 month))::date as ds from {RECESSIONS_SQL}), cal as (select distinct ds as date, case when ds in (select ds from c) then 'crisis' else 'non-crisis' end as crisis from d)"
 
 
 def calendar(spark, d):
@@ -228,7 +238,7 @@ def t07(spark, d):
 
 
 # --- selections: the five largest brands of each month stand for a selection ------------------------
-_SEL = ", r as (select *, row_number() over (partition by ds order by value desc, series) as n from p), s as (select ds as window_id, 'Brand#' || (1 + month(ds) % 3) as target, series as base, case when n % 2 = 0 then 'dif_log' else 'lvl' end as transform, n from r where n <= 5)"
+SELECTION_SQL = _SEL = ", r as (select *, row_number() over (partition by ds order by value desc, series) as n from p), s as (select ds as window_id, 'Brand#' || (1 + month(ds) % 3) as target, series as base, case when n % 2 = 0 then 'dif_log' else 'lvl' end as transform, n from r where n <= 5)"
 
 
 def selection(spark, d):
@@ -254,9 +264,10 @@ def a10(spark, d):
     return E.minmax_normalise(counts, "n", "k").drop("k").withColumn("scaled", r8("scaled"))
 
 
-@query("a11_min_selected", sql("brand", _SEL + ", c as (select target, window_id, count(*) as n from s group by all) select target, min(n) as least from c group by target having min(n) < 9"))
+@query("a11_min_selected", sql("brand", _SEL + ", w as (select distinct 'Brand#' || (1 + month(ds) % 3) as target, ds as window_id from p), c as (select target, window_id, count(*) as n from s where month(window_id) <> 6 group by all) select target, min(coalesce(n, 0)) as least from w left join c using (target, window_id) group by target having min(coalesce(n, 0)) < 5"))
 def a11(spark, d):
-    return E.min_selected(selection(spark, d), 9)
+    every = selection(spark, d)
+    return E.min_selected(every.where("month(window_id) <> 6"), every, 5)  # nothing is selected in June
 
 
 @query("k04_selection_code", sql("brand", _SEL + ", b as (select distinct series as base from p), w as (select distinct window_id from s) select w.window_id, b.base, coalesce(min(case transform when 'lvl' then 1 when 'dif_log' then 5 end), 0) as code from w cross join b left join s on s.window_id = w.window_id and s.base = b.base group by all"))

@@ -81,9 +81,20 @@ def w_all_7(spark, d):
     return T.apply_all(dense(spark, d, "brand")).select(*KEYS, "transform", r8("value").alias("value"))
 
 
-@query("w_all_24")
+_ALL24 = _BOX[: _BOX.index("select panel_id, series, ds, lam,")].rstrip() + ", x24 as (select panel_id, series, ds, " + ", ".join(f"{_FORMULA[c]} as c{c}" for c in range(1, 12)) + f" from d {WIN}), b24 as (select panel_id, series, ds, case when abs(lam) < 1e-9 then ln(value) else (pow(value, lam) - 1) / lam end as c12 from d left join b using (panel_id, series)), u24 as materialized (" + " union all ".join(f"select panel_id, series, ds, '{T.NAMES[c]}' as transform, c{c} as value from {'b24' if c == 12 else 'x24'}" for c in range(1, 13)) + """),
+n24 as (select *, row_number() over (partition by panel_id, series, transform order by ds) as n from u24),
+m24 as (select *, min(case when value is not null then n end) over (partition by panel_id, series, transform) as f from n24)
+select panel_id, series, ds, transform, round(value, case transform when 'box' then 5 else 8 end) + 0.0 as value from u24
+union all
+select panel_id, series, ds, transform || '_detrended', round(case when n - f < 12 then value
+  when count(value) over q = 12 then value - avg(value) over q end, case transform when 'box' then 5 else 8 end) + 0.0
+from m24 window q as (partition by panel_id, series, transform order by ds rows between 12 preceding and 1 preceding)"""
+
+
+@query("w_all_24", sql("brand", _ALL24))
 def w_all_24(spark, d):
-    return T.apply_all(dense(spark, d, "brand"), tuple(range(1, 13)), detrend=True).select(*KEYS, "transform", "value")
+    rounded = F.when(F.col("transform").startswith("box"), F.round("value", 5)).otherwise(F.round("value", 8)) + F.lit(0.0)
+    return T.apply_all(dense(spark, d, "brand"), tuple(range(1, 13)), detrend=True).select(*KEYS, "transform", rounded.alias("value"))
 
 
 _TCODE = ", t as (select panel_id, series, ds, substr(series, 7)::int % 7 + 1 as tcode, " + ", ".join(f"{_FORMULA[c]} as c{c}" for c in range(1, 8)) + f" from d {WIN}) select panel_id, series, ds, case tcode " + " ".join(f"when {c} then '{T.NAMES[c]}'" for c in range(1, 8)) + " end as transform, round(case tcode " + " ".join(f"when {c} then c{c}" for c in range(1, 8)) + " end, 8) + 0.0 as value from t"
@@ -91,7 +102,7 @@ _TCODE = ", t as (select panel_id, series, ds, substr(series, 7)::int % 7 + 1 as
 
 @query("j01_apply_tcode", sql("brand", _TCODE))
 def j01(spark, d):
-    meta = table(spark, d, "part").select(F.col("p_brand").alias("series")).distinct().withColumn("tcode", F.substring("series", 7, 9).cast("int") % 7 + 1)
+    meta = table(spark, d, "part").select(F.lit("brand").alias("panel_id"), F.col("p_brand").alias("series")).distinct().withColumn("tcode", F.substring("series", 7, 9).cast("int") % 7 + 1)
     return T.apply_tcode(dense(spark, d, "brand"), meta).select(*KEYS, "transform", r8("value").alias("value"))
 
 
@@ -136,7 +147,7 @@ def p03(spark, d):
 
 _HEAD = _LATE + """, n as (select *, row_number() over (partition by panel_id, series order by ds) as n, count(*) over (partition by panel_id, series) as t from l),
 h as (select series, avg((value is null)::int) as share from n where n <= least(ceil((t - 24) * 0.81 / 100) * 100, t) group by series)
-select * from l where series not in (select series from h where share > 0.8)"""
+select l.* from l anti join (select series from h where share > 0.8) x using (series)"""
 
 
 @query("p04_drop_sparse_head", sql("part", _HEAD))
@@ -350,6 +361,15 @@ def w23(spark, d):
     return X.spline_fill(dense(spark, d, "part"))
 
 
+@query("w23_fill_gaps")
+def w23_modes(spark, d):
+    obs, out = dense(spark, d, "supp"), None
+    for mode in range(1, 6):
+        rows = X.fill_gaps(obs, mode).withColumn("mode", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("w27_trend_forecast", sql("supp", ", n as (select *, row_number() over (partition by panel_id, series order by ds)::double as t from p), s as (select *, regr_slope(value, t) over q as b, regr_intercept(value, t) over q as a, count(*) over q as n, avg(t) over q as mt, regr_sxx(value, t) over q as sxx, regr_syy(value, t) over q as syy, regr_sxy(value, t) over q as sxy from n window q as (partition by panel_id, series order by ds rows between unbounded preceding and 1 preceding)) select panel_id, series, ds, round(a + b * t, 7) as yhat, round(1.2815515655446004 * sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2)) * sqrt(1 + 1 / n + (t - mt) * (t - mt) / sxx), 5) as half from s where n > 2"))
 def w27(spark, d):
     out = X.trend_forecast(panel(spark, d, "supp"))
@@ -365,13 +385,13 @@ def c04(spark, d):
     return C.time_series_split(panel(spark, d, "flag"), 5)
 
 
-_BLOCK = ", t as (select panel_id, series, count(*) as t from p group by all), k as (select *, floor(t * 0.6)::int as train from t), b as (select *, floor((t - train - 6) / 6)::int as blocks from k), m as (select b.*, x.x as block from b join range(1, 100) x(x) on x.x <= blocks) select panel_id, series, block, (block - 1) * 6 + 1 as train_from, (block - 1) * 6 + train as train_to, (block - 1) * 6 + train + 3 + 1 - 1 as test_from, case when block = blocks then t - 3 else (block - 1) * 6 + train + 3 + 5 end as test_to from m"
+_BLOCK = ", t as (select panel_id, series, count(*) as t from p group by all), k as (select *, floor(t * 0.7)::int as train from t), b as (select *, floor((t - train - 6) / 5)::int as blocks from k), m as (select b.*, x.x as block from b join range(1, 100) x(x) on x.x <= blocks) select panel_id, series, block, (block - 1) * 5 + 1 as train_from, (block - 1) * 5 + train as train_to, (block - 1) * 5 + train + 3 + 1 as test_from, case when block = blocks then t - 3 else (block - 1) * 5 + train + 3 + 5 end as test_to from m"
 
 
 @query("c02_block_splits", sql("flag", _BLOCK))
 def c02(spark, d):
     lengths = panel(spark, d, "flag").groupBy("panel_id", "series").agg(F.count(F.lit(1)).alias("t"))
-    return C.block_splits(lengths, 3, 0.6, 6)
+    return C.block_splits(lengths, 3, 0.7, 5)
 
 
 @query("d01_decimal_date", sql("flag", "select distinct ds, year(ds) + month(ds) / 12.0 as dec, ds as back from d"))

@@ -17,22 +17,24 @@ _OWN: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``, which all executors share; a temporary folder only where that is unset."""
+    """A new path in ``spark.checkpoint.dir``, which all executors share; a temporary folder only in a local session without that setting."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="panelcast-"))
-    return f"{top.rstrip('/')}/panelcast/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/panelcast/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def read_vintage(spark: SparkSession, path: str, sep: str = ",", panel: str = "vintage", date_format: str = "yyyy-MM-dd") -> tuple[DataFrame, DataFrame]:
-    """``obs`` and ``series_meta(series, tcode)`` from a wide file: names, then codes, then one row a month; blanks are NULL."""
+    """``obs`` and ``series_meta(panel_id, series, tcode)`` from a wide file: names, then codes, then one row a month; blanks are NULL."""
     raw = spark.read.csv(path, sep=sep, header=True)
     first, *names = raw.columns
     day = F.try_to_timestamp(F.col(f"`{first}`"), F.lit(date_format)).cast("date")
     long = raw.select(F.col(f"`{first}`").alias("_label"), day.alias("ds"), *[F.col(f"`{n}`") for n in names]).unpivot(["_label", "ds"], [F.col(f"`{n}`") for n in names], "series", "_v")
     long = long.withColumn("series", clean_name(F.col("series"))).withColumn("value", F.expr("try_cast(trim(_v) as double)"))
     obs = long.where("ds is not null").select(F.lit(panel).alias("panel_id"), "series", "ds", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
-    meta = long.where("ds is null and value is not null").select("series", F.col("value").cast("int").alias("tcode"))
+    meta = long.where("ds is null and value is not null").select(F.lit(panel).alias("panel_id"), "series", F.col("value").cast("int").alias("tcode"))
     return obs, meta
 
 
@@ -50,10 +52,17 @@ def override_tcode(series: Column, tcode: Column) -> Column:
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """``row, col, value`` (from 1) of a headerless matrix; rows are numbered within the file in order."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("line"), F.monotonically_increasing_id().alias("id")).where("line <> ''")
-    # ids grow in file order; the window is over the lines of one small matrix
-    numbered = lines.withColumn("row", F.row_number().over(Window.orderBy("id")))
+    """``row, col, value`` (from 1) of a headerless matrix; rows are numbered in order of files, then of lines.
+
+    Lines are counted by split of a file, and only those counts are summed up in order.
+    """
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = raw.select(F.regexp_replace("value", "^\ufeff", "").alias("line"), "file", "block").where("line <> ''")
+    lines = lines.withColumn("id", F.monotonically_increasing_id())
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each split
+    placed = lines.join(splits.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before")), ["file", "block"])
+    numbered = placed.select((F.col("before") + F.col("id") - F.col("first") + 1).cast("int").alias("row"), "line")
     cells = numbered.select("row", F.posexplode(F.split("line", sep)).alias("col", "v"))
     return cells.select("row", (F.col("col") + 1).alias("col"), F.expr("try_cast(trim(v) as double)").alias("value"))
 

@@ -5,7 +5,7 @@ import pytest
 
 from panelcast.kernels import factors as KF
 from panelcast.kernels import linear as KL
-from panelcast.kernels import tests as KT
+from panelcast.kernels import inference as KT
 from panelcast.kernels.spline import spline_fill_values
 
 RNG = np.random.default_rng(0)
@@ -40,22 +40,100 @@ def test_ridge_equals_normal_equations_and_enet_without_l1():
 
 
 def test_block_splits_leave_a_gap():
-    for tr, te in KL.block_splits(100, 3, 0.6, 6):
-        assert te.start - (tr.stop - 1) == 3 and tr.stop - tr.start == 60
-    assert KL.block_splits(100, 3, 0.6, 6)[-1][1].stop == 97
+    n, h, ratio, size = 100, 3, 0.6, 6
+    t = n + h  # dates
+    train = int(ratio * t)
+    count = (t - train - 2 * h) // size
+    want = [(list(range(b * size, b * size + train)), list(range(b * size + train + h, t - h if b == count - 1 else (b + 1) * size + train + h))) for b in range(count)]
+    got = [(list(range(n))[tr], list(range(n))[te]) for tr, te in KL.block_splits(n, h, ratio, size)]
+    assert got == want and got[-1][1][-1] == n - 1
+    assert all(tr[-1] + h < te[0] for tr, te in got)  # training labels are older than the first test row
     assert KL.block_splits(5, 3, 0.8, 6) == []
 
 
+def test_lasso_paths_agree_with_coordinate_descent():
+    for trial in range(12):
+        x, y = standard(60, 12)
+        if trial % 3 == 0:
+            x[:, 5] = x[:, 2] + 0.1 * x[:, 5]  # nearly dependent
+        g, c = x.T @ x / len(y), x.T @ y / len(y)
+        lambdas = KL.lambda_grid(x, y, 1.0, 40)
+        want = KL._descent(g, c, lambdas, 1.0, 20_000, 1e-13)
+        got = KL._knots(g, c, lambdas)
+        assert got is not None and np.allclose(got, want, atol=1e-6)
+        for alpha in (0.5, 0.9):
+            lambdas = KL.lambda_grid(x, y, alpha, 40)
+            got = KL._active(g, c, lambdas, alpha)
+            assert got is not None and np.allclose(got, KL._descent(g, c, lambdas, alpha, 20_000, 1e-13), atol=1e-6)
+    double = np.column_stack([x, x[:, 0]])  # a column twice: still optimal
+    path = KL.lasso_path(double.T @ double / 60, double.T @ y / 60, lambdas := KL.lambda_grid(double, y, 1.0, 20))
+    grad = double.T @ (y[:, None] - double @ path.T) / 60
+    assert (np.abs(grad) <= lambdas[None, :] + 1e-5).all()
+
+
+def test_adaptive_validation_fits_weights_in_each_block():
+    x, y = standard(90, 5)
+    y = y + x @ np.array([0.0, 0.5, 0.0, 0.0, 0.2])
+    lambdas, h = np.linspace(0.5, 0.001, 15), 2
+    errors = []
+    for tr, te in KL.block_splits(len(y), h, 0.7, 5):
+        mean, sd, my = x[tr].mean(0), x[tr].std(0, ddof=1), y[tr].mean()
+        z, v = (x[tr] - mean) / sd, y[tr] - my
+        start = np.logspace(-3, 5, 50)
+        inner = []
+        for tr2, te2 in KL.block_splits(len(v), h, 0.7, 5):
+            m2, s2, y2 = x[tr][tr2].mean(0), x[tr][tr2].std(0, ddof=1), y[tr][tr2].mean()
+            q = (x[tr][tr2] - m2) / s2
+            b = np.array([np.linalg.solve(q.T @ q + lam * np.eye(5), q.T @ (y[tr][tr2] - y2)) for lam in start])
+            inner.append(((y[tr][te2] - y2)[None] - b @ ((x[tr][te2] - m2) / s2).T) ** 2)
+        lam = start[np.mean([e.mean(1) for e in inner], axis=0).argmin()]
+        w = np.abs(np.linalg.solve(z.T @ z + lam * np.eye(5), z.T @ v)) + 1e-6
+        b = KL._descent((z * w).T @ (z * w) / len(v), (z * w).T @ v / len(v), lambdas, 1.0, 5000, 1e-12) * w
+        errors.append((((y[te] - my)[None] - b @ ((x[te] - mean) / sd).T) ** 2).mean(1))
+    got = KL.block_cv("adaptive", x, y, lambdas, h)
+    assert np.allclose(got, np.mean(errors, axis=0), rtol=1e-5)
+    assert not np.allclose(got, KL.block_cv("lasso", x, y, lambdas, h))
+    fit = KL.penalised(x, y, h, "adaptive", ic="cv", steps=30)
+    assert fit["lambda"] == fit["lambdas"][KL.block_cv("adaptive", x, y, fit["lambdas"], h).argmin()]
+
+
+def test_shared_scaling_changes_nothing():
+    x, y = standard(60, 4)
+    shared = {}
+    for ic in ("bic", "cv"):
+        for method in ("lasso", "ridge", "adaptive"):
+            a, b = KL.penalised(x, y, 1, method, ic=ic, steps=20), KL.penalised(x, y, 1, method, ic=ic, steps=20, shared=shared)
+            assert np.allclose(a["coef"], b["coef"])
+
+
+def test_adaptive_search_finds_a_smooth_minimum():
+    score = lambda lam: (np.log(lam) - np.log(0.2)) ** 2
+    assert abs(np.log(KL.adaptive_search(score, 5.0) / 0.2)) < np.log(2)
+
+
 def test_autoregressions_find_their_order_and_value():
     y = np.zeros(400)
     for t in range(2, 400):
         y[t] = 0.6 * y[t - 1] + 0.3 * y[t - 2] + RNG.normal() * 0.1
-    value, p = KL.ar_iterated(y, 1)
+    value, p, _, mse = KL.ar_iterated(y, 1)
+    assert abs(mse - 0.01) < 0.003
     assert p == 2 and abs(value - (0.6 * y[-1] + 0.3 * y[-2])) < 0.05
-    direct, q, _ = KL.ar_direct(y, 1)
+    direct, q, _, _ = KL.ar_direct(y, 1)
     assert q == 2 and abs(direct - value) < 1e-6
 
 
+def test_iterated_autoregression_with_factors():
+    f, y = np.zeros((500, 1)), np.zeros(500)
+    for t in range(1, 500):
+        f[t] = 0.8 * f[t - 1] + RNG.normal()
+        y[t] = 0.5 * y[t - 1] + 0.7 * f[t - 1, 0] + 0.1 * RNG.normal()
+    value, p, m, _ = KL.ar_iterated(y, 3, 3, "bic", f, 2)
+    state, now = y[-1], f[-1, 0]
+    for _ in range(3):
+        state, now = 0.5 * state + 0.7 * now, 0.8 * now
+    assert (p, m) == (1, 1) and abs(value - state) < 0.25
+
+
 def test_lag_example():
     rows = np.array([[i, 10 * i, 100 * i] for i in range(1, 10)], float)
     got = KL.lags(rows[:, 0], 3)
@@ -69,6 +147,43 @@ def test_factors_reproduce_the_panel_when_r_is_n():
     assert (loadings[np.abs(loadings).argmax(0), range(5)] > 0).all()
 
 
+def test_factor_number_by_gaps_matches_its_steps():
+    for trial in range(20):
+        eigen = np.sort(np.r_[RNG.exponential(2, 18), RNG.uniform(5, 60, trial % 5)])[::-1]
+        most = 8
+        def step(j):
+            d, k = eigen[j - 1 : j + 4], np.array([(j - 1 + i) ** (2 / 3) for i in range(5)])
+            beta = ((k - k.mean()) * (d - d.mean())).sum() / ((k - k.mean()) ** 2).sum()
+            over = [i + 1 for i in range(most) if eigen[i] - eigen[i + 1] >= 2 * abs(beta)]
+            return over[-1] if over else 0
+        r = step(most + 1)
+        for _ in range(4):
+            r = step(r + 1)
+        assert KF.factor_count_gap(eigen, most) == r
+
+
+def test_dynamic_factor_number_matches_its_definition():
+    shocks = RNG.normal(size=(300, 2))
+    f = np.zeros((300, 4))
+    for t in range(1, 300):
+        f[t] = 0.4 * f[t - 1] + shocks[t] @ np.array([[1.0, 0.2, 0.5, 0.3], [0.1, 1.0, -0.4, 0.6]])
+    z = np.column_stack([np.ones(299), f[:-1]])
+    e = f[1:] - z @ np.linalg.solve(z.T @ z, z.T @ f[1:])
+    w = np.sort(np.linalg.eigvalsh(e.T @ e))[::-1]
+    limit = 1 / min(30**0.4, 300**0.4)
+    one = next((k for k in range(1, 4) if np.sqrt(w[k] ** 2 / (w**2).sum()) < limit), 1)
+    rest = next((k for k in range(1, 4) if np.sqrt((w[k:] ** 2).sum() / (w**2).sum()) < limit), 1)
+    assert KF.dynamic_factor_count(f, 1, 30) == (one, rest)
+    assert KF.dynamic_factor_count(f, 1, 10**6)[0] == 2
+
+
+def test_vector_autoregression_order():
+    f = np.zeros((600, 2))
+    for t in range(2, 600):
+        f[t] = np.array([[0.3, 0.1], [0.0, 0.2]]) @ f[t - 1] + 0.4 * f[t - 2] + RNG.normal(size=2)
+    assert KF.var_order(f, 4)["sc"] == KF.var_order(f, 4)["hq"] == 2
+
+
 def test_factor_number_and_fill():
     f, load = RNG.normal(size=(200, 2)), RNG.uniform(0.5, 1.5, size=(30, 2)) * RNG.choice([-1, 1], size=(30, 2))
     x = f @ load.T + 0.5 * RNG.normal(size=(200, 30))
