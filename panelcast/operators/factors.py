@@ -129,6 +129,8 @@ def project(standardised: DataFrame, loading: DataFrame) -> DataFrame:
 def factor_counts(obs: DataFrame, most: int = 8) -> DataFrame:
     def each(gram, t, names):
         n, eigen = len(names), K.gram_loadings(gram, 1)[1]
+        if n < 2:  # no number to choose
+            return
         for rule, k in K.factor_count_ic(eigen, t, n, min(most, n - 1)).items():
             yield rule, k
         yield "gap", K.factor_count_gap(eigen / t, min(most, n - 6))
