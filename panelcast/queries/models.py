@@ -129,7 +129,7 @@ _forecast("m12_state_factors", "state", "region")
 
 @query("m04_lasso_full_size")
 def m04_full(spark, d):
-    """The workload's full size: 192 origins, four horizons, five targets, 200 penalties by block validation, on hourly rows."""
+    """The workload's full size: 192 origins, four horizons, five targets, 200 penalties by validation in blocks of 50 hours, on hourly rows."""
     hours = table(spark, d, "events").groupBy(F.lit("event").alias("panel_id"), F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("value"))
     first = F.min("hour").over(Window.partitionBy("panel_id"))
     step = ((F.unix_timestamp("hour") - F.unix_timestamp(first)) / 3600).cast("int")
@@ -137,7 +137,7 @@ def m04_full(spark, d):
     grid = placed.groupBy("panel_id", "series").agg(F.sequence(F.min("step"), F.max("step")).alias("s")).select("panel_id", "series", F.explode("s").alias("step"))
     obs = grid.join(placed, ["panel_id", "series", "step"], "left").select("panel_id", "series", F.date_add(F.lit("2000-01-01").cast("date"), "step").alias("ds"), "value")
     obs = carry_forward(obs)
-    return L.forecast(obs, L.work_list(obs, None, [1, 3, 6, 12], 192), 192, "lasso", ic="cv")
+    return L.forecast(obs, L.work_list(obs, None, [1, 3, 6, 12], 192), 192, "lasso", ic="cv", test=50)
 
 
 def one_ridge(x, y, now, info, penalty: float = 10.0):
