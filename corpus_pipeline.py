@@ -22,6 +22,9 @@ from panelcast.llm.simhash import simhash_groups
 from panelcast.llm.toxicity import fit, reject_toxic
 
 
+MOST_COPIES = 8.0  # a ceiling for rates: once toxic documents are gone, hardly any text is left for that domain's target, and without one few documents are repeated without end
+
+
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is in ``kept``, and those without an id."""
     return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
@@ -43,8 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, more often where its domains need tokens."""
-    return mixed_documents(docs, table(spark, sf_dir, "labels"))
+    """Every document at least once, more often where its domains need tokens, up to ``MOST_COPIES`` times."""
+    return mixed_documents(docs, table(spark, sf_dir, "labels"), most=MOST_COPIES)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
