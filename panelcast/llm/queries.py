@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, read_chats
+from .divergence import source_divergence
 from .embed_dedup import near_duplicates
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .pii import KINDS, find_pii, listed
 from .pieces import encode_decode
+from .search import search
 from .shared import table
 from .simhash import simhash_groups
 from .token_blocks import token_files
@@ -90,7 +92,64 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 SQL = {
+    "op11_divergence": r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as words
+  from documents),
+t as (select r, lang, source, unnest(words) as term from d),
+k as (select lang, term, count(*) as n from t group by all having count(distinct r) >= 10),
+c as (select lang, source, term, count(*) as n from t join k using (lang, term) group by all),
+v as (select lang, count(*) as v, sum(n) as total from k group by lang),
+g as (select lang, source, coalesce(v, 0) as v, total as lang_total, coalesce((select sum(n) from c where c.lang = x.lang and c.source = x.source), 0) as total
+      from (select distinct lang, source from d) x left join v using (lang)),
+p as materialized (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+         (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v))::bigint as p,
+         (1 + (1000000000::hugeint * (k.n + 2)) // (g.lang_total + 2 * g.v))::bigint as q
+  from g join k using (lang) left join c using (lang, source, term)),
+pairs as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+  from p a join p b using (lang, term) where a.source <> b.source group by all),
+parts as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from p where n > 0 and p > q)
+select lang, source, part, item, value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from parts qualify part = 'pair' or rank <= 10
+""",
+    "op12_search": r"""
+with d as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words
+  from documents),
+n as (select r, doc_id, len(words) as n from d where len(words) > 0),
+s as (select count(*) as docs, sum(n)::bigint as total from n),
+i as (
+  select row_number() over () as q, item_id,
+         list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as words
+  from benchmark),
+u as (select q, item_id, unnest(words) as term from i),
+f as materialized (
+  select r, term, count(*) as tf from (select r, unnest(words) as term from d) where term in (select term from u) group by all),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, s group by term, docs),
+x as (
+  select u.q, u.item_id, n.r, n.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n.n * docs) // total))))::bigint as score
+  from f join n using (r) join w using (term) join u using (term), s group by all)
+select item_id, (row_number() over (partition by q order by score desc, doc_id nulls first))::int as rank, doc_id, score
+from x where score > 0 qualify rank <= 10
+""",
     "op8_embedding_dedup": r"""
 with recursive e as (
   select vec_id, label, embedding::double[] as v from embeddings),
