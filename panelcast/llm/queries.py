@@ -12,6 +12,7 @@ from .chat import format_chats, read_chats
 from .divergence import source_divergence
 from .embed_dedup import near_duplicates
 from .exact_dedup import exact_dedup
+from .language import fit_languages, identify
 from .mixing import mix
 from .pii import KINDS, find_pii, listed
 from .pieces import encode_decode
@@ -100,6 +101,12 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit_languages(docs))
+    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 SQL = {
     "op11_divergence": r"""
 with d as (
