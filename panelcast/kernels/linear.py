@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from .gram import Run, run_of
+
+FIRST_STAGE = (0.001, 500.0)  # fixed values: the range of ridge penalties of the adaptive lasso's first stage
+
 
 def scale(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and sample deviation by column; constant columns get deviation 1, so they become zeros."""
@@ -25,7 +29,12 @@ def criterion(ssr: float, n: int, k: int, ic: str) -> float:
 
 def lambda_grid(x: np.ndarray, y: np.ndarray, alpha: float = 1.0, steps: int = 200) -> np.ndarray:
     """Linear steps from the least penalty that selects nothing down to 1e-4 of it; x standardised, y centred."""
-    top = np.abs(x.T @ y).max() / (len(y) * max(alpha, 1e-3))
+    return penalties(x.T @ y, len(y), alpha, steps)
+
+
+def penalties(xy: np.ndarray, n: int, alpha: float = 1.0, steps: int = 200) -> np.ndarray:
+    """``lambda_grid`` from X'y."""
+    top = np.abs(xy).max(initial=0.0) / (n * max(alpha, 1e-3))
     return np.linspace(top, top * 1e-4, steps)
 
 
@@ -157,8 +166,7 @@ def _descent(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray, alpha: float
 def ridge_path(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray) -> np.ndarray:
     """Ridge coefficients for each penalty from one eigen-decomposition of X'X."""
     w, v = np.linalg.eigh(gram)
-    z = v.T @ xy
-    return np.array([v @ (z / (np.maximum(w, 0) + lam)) for lam in lambdas])
+    return (v.T @ xy / (np.maximum(w, 0) + np.asarray(lambdas)[:, None])) @ v.T
 
 
 def block_splits(n: int, h: int, ratio: float, test: int) -> list[tuple[slice, slice]]:
@@ -178,76 +186,85 @@ def block_splits(n: int, h: int, ratio: float, test: int) -> list[tuple[slice, s
     return out
 
 
-def path(method: str, x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, alpha: float, gram: np.ndarray | None = None) -> np.ndarray:
-    gram = x.T @ x if gram is None else gram
-    if method == "ridge":
-        return ridge_path(gram, x.T @ y, lambdas)
-    return lasso_path(gram / len(y), x.T @ y / len(y), lambdas, alpha)
+def path(method: str, gram: np.ndarray, xy: np.ndarray, n: int, lambdas: np.ndarray, alpha: float) -> np.ndarray:
+    """Coefficients for each penalty from the products of n standardised rows."""
+    return ridge_path(gram, xy, lambdas) if method == "ridge" else lasso_path(gram / n, xy / n, lambdas, alpha)
 
 
-def first_stage(z: np.ndarray, v: np.ndarray, x: np.ndarray, y: np.ndarray, h: int, **cv) -> np.ndarray:
+def first_stage(run: Run, h: int, steps: int = 200, **cv) -> np.ndarray:
     """Weights of the adaptive lasso: absolute ridge coefficients at the ridge penalty chosen by block validation, plus 1e-6."""
-    start = np.logspace(-3, 5, 50)
-    lam = start[block_cv("ridge", x, y, start, h, **cv).argmin()]
-    return np.abs(ridge_path(z.T @ z, z.T @ v, np.array([lam]))[0]) + 1e-6
+    start = np.linspace(*FIRST_STAGE, steps)
+    lam = start[block_cv("ridge", None, None, start, h, run=run, **cv).argmin()]
+    return np.abs(ridge_path(run.gram, run.xy, np.array([lam]))[0]) + 1e-6
+
 
+def block_cv(method: str, x: np.ndarray | None, y: np.ndarray | None, lambdas: np.ndarray, h: int, alpha: float = 1.0, ratio: float = 0.7, test: int = 5, run: Run | None = None) -> np.ndarray:
+    """Mean squared test error of each penalty over the blocks; scaling, and the weights of ``adaptive``, from training rows only.
 
-def block_cv(method: str, x: np.ndarray, y: np.ndarray, lambdas: np.ndarray, h: int, alpha: float = 1.0, ratio: float = 0.7, test: int = 5) -> np.ndarray:
-    """Mean squared test error of each penalty over the blocks; scaling, and the weights of ``adaptive``, from training rows only."""
+    The products of a block's training rows are differences of the prefix sums of ``run``, or of x and y.
+    """
+    run = run_of(x, y) if run is None else run
     errors = []
-    for tr, te in block_splits(len(y), h, ratio, test):
-        mean, sd = scale(x[tr])
-        my = y[tr].mean()
-        z, v = (x[tr] - mean) / sd, y[tr] - my
-        weights = first_stage(z, v, x[tr], y[tr], h, ratio=ratio, test=test) if method == "adaptive" else 1.0
-        b = path(method, z * weights, v, lambdas, alpha) * weights
-        miss = (y[te] - my)[None, :] - b @ ((x[te] - mean) / sd).T
-        errors.append((miss**2).mean(axis=1))
+    for tr, te in block_splits(len(run), h, ratio, test):
+        known = run.part(tr)
+        w = first_stage(known, h, ratio=ratio, test=test) if method == "adaptive" else np.ones(len(known.xy))
+        b = path(method, known.gram * np.outer(w, w), known.xy * w, len(known), lambdas, alpha) * w
+        errors.append((known.missed(run.part(te), b) ** 2).mean(axis=1))
     return np.mean(errors, axis=0) if errors else np.zeros(len(lambdas))
 
 
-def adaptive_search(score, start: float, steps: int = 25) -> float:
-    """A penalty by steps of x1.5 and x0.5 around the best so far, then the mean of the best two."""
-    seen = {start: score(start)}
-    best = start
+def adaptive_search(score, start: float | tuple[float, float, float], steps: int = 25) -> float:
+    """The best of ``steps`` penalties, searched from the best of three (``start``, or a tenth, once and ten times it).
+
+    From the greatest of the three the search goes up, unless a penalty just below it is better, from the least
+    down, unless one just above it is better, and from the middle towards the better neighbour: by x1.5 or x0.5 while
+    each is the best so far.  After the first that isn't, each is the mean of the best two.
+    """
+    low, mid, high = sorted(start) if isinstance(start, tuple) else (start * 0.1, start, start * 10)
+    seen = {lam: score(lam) for lam in (low, mid, high)}
+    best = lambda k=1: sorted(seen, key=lambda lam: (seen[lam], lam))[:k]
+    now = best()[0]
+    if now == high:
+        up = score(0.95 * high) >= seen[high]
+    elif now == low:
+        up = score(1.05 * low) < seen[low]
+    else:
+        up = seen[high] < seen[low]
+    straight = True
     for _ in range(steps):
-        for lam in (best * 1.5, best * 0.5):
-            if lam not in seen:
-                seen[lam] = score(lam)
-        new = min(seen, key=lambda k: (seen[k], k))
-        if new == best:
+        now = best()[0] * (1.5 if up else 0.5) if straight else float(np.mean(best(2)))
+        if now in seen:
             break
-        best = new
-    return float(np.mean(sorted(seen, key=lambda k: (seen[k], k))[:2]))
+        seen[now] = score(now)
+        straight = straight and best()[0] == now
+    return best()[0]
 
 
-def penalised(x: np.ndarray, y: np.ndarray, h: int, method: str = "lasso", alpha: float = 1.0, ic: str = "cv", steps: int = 200, shared: dict | None = None, **cv) -> dict:
+def penalised(x: np.ndarray | None, y: np.ndarray | None, h: int, method: str = "lasso", alpha: float = 1.0, ic: str = "cv", steps: int = 200, run: Run | None = None, **cv) -> dict:
     """Fits one window.  ``ic``: cv, aic, bic, or grid (adaptive search).  Coefficients are for standardised x.
 
-    Windows with the same ``x`` may hand in one dict as ``shared``, which keeps scaling and products of x.
+    A window of a panel comes as ``run``, which shares prefix sums with all other windows and targets; otherwise
+    it is all of x and y.
     """
-    kept = {} if shared is None else shared
-    if "scaled" not in kept:
-        mean, sd = scale(x)
-        z = (x - mean) / sd
-        kept["scaled"] = mean, sd, z, z.T @ z
-    mean, sd, z, gram = kept["scaled"]
-    my = y.mean()
-    v, weights = y - my, 1.0
+    run = run_of(x, y) if run is None else run
+    n, weights = len(run), np.ones(len(run.xy))
     if method == "adaptive":
-        weights = first_stage(z, v, x, y, h, **cv)
-        z, gram = z * weights, gram * np.outer(weights, weights)
+        weights = first_stage(run, h, **cv)
+    gram, xy = run.gram * np.outer(weights, weights), run.xy * weights
     kind = "ridge" if method == "ridge" else "lasso"
-    lambdas = np.linspace(1e-3, 1e5, 200) if kind == "ridge" else lambda_grid(z, v, alpha, steps)
+    lambdas = np.linspace(1e-3, 1e5, 200) if kind == "ridge" else penalties(xy, n, alpha, steps)
     if ic == "grid":
-        lam = adaptive_search(lambda k: float(block_cv(method, x, y, np.array([k]), h, alpha, **cv)[0]), float(np.median(lambdas)))
+        start = tuple(float(v) for v in np.quantile(lambdas, [0.1, 0.5, 0.9]))
+        lam = adaptive_search(lambda k: float(block_cv(method, None, None, np.array([k]), h, alpha, run=run, **cv)[0]), start)
         lambdas = np.array([lam])
-    b = path(kind, z, v, lambdas, alpha, gram)
+    b = path(kind, gram, xy, n, lambdas, alpha)
     if ic in ("aic", "bic"):
-        at = int(np.argmin([criterion(float(((v - z @ c) ** 2).sum()), len(y), int((c != 0).sum()), ic) for c in b]))
+        ssr = run.yy - 2 * b @ xy + ((b @ gram) * b).sum(axis=1)
+        at = int(np.argmin([criterion(float(max(s, 0.0)), n, int((c != 0).sum()), ic) for s, c in zip(ssr, b)]))
     else:
-        at = 0 if len(lambdas) == 1 else int(block_cv(method, x, y, lambdas, h, alpha, **cv).argmin())
-    return {"coef": b[at] * weights, "lambda": float(lambdas[at]), "idx": at, "mean": mean, "sd": sd, "const": my, "path": b * weights, "lambdas": lambdas}
+        at = 0 if len(lambdas) == 1 else int(block_cv(method, None, None, lambdas, h, alpha, run=run, **cv).argmin())
+    mse = float(max(run.yy - 2 * b[at] @ xy + b[at] @ gram @ b[at], 0.0)) / n
+    return {"coef": b[at] * weights, "lambda": float(lambdas[at]), "idx": at, "mean": run.own["mean"], "sd": run.own["sd"], "const": run.const, "mse": mse, "path": b * weights, "lambdas": lambdas}
 
 
 def predict(fit: dict, x: np.ndarray) -> np.ndarray:

@@ -157,8 +157,10 @@ def factor_r2(standardised: DataFrame, loading: DataFrame, factor: DataFrame) ->
     return each.join(shares, ["panel_id", "factor"]).select("panel_id", "series", "factor", "r2", "marginal", "factor_share", "total_share")
 
 
-def top_series(r2: DataFrame, k: int = 10) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("panel_id", "factor").orderBy(F.desc("marginal"), "series"))
+def top_series(r2: DataFrame, k: int = 10, places: int | None = None) -> DataFrame:
+    """The ``k`` series with the greatest gain of each factor, by name where gains are equal (to ``places`` decimals, if given)."""
+    by = F.col("marginal") if places is None else F.round("marginal", places)
+    n = F.row_number().over(Window.partitionBy("panel_id", "factor").orderBy(by.desc(), "series"))
     return r2.withColumn("place", n).where(F.col("place") <= k)
 
 

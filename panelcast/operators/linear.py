@@ -15,25 +15,31 @@ from pyspark.sql import functions as F
 
 from ..kernels import factors as KF
 from ..kernels import linear as KL
+from ..kernels.gram import Pairs, Run
+from .spread import dealt
 
 FORECAST = "panel_id string, model string, target string, h int, window_id int, origin_ds date, target_ds date, y_true double, y_pred double, err double, in_sample double"
+CHUNK = 4  # windows of a group
 SELECTION = "panel_id string, target string, h int, method string, ic string, window_id int, series string, coef double, lambda double, lambda_idx int"
 
 
-def lambda_grid(obs: DataFrame, target: str, alpha: float = 1.0, steps: int = 200) -> DataFrame:
-    """``idx, lambda``: linear penalties from max |X'y| / (n alpha) over standardised series down to 1e-4 of it."""
-    y = obs.where(F.col("series") == target).select("ds", F.col("value").alias("y"))
-    x = obs.where(F.col("series") != target).join(y, "ds")
-    w = Window.partitionBy("series")
-    z = x.withColumns({
-        "zx": F.try_divide(F.col("value") - F.avg("value").over(w), F.stddev_samp("value").over(w)), "zy": F.col("y") - F.avg("y").over(w),
-    })
-    top = z.groupBy("series").agg((F.abs(F.sum(F.col("zx") * F.col("zy"))) / F.count(F.lit(1))).alias("s")).agg((F.max("s") / alpha).alias("top"))
+def lambda_grid(obs: DataFrame, targets: list[str] | None = None, alpha: float = 1.0, steps: int = 200) -> DataFrame:
+    """``panel_id, target, idx, lambda``: linear penalties from max |X'y| / (n alpha) over the panel's standardised other series down to 1e-4 of it.
+
+    A series with y at some dates only is standardised over these.  Every series is a target where ``targets`` is None.
+    Pairs of series come from a join by panel and date; they are N^2 numbers a date, summed where they are made.
+    """
+    y = obs.select("panel_id", "ds", F.col("series").alias("target"), F.col("value").alias("y")).where("y is not null")
+    y = y if targets is None else y.where(F.col("target").isin(targets))
+    x = obs.where("value is not null").select("panel_id", "ds", "series", "value").join(y, ["panel_id", "ds"]).where("series <> target")
+    sums = x.groupBy("panel_id", "target", "series").agg(F.count(F.lit(1)).alias("n"), F.regr_sxy("y", "value").alias("sxy"), F.regr_sxx("y", "value").alias("sxx"))
+    each = F.abs(F.try_divide("sxy", F.sqrt(F.try_divide(F.col("sxx"), F.col("n") - 1)))) / F.col("n")
+    top = sums.groupBy("panel_id", "target").agg((F.max(each) / alpha).alias("top"))
     i = F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))
-    return top.select("top", i.alias("idx")).select(F.col("idx").cast("long").alias("idx"), (F.col("top") * (1 - F.col("idx") * (1 - 1e-4) / (steps - 1))).alias("lambda"))
+    return top.select("panel_id", "target", "top", i.alias("idx")).select("panel_id", "target", F.col("idx").cast("long").alias("idx"), (F.col("top") * (1 - F.col("idx") * (1 - 1e-4) / (steps - 1))).alias("lambda"))
 
 
-def work_list(obs: DataFrame, targets: list[str] | None, horizons: list[int], m: int, chunk: int = 12) -> DataFrame:
+def work_list(obs: DataFrame, targets: list[str] | None, horizons: list[int], m: int, chunk: int = CHUNK) -> DataFrame:
     """``panel_id, target, h, chunk``: what is to be done; every series is a target where ``targets`` is None."""
     if targets is None:
         grid = obs.select("panel_id", F.col("series").alias("target")).distinct()
@@ -43,19 +49,22 @@ def work_list(obs: DataFrame, targets: list[str] | None, horizons: list[int], m:
     return grid.select("*", F.explode(F.sequence(F.lit(0), F.lit((m - 1) // chunk))).alias("chunk"))
 
 
-def on_windows(obs: DataFrame, work: DataFrame, m: int, schema: str, each: Callable, chunk: int = 12, least: int = 24, parts: int = 4) -> DataFrame:
+def on_windows(obs: DataFrame, work: DataFrame, m: int, schema: str, each: Callable, chunk: int = CHUNK, least: int = 24, parts: int = 2) -> DataFrame:
     """Runs ``each(x, y, x_now, info)`` for every window of all of ``work``.
 
     ``x``, ``y`` are the training pairs (x[s], y[s+h]) with labels up to the origin, ``x_now`` the row
-    at the origin; ``info`` has names, dates, history and keys, and ``shared``, a dict that all targets
-    of one window and horizon have in common.  Series with gaps are left out.
-
-    A task has one chunk of windows and one of ``parts`` shares of a panel's targets, at all horizons,
-    so a panel is shipped once for each chunk and share, whatever the number of targets and horizons.
+    at the origin; ``info`` has names, dates, history and keys, ``run``, the window's products from the panel's
+    prefix sums, and ``shared``, a dict that all targets of one window and horizon have in common.
+    Series with gaps are left out.  Where ``work`` has a column ``given``, a map with windows for keys, it is handed on in
+    ``info`` and only its windows are run.
+
+    A group has one chunk of windows and one of ``parts`` shares of a panel's targets, at all horizons,
+    so a panel is shipped once for each chunk and share, whatever the number of targets and horizons.  Groups are
+    small in bytes and long in work, so they are dealt over a given number of tasks.
     """
     key = ["panel_id", "chunk", "part"]
     todo = work.withColumn("part", F.pmod(F.xxhash64("target"), F.lit(parts)).cast("int"))
-    dealt = obs.select("panel_id", "series", "ds", "value").join(todo.select(*key).distinct(), "panel_id")
+    dealt_rows = obs.select("panel_id", "series", "ds", "value").join(todo.select(*key).distinct(), "panel_id")
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def task(pdf: pd.DataFrame, todo: pd.DataFrame) -> pd.DataFrame:
@@ -68,24 +77,31 @@ def on_windows(obs: DataFrame, work: DataFrame, m: int, schema: str, each: Calla
         values, t, names = wide.to_numpy(float), len(wide), list(wide.columns)
         place = {n: i for i, n in enumerate(names)}
         by_h = {int(h): sorted(set(g["target"]) & place.keys()) for h, g in todo.groupby("h")}
-        for tt in range(part * chunk, min(m, (part + 1) * chunk)):
-            for h, targets in sorted(by_h.items()):
+        given = {(int(h), n): {int(w): list(v) for w, v in dict(g).items()} for h, n, g in zip(todo["h"], todo["target"], todo["given"])} if "given" in todo else None
+        for h, targets in sorted(by_h.items()):
+            pairs = Pairs(values[: t - h], values[h:], least) if targets and t - h > least else None
+            for tt in range(part * chunk, min(m, (part + 1) * chunk)):
                 now = t - m + tt - h  # the origin; its label is row now + h
-                if now - h - tt + 1 < least:
+                if pairs is None or now - h - tt + 1 < least:
                     continue
+                pairs.forget()
                 s = np.arange(tt, now - h + 1)
                 common = {"names": names, "history": values[tt : now + 1], "h": h, "window": tt + 1, "shared": {}}
                 for target in targets:
+                    if given is not None and tt + 1 not in given[h, target]:
+                        continue
                     y = values[:, place[target]]
                     base = {"panel_id": panel, "target": target, "h": h, "window_id": tt + 1}
-                    for row in each(values[s], y[s + h], values[now], common | {"y": y[tt : now + 1], "target": target}):
+                    info = common | {"y": y[tt : now + 1], "target": target, "run": Run(pairs, tt, now - h + 1, place[target]), "given": given and given[h, target]}
+                    for row in each(values[s], y[s + h], values[now], info):
                         if "y_pred" in row:
                             row |= {"origin_ds": wide.index[now], "target_ds": wide.index[now + h], "y_true": y[now + h], "err": y[now + h] - row["y_pred"]}
                         rows.append(base | row)
         return pd.DataFrame(rows, columns=columns)
 
-    other = todo.select(F.col("panel_id").alias("of"), F.col("chunk").alias("at"), F.col("part").alias("share"), "target", "h")
-    return dealt.groupBy(*key).cogroup(other.groupBy("of", "at", "share")).applyInPandas(task, schema)
+    other = todo.select(F.col("panel_id").alias("of"), F.col("chunk").alias("at"), F.col("part").alias("share"), "target", "h", *(["given"] if "given" in work.columns else []))
+    left, right = dealt(dealt_rows, *key), dealt(other, "of", "at", "share")
+    return left.groupBy(*key).cogroup(right.groupBy("of", "at", "share")).applyInPandas(task, schema)
 
 
 Fitted = tuple[float, float | None, dict[str, float]]
@@ -142,9 +158,8 @@ def _(x, y, now, info, r: int = 2) -> Fitted:
 
 def _penalised(method: str, alpha: float) -> Callable[..., Fitted]:
     def fit_predict(x, y, now, info, **options) -> Fitted:
-        fit = KL.penalised(x, y, info["h"], method, alpha, shared=info["shared"], **options)
-        mse = float(((y - KL.predict(fit, x)) ** 2).mean())
-        return float(KL.predict(fit, now)), mse, dict(zip(info["names"], map(float, fit["coef"])))
+        fit = KL.penalised(x, y, info["h"], method, alpha, run=info["run"], **options)
+        return float(KL.predict(fit, now)), fit["mse"], dict(zip(info["names"], map(float, fit["coef"])))
 
     return fit_predict
 
@@ -182,7 +197,7 @@ def select_penalised(obs: DataFrame, work: DataFrame, m: int, alpha: float = 1.0
     """Selected series of each window as sparse rows."""
 
     def each(x, y, now, info):
-        fit = KL.penalised(x, y, info["h"], "lasso", alpha, ic, shared=info["shared"], **options)
+        fit = KL.penalised(x, y, info["h"], "lasso", alpha, ic, run=info["run"], **options)
         for j in np.flatnonzero(fit["coef"]):
             yield {"method": f"alpha{alpha}", "ic": ic, "series": info["names"][j], "coef": float(fit["coef"][j]), "lambda": fit["lambda"], "lambda_idx": fit["idx"]}
 
@@ -193,7 +208,7 @@ def lambda_choice(obs: DataFrame, work: DataFrame, m: int, alpha: float = 1.0, i
     """The penalty chosen for each window and how many series it keeps."""
 
     def each(x, y, now, info):
-        fit = KL.penalised(x, y, info["h"], "lasso", alpha, ic, shared=info["shared"], **options)
+        fit = KL.penalised(x, y, info["h"], "lasso", alpha, ic, run=info["run"], **options)
         yield {"ic": ic, "lambda": fit["lambda"], "lambda_idx": fit["idx"], "n_selected": int((fit["coef"] != 0).sum())}
 
     return on_windows(obs, work, m, "panel_id string, target string, h int, ic string, window_id int, lambda double, lambda_idx int, n_selected int", each)
@@ -207,11 +222,10 @@ def select_one_per_group(obs: DataFrame, work: DataFrame, m: int, group_of: Call
         for j, name in enumerate(info["names"]):
             groups.setdefault(group_of(name), []).append(j)
         for members in groups.values():
-            z = x[:, members]
-            mean, sd = KL.scale(z)
-            z, v = (z - mean) / sd, y - y.mean()
-            lambdas = KL.lambda_grid(z, v, 1.0, steps)
-            path = KL.lasso_path(z.T @ z / len(v), z.T @ v / len(v), lambdas)
+            run, n = info["run"], len(y)
+            xy = run.xy[members]
+            lambdas = KL.penalties(xy, n, 1.0, steps)
+            path = KL.lasso_path(run.gram[np.ix_(members, members)] / n, xy / n, lambdas)
             count = (path != 0).sum(axis=1)
             some = np.flatnonzero(count > 0)
             if len(some):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,30 +82,6 @@ def tree_forecast(obs: DataFrame, h: int, m: int, kind: str = "forest", trees: i
     return _by_refit(obs, h, m, kind, trees, refit, rows_at, work)
 
 
-def preselected_forecast(obs: DataFrame, selection: DataFrame, h: int, m: int, kind: str = "forest", trees: int = 20, refit: int = 1, lags: int = 4) -> DataFrame:
-    """Forecasts of the targets of ``selection(panel_id, target, h, window_id, series)`` from their lags and the series selected for the window.
-
-    Window i has the i-th of the last ``m`` dates for its target date.  A fit serves ``refit`` windows with the
-    selection of the first of them, so none sees a later one; series that are not selected count as zero.
-    Panels must be complete.
-    """
-    own = lag_features(obs, lags).withColumns({"y": F.lead("value", h).over(by_date()), "target_ds": F.lead("ds", h).over(by_date())})
-    own = own.dropna(subset=["value", *[f"value_lag{k}" for k in range(1, lags + 1)]])
-    places = F.array_sort(F.collect_list(F.struct("series", "value")))
-    others = obs.groupBy("panel_id", "ds").agg(places.alias("v")).select("panel_id", "ds", F.col("v.series").alias("names"), F.col("v.value").alias("others"))
-    width = others.agg(F.max(F.size("names"))).first()[0] or 0
-
-    def rows_at(origin, window: int) -> DataFrame:
-        chosen = selection.where((F.col("window_id") == window) & (F.col("h") == h)).groupBy("panel_id", F.col("target").alias("series")).agg(F.collect_set(selection["series"]).alias("chosen"))
-        rows = own.join(chosen, list(KEYS)).join(others, ["panel_id", "ds"])
-        kept = F.zip_with("names", "others", lambda n, v: F.when(F.array_contains("chosen", n), v).otherwise(0.0))
-        padded = F.concat(kept, F.array_repeat(F.lit(0.0), F.lit(width) - F.size("names")))
-        x = array_to_vector(F.concat(F.array("value", *[f"value_lag{k}" for k in range(1, lags + 1)]), padded))
-        return rows.select(*KEYS, "ds", "target_ds", "y", x.alias("x"))
-
-    return _by_refit(obs, h, m, kind, trees, refit, rows_at, None)
-
-
 def permutation_importance(rows: DataFrame, trees: int = 20, kind: str = "forest", names: list[str] | None = None, share: float = 0.7, parts: int = 16) -> DataFrame:
     """``feature, importance``: rise of the held-out mean squared error when one feature's values trade places.
 
@@ -140,22 +115,3 @@ def best_per_group(importance: DataFrame, groups: dict[str, str]) -> DataFrame:
     return importance.withColumn("var_group", group).groupBy("var_group").agg(
         F.max_by("feature", F.struct("importance", "feature")).alias("feature"), F.max("importance").alias("importance")
     )
-
-
-def select_recursive(rows: DataFrame, groups: dict[str, str], rounds: int | None = None, trees: int = 10) -> DataFrame:
-    """Round by round the most important feature; its whole group leaves before the next, until no group is left."""
-    left, picked = sorted(groups), []
-    for k in range(len(set(groups.values())) if rounds is None else rounds):
-        if not left:
-            break
-        top = permutation_importance(rows, trees, names=left).orderBy(F.desc("importance"), "feature").first()
-        picked.append((k + 1, top.feature, groups[top.feature], float(top.importance)))
-        left = [f for f in left if groups[f] != groups[top.feature]]
-    return rows.sparkSession.createDataFrame(picked, "round int, feature string, var_group string, importance double")
-
-
-def wide_features(obs: DataFrame, target: str, names: list[str], h: int) -> DataFrame:
-    """One row a date: the values of ``names`` as columns ``f0, f1, ...`` and ``y`` = the target h steps later."""
-    wide = obs.groupBy("panel_id", "ds").pivot("series", names).agg(F.first("value"))
-    wide = wide.select("panel_id", F.lit(target).alias("series"), "ds", F.col(f"`{target}`").alias("_t"), *[F.col(f"`{n}`").alias(f"f{i}") for i, n in enumerate(names)])
-    return wide.withColumns({"y": F.lead("_t", h).over(by_date()), "target_ds": F.lead("ds", h).over(by_date())}).drop("_t")

@@ -78,13 +78,13 @@ _SERIES = {
 _PANELS = {"region": "'region' || n_regionkey", "nation": "'nation' || s_nationkey"}
 
 
-def sql(name: str, body: str) -> str:
+def sql(name: str, body: str, recursive: bool = True) -> str:
     """``body`` over the CTEs ``p`` (rows of the panel) and ``d`` (densified)."""
     if name == "order":
         series, source, date, amount = "o_orderpriority", "orders", "o_orderdate", "o_totalprice"
     else:
         (series, source), date, amount = _SERIES[name], "l_shipdate", "l_extendedprice"
-    return f"""with recursive p as materialized (
+    return f"""with {"recursive " if recursive else ""}p as materialized (
   select {_PANELS.get(name, f"'{name}'")} as panel_id, ({series})::varchar as series, date_trunc('month', {date})::date as ds,
          sum({amount}::decimal(18,2))::double / 1000 as value
   from {source} group by all),

@@ -64,7 +64,11 @@ def a02(spark, d):
     return E.relative_mse(errors(spark, d)).withColumn("relative", r8("relative"))
 
 
-@q("j03_against_benchmark", ", b as materialized (select panel_id, target, h, ds, err from e where model = 'arp') select panel_id, target, h, ds, e.model, e.y_true, e.y_pred, e.err, b.err as err_b from e join b using (panel_id, target, h, ds)")
+_J03 = """ select panel_id, target, h, ds, model, y_true, y_pred, err, err_b
+from (select *, max(case when model = 'arp' then err end) over (partition by panel_id, target, h, ds) as err_b from e) where err_b is not null"""
+
+
+@query("j03_against_benchmark", sql("brand", ERR + _J03, recursive=False))
 def j03(spark, d):
     return E.against_benchmark(errors(spark, d))
 
@@ -277,12 +281,15 @@ def k04(spark, d):
     return selection_codes(selection(spark, d), panel(spark, d, "brand").select(F.col("series").alias("base")).distinct())
 
 
-_LMAX = ", o as (select ds, value as y from p where series = 'Brand#1'), x as (select p.series, p.ds, p.value, o.y from p join o using (ds) where p.series <> 'Brand#1'), z as (select *, (value - avg(value) over a) / stddev_samp(value) over a as zx, y - avg(y) over a as zy, count(*) over a as n from x window a as (partition by series)) , mx as (select max(abs(s) / n) as top from (select series, sum(zx * zy) as s, max(n) as n from z group by series)) select i.i as idx, round(top / 1.0 * (1 - i.i * (1 - 1e-4) / 199), 8) as lambda from mx, range(0, 200) i(i)"
+_LMAX = """, x as (select x.panel_id, o.series as target, x.series, x.value, o.value as y from p x join p o using (panel_id, ds) where x.series <> o.series),
+s as (select panel_id, target, series, count(*) as n, regr_sxy(y, value) as sxy, regr_sxx(y, value) as sxx from x group by all having count(*) > 1 and regr_sxx(y, value) > 0),
+mx as (select panel_id, target, max(abs(sxy / sqrt(sxx / (n - 1))) / n) as top from s group by all)
+select panel_id, target, i.i as idx, round(top / 1.0 * (1 - i.i * (1 - 1e-4) / 199), 8) as lambda from mx, range(0, 200) i(i)"""
 
 
-@query("c01_lambda_grid", sql("brand", _LMAX))
+@query("c01_lambda_grid", sql("region", _LMAX))
 def c01(spark, d):
-    return L.lambda_grid(panel(spark, d, "brand"), "Brand#1").withColumn("lambda", r8("lambda"))
+    return L.lambda_grid(panel(spark, d, "region")).withColumn("lambda", r8("lambda"))
 
 
 _IC = ", x as (select *, lag(value, k.k::int) over (partition by panel_id, series, k.k order by ds) as x from d, range(1, 7) k(k)), f as (select panel_id, series, k, regr_count(value, x) as n, regr_syy(value, x) - pow(regr_sxy(value, x), 2) / regr_sxx(value, x) as ssr from x group by all), c as (select *, round(ln(ssr / n) + 2 * ln(n) / n, 8) as bic from f) select panel_id, series, arg_min(k, (bic, k))::int as k from c group by all"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import transforms as T
 from ..operators import evaluate as E
 from ..operators import factors as FA
+from ..operators import forests as FO
 from ..operators import linear as L
 from ..operators import stationary as ST
 from ..operators import trees as TR
@@ -129,7 +130,7 @@ _forecast("m12_state_factors", "state", "region")
 
 @query("m04_lasso_full_size")
 def m04_full(spark, d):
-    """The workload's full size: 192 origins, four horizons, five targets, 200 penalties by validation in blocks of 50 hours, on hourly rows."""
+    """The workload's full size: 192 origins, four horizons, five targets, 200 penalties by validation in blocks of 5, on hourly rows."""
     hours = table(spark, d, "events").groupBy(F.lit("event").alias("panel_id"), F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("value"))
     first = F.min("hour").over(Window.partitionBy("panel_id"))
     step = ((F.unix_timestamp("hour") - F.unix_timestamp(first)) / 3600).cast("int")
@@ -137,7 +138,7 @@ def m04_full(spark, d):
     grid = placed.groupBy("panel_id", "series").agg(F.sequence(F.min("step"), F.max("step")).alias("s")).select("panel_id", "series", F.explode("s").alias("step"))
     obs = grid.join(placed, ["panel_id", "series", "step"], "left").select("panel_id", "series", F.date_add(F.lit("2000-01-01").cast("date"), "step").alias("ds"), "value")
     obs = carry_forward(obs)
-    return L.forecast(obs, L.work_list(obs, None, [1, 3, 6, 12], 192), 192, "lasso", ic="cv", test=50)
+    return L.forecast(obs, L.work_list(obs, None, [1, 3, 6, 12], 192), 192, "lasso", ic="cv")
 
 
 def one_ridge(x, y, now, info, penalty: float = 10.0):
@@ -200,7 +201,6 @@ def _trees(name: str, kind: str, horizons: list[int], r: int) -> None:
         return out
 
 
-_trees("m07_random_forest", "forest", [1], 4)
 _trees("m09_bagged_trees", "bagged", [1], 0)
 _trees("m10_boosted_trees", "boosted", [1], 0)
 
@@ -210,10 +210,27 @@ def m07i(spark, d):
     return TR.permutation_importance(TR.pooled_features(brands(spark, d), 1), 20)
 
 
+_forecast("m07_random_forest", "random_forest")
+
+
+@query("m07_random_forest_full_size")
+def m07_full(spark, d):
+    """Forests of 500 trees on the components and lags of all series, four horizons."""
+    obs = growth(spark, d, "flag")
+    return L.forecast(obs, L.work_list(obs, None, [1, 3, 6, 12], M), M, "random_forest", trees=500)
+
+
+@query("m07_forest_importances")
+def m07_importances(spark, d):
+    """Out-of-bag importances of every window's forest."""
+    obs = growth(spark, d, "flag")
+    return L.importances(obs, L.work_list(obs, None, HORIZONS, M), M, "random_forest", importance=True)
+
+
 @query("m08_preselected_forest")
 def m08(spark, d):
-    obs, m = brands(spark, d), 3
-    return TR.preselected_forecast(obs, L.select_penalised(obs, L.work_list(obs, None, [1], m), m), 1, m, trees=10)
+    obs = brands(spark, d)
+    return FO.preselected_forecast(obs, L.select_penalised(obs, L.work_list(obs, None, HORIZONS, M), M), M, trees=50)
 
 
 @query("m13_run_models")
@@ -255,19 +272,17 @@ def v01(spark, d):
 @query("v02_select_one_per_group")
 def v02(spark, d):
     obs = brands(spark, d)
-    return L.select_one_per_group(obs, L.work_list(obs, None, [1], M), M, lambda n: str(int(n[6:]) % 5))
+    return L.select_one_per_group(obs, L.work_list(obs, None, [1], M), M, brand_group)
 
 
-def _wide(spark, d):
-    wanted = names(spark, d)
-    rows = TR.wide_features(brands(spark, d), wanted[0], wanted, 1)
-    return rows, {f"f{i}": f"group{int(n[6:]) % 5}" for i, n in enumerate(wanted)}
+def brand_group(name: str) -> str:
+    return str(int(name[6:]) % 5)
 
 
 @query("v03_select_one_per_group_rf")
 def v03(spark, d):
-    rows, groups = _wide(spark, d)
-    return TR.best_per_group(TR.permutation_importance(rows, 10, names=sorted(groups)), groups)
+    obs = brands(spark, d)
+    return FO.select_one_per_group(obs, L.work_list(obs, None, [1], M), M, brand_group, trees=20)
 
 
 @query("k02_most_important_per_group")
@@ -278,7 +293,8 @@ def k02(spark, d):
 
 @query("v04_select_recursive_rf")
 def v04(spark, d):
-    return TR.select_recursive(*_wide(spark, d))
+    obs = brands(spark, d)
+    return FO.select_recursive(obs, L.work_list(obs, None, [1], M), M, brand_group, trees=20)
 
 
 @query("c02_block_cv_lambda")
@@ -383,7 +399,7 @@ def f05_given(spark, d):
 
 @query("k01_top_series_given", _R2 + ", k2 as (select *, row_number() over (partition by panel_id, factor order by round(marginal, 8) desc, series) as place from a2) select panel_id, series, factor, round(marginal, 6) + 0.0 as marginal, place from k2 where place <= 10")
 def k01_given(spark, d):
-    return FA.top_series(_given(spark, d).withColumn("marginal", F.round("marginal", 8)), 10).select("panel_id", "series", "factor", (F.round("marginal", 6) + F.lit(0.0)).alias("marginal"), "place")
+    return FA.top_series(_given(spark, d), 10, places=8).select("panel_id", "series", "factor", (F.round("marginal", 6) + F.lit(0.0)).alias("marginal"), "place")
 
 
 @query("f06_var_order")

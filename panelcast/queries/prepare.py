@@ -146,11 +146,11 @@ def p03(spark, d):
 
 
 _HEAD = _LATE + """, n as (select *, row_number() over (partition by panel_id, series order by ds) as n, count(*) over (partition by panel_id, series) as t from l),
-h as (select series, avg((value is null)::int) as share from n where n <= least(ceil((t - 24) * 0.81 / 100) * 100, t) group by series)
-select l.* from l anti join (select series from h where share > 0.8) x using (series)"""
+h as (select *, avg(case when n <= least(ceil((t - 24) * 0.81 / 100) * 100, t) then (value is null)::int end) over (partition by panel_id, series) as share from n)
+select panel_id, series, ds, value from h where share is null or share <= 0.8"""
 
 
-@query("p04_drop_sparse_head", sql("part", _HEAD))
+@query("p04_drop_sparse_head", sql("part", _HEAD, recursive=False))
 def p04(spark, d):
     return C.drop_sparse_head(_late(spark, d), 24, 0.9)
 

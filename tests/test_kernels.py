@@ -5,6 +5,7 @@ import pytest
 
 from panelcast.kernels import factors as KF
 from panelcast.kernels import linear as KL
+from panelcast.kernels.gram import Pairs, Run
 from panelcast.kernels import inference as KT
 from panelcast.kernels.spline import spline_fill_values
 
@@ -79,7 +80,7 @@ def test_adaptive_validation_fits_weights_in_each_block():
     for tr, te in KL.block_splits(len(y), h, 0.7, 5):
         mean, sd, my = x[tr].mean(0), x[tr].std(0, ddof=1), y[tr].mean()
         z, v = (x[tr] - mean) / sd, y[tr] - my
-        start = np.logspace(-3, 5, 50)
+        start = np.linspace(0.001, 500, 200)
         inner = []
         for tr2, te2 in KL.block_splits(len(v), h, 0.7, 5):
             m2, s2, y2 = x[tr][tr2].mean(0), x[tr][tr2].std(0, ddof=1), y[tr][tr2].mean()
@@ -97,18 +98,52 @@ def test_adaptive_validation_fits_weights_in_each_block():
     assert fit["lambda"] == fit["lambdas"][KL.block_cv("adaptive", x, y, fit["lambdas"], h).argmin()]
 
 
-def test_shared_scaling_changes_nothing():
-    x, y = standard(60, 4)
-    shared = {}
-    for ic in ("bic", "cv"):
-        for method in ("lasso", "ridge", "adaptive"):
-            a, b = KL.penalised(x, y, 1, method, ic=ic, steps=20), KL.penalised(x, y, 1, method, ic=ic, steps=20, shared=shared)
-            assert np.allclose(a["coef"], b["coef"])
+def test_windows_of_prefix_sums_equal_their_rows():
+    x, y = RNG.normal(size=(140, 4)) * [1, 5, 0.1, 2] + [100, -3, 0, 7], RNG.normal(size=(140, 3)) + 50
+    for pairs in (Pairs(x, y), Pairs(x, y, most_numbers=0)):
+        for a, b, j in ((0, 140, 0), (13, 90, 1), (40, 140, 2)):
+            run = Run(pairs, a, b, j)
+            mean, sd = KL.scale(x[a:b])
+            z, v = (x[a:b] - mean) / sd, y[a:b, j] - y[a:b, j].mean()
+            assert np.allclose(run.gram, z.T @ z, atol=1e-8) and np.allclose(run.xy, z.T @ v, atol=1e-8) and abs(run.yy - v @ v) < 1e-8
+            for ic in ("bic", "aic", "cv", "grid"):
+                for method in ("lasso", "ridge", "adaptive"):
+                    one, other = KL.penalised(x[a:b], y[a:b, j], 1, method, ic=ic, steps=20), KL.penalised(None, None, 1, method, ic=ic, steps=20, run=run)
+                    assert np.allclose(one["coef"], other["coef"], atol=1e-8) and one["idx"] == other["idx"]
+                    assert abs(other["mse"] - ((y[a:b, j] - KL.predict(other, x[a:b])) ** 2).mean()) < 1e-8
+
+
+def test_validation_errors_come_from_test_rows():
+    x, y = standard(90, 5)
+    lambdas = np.array([0.3, 0.05])
+    errors = []
+    for tr, te in KL.block_splits(len(y), 2, 0.7, 5):
+        mean, sd = KL.scale(x[tr])
+        z, v = (x[tr] - mean) / sd, y[tr] - y[tr].mean()
+        b = KL._descent(z.T @ z / len(v), z.T @ v / len(v), lambdas, 1.0, 5000, 1e-12)
+        errors.append([((y[te] - y[tr].mean() - (x[te] - mean) / sd @ c) ** 2).mean() for c in b])
+    assert np.allclose(KL.block_cv("lasso", x, y, lambdas, 2), np.mean(errors, axis=0))
 
 
 def test_adaptive_search_finds_a_smooth_minimum():
     score = lambda lam: (np.log(lam) - np.log(0.2)) ** 2
-    assert abs(np.log(KL.adaptive_search(score, 5.0) / 0.2)) < np.log(2)
+    for start in (5.0, 0.001, (0.1, 0.3, 9.0), (0.5, 0.6, 0.7)):
+        assert abs(np.log(KL.adaptive_search(score, start) / 0.2)) < np.log(2)
+
+
+def test_adaptive_search_goes_by_its_rules():
+    tried = []
+
+    def score(lam):
+        tried.append(lam)
+        return abs(lam - 10.0)
+
+    best = KL.adaptive_search(score, (1.0, 2.0, 4.0), 4)
+    # the greatest is best and better than just below it: up, up, up beyond the minimum, then the mean of the best two
+    assert np.allclose(tried, [1, 2, 4, 3.8, 6, 9, 13.5, (9 + 13.5) / 2]) and best == 9.0
+    tried.clear()
+    KL.adaptive_search(score, (20.0, 40.0, 80.0), 2)
+    assert np.allclose(tried, [20, 40, 80, 21, 10, 5])
 
 
 def test_autoregressions_find_their_order_and_value():
