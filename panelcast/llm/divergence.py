@@ -16,7 +16,6 @@ tasks share is two paths with fewer terms each, and the sums are the same.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,32 +40,34 @@ def divergence(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def count_terms(docs: DataFrame, most: int = 200_000) -> DataFrame:
+ONE_DOC = 1 << 40  # a task's entry is occurrences + documents * ONE_DOC
+
+
+def count_terms(docs: DataFrame, most: int = 400_000) -> DataFrame:
     """``lang, source, term, n, docs``: partial counts; a task hands its counts on before they exceed ``most`` entries by more than a document's."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP], F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
         size = 0
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = term_counts(text, LETTERS)
-                n, docs_ = held.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                n.update(found)
-                docs_.update(found.keys())
-                size += len(n) - before
+                own = held.setdefault((lang, source), {})
+                before, get = len(own), own.get
+                for term, n in term_counts(text, LETTERS).items():
+                    own[term] = get(term, 0) + n + ONE_DOC
+                size += len(own) - before
                 if size > most:
                     yield from out(held)
                     held, size = {}, 0
         yield from out(held)
 
     def out(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs_) in held.items():
-            terms = list(n)
+        for (lang, source), own in held.items():
+            terms, both = list(own), list(own.values())
             for at in range(0, len(terms), 50_000):
-                part = terms[at : at + 50_000]
-                cols = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()), pa.array([n[t] for t in part], pa.int64()), pa.array([docs_[t] for t in part], pa.int64())]
+                part, counts = terms[at : at + 50_000], both[at : at + 50_000]
+                cols = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array(part, pa.binary()), pa.array([c % ONE_DOC for c in counts], pa.int64()), pa.array([c // ONE_DOC for c in counts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "docs"])
 
     return rows.mapInArrow(each, "lang string, source string, term binary, n long, docs long").withColumn("term", F.col("term").cast("string"))
@@ -74,32 +75,33 @@ def count_terms(docs: DataFrame, most: int = 200_000) -> DataFrame:
 
 def term_rows(docs: DataFrame, least: int) -> DataFrame:
     """``lang, term, n, row``: the kept terms with their occurrences, in all and by source (``source, n``, in order of the source)."""
-    by_source = count_terms(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # partial counts come from the tasks, so rows go straight to their term, and both sums are made there
+    by_source = count_terms(docs).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     row = F.array_sort(F.collect_list(F.struct("source", "n"))).alias("row")  # one entry a source
     kept = by_source.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), row)
     return kept.where(F.col("docs") >= least).drop("docs")
 
 
 class PatternTree:
-    """Rows of (source, p, zero) triples as paths from a root; a node has the number of terms whose row begins with its path."""
+    """Rows of sources with their p and zero as paths from a root; a node has the number of terms whose row begins with its path."""
 
     def __init__(self):
         self.places: dict[str, int] = {}  # source -> number
         self.nodes: dict[tuple[int, int, int], int] = {}  # (parent, source's number, p) -> node
         self.parent, self.source, self.p, self.zero, self.terms = [-1], [-1], [0], [0], [0]
 
-    def insert(self, row: list[dict], terms: int) -> None:
+    def insert(self, sources: list[str], ps: list[int], zeros: list[int], terms: int) -> None:
         at = 0
-        for e in row:
-            source = self.places.setdefault(e["source"], len(self.places))
-            key = (at, source, e["p"])
+        for name, p, zero in zip(sources, ps, zeros):
+            source = self.places.setdefault(name, len(self.places))
+            key = (at, source, p)
             node = self.nodes.get(key)
             if node is None:
                 node = self.nodes[key] = len(self.parent)
                 self.parent.append(at)
                 self.source.append(source)
-                self.p.append(e["p"])
-                self.zero.append(e["zero"])
+                self.p.append(p)
+                self.zero.append(zero)
                 self.terms.append(0)
             self.terms[node] += terms
             at = node
@@ -127,11 +129,11 @@ def _shared_terms(rows: DataFrame, most_nodes: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, of = PatternTree(), None
         for batch in batches:
-            for lang, row, terms in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, sources, ps, zeros, terms in zip(*(c.to_pylist() for c in batch.columns)):
                 if lang != of or len(tree.parent) > most_nodes:
                     yield from out(of, tree)
                     tree, of = PatternTree(), lang
-                tree.insert(row, terms)
+                tree.insert(sources, ps, zeros, terms)
         yield from out(of, tree)
 
     def out(lang: str | None, tree: PatternTree) -> Iterator[pa.RecordBatch]:
@@ -141,7 +143,8 @@ def _shared_terms(rows: DataFrame, most_nodes: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(a), "a": [names[i] for i in a], "b": [names[i] for i in b], "value": found[a, b]}, schema=kind)
 
     dealt = rows.repartitionByRange("lang", "row").sortWithinPartitions("lang", "row")
-    return dealt.mapInArrow(each, "lang string, a string, b string, value long")
+    flat = dealt.select("lang", "row.source", "row.p", "row.zero", "terms")
+    return flat.mapInArrow(each, "lang string, a string, b string, value long")
 
 
 def source_divergence(docs: DataFrame, least: int = 10, top: int = 10, most_nodes: int = 200_000) -> DataFrame:

@@ -76,7 +76,7 @@ def test_tree_meets_each_ancestor_once():
     for _ in range(300):
         row = [{"source": s, "p": rnd.randint(1, 4), "zero": z} for s, z in sorted(zero.items()) if rnd.random() < 0.5]
         terms = rnd.randint(1, 3)
-        tree.insert(row, terms)
+        tree.insert(*([e[k] for e in row] for k in ("source", "p", "zero")), terms)
         for j, b in enumerate(row):
             for a in row[:j]:
                 want[a["source"], b["source"]] += terms * (f(a["p"], b["p"]) - f(a["p"], b["zero"]) - f(a["zero"], b["p"]) + f(a["zero"], b["zero"]))
