@@ -2,14 +2,14 @@
 
 A classifier learned from the labelled table gives every document a posterior over domains.
 Nonnegative rates are then fitted so that the expected tokens of each domain, the sum over
-documents of rate x tokens x posterior, meet the domain's target, by Newton's method on one
-multiplier a domain.  A step needs domains x domains sums from a pass over the documents, so
-nothing else reaches the driver.
+documents of rate x tokens x posterior, meet the domain's target: least squares by projected gradient
+steps on the rates.  A step lowers each rate by its share of the misses and projects it onto its bounds.
+Steps are scaled by the domains x domains products of the documents that are free to move, which a
+pass over the documents sums together with the domains' tokens, so nothing else reaches the driver.
 """
 
 from __future__ import annotations
 
-import itertools
 import json
 import logging
 import math
@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 from .shared import cut, fresh
 
 DOMAINS = ("high", "low", "toxic")
-RIDGES = [10.0**-i for i in range(9)]  # weights of the multipliers; the last is about the share by which targets that can be reached are missed
 TARGETS = {"high": 0.90, "low": 0.08, "toxic": 0.02}
 log = logging.getLogger(__name__)
 
@@ -85,7 +84,7 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_training: int = 20_000,
         labels.where(F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.min(domain()).alias("domain"))
-        .where("domain is not null")
+        .where(F.col("domain").isin(*domains))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_training)
     )
@@ -150,14 +149,15 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return rows.mapInArrow(each, "doc_id long, n_tokens long, p array<double>")
 
 
-def rate(p: Column, steps: list[list[float]], floor: float, most: float | None = None) -> Column:
-    """The rate after steps ``rate - p . step`` from 1, each projected onto ``floor`` to ``most``, as one expression."""
+def rate(p: Column, steps: list[list[float]], floor: float, most: float | None = None, start: Column | None = None) -> Column:
+    """The rate after steps ``rate - p . step`` from ``start`` or 1, each projected onto ``floor`` to ``most``, as one expression."""
+    start = F.lit(1.0) if start is None else start
     if not steps:
-        return F.lit(1.0)
+        return start
     listed = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
     dot = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
     top = F.lit(math.inf if most is None else float(most))
-    return F.aggregate(listed, F.lit(1.0), lambda r, s: F.least(top, F.greatest(F.lit(float(floor)), r - dot(s))))
+    return F.aggregate(listed, start, lambda r, s: F.least(top, F.greatest(F.lit(float(floor)), r - dot(s))))
 
 
 @dataclass(frozen=True)
@@ -168,99 +168,73 @@ class Mix:
     reached: list[float]
 
 
-def _multipliers(members: DataFrame, want: np.ndarray, have: np.ndarray, live: np.ndarray, floor: float, most: float) -> np.ndarray:
-    """The multipliers x by domain, for rates ``1 + p . x`` within ``floor`` and ``most``, by Newton's method.
-
-    They minimise the convex dual of the squared distance of rates from 1 (by token) plus the squared
-    misses (by token of the domain, over the ridge), so targets that can be met are met, and others
-    missed by least squares.  A pass gives value, gradient and curvature at once; steps are halved until
-    the value falls, and end when a step would gain nothing that counts or, in floating point, can't.
-    Each ridge starts from the multipliers of the one before; the last is the one that moves nothing more.
-    """
-    k, total = len(want), have.sum()
-
-    def at(x: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
-        p = [F.col("p")[i] for i in range(k)]
-        z = F.lit(1.0)
-        for i in range(k):
-            z = z + p[i] * F.lit(float(x[i]))
-        own = members.select("n_tokens", *[p[i].alias(f"p{i}") for i in range(k)], z.alias("z"))
-        own = own.withColumn("r", F.least(F.lit(float(most)), F.greatest(F.lit(float(floor)), "z")))
-        moves = F.when((F.col("z") >= floor) & (F.col("z") <= most), F.col("n_tokens")).otherwise(0)
-        row = own.agg(
-            F.sum(F.col("n_tokens") * F.col("r") * (F.col("z") - F.col("r") / 2)),
-            *[F.sum(F.col("n_tokens") * F.col("r") * F.col(f"p{i}")) for i in range(k)],
-            *[F.sum(moves * F.col(f"p{i}") * F.col(f"p{j}")) for i in range(k) for j in range(k)],
-        ).first()
-        sums = np.array(row, float) / total
-        value = sums[0] - want @ x / total + ridge * (have * x) @ x / total / 2
-        return value, sums[1 : k + 1] - want / total + ridge * have * x / total, sums[k + 1 :].reshape(k, k) + ridge * np.diag(have) / total
-
-    x, on, got = np.zeros(k), np.flatnonzero(live), np.zeros(k)
-    for ridge in RIDGES:
-        value, slope, curve = at(x, ridge)
-        for n in itertools.count():
-            unit = 1 / np.sqrt(np.diag(curve)[on])
-            way = np.zeros(k)
-            way[on] = -unit * np.linalg.solve(curve[np.ix_(on, on)] * np.outer(unit, unit), unit * slope[on])
-            length = 1.0
-            if np.abs(slope[on]).max(initial=0.0) < 1e-8 or n >= 20 and -ridge * (slope @ way) < 1e-10:  # misses within 1e-5 of all tokens of this ridge's
-                break
-            while (new := at(x + length * way, ridge))[0] > value + 1e-4 * length * (slope @ way) and length > 1e-9:
-                length /= 2
-            if length <= 1e-9:
-                break
-            x, (value, slope, curve) = x + length * way, new
-        before, got = got, slope - ridge * have * x / total  # less the targets
-        if ridge < 1e-3 and np.abs(got - before)[on].max(initial=0.0) < 1e-6:
-            break
-    return x
+def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tolerance: float = 1e-5, most_passes: int = 300, most: float | None = None) -> Mix:
+    """Fits rates over ``members(n_tokens, p)`` so that expected domain tokens match ``weights``; ``p`` sums to 1.
 
+    With a floor of 0 the domains' tokens are to be shares of all tokens there are.  With a floor above 0 they are
+    to be shares of all tokens of the mix, however many these become, so that documents are added and none is
+    dropped.  A domain without any mass, or without a weight where there is a floor, is left out.  Rates are from
+    ``floor`` to ``most``, or have no ceiling where that is None.
 
-def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tolerance: float = 1e-4, most_steps: int | None = None, most: float | None = None) -> Mix:
-    """Fits rates over ``members(n_tokens, p)`` so that expected domain tokens match ``weights`` of the budget.
-
-    The budget is all tokens; with a floor above 0 it is raised until no domain has to give up
-    tokens, so that a rate of at least ``floor`` for every document can be met.  A domain without
-    any mass can't be reached and is left out.  Rates are from ``floor`` to ``most``, or have no
-    ceiling where that is None.  Newton's method runs until it has converged (``_multipliers``), however
-    many passes that takes.  With ``most_steps`` there are plain gradient steps instead, of length 1 for
-    misses divided by their domain's tokens, until every miss is below ``tolerance`` of the budget, they
-    stand still, or ``most_steps`` are taken.  Every domain's target and reached tokens are logged,
-    misses of more than ``tolerance`` of the budget as warnings.
+    The squared misses, each over its domain's tokens, are lowered by projected gradient steps from rates of 1:
+    ``rate <- clip(rate - p . x)`` with ``x = (G + c H)^-1 miss``, where G sums ``tokens p p'`` over the documents whose
+    rate is between its bounds and H has the domains' tokens.  For a great c these are plain gradient steps, for a
+    small one they solve for the free rates; c falls by a tenth after each step and rises tenfold where the
+    misses would not fall.  Steps end when every miss is below ``tolerance`` of all tokens, when they gain nothing, which is
+    the least-squares answer where targets are out of reach, or after ``most_passes``.  Rates are written to a table
+    every ten steps, so a pass repeats ten at most.  Every domain's target and reached tokens are logged, misses of
+    more than ten times ``tolerance`` as warnings.
     """
-    k = len(weights)
-
-    def totals(steps: list[list[float]]) -> np.ndarray:
-        own = members.select((rate(F.col("p"), steps, floor, most) * F.col("n_tokens")).alias("w"), "p")
-        row = own.agg(*[F.sum(F.col("w") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]).first()
-        return np.array([x or 0.0 for x in row])
-
-    have = totals([])
+    k, share = len(weights), np.array(weights, float) / sum(weights)
+    names = [f"p{i}" for i in range(k)]
+    now = members.select(F.col("n_tokens").cast("double").alias("n_tokens"), "p", F.lit(1.0).alias("r"))
+    steps: list[list[float]] = []
+    waiting: list[list[float]] = []
+
+    def at(x: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' tokens and the products of free documents after the waiting steps and ``x``."""
+        r = rate(F.col("p"), [*waiting, *([] if x is None else [x.tolist()])], floor, most, F.col("r"))
+        own = now.select("n_tokens", r.alias("r"), *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+        free = F.when((F.col("r") > floor) & (F.lit(most is None) | (F.col("r") < (most or 0.0))), F.col("n_tokens")).otherwise(0.0)
+        row = own.agg(*[F.sum(F.col("n_tokens") * F.col("r") * F.col(a)) for a in names], *[F.sum(free * F.col(a) * F.col(b)) for a in names for b in names]).first()
+        sums = np.array([v or 0.0 for v in row])
+        return sums[:k], sums[k:].reshape(k, k)
+
+    have, _ = at(None)
     total = have.sum()
-    share = np.array(weights, float) / sum(weights)
-    live = (have > 0) & (share > 0) if floor else have > 0
     if not total:
         return Mix([], floor, [0.0] * k, [0.0] * k)
-    budget = max(total, float((floor * have[live] / share[live]).max())) if floor and live.any() else total
-    want, steps, got = share * budget, [], have
-    if most_steps is None:
-        steps = [(-_multipliers(members, want, have, live, floor, math.inf if most is None else most)).tolist()]
-        got = totals(steps)
-    safe = np.where(have > 0, have, 1.0)
-    before = math.inf
-    while most_steps is not None and len(steps) < most_steps:
-        miss = np.where(live, got - want, 0.0)
-        size = float(np.abs(miss).max()) / budget
-        if size < tolerance or abs(before - size) < tolerance * 1e-2:
+    on = np.flatnonzero((have > 0) & (share > 0) if floor else have > 0)
+    share = np.where(np.isin(np.arange(k), on), share, 0.0)
+    share = share / max(share.sum(), 1e-300) if floor else share
+    # misses are linear in the domains' tokens: less the wanted tokens, or less the wanted shares of their own sum
+    of = (np.eye(k) - np.outer(share, np.isin(np.arange(k), on)) if floor else np.eye(k))[on]
+    want = np.zeros(len(on)) if floor else (share * total)[on]
+    weight = np.diag(have[on])
+    got, products = at(None)
+    miss, pull = of @ got - want, 1e-3
+    value = (miss**2 / have[on]).sum()
+    for _ in range(most_passes):
+        if not len(on) or np.abs(miss).max() < tolerance * got.sum() or pull > 1e6:
             break
-        before = size
-        steps.append((miss / safe).tolist())
-        got = totals(steps)
-    for i in range(k):
-        missed = abs(got[i] - want[i]) > tolerance * budget
-        log.log(logging.WARNING if missed else logging.INFO, "mixing domain %d: %.1f tokens wanted, %.1f reached%s", i, want[i], got[i], ", target missed" if missed else "")
-    return Mix(steps, floor, want.tolist(), got.tolist())
+        x = of.T @ np.linalg.solve(of @ products @ of.T + pull * weight, miss)
+        tokens, tried = at(x)
+        left = of @ tokens - want
+        gain = value - (left**2 / have[on]).sum()
+        if gain <= 1e-9 * value:
+            pull *= 10
+            continue
+        got, products, miss, value, pull = tokens, tried, left, value - gain, max(pull / 10, 1e-9)
+        steps.append(x.tolist())
+        waiting.append(x.tolist())
+        if len(waiting) == 10:
+            now = cut(now.select("n_tokens", "p", rate(F.col("p"), waiting, floor, most, F.col("r")).alias("r")), "rates")
+            waiting = []
+    wanted = share * got[on].sum() if floor else share * total
+    for i in on.tolist():
+        missed = abs(got[i] - wanted[i]) > 10 * tolerance * got.sum()
+        log.log(logging.WARNING if missed else logging.INFO, "mixing domain %d: %.1f tokens wanted, %.1f reached%s", i, wanted[i], got[i], ", target missed" if missed else "")
+    return Mix(steps, floor, wanted.tolist(), got.tolist())
 
 
 def copies(key: Column, rate_: Column) -> Column:

@@ -1,8 +1,11 @@
 import os
 import random
+import struct
+import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from panelcast.llm import mixing as m
 from panelcast.llm import queries as q
 from pyspark.sql import functions as F
@@ -10,12 +13,27 @@ from pyspark.sql import functions as F
 DATA = "/root/testdata/sf0.01"
 
 
-def brute(n, p, want, have, floor, steps=20000):
-    r = np.ones(len(n))
+def plain(n, p, share, floor, most=np.inf, steps=30000):
+    """Plain projected gradient steps, of length 1 for misses over their domain's tokens."""
+    r, have, of = np.ones(len(n)), n @ p, np.eye(p.shape[1]) - np.outer(share, np.ones(p.shape[1])) * (floor > 0)
     for _ in range(steps):
-        got = (r * n) @ p
-        r = np.clip(r - p @ ((got - want) / have), floor, None)
-    return r
+        miss = of @ ((r * n) @ p) - (0 if floor else np.array(share) * n.sum())
+        r = np.clip(r - p @ (of.T @ (miss / have)) / 2, floor, most)
+    return (r * n) @ p
+
+
+def exact(n, p, want):
+    """Newton's method on one multiplier a domain: the rates nearest to 1 that meet the targets, where these can be met."""
+    x = np.zeros(p.shape[1])
+    for _ in range(200):
+        r = np.maximum(0.0, 1 + p @ x)
+        miss = (r * n) @ p - want
+        way = np.linalg.solve((p * (n * (r > 0))[:, None]).T @ p + 1e-12 * n.sum() * np.eye(len(x)), miss)
+        size = 1.0
+        while size > 1e-6 and np.abs((np.maximum(0.0, 1 + p @ (x - size * way)) * n) @ p - want).max() > np.abs(miss).max():
+            size /= 2
+        x = x - size * way
+    return (np.maximum(0.0, 1 + p @ x) * n) @ p
 
 
 @pytest.mark.parametrize("floor", [0.0, 1.0])
@@ -24,16 +42,28 @@ def test_rates_match_brute_force(spark, floor):
     n = rng.integers(1, 500, 300)
     p = rng.dirichlet([4.0, 1.0, 0.5], 300)
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
-    mix = m.fit_rates(members, [0.6, 0.3, 0.1], floor, most_steps=60)
-    have = n @ p
-    budget = max(n.sum(), (have / [0.6, 0.3, 0.1]).max()) if floor else n.sum()
-    assert np.allclose(mix.targets, np.array([0.6, 0.3, 0.1]) * budget)
-    if not floor:  # with a floor, overlapping domains may not allow the targets
-        assert np.abs(np.array(mix.reached) - mix.targets).max() / budget < 1e-3
+    share = np.array([0.6, 0.3, 0.1])
+    mix = m.fit_rates(members, share.tolist(), floor)
     got = np.array([r.r for r in members.select(m.rate(F.col("p"), mix.steps, floor).alias("r")).collect()])
-    want = brute(n, p, np.array(mix.targets), have, floor, len(mix.steps) if floor else 20000)
-    assert got.min() >= floor and np.abs(got - want).max() < (1e-9 if floor else 0.05)
-    assert np.allclose((got * n) @ p, mix.reached)
+    assert got.min() >= floor and np.allclose((got * n) @ p, mix.reached)
+    if floor:
+        assert np.allclose(mix.targets, share * sum(mix.reached))
+    else:
+        assert np.allclose(mix.targets, share * n.sum()) and np.allclose(mix.reached, exact(n, p, share * n.sum()), rtol=1e-3)
+    assert np.abs(np.array(mix.reached) - mix.targets).max() < 2e-5 * sum(mix.reached)
+    assert np.abs(plain(n, p, share, floor) / plain(n, p, share, floor).sum() - share).max() < 1e-2  # plain steps are on the way there
+
+
+def test_rates_are_written_every_ten_steps(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n, p = rng.integers(1, 500, 400), rng.dirichlet([0.2, 0.2, 0.2, 0.05], 400)
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
+    cuts, cut = [], m.cut
+    monkeypatch.setattr(m, "cut", lambda df, name: cuts.append(name) or cut(df, name))
+    mix = m.fit_rates(members, [0.05, 0.05, 0.05, 0.85], 0.0)
+    got = np.array([r.r for r in members.select(m.rate(F.col("p"), mix.steps, 0.0).alias("r")).collect()])
+    assert len(cuts) == len(mix.steps) // 10
+    assert np.allclose((got * n) @ p, mix.reached) and np.abs(np.array(mix.reached) - mix.targets).max() < 2e-5 * n.sum()
 
 
 def corpus(spark):
@@ -81,6 +111,27 @@ def test_query_meets_its_targets_on_the_tables(spark):
         assert abs((got.rate * got.n_tokens * got[f"p_{d}"]).sum() / got.n_tokens.sum() / w - 1) < 1e-3, d
 
 
+def test_posteriors_and_copies_by_definition(spark):
+    rows, docs, labels, _ = corpus(spark)
+    model = m.fit_domains(docs, labels)
+    texts = {i: t for i, t, _ in rows}
+    for r in m.mix(docs, labels).collect():
+        words = texts[r.doc_id].split()
+        mean = sum((model.table[zlib.crc32(w.encode()) % len(model.table)] for w in words), np.zeros(3)) / max(len(words), 1)
+        odds = np.exp(model.prior + model.sharp * mean - (model.prior + model.sharp * mean).max())
+        assert np.allclose([r[f"p_{d}"] for d in m.DOMAINS], odds / odds.sum(), atol=1e-9) and r.n_tokens == len(words)
+        hashed = xxhash.xxh64_intdigest(struct.pack("<i", 17), xxhash.xxh64_intdigest(struct.pack("<q", r.doc_id), 42))
+        assert r.copies == int(np.floor(r.rate + ((hashed + 2**63) % 2**64 - 2**63) % (1 << 30) / (1 << 30)))
+
+
+def test_domains_left_out_are_not_learned(spark):
+    _, docs, labels, _ = corpus(spark)
+    model = m.fit_domains(docs, labels, domains=("high", "low"))
+    assert model.table.shape[1] == 2
+    out = m.mixed_documents(docs, labels, {"high": 0.9, "low": 0.08})
+    assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(range(600))
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "word"), (3, "w " * 50000), (3, "x")], "doc_id long, text string")
     none = spark.createDataFrame([(None, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int")
@@ -111,10 +162,12 @@ def test_targets_out_of_reach_are_logged_and_missed_least(spark, caplog):
     p /= p.sum(axis=1, keepdims=True)
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, p array<double>")
     have, want = n @ p, np.array([0.1, 0.1, 0.8]) * n.sum()
+    share = np.array([0.1, 0.1, 0.8])
     for floor, most in ((0.0, None), (0.0, 8.0), (1.0, 8.0)):
         caplog.clear()
-        mix = m.fit_rates(members, [0.1, 0.1, 0.8], floor, most=most)
-        slope = p @ ((np.array(mix.reached) - mix.targets) / have)  # of the squared misses, by rate
+        mix = m.fit_rates(members, share.tolist(), floor, most=most)
+        miss = (np.array(mix.reached) - mix.targets) / have
+        slope = p @ (miss - (share @ miss) * (floor > 0))  # of the squared misses, by rate
         r = np.array([x.r for x in members.select(m.rate(F.col("p"), mix.steps, floor, most).alias("r")).collect()])
         assert r.min() >= floor and r.max() <= (most or np.inf)
         assert slope[r > floor + 1e-9].max(initial=-1) < 1e-2
