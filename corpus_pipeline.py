@@ -14,15 +14,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelcast.llm import mixing as mixing_rates
 from panelcast.llm.exact_dedup import exact_dedup
-from panelcast.llm.mixing import mixed_documents
 from panelcast.llm.pieces import encode_decode
 from panelcast.llm.shared import cut, table
 from panelcast.llm.simhash import simhash_groups
 from panelcast.llm.toxicity import fit, reject_toxic
 
 
-MOST_COPIES = 8.0  # a ceiling for rates: once toxic documents are gone, hardly any text is left for that domain's target, and without one few documents are repeated without end
+TARGETS = {d: w for d, w in mixing_rates.TARGETS.items() if d != "toxic"}  # of the domains that are left once toxic documents are gone
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -46,8 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, more often where its domains need tokens, up to ``MOST_COPIES`` times."""
-    return mixed_documents(docs, table(spark, sf_dir, "labels"), most=MOST_COPIES)
+    """Every document at least once, more often where its domains need tokens to reach their shares of the mix."""
+    return mixing_rates.mixed_documents(docs, table(spark, sf_dir, "labels"), TARGETS)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
