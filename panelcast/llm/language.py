@@ -14,14 +14,13 @@ One table of n-gram counts by language serves all bits, so training is one aggre
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +28,7 @@ from .shared import cut
 from .terms import LETTERS, terms
 from .toxicity import fold
 
-SIZES = (1, 2, 3, 4)  # lengths of n-grams, in characters of a word with a mark at both ends
+SIZES = (1, 2, 3, 4)  # lengths of n-grams, in bytes of a word with a mark at both ends
 UNKNOWN = "und"  # fixed value: the language of a text without letters
 
 
@@ -55,28 +54,51 @@ def code(k: int) -> np.ndarray:
     return best[1].astype(np.int8)
 
 
-def slots(word: bytes, size: int) -> np.ndarray:
-    """Places of the n-grams of a word in the table; bytes that are no UTF-8 count as one unknown character."""
-    marked = f"<{word.decode('utf-8', 'replace').lower()}>"
-    grams = [marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)]
-    return np.array([zlib.crc32(g.encode()) % size for g in grams], np.int64)
+def grams(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the table of the n-grams of all words, and each n-gram's word, in order of the words; every word has some."""
+    length = np.array([len(w) + 2 for w in words])
+    text = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.uint32)
+    of, end = np.repeat(np.arange(len(words)), length), np.repeat(length.cumsum(), length)
+    key, slot, word = np.zeros(len(text), np.uint32), [], []
+    for n in SIZES:
+        last = len(text) - n + 1
+        key = key[:last] | text[n - 1 :] << np.uint32(8 * (n - 1))
+        whole = np.arange(last) + n <= end[:last]
+        hashed = key[whole] * np.uint32(2654435761) + np.uint32(n * 40503)  # multiplicative hashing, modulo 2^32
+        slot.append((hashed >> np.uint32(7)) % np.uint32(size))
+        word.append(of[:last][whole])
+    slot, word = np.concatenate(slot).astype(np.int64), np.concatenate(word)
+    order = np.argsort(word, kind="stable")
+    return slot[order], word[order]
 
 
 class _Words(dict):
-    """Word -> row of a table of word sums; words met before are kept until the table is full."""
-
-    def __init__(self, table: np.ndarray, limit: int = 200_000):
-        self.table, self.limit = table, limit
-        self.rows = np.zeros((1024, table.shape[1] + 1))
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) == len(self.rows):
-            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-        at = slots(word, len(self.table))
-        i = self[word] = len(self)
-        self.rows[i, :-1] = self.table[at].sum(axis=0)
-        self.rows[i, -1] = len(at)
-        return i
+    """Word -> row of sums of its n-grams' weights, and their number; words met first stay, later ones leave after use once there are many."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.limit = int(np.clip((32 << 20) // (8 * (table.shape[1] + 1)), 10_000, 300_000))
+        self.rows = np.zeros((0, table.shape[1] + 1))
+
+    def learn(self, words: list[bytes]) -> None:
+        slot, word = grams(words, len(self.table))
+        start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        sums = np.column_stack([np.add.reduceat(self.table[slot], start, axis=0), np.diff(np.r_[start, len(word)])])
+        self.update(zip(words, range(len(self), len(self) + len(words))))
+        self.rows = np.vstack([self.rows, sums])
+
+    def sums(self, words: list[bytes]) -> np.ndarray:
+        """A row for each word."""
+        known = len(self)
+        new = [w for w in set(words) if w not in self]
+        if new:
+            self.learn(new)
+        out = self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
+        if new and len(self) > self.limit:
+            for w in new:
+                del self[w]
+            self.rows = self.rows[:known]
+        return out
 
 
 @dataclass
@@ -94,17 +116,32 @@ class LanguageModel:
     def __getstate__(self):
         return self.__dict__ | {"_words": None}
 
-    def evidence(self, text: bytes) -> np.ndarray:
-        """By bit: the sum of the weights of all n-grams of the text over the square root of their number."""
+    def evidence(self, texts: list[bytes], at_once: int = 50_000) -> np.ndarray:
+        """texts x bits: the sum of the weights of all n-grams of a text over the square root of their number; some ``at_once`` words at a time."""
         if self._words is None:
             self._words = _Words(self.table)
-        total = np.zeros(self.table.shape[1] + 1)
-        for part in terms(text, LETTERS, 1 << 18):  # some ten thousand words
-            if len(self._words) > self._words.limit:
-                self._words = _Words(self.table)
-            at = np.fromiter(map(self._words.__getitem__, part), np.int64, len(part))
-            total += self._words.rows[at].sum(axis=0)
-        return total[:-1] / np.sqrt(max(total[-1], 1.0))
+        total = np.zeros((len(texts), self.table.shape[1] + 1))
+        words: list[bytes] = []
+        of: list[int] = []
+        sizes: list[int] = []
+
+        def add() -> None:
+            if words:
+                rows = self._words.sums(words)
+                np.add.at(total, of, np.add.reduceat(rows, np.cumsum([0, *sizes[:-1]]), axis=0))
+            for waiting in (words, of, sizes):
+                waiting.clear()
+
+        for i, text in enumerate(texts):
+            for part in terms(text, LETTERS, 1 << 18):
+                if part:
+                    words.extend(part)
+                    of.append(i)
+                    sizes.append(len(part))
+                if len(words) > at_once:
+                    add()
+        add()
+        return total[:, :-1] / np.sqrt(np.maximum(total[:, -1:], 1.0))
 
     def losses(self, evidence: np.ndarray) -> np.ndarray:
         """texts x languages, from texts x bits."""
@@ -144,30 +181,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[float, fl
 def fit_languages(docs: DataFrame, max_training: int = 20_000, max_languages: int = 100, size: int = 1 << 17, lang_col: str = "lang") -> LanguageModel:
     """Learns from rows with a language whose id is not in fold 0.
 
-    The sample has at most ``max_training`` documents, an equal share a language, chosen by a hash of the id;
-    a third of them fits the curves, weights and the sharpness.  Of more than ``max_languages`` languages
+    The sample has about ``max_training`` documents at most, an equal share a language, chosen by a hash of the id;
+    a third of them fits the curves, weights and the sharpness.  Null texts count as empty.  Of more than ``max_languages`` languages
     the most frequent are learned.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0)).select("doc_id", F.col(lang_col).cast("string").alias("lang"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    lang = F.col(lang_col).cast("string")
+    usable = docs.where(lang.isNotNull() & (fold(F.col("doc_id")) != 0))
+    counts = usable.groupBy(lang.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     langs = sorted(r.lang for r in counts)
     k, m = len(langs), code(len(langs))
     bits = m.shape[1]
     if k < 2:
         return LanguageModel(langs, m, np.zeros((size, bits)), np.zeros(bits), np.ones(bits), np.zeros((k, bits)))
     share = max(1, max_training // k)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.where(F.col("lang").isin(langs)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= share).select("doc_id", "lang").distinct()
-    # at most ``max_training`` pairs of an id and a language are broadcast, so the texts of the corpus are only filtered
-    sample = docs.select("doc_id", F.col(lang_col).cast("string").alias("lang"), "text").join(F.broadcast(chosen), ["doc_id", "lang"])
-    sample = cut(sample.select("lang", F.col("text").cast("binary").alias("text"), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("tries")), "language-sample")
+    # a row is taken where its hash, from 0 to 1, is below its language's threshold: the texts of the corpus are only filtered
+    limits = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, share / r["count"]))])
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    sample = usable.select(lang.alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), "doc_id").where(hashed < F.try_element_at(limits, F.col("lang")))
+    sample = cut(sample.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("tries")), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, words = np.zeros((k, size), np.int64), [Counter() for _ in range(k)]
 
         def add(i: int) -> None:
-            for w, n in words[i].items():
-                np.add.at(total[i], slots(w, size), n)
+            if words[i]:
+                slot, word = grams(list(words[i]), size)
+                total[i] += np.bincount(slot, np.array(list(words[i].values()))[word], size).astype(np.int64)
             words[i].clear()
 
         for batch in batches:
@@ -196,8 +235,8 @@ def fit_languages(docs: DataFrame, max_training: int = 20_000, max_languages: in
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            e = [shared.value.evidence(t).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e, pa.list_(pa.float64()))], ["lang", "e"])
+            e = shared.value.evidence(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e.tolist(), pa.list_(pa.float64()))], ["lang", "e"])
 
     trial = sample.where("tries").select("lang", "text").mapInArrow(tried, "lang string, e array<double>").collect()  # a few numbers each
     if trial:
@@ -240,8 +279,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 texts = part.column(1).to_pylist()
                 known = [bool(m.langs) and t is not None and any(map(str.isalpha, t)) for t in texts]
                 lang, score, vague, second = ([UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts), [None] * len(texts))
@@ -250,7 +289,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                     for i in where:
                         lang[i], score[i] = m.langs[0], 1.0
                 elif where:
-                    e = np.array([m.evidence(texts[i].encode()) for i in where])
+                    e = m.evidence([texts[i].encode() for i in where])
                     p = m.probabilities(e)
                     order = np.argsort(-p, axis=1, kind="stable")
                     top = p[np.arange(len(p)), order[:, 0]]

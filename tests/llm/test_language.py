@@ -33,13 +33,35 @@ def test_codes(k):
         assert apart >= code.shape[1] / 4
 
 
+def brute_slots(word, size):
+    marked = b"<" + word + b">"
+    grams = [marked[i : i + n] for n in m.SIZES for i in range(len(marked) - n + 1)]
+    return [((int.from_bytes(g, "little") * 2654435761 + len(g) * 40503) % 2**32 >> 7) % size for g in grams]
+
+
 def brute_evidence(model, text):
     """Without caches, pieces or byte tables."""
     low = "".join(c.lower() if c.isascii() else c for c in text)
     words = "".join(c if not c.isascii() or c.isalpha() else " " for c in low).split(" ")
-    grams = [f"<{w.lower()}>"[i : i + n] for w in words if w for n in m.SIZES for i in range(len(w) + 3 - n)]
-    total = sum((model.table[zlib.crc32(g.encode()) % len(model.table)] for g in grams), np.zeros(model.table.shape[1]))
-    return total / np.sqrt(max(len(grams), 1))
+    at = [s for w in words if w for s in brute_slots(w.encode(), len(model.table))]
+    return sum((model.table[s] for s in at), np.zeros(model.table.shape[1])) / np.sqrt(max(len(at), 1))
+
+
+def test_grams_by_definition():
+    words = ["a", "été", "word", "日本語", "x" * 300]
+    slot, word = m.grams([w.encode() for w in words], 1 << 12)
+    for i, w in enumerate(words):
+        assert sorted(slot[word == i]) == sorted(brute_slots(w.encode(), 1 << 12))
+
+
+def test_words_beyond_the_limit_leave_after_use():
+    table = np.random.default_rng(2).normal(size=(64, 3))
+    words = m._Words(table)
+    words.limit = 4
+    for _ in range(3):
+        for part in ([b"aa", b"bb", b"aa"], [b"cc", b"dd"], [b"ee", b"aa", b"ff"], [b"gg"]):
+            want = [[*table[s].sum(axis=0), len(s)] for s in (brute_slots(w, 64) for w in part)]
+            assert np.allclose(words.sums(part), want) and len(words) == len(words.rows) <= 4
 
 
 @pytest.mark.parametrize("langs", [["aa", "bb", "cc", "dd"], [f"l{i}" for i in range(9)]])
@@ -106,7 +128,7 @@ def test_pieces_of_long_texts_add_up(spark):
     model = m.fit_languages(docs, size=1 << 12)
     text = " ".join(t for _, t, _ in rows) * 20
     assert len(text) > 1 << 19
-    assert np.allclose(model.evidence(text.encode()), brute_evidence(model, text))
+    assert np.allclose(model.evidence([b"", text.encode(), b"x"], at_once=1000)[1], brute_evidence(model, text))
 
 
 def test_query(spark):
