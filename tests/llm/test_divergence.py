@@ -61,28 +61,38 @@ def test_matches_brute_force(spark):
     assert rows_of(m.source_divergence(df)) == want
 
 
-def test_small_trees_and_partial_counts_give_the_same(spark, monkeypatch):
+def test_partial_counts_and_small_batches_give_the_same(spark, monkeypatch):
     rows = corpus(200)
-    df = spark.createDataFrame(rows, SCHEMA)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
     count = m.count_terms
     monkeypatch.setattr(m, "count_terms", lambda docs: count(docs, most=5))
-    assert rows_of(m.source_divergence(df, least=3, most_nodes=4)) == brute(rows, 3)
+    for size in ("3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert rows_of(m.source_divergence(df, least=3)) == brute(rows, 3)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_tree_meets_each_ancestor_once():
     rnd = random.Random(5)
-    zero = {f"s{i}": rnd.randint(1, 9) for i in range(6)}
-    tree, want, f = m.PatternTree(), Counter(), lambda a, b: (a - b) ** 2 // (a + b)
-    for _ in range(300):
-        row = [{"source": s, "p": rnd.randint(1, 4), "zero": z} for s, z in sorted(zero.items()) if rnd.random() < 0.5]
-        terms = rnd.randint(1, 3)
-        tree.insert(*([e[k] for e in row] for k in ("source", "p", "zero")), terms)
-        for j, b in enumerate(row):
-            for a in row[:j]:
-                want[a["source"], b["source"]] += terms * (f(a["p"], b["p"]) - f(a["p"], b["zero"]) - f(a["zero"], b["p"]) + f(a["zero"], b["zero"]))
-    names, got = list(tree.places), tree.corrections()
-    assert {(names[i], names[j]): int(got[i, j]) for i, j in zip(*np.nonzero(got))} == {k: v for k, v in want.items() if v}
-    assert len(tree.parent) < 300 * 3
+    zero, want, f = [rnd.randint(1, 9) for _ in range(6)], Counter(), lambda a, b: (a - b) ** 2 // (a + b)
+    rows = sorted([(s, rnd.randint(1, 3), zero[s]) for s in range(6) if rnd.random() < 0.5] for _ in range(300))
+    rows = [r for r in rows if r]
+    terms = [rnd.randint(1, 3) for _ in rows]
+    nodes = Counter()
+    for row, n in zip(rows, terms):
+        for j, (b, p, z) in enumerate(row):
+            nodes[tuple(row[: j + 1])] += n
+            for a, q, y in row[:j]:
+                want[a, b] += n * (f(q, p) - f(q, z) - f(y, p) + f(y, z))
+    flat = [np.array([e[k] for r in rows for e in r]) for k in range(3)]
+    tree = m.PatternTree(*flat, np.cumsum([len(r) for r in rows]), np.array(terms))
+    for k in range(6):
+        first, below = tree.level(k)
+        assert {tuple(rows[i][: k + 1]): n for i, n in zip(first, below)} == {path: n for path, n in nodes.items() if len(path) == k + 1}
+    got = tree.corrections(6)
+    assert {(i, j): int(got[i, j]) for i, j in zip(*np.nonzero(got))} == {k: v for k, v in want.items() if v}
 
 
 def test_edges(spark):
