@@ -149,15 +149,14 @@ def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     return rows.mapInArrow(each, "doc_id long, n_tokens long, p array<double>")
 
 
-def rate(p: Column, steps: list[list[float]], floor: float, most: float | None = None, start: Column | None = None) -> Column:
-    """The rate after steps ``rate - p . step`` from ``start`` or 1, each projected onto ``floor`` to ``most``, as one expression."""
-    start = F.lit(1.0) if start is None else start
+def rate(p: Column, steps: list[list[float]], floor: float, most: float | None = None) -> Column:
+    """The rate after steps ``rate - p . step`` from 1, each projected onto ``floor`` to ``most``, as one expression."""
     if not steps:
-        return start
+        return F.lit(1.0)
     listed = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
     dot = lambda s: F.aggregate(F.zip_with(p, s, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
     top = F.lit(math.inf if most is None else float(most))
-    return F.aggregate(listed, start, lambda r, s: F.least(top, F.greatest(F.lit(float(floor)), r - dot(s))))
+    return F.aggregate(listed, F.lit(1.0), lambda r, s: F.least(top, F.greatest(F.lit(float(floor)), r - dot(s))))
 
 
 @dataclass(frozen=True)
@@ -179,22 +178,30 @@ def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tole
     The squared misses, each over its domain's tokens, are lowered by projected gradient steps from rates of 1:
     ``rate <- clip(rate - p . x)`` with ``x = (G + c H)^-1 miss``, where G sums ``tokens p p'`` over the documents whose
     rate is between its bounds and H has the domains' tokens.  For a great c these are plain gradient steps, for a
-    small one they solve for the free rates; c falls by a tenth after each step and rises tenfold where the
-    misses would not fall.  Steps end when every miss is below ``tolerance`` of all tokens, when they gain nothing, which is
+    small one they solve for the free rates; c falls to a tenth after each second step in a row and rises tenfold
+    where the misses would not fall.  Steps end when every miss is below ``tolerance`` of all tokens, when they gain nothing, which is
     the least-squares answer where targets are out of reach, or after ``most_passes``.  Rates are written to a table
     every ten steps, so a pass repeats ten at most.  Every domain's target and reached tokens are logged, misses of
     more than ten times ``tolerance`` as warnings.
     """
     k, share = len(weights), np.array(weights, float) / sum(weights)
     names = [f"p{i}" for i in range(k)]
-    now = members.select(F.col("n_tokens").cast("double").alias("n_tokens"), "p", F.lit(1.0).alias("r"))
+    now = members.select(F.col("n_tokens").cast("double").alias("n_tokens"), *[F.col("p")[i].alias(n) for i, n in enumerate(names)], F.lit(1.0).alias("r"))
     steps: list[list[float]] = []
     waiting: list[list[float]] = []
 
+    def stepped(some: list[list[float]]) -> Column:
+        """``rate`` from the table's own, written out for a few steps."""
+        r = F.col("r")
+        for step in some:
+            r = F.greatest(F.lit(float(floor)), r - sum((F.col(n) * float(v) for n, v in zip(names[1:], step[1:])), F.col(names[0]) * float(step[0])))
+            r = r if most is None else F.least(F.lit(float(most)), r)
+        return r
+
     def at(x: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """The domains' tokens and the products of free documents after the waiting steps and ``x``."""
-        r = rate(F.col("p"), [*waiting, *([] if x is None else [x.tolist()])], floor, most, F.col("r"))
-        own = now.select("n_tokens", r.alias("r"), *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
+        r = stepped([*waiting, *([] if x is None else [x.tolist()])])
+        own = now.select("n_tokens", r.alias("r"), *names)
         free = F.when((F.col("r") > floor) & (F.lit(most is None) | (F.col("r") < (most or 0.0))), F.col("n_tokens")).otherwise(0.0)
         row = own.agg(*[F.sum(F.col("n_tokens") * F.col("r") * F.col(a)) for a in names], *[F.sum(free * F.col(a) * F.col(b)) for a in names for b in names]).first()
         sums = np.array([v or 0.0 for v in row])
@@ -212,7 +219,7 @@ def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tole
     want = np.zeros(len(on)) if floor else (share * total)[on]
     weight = np.diag(have[on])
     got, products = at(None)
-    miss, pull = of @ got - want, 1e-3
+    miss, pull, eased = of @ got - want, 1e-3, True
     value = (miss**2 / have[on]).sum()
     for _ in range(most_passes):
         if not len(on) or np.abs(miss).max() < tolerance * got.sum() or pull > 1e6:
@@ -222,13 +229,14 @@ def fit_rates(members: DataFrame, weights: list[float], floor: float = 0.0, tole
         left = of @ tokens - want
         gain = value - (left**2 / have[on]).sum()
         if gain <= 1e-9 * value:
-            pull *= 10
+            pull, eased = pull * 10, False
             continue
-        got, products, miss, value, pull = tokens, tried, left, value - gain, max(pull / 10, 1e-9)
+        got, products, miss, value = tokens, tried, left, value - gain
+        pull, eased = max(pull / 10, 1e-9) if eased else pull, True
         steps.append(x.tolist())
         waiting.append(x.tolist())
         if len(waiting) == 10:
-            now = cut(now.select("n_tokens", "p", rate(F.col("p"), waiting, floor, most, F.col("r")).alias("r")), "rates")
+            now = cut(now.select("n_tokens", *names, stepped(waiting).alias("r")), "rates")
             waiting = []
     wanted = share * got[on].sum() if floor else share * total
     for i in on.tolist():
