@@ -161,8 +161,9 @@ def rewritten(kind: str, span: str) -> list[tuple[str, int]]:
         user, _, host = span.partition("@")
         return [(f"{user} (at) {host}", 1), (f"{user}[at]{host.replace('.', '[dot]')}", 1), (f"{user} at {host.replace('.', ' dot ')}", 1), (f"{user} at {host.split('.')[0]}. {user}", 0)]
     if kind == "ip":
-        first, *rest = span.split(".")
-        return [(".".join([str(int(first.lstrip("0") or 0) + 256), *rest]), 0)]
+        first, *rest = parts = span.split(".")
+        a, b, c, d = (int(x.lstrip("0") or 0) for x in parts)
+        return [(".".join([str(a + 256), *rest]), 0), (f"2001:db8:{a:x}:{b:x}:{c * 257:x}:0:{a * 256 + d:x}:{d:x}", 1), (f"2002:{a:02x}{b:02x}:{c:02x}{d:02x}:{b * 97:x}:{d:x}:{c:x}:{b:x}:{a:x}", 1)]
     if kind == "card":
         n = digits(span)
         wrong = n[:-1] + str((int(n[-1]) + 3) % 10)
@@ -189,7 +190,7 @@ def _inspect(text: str | None) -> tuple[list, list]:
         before = bisect_right(failed[k], (s, len(text)))
         inside_failed = before > 0 and e <= failed[k][before - 1][1]
         exactly = (k, s, e) in places
-        label = 1 if (k, s, e) in known else -1 if (inside_failed and not exactly) or k in ("email", "phone") else 0
+        label = 1 if (k, s, e) in known else -1 if (inside_failed and not exactly) or k in ("email", "phone") or ":" in text[s:e] else 0
         found.append((k, s, e, features(k, text[s:e], text[max(0, s - 30) : s], text[e : e + 10]), label))
     for k, s, e in base:
         for span, label in rewritten(k, text[s:e]):

@@ -126,9 +126,10 @@ def test_added_spans_held_out_precision_and_recall(spark, caplog):
         bad = card(i)[:-1] + str((int(card(i)[-1]) + 1) % 10)
         rows.append((i, f"before u{i}.n@host{i % 9}.example.com and 10.{i % 256}.0.{i % 200}, {card(i)} then +1 ({200 + i}) 555-{1000 + i}. number {bad} stays, {300 + i}.300.1.1 too"))
     for i in range(1000, 1300):
-        kind = ("email", "card", "phone", None)[i % 4]
+        kind = ("email", "card", "phone", "ip", None)[i % 5]
         c = card(i)
-        span = {"email": f"ann{i} (at) mail{i % 7}.example.com", "card": c, "phone": f"+1 ({200 + i % 700}) 555-{1000 + i}", None: "plain words"}[kind]
+        v6 = "2001:db8:0:%x:%x:0:%x:%x" % (i, i * 7 % 65536, i * 31 % 65536, i + 9)
+        span = {"email": f"ann{i} (at) mail{i % 7}.example.com", "card": c, "phone": f"+1 ({200 + i % 700}) 555-{1000 + i}", "ip": v6, None: "plain words"}[kind]
         before = "ref " + " ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(5)) + " "
         more = {"card": f"+49 30 {1000000 + i} ", "phone": ""}.get(kind, "")  # glued numbers fail the rules
         after = f" {card(i + 1)}" if kind == "phone" else " end"
@@ -140,15 +141,16 @@ def test_added_spans_held_out_precision_and_recall(spark, caplog):
         got = m.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     added = {r.doc_id: {tuple(x) for x in r.spans} - {tuple(x) for x in r.base} for r in got}
     base = {r.doc_id: {tuple(x) for x in r.base} for r in got}
-    for kind in ("email", "card", "phone"):
+    for kind in m.KINDS:
         mine = {i: w for i, w in want.items() if w[0] == kind and w not in base[i]}
         hit = sum(w in added[i] for i, w in mine.items())
         extra = sum(x[0] == kind and rows[600 + i - 1000][1][x[1] : x[2]] not in planted[i] for i in range(1000, 1300) for x in added[i])
-        if mine:
-            assert hit / len(mine) >= 0.9, kind
-            assert hit / (hit + extra) >= 0.9, (kind, [(x, rows[i - 400][1][x[1] : x[2]], planted[i]) for i in range(1000, 1300) for x in added[i] if x[0] == kind][:4])
+        assert mine, kind
+        assert hit / len(mine) >= 0.9, (kind, hit, len(mine))
+        assert hit / (hit + extra) >= 0.9, (kind, [(x, rows[i - 400][1][x[1] : x[2]], planted[i]) for i in range(1000, 1300) for x in added[i] if x[0] == kind][:4])
     held = [r.getMessage() for r in caplog.records if "held-out" in r.getMessage()]
-    assert held and all(float(x.split("precision ")[1].split(",")[0]) >= 0.9 for x in held)
+    assert {k for k in m.KINDS if any(f", {k}:" in x for x in held)} == set(m.KINDS)
+    assert all(float(x.split("precision ")[1].split(",")[0]) >= 0.9 and float(x.split("recall ")[1].split(" ")[0]) >= 0.9 for x in held), held
 
 
 def test_redact():
