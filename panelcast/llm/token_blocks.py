@@ -226,19 +226,20 @@ def words(path: str) -> _Words:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", files: int | None = None
+    docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, most_bytes: int = 256 << 20
 ) -> DataFrame:
-    """Encodes ``docs`` and writes files to the shared folder; a manifest ``shard, path, size, n_docs, n_ids``.
+    """Encodes ``docs`` and writes files to the shared folder; a manifest ``shard, part, path, size, n_docs, n_ids``.
 
     Documents are dealt by ranges of their id, so shards in order hold ids in ascending
     order (null first, equal ids by a hash of the text, then the text; the hash parts them over
-    shards, so rows without an id don't land in one task).  A task writes under a name of its own
-    and the manifest names the files that count, so tasks that ran twice do no harm.
+    shards, so rows without an id don't land in one task).  A task writes under names of its own
+    and the manifest names the files that count, so tasks that ran twice do no harm.  It goes on in a new file,
+    its next part, once one has ``most_bytes`` bytes, so a file and its index in memory have a bound.
     """
     folder = scratch(docs.sparkSession, "token-blocks")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, writer, end = words(path), None, end_id.to_bytes(4, "little")
+        known, writer, end, nth = words(path), None, end_id.to_bytes(4, "little"), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -246,19 +247,23 @@ def write_token_files(
                     if writer is None:
                         fs, top = pa.fs.FileSystem.from_uri(folder)
                         fs.create_dir(top)
-                        name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.pfb"
+                        name = f"{TaskContext.get().partitionId():06d}-{nth:04d}-{uuid.uuid4().hex}.pfb"
                         writer = BlockWriter(fs.open_output_stream(f"{top}/{name}"))
                     writer.add(doc_id, np.frombuffer(known.encode(text or "") + end, "<u4"))
+                    if writer.place >= most_bytes:
+                        yield closed(writer, name, nth)
+                        writer, nth = None, nth + 1
         if writer:
-            writer.close()
-            shard = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_pylist(
-                [{"shard": shard, "path": f"{folder}/{name}", "size": writer.place, "n_docs": len(writer.docs), "n_ids": writer.ids}]
-            )
+            yield closed(writer, name, nth)
+
+    def closed(writer: BlockWriter, name: str, nth: int) -> pa.RecordBatch:
+        writer.close()
+        shard = TaskContext.get().partitionId()
+        return pa.RecordBatch.from_pylist([{"shard": shard, "part": nth, "path": f"{folder}/{name}", "size": writer.place, "n_docs": len(writer.docs), "n_ids": writer.ids}])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("part"))
     dealt = rows.repartitionByRange(*([files] if files else []), "doc_id", "part").sortWithinPartitions("doc_id", "part", "text")
-    return cut(dealt.mapInArrow(each, "shard long, path string, size long, n_docs long, n_ids long"), "token-files")
+    return cut(dealt.mapInArrow(each, "shard long, part long, path string, size long, n_docs long, n_ids long"), "token-files")
 
 
 def read_token_files(manifest: DataFrame, keep: bool = True) -> DataFrame:
@@ -267,7 +272,7 @@ def read_token_files(manifest: DataFrame, keep: bool = True) -> DataFrame:
     ``start`` counts the ids of all documents before, over all shards.
     """
     # one row a file: the running sum is over as many rows as there are files
-    before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n_ids").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1))
     placed = manifest.withColumn("before", F.coalesce(before, F.lit(0)))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

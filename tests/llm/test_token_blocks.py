@@ -87,6 +87,15 @@ def test_files_match_brute_force(spark, library):
     assert m.token_files(df.limit(0), PATH).count() == 0
 
 
+def test_files_roll_over_by_size(spark, library):
+    df = spark.createDataFrame([(i, f"word{i} " * (i % 40)) for i in range(300)], "doc_id long, text string")
+    files = m.write_token_files(df, PATH, files=2, most_bytes=1000).collect()
+    assert len(files) > 4 and {f.shard for f in files} == {0, 1} and sum(f.n_docs for f in files) == 300
+    assert all([f.part for f in sorted(files, key=lambda f: f.part) if f.shard == s] == list(range(sum(f.shard == s for f in files))) for s in (0, 1))
+    got = lambda **o: sorted(map(str, m.token_files(df, PATH, files=2, **o).collect()))
+    assert got(most_bytes=1000) == got()
+
+
 def test_rows_without_ids_are_spread_over_files(spark, library):
     df = spark.createDataFrame([(None, f"text {i}") for i in range(400)], "doc_id long, text string")
     shards = m.write_token_files(df, PATH, files=4).collect()
