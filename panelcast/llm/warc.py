@@ -65,13 +65,13 @@ def capture_records(page_id: int | None, nth: int | str, url: str | None, payloa
     yield _record("metadata", f"{own}:metadata", beside | {"Content-Type": "application/warc-fields"}, fields)
 
 
-def write_warc(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_warc(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", most_bytes: int = 256 << 20) -> DataFrame:
     """Writes ``page_id, url, html`` as archives in the shared folder; a manifest ``path, size, records``.
 
     Of pages with equal payloads of at least ``least_bytes`` bytes the one with the smallest id is
     the response and the others revisit it.  Payloads count as equal when length, SHA-1 and MD5
     are.  Null html is empty.  Rows that repeat an id are captures of their own; those that also
-    repeat the payload of the response stay responses.  A null id is never a revisit.
+    repeat the payload of the response stay responses.  A null id is never a revisit.  A task goes on in a new file once one has ``most_bytes`` bytes.
     """
     folder = scratch(pages.sparkSession, "warc")
     rows = pages.select(
@@ -101,7 +101,7 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T0
     dealt = dealt.select("page_id", "url", "payload", refers.alias("refers_to"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, last, nth, records, size = None, None, 0, 0, 0
+        out, last, nth, records, size, first = None, None, 0, 0, 0, True
         for batch in batches:
             for at in range(batch.num_rows):
                 page_id, url, payload, refers_to = (c[at].as_py() for c in batch.columns)
@@ -112,14 +112,18 @@ def write_warc(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01T0
                     out = fs.open_output_stream(f"{top}/{name}", compression=None)
                     raw = _record("warcinfo", f"urn:uuid:{uuid.uuid4()}", {"WARC-Date": date, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
                     out.write(raw)
-                    size = len(raw)
-                nth = nth + 1 if records and page_id == last else 0
-                last = page_id
-                # pages without an id are counted by file
+                    records, size = 0, len(raw)
+                nth = nth + 1 if not first and page_id == last else 0
+                last, first = page_id, False
+                # pages without an id are counted by task
                 own = nth if page_id is not None else f"{TaskContext.get().partitionId()}-{nth}"
                 for raw in capture_records(page_id, own, url, payload, refers_to, date):
                     out.write(raw)
                     records, size = records + 1, size + len(raw)
+                if size >= most_bytes:
+                    out.close()
+                    yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "size": size, "records": records}])
+                    out = None
         if out:
             out.close()
             yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "size": size, "records": records}])
@@ -222,14 +226,14 @@ def assemble(records: DataFrame) -> DataFrame:
     )
 
 
-def warc_transactions(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def warc_transactions(pages: DataFrame, least_bytes: int = 0, **options) -> DataFrame:
     """Writes pages as archives, reads them back and assembles captures, without payloads.
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``: a row for each row of
     ``pages``.  See ``write_warc`` for nulls, ties and repeated rows; an empty table writes no
     file and gives an empty result; other columns are not read.
     """
-    records = cut(read_records(write_warc(pages, least_bytes), payloads=False), "warc-records")
+    records = cut(read_records(write_warc(pages, least_bytes, **options), payloads=False), "warc-records")
     captures = assemble(records)
     page = F.col("metadata")[0]["fields"]["page-id"]
     return captures.select(

@@ -33,6 +33,14 @@ def test_matches_brute_force(spark):
     assert m.warc_transactions(pages.limit(0)).count() == 0
 
 
+def test_files_roll_over_by_size(spark):
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string")
+    files = m.write_warc(pages, most_bytes=2000).collect()
+    assert len(files) > 8 and all(f.size < 4000 or f.records <= 9 for f in files)
+    assert sum(f.records for f in files) == 3 * len(ROWS)
+    assert sorted(str(tuple(r)[:5]) for r in m.warc_transactions(pages, most_bytes=2000).collect()) == brute(ROWS, 0)
+
+
 def test_payloads_come_back(spark):
     pages = spark.createDataFrame(ROWS[:8], "page_id long, url string, html string")
     got = m.assemble(m.read_records(m.write_warc(pages))).where("response.type = 'response'").collect()
