@@ -72,9 +72,9 @@ def factor_fill(x: np.ndarray, r: int, most: int = 50, tol: float = 1e-6) -> np.
     return out
 
 
-def var_fit(f: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (constant first, then lags) and residuals of a vector autoregression."""
-    z = np.column_stack([np.ones(len(f) - p), *[f[p - k - 1 : len(f) - k - 1] for k in range(p)]])
+def var_fit(f: np.ndarray, p: int, constant: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (constant first, if any, then lags) and residuals of a vector autoregression."""
+    z = np.column_stack([*([np.ones(len(f) - p)] if constant else []), *[f[p - k - 1 : len(f) - k - 1] for k in range(p)]])
     b, *_ = np.linalg.lstsq(z, f[p:], rcond=None)
     return b, f[p:] - z @ b
 
@@ -104,42 +104,82 @@ def dynamic_factor_count(f: np.ndarray, p: int, n: int, most: int | None = None)
     return tuple(int(x.argmax() + 1) if x.any() else 1 for x in (one, rest))
 
 
-def kalman(x: np.ndarray, loadings: np.ndarray, r: np.ndarray, a: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stationary_covariance(a: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The covariance P = a P a' + q of a stationary state."""
+    k = len(a)
+    p = np.linalg.solve(np.eye(k * k) - np.kron(a, a), q.ravel()).reshape(k, k)
+    return (p + p.T) / 2
+
+
+def kalman(x: np.ndarray, loadings: np.ndarray, r: np.ndarray, a: np.ndarray, q: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Filtered and smoothed states of x = L f + noise(diag r), f = A f(-1) + shock(q); NaN entries of x are skipped.
 
-    The update is in r x r form: noise is diagonal, so no N x N matrix is inverted.
+    The first state has mean 0 and covariance ``start``, the stationary one where None.  Noise is diagonal, so only
+    states x states matrices are solved, and no covariance of states is inverted, so it may be singular (lags in the
+    state, fewer shocks than states).  The smoother runs backwards over weighted residuals.
     """
-    t, k = len(x), a.shape[0]
-    f, p = np.zeros(k), np.eye(k) * 10.0
-    kept = []
-    for row in x:
-        fp, pp = a @ f, a @ p @ a.T + q
+    k = len(a)
+    fp, pp = np.zeros(k), stationary_covariance(a, q) if start is None else start
+    kept, filtered = [], np.zeros((len(x), k))
+    for t, row in enumerate(x):
         ok = ~np.isnan(row)
         lw = loadings[ok] / r[ok][:, None]
-        p = np.linalg.inv(np.linalg.inv(pp + 1e-12 * np.eye(k)) + loadings[ok].T @ lw)
-        f = fp + p @ (lw.T @ (row[ok] - loadings[ok] @ fp))
-        kept.append((fp, pp, f, p))
-    filtered = np.array([c[2] for c in kept])
-    smooth = filtered.copy()
-    for i in range(t - 2, -1, -1):
-        _, _, fi, pi = kept[i]
-        fp, pp, _, _ = kept[i + 1]
-        smooth[i] = fi + pi @ a.T @ np.linalg.pinv(pp) @ (smooth[i + 1] - fp)
+        m = loadings[ok].T @ lw
+        both = np.linalg.solve(np.eye(k) + m @ pp, np.column_stack([lw.T @ (row[ok] - loadings[ok] @ fp), m]))
+        u, n = both[:, 0], both[:, 1:]  # residuals and loadings over the covariance of the rows
+        kept.append((fp, pp, u, n))
+        filtered[t] = fp + pp @ u
+        fp, pp = a @ filtered[t], a @ (pp - pp @ n @ pp) @ a.T + q
+        pp = (pp + pp.T) / 2
+    smooth, back = np.zeros_like(filtered), np.zeros(k)
+    for t in range(len(x) - 1, -1, -1):
+        fp, pp, u, n = kept[t]
+        back = u + (np.eye(k) - n @ pp) @ a.T @ back
+        smooth[t] = fp + pp @ back
     return filtered, smooth
 
 
-def two_step(x: np.ndarray, r: int) -> dict:
-    """Principal components and a VAR(1) give the start values, the Kalman filter and smoother the factors."""
-    mean, sd = scale(x)
+def companion(coefficients: np.ndarray, shocks: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transition and shock covariance of the state (f, f(-1), ..., f(1 - p)), with ``q`` independent shocks.
+
+    ``coefficients`` has the lags of a VAR(p) below each other.  Of the shock covariance the ``q`` greatest principal
+    components stay.  Where the autoregression isn't stationary, lag k is shrunk by s^k until its greatest root is 0.99.
+    """
+    r = shocks.shape[0]
+    w, v = np.linalg.eigh(shocks)
+    v, w = v[:, ::-1][:, :q], np.maximum(w[::-1][:q], 0.0)
+    a, cov = np.zeros((r * p, r * p)), np.zeros((r * p, r * p))
+    a[r:, :-r] = np.eye(r * (p - 1)) if p > 1 else a[r:, :-r]
+    cov[:r, :r] = (v * w) @ v.T
+    a[:r] = np.hstack([coefficients[k * r : (k + 1) * r].T for k in range(p)])
+    root = np.abs(np.linalg.eigvals(a)).max()
+    if root >= 0.99:
+        a[:r] *= np.repeat((0.99 / root) ** np.arange(1, p + 1), r)
+    return a, cov
+
+
+def two_step(x: np.ndarray, r: int, p: int = 1, q: int | None = None) -> dict:
+    """Principal components and a VAR(p) with ``q`` shocks give the start values, the Kalman filter and smoother the factors.
+
+    Gaps stay gaps for the filter; for the start values only they are filled by iteration.  A series without two
+    values, or a constant one, counts as zeros.
+    """
+    known = ~np.isnan(x)
+    mean = np.array([c[k].mean() if k.any() else 0.0 for c, k in zip(x.T, known.T)])
+    sd = np.array([c[k].std(ddof=1) if k.sum() > 1 else 0.0 for c, k in zip(x.T, known.T)])
+    sd = np.where(sd > 1e-12, sd, 1.0)
     z = (x - mean) / sd
-    loadings, f, _ = static_factors(z, r)
-    b, e = var_fit(f, 1)
-    noise = np.maximum(((z - f @ loadings.T) ** 2).mean(axis=0), 1e-4)
-    filtered, smooth = kalman(z, loadings, noise, b[1:].T, np.atleast_2d(np.cov(e.T)))
-    return {"loadings": loadings, "a": b[1:].T, "filtered": filtered, "smooth": smooth, "mean": mean, "sd": sd}
+    full = factor_fill(z, r)
+    loadings, f, _ = static_factors(full, r)
+    b, e = var_fit(f, p, constant=False)
+    noise = np.array([max(((c[k] - f[k] @ row) ** 2).mean() if k.any() else 1.0, 1e-4) for c, k, row in zip(z.T, known.T, loadings)])
+    a, cov = companion(b, e.T @ e / len(e), p, r if q is None else q)
+    wide = np.hstack([loadings, np.zeros((len(loadings), r * (p - 1)))])
+    filtered, smooth = kalman(z, wide, noise, a, cov)
+    return {"loadings": wide, "a": a, "q": cov, "noise": noise, "states": filtered, "filtered": filtered[:, :r], "smooth": smooth[:, :r], "mean": mean, "sd": sd}
 
 
 def state_forecast(fit: dict, h: int) -> np.ndarray:
     """h-step forecast of every series from the last state, in its own units."""
-    state = np.linalg.matrix_power(fit["a"], h) @ fit["filtered"][-1]
+    state = np.linalg.matrix_power(fit["a"], h) @ fit["states"][-1]
     return fit["loadings"] @ state * fit["sd"] + fit["mean"]

@@ -30,6 +30,32 @@ def adf(y: np.ndarray, most: int = 10, ic: str = "bic") -> tuple[float, int, int
     return best[1:] if best else (float("nan"), 0, 0)
 
 
+def adf_from_moments(products: np.ndarray, rows: np.ndarray, most: np.ndarray, ic: str = "bic", fixed: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """t and lag of many series at once, as ``adf`` gives them, and which have a regression.
+
+    ``products`` has for each series the sums of products of (1, difference, level before, differences before) over its
+    ``rows`` rows; ``most`` is the greatest lag of each.  With ``fixed`` that lag is taken.
+    """
+    n, best, t, lag = len(rows), np.full(len(rows), np.inf), np.full(len(rows), np.nan), np.zeros(len(rows), int)
+    for p in range(products.shape[1] - 2):
+        at = [0, *range(2, 3 + p)]
+        xx, xy, yy = products[:, at][:, :, at], products[:, at, 1], products[:, 1, 1]
+        size = np.sqrt(np.maximum(np.einsum("sii->si", xx), 1e-300))
+        inverse = np.linalg.pinv(xx / size[:, :, None] / size[:, None, :], rcond=1e-12, hermitian=True) if n else xx
+        b = np.einsum("sij,sj->si", inverse, xy / size)
+        ssr = np.maximum(yy - np.einsum("si,si->s", b, xy / size), 0.0)
+        usable = (p <= most) & (rows > p + 3) & (p == fixed if fixed is not None else True)
+        safe = np.maximum(rows, 2)
+        cost = {"aic": 2.0, "bic": np.log(safe)}[ic]
+        score = np.log(np.maximum(ssr, 1e-300) / safe) + (p + 2) * cost / safe
+        better = usable & (score < best - 1e-12)
+        variance = inverse[:, 1, 1] * ssr / np.maximum(rows - p - 2, 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(variance > 0, b[:, 1] / np.sqrt(variance), np.nan)
+        best, t, lag = np.where(better, score, best), np.where(better, value, t), np.where(better, p, lag)
+    return t, lag, np.isfinite(best)
+
+
 def critical(n: int) -> float:
     """5 % critical value with a constant."""
     return sum(c / n**i for i, c in enumerate(CRITICAL))

@@ -240,10 +240,10 @@ def adaptive_search(score, start: float | tuple[float, float, float], steps: int
     return best()[0]
 
 
-def penalised(x: np.ndarray | None, y: np.ndarray | None, h: int, method: str = "lasso", alpha: float = 1.0, ic: str = "cv", steps: int = 200, run: Run | None = None, **cv) -> dict:
+def penalised(x: np.ndarray | None, y: np.ndarray | None, h: int, method: str = "lasso", alpha: float = 1.0, ic: str = "cv", steps: int = 200, run: Run | None = None, lam: float | None = None, **cv) -> dict:
     """Fits one window.  ``ic``: cv, aic, bic, or grid (adaptive search).  Coefficients are for standardised x.
 
-    A window of a panel comes as ``run``, which shares prefix sums with all other windows and targets; otherwise
+    With ``lam`` that penalty is taken.  A window of a panel comes as ``run``, which shares prefix sums with all other windows and targets; otherwise
     it is all of x and y.
     """
     run = run_of(x, y) if run is None else run
@@ -253,7 +253,9 @@ def penalised(x: np.ndarray | None, y: np.ndarray | None, h: int, method: str =
     gram, xy = run.gram * np.outer(weights, weights), run.xy * weights
     kind = "ridge" if method == "ridge" else "lasso"
     lambdas = np.linspace(1e-3, 1e5, 200) if kind == "ridge" else penalties(xy, n, alpha, steps)
-    if ic == "grid":
+    if lam is not None:
+        lambdas = np.array([lam])
+    elif ic == "grid":
         start = tuple(float(v) for v in np.quantile(lambdas, [0.1, 0.5, 0.9]))
         lam = adaptive_search(lambda k: float(block_cv(method, None, None, np.array([k]), h, alpha, run=run, **cv)[0]), start)
         lambdas = np.array([lam])

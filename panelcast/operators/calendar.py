@@ -63,6 +63,12 @@ def oos_period(obs: DataFrame, m: int) -> DataFrame:
     return dates.groupBy("panel_id").agg(F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"))
 
 
+def densify_panel(obs: DataFrame) -> DataFrame:
+    """Every series of a panel at every date of the panel; what is missing is NULL."""
+    grid = obs.select("panel_id", "series").distinct().join(obs.select("panel_id", "ds").distinct(), "panel_id")
+    return grid.join(obs, [*KEYS, "ds"], "left").select(*KEYS, "ds", "value")
+
+
 def drop_first(obs: DataFrame, k: int) -> DataFrame:
     return obs.withColumn("_n", F.row_number().over(by_date())).where(F.col("_n") > k).drop("_n")
 
@@ -90,6 +96,28 @@ def crisis_flag(dates: DataFrame, crisis: DataFrame) -> DataFrame:
     return dates.join(marked, "ds", "left").withColumn("crisis", F.coalesce("crisis", F.lit(0)))
 
 
+def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, width: float) -> DataFrame:
+    """Each point with every interval of its keys that holds it, both ends included: ``start`` and ``end`` are timestamps, exact to the microsecond.
+
+    Intervals are dealt into bins of ``width`` seconds and meet the points of a bin by equality; a point is in one bin, so no
+    pair occurs twice.  The width should be near the length of most intervals: a longer one is copied to each bin it
+    touches.  Intervals that end before they start, and nulls, hold nothing.
+    """
+    place = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width * 1e6))
+    bins = intervals.where("start <= end").withColumn("_bin", F.explode(F.sequence(place("start"), place("end"))))
+    pairs = points.withColumn("_bin", place(at)).join(bins, [*keys, "_bin"])
+    return pairs.where(F.col(at).between(F.col("start"), F.col("end"))).drop("_bin")
+
+
+def interval_flag(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, width: float) -> DataFrame:
+    """``points`` with ``n_intervals`` that hold them, and ``crisis`` 1 where there is one; points are told apart by keys and time."""
+    on = [*keys, at]
+    held = interval_join(points.select(*on).distinct(), intervals.select(*keys, "start", "end"), keys, at, width)
+    n = held.groupBy(*on).agg(F.count(F.lit(1)).alias("n_intervals"))
+    out = points.join(n, on, "left").withColumn("n_intervals", F.coalesce("n_intervals", F.lit(0)))
+    return out.withColumn("crisis", (F.col("n_intervals") > 0).cast("int"))
+
+
 def split_sample(rows: DataFrame, crisis: DataFrame, part: str) -> DataFrame:
     if part == "full":
         return rows

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import factors as K
+from ..sources.io import cut
+from .spread import dealt
 
 LOADINGS = "panel_id string, series string, factor int, loading double"
 FACTORS = "panel_id string, ds date, factor int, value double"
@@ -31,7 +33,7 @@ def per_panel(obs: DataFrame, schema: str, each: Callable, gaps: bool = False) -
         rows = [(pdf["panel_id"].iat[0], *r) for r in each(wide.to_numpy(float), list(wide.index), list(wide.columns))] if wide.shape[1] else []
         return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return obs.groupBy("panel_id").applyInPandas(task, schema)
+    return dealt(obs, "panel_id").groupBy("panel_id").applyInPandas(task, schema)
 
 
 def standard(obs: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def from_products(rows: DataFrame, schema: str, each: Callable) -> DataFrame:
         made = [(pdf["panel_id"].iat[0], *r) for r in each(np.vstack(pdf["sums"].to_list()), int(pdf["t"].iat[0]), list(pdf["names"].iat[0]))]
         return pd.DataFrame(made, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.groupBy("panel_id").applyInPandas(task, schema)
+    return dealt(rows, "panel_id").groupBy("panel_id").applyInPandas(task, schema)
 
 
 def _loadings(z: DataFrame, r: int) -> DataFrame:
@@ -138,8 +140,54 @@ def factor_counts(obs: DataFrame, most: int = 8) -> DataFrame:
     return from_products(products(standard(obs)), "panel_id string, rule string, n_factors int", each)
 
 
-def factor_fill(obs: DataFrame, r: int = 2) -> DataFrame:
-    return per_panel(obs, "panel_id string, series string, ds date, filled double", lambda x, days, names: [(n, d, float(v)) for d, row in zip(days, K.factor_fill(x, r)) for n, v in zip(names, row)], gaps=True)
+FILLED = "panel_id string, series string, ds date, filled double"
+
+
+def factor_fill(obs: DataFrame, r: int = 2, most: int = 50, tol: float = 1e-6, most_cells: int = 1 << 20) -> DataFrame:
+    """``panel_id, series, ds, filled``: gaps from the fit of ``r`` factors, refitted until fits stand still (relative change of squares below ``tol``) or ``most`` times.
+
+    Panels of up to ``most_cells`` cells are iterated in a task each; larger ones take part in rounds of
+    joins and sums, in which no task holds a panel (``fill_by_rounds``).  Both give the same numbers.
+    Every series must have a row at every date of its panel.
+    """
+    sizes = obs.groupBy("panel_id").agg(F.count(F.lit(1)).alias("cells"))
+    large = sizes.where(F.col("cells") > most_cells).select("panel_id")
+    each = lambda x, days, names: [(n, d, float(v)) for d, row in zip(days, K.factor_fill(x, r, most, tol)) for n, v in zip(names, row)]
+    if large.isEmpty():
+        return per_panel(obs, FILLED, each, gaps=True)
+    rounds = fill_by_rounds(obs.join(large, "panel_id", "left_semi"), r, most, tol)
+    return per_panel(obs.join(large, "panel_id", "left_anti"), FILLED, each, gaps=True).unionByName(rounds)
+
+
+def fill_by_rounds(obs: DataFrame, r: int = 2, most: int = 50, tol: float = 1e-6) -> DataFrame:
+    """``factor_fill`` as rounds over all panels at once; each round is a table, and panels leave once their fits stand still.
+
+    A round sums X'X of the standardised rows by date, takes loadings from it (N x N numbers of a panel in a task), and
+    projects: fits are a join and a sum.  What the driver sees is whether any panel is left.
+    """
+    keys = ["panel_id", "series"]
+    mean = F.coalesce(F.avg("value").over(Window.partitionBy(*keys)), F.lit(0.0))
+    active = cut(obs.select(*keys, "ds", "value", F.coalesce("value", mean).alias("filled"), F.lit(None).cast("double").alias("fit")), "fill")
+    out, again = None, True
+    for turn in range(most):
+        by = scaling(active.select(*keys, "ds", F.col("filled").alias("value")))
+        z = scaled(active.select(*keys, "ds", F.col("filled").alias("value")), by)
+        load = cut(_loadings(z, r), "fill-loadings")  # for the factors and the fit
+        factor = project(z, load).withColumnRenamed("value", "f")
+        part = factor.join(load, ["panel_id", "factor"]).groupBy(*keys, "ds").agg(F.sum(F.col("f") * F.col("loading")).alias("part"))
+        fitted = active.join(part, [*keys, "ds"]).join(by, keys)
+        now = F.col("part") * F.col("sd") + F.col("mean")
+        rows = cut(fitted.select(*keys, "ds", "value", F.coalesce("value", now).alias("filled"), now.alias("fit"), F.col("fit").alias("before")), "fill")
+        moved = rows.groupBy("panel_id").agg((F.sum((F.col("fit") - F.col("before")) ** 2) / F.greatest(F.sum(F.col("before") ** 2), F.lit(1e-300))).alias("moved"), (F.count("value") == F.count(F.lit(1))).alias("whole"))
+        ended = F.col("whole") | (F.coalesce(F.col("moved"), F.lit(float("inf"))) < tol) | F.lit(turn == most - 1)
+        state = cut(moved.select("panel_id", ended.alias("ended")), "fill-state")  # a row a panel
+        done = rows.join(state.where("ended"), "panel_id", "left_semi").select(*keys, "ds", F.coalesce("value", "filled").alias("filled"))
+        out = done if out is None else out.unionByName(done)
+        again = not state.where("not ended").isEmpty()
+        if not again:
+            break
+        active = rows.join(state.where("not ended"), "panel_id", "left_semi").drop("before")
+    return out
 
 
 def factor_r2(standardised: DataFrame, loading: DataFrame, factor: DataFrame) -> DataFrame:
@@ -183,12 +231,14 @@ def dynamic_counts(obs: DataFrame, r: int = 4, p: int = 1) -> DataFrame:
         made = K.dynamic_factor_count(f, p, int(pdf["n"].iat[0]))
         return pd.DataFrame([(pdf["panel_id"].iat[0], rule, k) for rule, k in zip(("one", "rest"), made)], columns=["panel_id", "rule", "n_dynamic"])
 
-    return rows.groupBy("panel_id").applyInPandas(task, "panel_id string, rule string, n_dynamic int")
+    return dealt(rows, "panel_id").groupBy("panel_id").applyInPandas(task, "panel_id string, rule string, n_dynamic int")
 
 
-def two_step_factors(obs: DataFrame, r: int = 2) -> DataFrame:
-    return per_panel(obs, FACTORS, lambda x, days, _: [(d, k + 1, float(v)) for d, row in zip(days, K.two_step(x, r)["smooth"]) for k, v in enumerate(row)])
+def two_step_factors(obs: DataFrame, r: int = 2, p: int = 1, q: int | None = None) -> DataFrame:
+    """Smoothed factors of each panel from a VAR(p) of ``r`` factors with ``q`` shocks; series with gaps and ragged edges stay."""
+    return per_panel(obs, FACTORS, lambda x, days, _: [(d, k + 1, float(v)) for d, row in zip(days, K.two_step(x, r, p, q)["smooth"]) for k, v in enumerate(row)], gaps=True)
 
 
-def state_forecasts(obs: DataFrame, r: int = 2, h: int = 3) -> DataFrame:
-    return per_panel(obs, "panel_id string, series string, y_pred double", lambda x, d, names: list(zip(names, K.state_forecast(K.two_step(x, r), h).tolist())))
+def state_forecasts(obs: DataFrame, r: int = 2, h: int = 3, p: int = 1, q: int | None = None) -> DataFrame:
+    """Every series ``h`` steps after the panel's last date."""
+    return per_panel(obs, "panel_id string, series string, y_pred double", lambda x, d, names: list(zip(names, K.state_forecast(K.two_step(x, r, p, q), h).tolist())), gaps=True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.transforms import by_date, KEYS, whole
 from ..kernels.spline import spline_fill_values
 from .calendar import ma_fill, trim_bad_edges
+from .spread import each_series
 
 
 def before() -> WindowSpec:
@@ -31,6 +32,29 @@ def standardise(obs: DataFrame, column: str = "value") -> DataFrame:
     return obs.withColumn(column, F.try_divide(x - F.avg(x).over(whole()), F.stddev_samp(x).over(whole())))
 
 
+def window_scaling(obs: DataFrame, m: int, h: int) -> DataFrame:
+    """``panel_id, series, window_id, origin_ds, n, mean, sd, z``: statistics of each rolling window and its last value by them.
+
+    Window w = 1..m has rows w to T - m + w - h.  Sums are differences of two prefixes, so rows aren't copied to the windows
+    they belong to; values are taken less the first known one against cancellation.  ``sd`` is the sample deviation; ``z`` is
+    NULL where it is 0 or unknown.
+    """
+    near = F.first("value", ignorenulls=True).over(by_date().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    c = F.col("value") - F.col("_near")
+    seen = obs.select(*KEYS, "ds", "value", near.alias("_near"), F.row_number().over(by_date()).alias("_s"), F.count(F.lit(1)).over(whole()).alias("_t"))
+    sums = seen.select(*KEYS, "ds", "value", "_near", "_s", (F.col("_t") - m - h + 1).alias("_size"), F.count("value").over(up_to()).alias("_n"), F.sum(c).over(up_to()).alias("_a"), F.sum(c * c).over(up_to()).alias("_b"))
+    ends = sums.where((F.col("_size") > 0) & F.col("_s").between(F.col("_size"), F.col("_size") + m - 1)).withColumn("_from", F.col("_s") - F.col("_size"))
+    starts = sums.select(*KEYS, F.col("_s").alias("_from"), F.col("_n").alias("_n0"), F.col("_a").alias("_a0"), F.col("_b").alias("_b0"))
+    both = ends.join(starts, [*KEYS, "_from"], "left")
+    less = lambda c: F.col(c) - F.coalesce(F.col(f"{c}0"), F.lit(0))
+    both = both.select(*KEYS, (F.col("_from") + 1).cast("int").alias("window_id"), F.col("ds").alias("origin_ds"), "value", "_near", less("_n").alias("n"), less("_a").alias("a"), less("_b").alias("b"))
+    mean, spread = F.try_divide("a", "n"), F.greatest(F.lit(0.0), F.col("b") - F.try_divide(F.col("a") * F.col("a"), F.col("n")))
+    sd = F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1)))
+    out = both.withColumns({"mean": F.col("_near") + mean, "sd": sd})
+    z = F.when(F.col("sd") > 1e-12, (F.col("value") - F.col("mean")) / F.col("sd"))
+    return out.select(*KEYS, "window_id", "origin_ds", "n", "mean", "sd", z.alias("z"))
+
+
 def demean(mode: int, x: Column | None = None) -> Column:
     """0 as is, 1 less the mean, 2 standardised, 3 less the expanding mean, over the full-sample deviation."""
     x = F.col("value") if x is None else x
@@ -52,11 +76,10 @@ def ema(obs: DataFrame, alpha: float = 0.2) -> DataFrame:
     """e = alpha x + (1 - alpha) e before it, from the first value, without bias adjustment; one pass over each series."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
         return pdf.assign(ema=pdf["value"].ewm(alpha=alpha, adjust=False).mean())
 
     rows = obs.select(*KEYS, "ds", "value")
-    out = rows.groupBy(*KEYS).applyInPandas(each, f"panel_id string, series string, ds {rows.schema['ds'].dataType.simpleString()}, value double, ema double")
+    out = each_series(rows, each, f"panel_id string, series string, ds {rows.schema['ds'].dataType.simpleString()}, value double, ema double")
     blank = F.lit(None).cast("double")
     return out.withColumns({c: F.nanvl(c, blank) for c in ("value", "ema")})
 
@@ -65,7 +88,6 @@ def fft_amplitudes(obs: DataFrame, terms: int = 5) -> DataFrame:
     """Amplitudes of the first Fourier terms of each strictly earlier prefix, long form; only these terms are computed."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
         x, days = pdf["value"].to_numpy(float), pdf["ds"].to_numpy()
         n, k = len(x), np.arange(terms)
         amp = np.full((max(n - 1, 0), terms), np.nan)
@@ -76,7 +98,7 @@ def fft_amplitudes(obs: DataFrame, terms: int = 5) -> DataFrame:
         short = np.tile(k, max(n - 1, 0)) >= np.repeat(np.arange(1, n), terms)
         return out[~short].assign(panel_id=pdf["panel_id"].iat[0], series=pdf["series"].iat[0])[["panel_id", "series", "ds", "term", "amplitude"]]
 
-    return obs.groupBy(*KEYS).applyInPandas(each, "panel_id string, series string, ds date, term long, amplitude double")
+    return each_series(obs.select(*KEYS, "ds", "value"), each, "panel_id string, series string, ds date, term long, amplitude double")
 
 
 def seasonal_decompose(obs: DataFrame, period: int) -> DataFrame:
@@ -94,10 +116,9 @@ def spline_fill(obs: DataFrame) -> DataFrame:
     """Cubic not-a-knot spline through the known values, between the first and the last of them."""
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
         return pdf.assign(filled=spline_fill_values(pdf["value"].to_numpy(float)))
 
-    out = obs.groupBy(*KEYS).applyInPandas(each, "panel_id string, series string, ds date, value double, filled double")
+    out = each_series(obs.select(*KEYS, "ds", "value"), each, "panel_id string, series string, ds date, value double, filled double")
     return out.select(*KEYS, "ds", F.nanvl("filled", F.lit(None).cast("double")).alias("filled"))
 
 

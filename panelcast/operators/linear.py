@@ -6,6 +6,7 @@ a large panel from landing in one task.  A window uses labels up to its origin o
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..kernels import factors as KF
 from ..kernels import linear as KL
-from ..kernels.gram import Pairs, Run
-from .spread import dealt
+from ..kernels.gram import Pairs, Run, run_of
+from ..sources.io import cut, table_exists
+from .spread import dealt, each_series
 
 FORECAST = "panel_id string, model string, target string, h int, window_id int, origin_ds date, target_ds date, y_true double, y_pred double, err double, in_sample double"
 CHUNK = 4  # windows of a group
@@ -49,14 +51,14 @@ def work_list(obs: DataFrame, targets: list[str] | None, horizons: list[int], m:
     return grid.select("*", F.explode(F.sequence(F.lit(0), F.lit((m - 1) // chunk))).alias("chunk"))
 
 
-def on_windows(obs: DataFrame, work: DataFrame, m: int, schema: str, each: Callable, chunk: int = CHUNK, least: int = 24, parts: int = 2) -> DataFrame:
+def on_windows(obs: DataFrame, work: DataFrame, m: int, schema: str, each: Callable, chunk: int = CHUNK, least: int = 24, parts: int = 2, expanding: bool = False) -> DataFrame:
     """Runs ``each(x, y, x_now, info)`` for every window of all of ``work``.
 
     ``x``, ``y`` are the training pairs (x[s], y[s+h]) with labels up to the origin, ``x_now`` the row
     at the origin; ``info`` has names, dates, history and keys, ``run``, the window's products from the panel's
     prefix sums, and ``shared``, a dict that all targets of one window and horizon have in common.
     Series with gaps are left out.  Where ``work`` has a column ``given``, a map with windows for keys, it is handed on in
-    ``info`` and only its windows are run.
+    ``info`` and only its windows are run.  With ``expanding`` every window begins with the panel's first row.
 
     A group has one chunk of windows and one of ``parts`` shares of a panel's targets, at all horizons,
     so a panel is shipped once for each chunk and share, whatever the number of targets and horizons.  Groups are
@@ -81,18 +83,18 @@ def on_windows(obs: DataFrame, work: DataFrame, m: int, schema: str, each: Calla
         for h, targets in sorted(by_h.items()):
             pairs = Pairs(values[: t - h], values[h:], least) if targets and t - h > least else None
             for tt in range(part * chunk, min(m, (part + 1) * chunk)):
-                now = t - m + tt - h  # the origin; its label is row now + h
-                if pairs is None or now - h - tt + 1 < least:
+                now, first = t - m + tt - h, 0 if expanding else tt  # the origin, whose label is row now + h; the first row
+                if pairs is None or now - h - first + 1 < least:
                     continue
                 pairs.forget()
-                s = np.arange(tt, now - h + 1)
-                common = {"names": names, "history": values[tt : now + 1], "h": h, "window": tt + 1, "shared": {}}
+                s = np.arange(first, now - h + 1)
+                common = {"names": names, "history": values[first : now + 1], "h": h, "window": tt + 1, "shared": {}}
                 for target in targets:
                     if given is not None and tt + 1 not in given[h, target]:
                         continue
                     y = values[:, place[target]]
                     base = {"panel_id": panel, "target": target, "h": h, "window_id": tt + 1}
-                    info = common | {"y": y[tt : now + 1], "target": target, "run": Run(pairs, tt, now - h + 1, place[target]), "given": given and given[h, target]}
+                    info = common | {"y": y[first : now + 1], "target": target, "run": Run(pairs, first, now - h + 1, place[target]), "given": given and given[h, target]}
                     for row in each(values[s], y[s + h], values[now], info):
                         if "y_pred" in row:
                             row |= {"origin_ds": wide.index[now], "target_ds": wide.index[now + h], "y_true": y[now + h], "err": y[now + h] - row["y_pred"]}
@@ -150,10 +152,10 @@ def _(x, y, now, info, r: int = 2, most: int = 3, factor_lags: int = 2, ic: str
 
 
 @model("state")
-def _(x, y, now, info, r: int = 2) -> Fitted:
-    if ("state", r) not in info["shared"]:
-        info["shared"]["state", r] = KF.state_forecast(KF.two_step(info["history"], r), info["h"])
-    return float(info["shared"]["state", r][info["names"].index(info["target"])]), None, {}
+def _(x, y, now, info, r: int = 2, p: int = 1, q: int | None = None) -> Fitted:
+    if ("state", r, p, q) not in info["shared"]:
+        info["shared"]["state", r, p, q] = KF.state_forecast(KF.two_step(info["history"], r, p, q), info["h"])
+    return float(info["shared"]["state", r, p, q][info["names"].index(info["target"])]), None, {}
 
 
 def _penalised(method: str, alpha: float) -> Callable[..., Fitted]:
@@ -246,28 +248,70 @@ def random_candidates(n: int, lags: tuple[int, int] = (1, 12), lam: tuple[float,
 
 
 def hyperparameter_search(obs: DataFrame, targets: list[str] | None, h: int, candidates: list[dict], splits: int = 5) -> DataFrame:
-    """Ridge candidates (penalty and lags) scored over expanding splits of each target; the best by mean score, none scored twice."""
+    """Ridge candidates (penalty and lags) scored over expanding splits of each target; the best by mean score, none scored twice.
+
+    A series meets all candidates in one task.
+    """
     seen = sorted({(int(c["lags"]), float(c["lambda"])) for c in candidates})
     series = obs.where(F.col("value").isNotNull() & (F.lit(True) if targets is None else F.col("series").isin(targets)))
-    many = series.withColumn("c", F.explode(F.array(*[F.struct(F.lit(a).alias("lags"), F.lit(b).alias("lambda")) for a, b in seen])))
-    many = many.select("panel_id", "series", "ds", "value", "c.lags", "c.lambda")
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, p, lam = pdf.sort_values("ds")["value"].to_numpy(float), int(pdf["lags"].iat[0]), float(pdf["lambda"].iat[0])
-        x = KL.lags(y, p)[p - 1 : len(y) - h]
-        v, size, errors = y[p - 1 + h :], 0, []
+    def score(y: np.ndarray, p: int, lam: float) -> float | None:
+        if len(y) < p + h:
+            return None
+        x, v, errors = KL.lags(y, p)[p - 1 : len(y) - h], y[p - 1 + h :], []
         size = len(v) // (splits + 1)
         for k in range(splits):
             cut = len(v) - (splits - k) * size
             tr, te = slice(0, max(cut - h + 1, 0)), slice(cut, cut + size)
             if size and tr.stop > p + 2:
-                mean, sd = KL.scale(x[tr])
-                b = KL.ridge_path(((x[tr] - mean) / sd).T @ ((x[tr] - mean) / sd), ((x[tr] - mean) / sd).T @ (v[tr] - v[tr].mean()), np.array([lam]))[0]
-                errors.append(float(((v[te] - v[tr].mean() - ((x[te] - mean) / sd) @ b) ** 2).mean()))
-        first = pdf.iloc[0]
-        return pd.DataFrame([(first["panel_id"], first["series"], p, lam, float(np.mean(errors)) if errors else None)], columns=["panel_id", "series", "lags", "lambda", "score"])
-
-    scored = many.groupBy("panel_id", "series", "lags", "lambda").applyInPandas(score, "panel_id string, series string, lags int, lambda double, score double")
-    return scored.where("score is not null").groupBy("panel_id", "series").agg(
-        F.min_by(F.struct("lags", "lambda", "score"), F.struct("score", "lags", "lambda")).alias("b")
-    ).select("panel_id", "series", "b.lags", "b.lambda", "b.score")
+                run = run_of(x[tr], v[tr])
+                b = KL.ridge_path(run.gram, run.xy, np.array([lam]))
+                errors.append(float((run.missed(run_of(x[te], v[te]), b) ** 2).mean()))
+        return float(np.mean(errors)) if errors else None
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, first = pdf["value"].to_numpy(float), pdf.iloc[0]
+        scores = [(s, p, lam) for p, lam in seen if (s := score(y, p, lam)) is not None]
+        best = [(first["panel_id"], first["series"], p, lam, s) for s, p, lam in [min(scores, key=lambda c: (c[0], c[1], c[2]))]] if scores else []
+        return pd.DataFrame(best, columns=["panel_id", "series", "lags", "lambda", "score"])
+
+    return each_series(series.select("panel_id", "series", "ds", "value"), each, "panel_id string, series string, lags int, lambda double, score double")
+
+
+def search_models(obs: DataFrame, targets: list[str] | None, horizons: list[int], candidates: list[dict], origins: int = 5, ledger: str | None = None) -> DataFrame:
+    """``panel_id, target, h, candidate, score, n, best``: candidates of any registered model scored over expanding windows.
+
+    A candidate is ``{"model": name, **options}``, and its score the mean squared error of the forecasts of the last
+    ``origins`` labels, each from a fit on all rows before.  All candidates of a window are fitted in one task, beside each
+    other on the same products.  ``ledger`` is a table of scores of this panel table and ``origins``: what is in it isn't
+    scored again, and new scores are added to it.  ``best`` marks the least score, the first name on ties.
+    """
+    spark = obs.sparkSession
+    named = {json.dumps(c, sort_keys=True): c for c in candidates}
+    keys = ["panel_id", "target", "h"]
+    old = spark.read.schema(LEDGER).parquet(ledger) if ledger and table_exists(spark, ledger) else spark.createDataFrame([], LEDGER)
+    known = old.groupBy(*keys).agg(F.collect_set("candidate").alias("known"))  # a few names a target
+    todo = F.array_except(F.array(*map(F.lit, named)), F.coalesce("known", F.array().cast("array<string>")))
+    work = work_list(obs, targets, horizons, origins).join(known, keys, "left").withColumn("todo", todo).where(F.size("todo") > 0)
+    windows = F.sequence(F.lit(1), F.lit(origins))
+    work = work.select(*keys, "chunk", F.map_from_arrays(windows, F.array_repeat("todo", origins)).alias("given"))
+
+    def each(x, y, now, info):
+        for name in info["given"][info["window"]]:
+            options = dict(named[name])
+            value, _, _ = MODELS[options.pop("model")](x, y, now, info, **options)
+            yield {"candidate": name, "y_pred": value}
+
+    errors = on_windows(obs, work, origins, "panel_id string, target string, h int, window_id int, candidate string, err double", each, expanding=True)
+    new = errors.where("err is not null and not isnan(err)").groupBy(*keys, "candidate").agg(F.avg(F.col("err") ** 2).alias("score"), F.count(F.lit(1)).cast("int").alias("n"))
+    if ledger:
+        cut(new, "scores").write.mode("append").parquet(ledger)
+        every = spark.read.schema(LEDGER).parquet(ledger)
+    else:
+        every = new
+    order = Window.partitionBy(*keys).orderBy("score", "candidate")
+    wanted = every.where(F.col("candidate").isin(*named))
+    return wanted.withColumn("best", F.row_number().over(order) == 1)
+
+
+LEDGER = "panel_id string, target string, h int, candidate string, score double, n int"

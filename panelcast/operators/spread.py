@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ..functions.transforms import KEYS
 
 
 def tasks(df: DataFrame) -> int:
@@ -17,7 +22,25 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks(df), *keys)
 
 
-def batched(df: DataFrame, *keys: str) -> tuple[DataFrame, str]:
-    """``df`` with a column for batches of whole groups, some of them to a task, and the column's name."""
-    n = tasks(df)
-    return df.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")).repartition(n, "_batch"), "_batch"
+def each_series(df: DataFrame, each: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``each`` of every series, its rows in order of ``ds``.
+
+    Series are dealt over tasks and sorted there; a task goes through its rows by Arrow batches, which hold many short
+    series each, so a series costs no call of its own between Spark and Python, and memory holds a batch and one series.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            last = np.logical_and.reduce([(pdf[k] == pdf[k].iat[-1]) | (pdf[k].isna() & pd.isna(pdf[k].iat[-1])) for k in KEYS])
+            ready, rest = pdf[~last], pdf[last]
+            made = [each(one) for _, one in ready.groupby(list(KEYS), sort=False, dropna=False)]
+            if made:
+                yield pd.concat(made, ignore_index=True)
+        if rest is not None:
+            yield each(rest)
+
+    return dealt(df, *KEYS).sortWithinPartitions(*KEYS, "ds").mapInPandas(run, schema)

@@ -2,21 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.transforms import KEYS
+from ..functions.transforms import KEYS, by_date, whole
 from ..kernels import inference as K
 from .evaluate import bootstrap_mean, phillips_perron
+from .spread import dealt
 
 
-def adf(obs: DataFrame, most: int = 10, ic: str = "bic") -> DataFrame:
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, lag, n = K.adf(pdf.sort_values("ds")["value"].to_numpy(float), most, ic)
-        return pd.DataFrame([(pdf["panel_id"].iat[0], pdf["series"].iat[0], t, lag, n, K.critical(max(n, 1)))], columns=["panel_id", "series", "t", "lag", "n", "critical"])
+def _lag_moments(obs: DataFrame, most: int, fixed: int | None) -> DataFrame:
+    """``panel_id, series, most, rows, sums``: sums of products of (1, difference, level before, differences before) by series.
 
-    return obs.groupBy(*KEYS).applyInPandas(each, "panel_id string, series string, t double, lag int, n int, critical double")
+    Every lag up to ``most`` is compared on the same rows; a short series has fewer lags, and products beyond are 0.
+    One sort of the series gives the lags, one aggregate the sums; levels are taken less their mean against cancellation.
+    """
+    y = F.col("value") - F.avg("value").over(whole())
+    seen = obs.where("value is not null").select(*KEYS, "ds", y.alias("y"), F.count("value").over(whole()).alias("n"), F.row_number().over(by_date()).alias("i"))
+    lags = F.least(F.lit(most), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / 3).cast("int") - 2)) if fixed is None else F.lit(fixed)
+    seen = seen.withColumns({"most": lags.cast("int"), "level": F.lag("y", 1).over(by_date()), "d": F.col("y") - F.lag("y", 1).over(by_date())})
+    past = {f"d{k}": F.when(F.col("most") >= k, F.lag("d", k).over(by_date())).otherwise(0.0) for k in range(1, most + 1)}
+    rows = seen.withColumns(past).where(F.col("i") - 2 >= F.col("most"))
+    names = ["d", "level", *past]
+    sums = [F.sum(c) for c in names] + [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
+    made = rows.groupBy(*KEYS).agg(F.first("most").alias("most"), F.count(F.lit(1)).cast("int").alias("rows"), F.array(*sums).alias("sums"))
+    return obs.select(*KEYS).distinct().join(made, list(KEYS), "left")
+
+
+def adf(obs: DataFrame, most: int = 10, ic: str = "bic", fixed: int | None = None) -> DataFrame:
+    """``panel_id, series, t, lag, n, critical``: the augmented Dickey-Fuller t with a constant, its lag by criterion or ``fixed``.
+
+    Lagged products are summed by series on Spark; a batch of thousands of series is then solved at once.  A series too
+    short for a regression has no t and 0 rows.
+    """
+    most = most if fixed is None else fixed
+    k = most + 3
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = [(i, j) for i in range(1, k) for j in range(i, k)]
+        for batch in batches:
+            rows = np.array([r or 0 for r in batch.column(3).to_pylist()])
+            sums = np.array([s or [0.0] * (k - 1 + len(upper)) for s in batch.column(4).to_pylist()]).reshape(len(rows), -1)
+            m = np.zeros((len(rows), k, k))
+            m[:, 0, 0] = rows
+            m[:, 0, 1:] = m[:, 1:, 0] = sums[:, : k - 1]
+            for c, (i, j) in enumerate(upper):
+                m[:, i, j] = m[:, j, i] = sums[:, k - 1 + c]
+            t, lag, found = K.adf_from_moments(m, rows, np.array([v or 0 for v in batch.column(2).to_pylist()]), ic, fixed)
+            n = np.where(found, rows, 0)
+            cols = [batch.column(0), batch.column(1), pa.array(t, from_pandas=True), pa.array(lag, pa.int32()), pa.array(n, pa.int32()), pa.array([K.critical(max(int(v), 1)) for v in n], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["panel_id", "series", "t", "lag", "n", "critical"])
+
+    return _lag_moments(obs, most, fixed).mapInArrow(solve, "panel_id string, series string, t double, lag int, n int, critical double")
 
 
 def stationary_series(obs: DataFrame, mode: str = "both") -> DataFrame:
@@ -55,5 +97,5 @@ def confidence_set(errors: DataFrame, alpha: float = 0.1, draws: int = 200, widt
         first = pdf.iloc[0]
         return pd.DataFrame([(first["panel_id"], first["target"], first["h"], k + 1, wide.columns[i], float(q), bool(q >= alpha)) for k, (i, q) in enumerate(zip(order, p))], columns=["panel_id", "target", "h", "place", "model", "p", "kept"])
 
-    return every.groupBy(*by).applyInPandas(each, "panel_id string, target string, h int, place int, model string, p double, kept boolean")
+    return dealt(every, *by).groupBy(*by).applyInPandas(each, "panel_id string, target string, h int, place int, model string, p double, kept boolean")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transforms import by_date, KEYS
+from ..sources.io import cut
 from .factors import factors_at
 from .features import lag_features
 
@@ -26,6 +27,19 @@ def feature_names(rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c not in (*KEYS, "ds", "y", "target_ds", "window_id")]
 
 
+POOLED: dict[str, Callable] = {}
+
+
+def pooled(name: str) -> Callable:
+    """Registers ``fit(rows, **options)`` for models of many series at once: ``rows(x, y)`` gives something whose ``transform`` adds ``prediction``."""
+
+    def put(f: Callable) -> Callable:
+        POOLED[name] = f
+        return f
+
+    return put
+
+
 def learner(kind: str, trees: int, seed: int = 7):
     common = {"featuresCol": "x", "labelCol": "y", "seed": seed}
     if kind == "boosted":
@@ -33,7 +47,11 @@ def learner(kind: str, trees: int, seed: int = 7):
     return RandomForestRegressor(numTrees=trees, maxDepth=6, featureSubsetStrategy="all" if kind == "bagged" else "onethird", **common)
 
 
-def _by_refit(obs: DataFrame, h: int, m: int, kind: str, trees: int, refit: int, rows_at: Callable, work: DataFrame | None) -> DataFrame:
+for _kind in ("forest", "bagged", "boosted"):
+    pooled(_kind)(lambda rows, trees=20, _kind=_kind: learner(_kind, trees).fit(rows))
+
+
+def _by_refit(obs: DataFrame, h: int, m: int, kind: str, options: dict, refit: int, rows_at: Callable, work: DataFrame | None) -> DataFrame:
     """Forecasts of the last ``m`` dates; every ``refit`` of them a new fit of ``rows_at(origin, window)`` on labels known at its first origin.
 
     ``rows_at`` gives rows ``panel_id, series, ds, target_ds, y, x``.  With ``work(panel_id, target, h)`` only
@@ -55,7 +73,7 @@ def _by_refit(obs: DataFrame, h: int, m: int, kind: str, trees: int, refit: int,
         tested = whole.where(F.col("target_ds").between(F.lit(part[0]), F.lit(part[-1])) & F.col("y").isNotNull())
         if work is not None:
             tested = tested.join(work, ["panel_id", "series"], "left_semi")
-        pred = learner(kind, trees).fit(known.select("x", "y")).transform(tested)
+        pred = POOLED[kind](known.select("x", "y"), **options).transform(tested)
         one = pred.select(
             "panel_id", F.lit(kind).alias("model"), F.col("series").alias("target"), F.lit(h).alias("h"), F.col("ds").alias("origin_ds"), "target_ds",
             F.col("y").alias("y_true"), F.col("prediction").alias("y_pred"), (F.col("y") - F.col("prediction")).alias("err"),
@@ -65,11 +83,15 @@ def _by_refit(obs: DataFrame, h: int, m: int, kind: str, trees: int, refit: int,
 
 
 def tree_forecast(obs: DataFrame, h: int, m: int, kind: str = "forest", trees: int = 20, refit: int = 12, lags: int = 4, r: int = 0, work: DataFrame | None = None) -> DataFrame:
-    """Forecasts of the last ``m`` dates from pooled features and, with ``r``, that many factors of the panel.
+    return pooled_forecast(obs, h, m, kind, refit, lags, r, work, trees=trees)
+
+
+def pooled_forecast(obs: DataFrame, h: int, m: int, kind: str, refit: int = 12, lags: int = 4, r: int = 0, work: DataFrame | None = None, **options) -> DataFrame:
+    """Forecasts of the last ``m`` dates by a model of ``POOLED`` from pooled features and, with ``r``, that many factors of the panel.
 
-    Scaling and loadings of the factors come from rows up to the first origin of each refit.
+    Features are a table that all refits read.  Scaling and loadings of the factors come from rows up to the first origin of each refit.
     """
-    rows = pooled_features(obs, h, lags)
+    rows = cut(pooled_features(obs, h, lags), "pooled")
 
     def rows_at(origin, window: int) -> DataFrame:
         now = rows
@@ -79,7 +101,7 @@ def tree_forecast(obs: DataFrame, h: int, m: int, kind: str = "forest", trees: i
         names = feature_names(now)
         return VectorAssembler(inputCols=names, outputCol="x", handleInvalid="skip").transform(now.dropna(subset=names))
 
-    return _by_refit(obs, h, m, kind, trees, refit, rows_at, work)
+    return _by_refit(rows.select(*KEYS, "ds"), h, m, kind, options, refit, rows_at, work)
 
 
 def permutation_importance(rows: DataFrame, trees: int = 20, kind: str = "forest", names: list[str] | None = None, share: float = 0.7, parts: int = 16) -> DataFrame:

@@ -57,6 +57,11 @@ def growth(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return drop_incomplete(drop_first(obs, 1))
 
 
+def gappy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Logarithmic differences of a panel on its calendar; gaps and unequal starts and ends stay."""
+    return drop_first(dense(spark, sf_dir, name).select(*KEYS, "ds", transform(5).alias("value")), 1)
+
+
 #: ``growth`` of the panel ``name`` as the CTE ``g5``
 def growth_sql(name: str, body: str) -> str:
     return sql(name, f""", c5 as (select panel_id, series, ds, last_value(value ignore nulls) over (partition by panel_id, series order by ds rows unbounded preceding) as value from d),

@@ -14,10 +14,10 @@ from ..operators import linear as L
 from ..operators import stationary as ST
 from ..operators import trees as TR
 from ..kernels import linear as KL
-from ..operators.calendar import carry_forward
+from ..operators.calendar import carry_forward, densify_panel
 from ..operators.features import enrich, standardise
-from ..plans.grid import run_models
-from ..plans.panels import dense, growth, growth_sql, panel, sql, table
+from ..plans.grid import run_models, stored_models
+from ..plans.panels import dense, gappy, growth, growth_sql, panel, sql, table
 from ..sources import io
 from .evaluate import CRISIS_SQL, ERR, SELECTION_SQL, errors, selection
 from .registry import query, r8
@@ -49,6 +49,16 @@ def s01(spark, d):
     return _vintage(spark, d)[0].where("value is not null").select("series", "ds", "value")
 
 
+@query("s01_read_vintages", sql("region", "select panel_id, series, ds, value from p where substr(series, 7)::int % 5 <> substr(panel_id, 7)::int"))
+def s01_many(spark, d):
+    """A vintage for each region; each lacks the series of one group."""
+    obs = panel(spark, d, "region").where(F.substring("series", 7, 9).cast("int") % 5 != F.substring("panel_id", 7, 9).cast("int"))
+    meta = obs.select("panel_id", "series").distinct().withColumn("tcode", F.substring("series", 7, 9).cast("int") % 7 + 1)
+    path = io.scratch(spark, "vintages")
+    io.write_vintages(obs, meta, path)
+    return io.read_vintages(spark, path, panel="panel_id=([^/]*)")[0].where("value is not null")
+
+
 @query("s03_override_tcode", sql("brand", "select distinct series, case when series = 'CPIMEDSL' then 6 when substr(series, 7)::int % 7 + 1 in (4, 6) then 5 else substr(series, 7)::int % 7 + 1 end as tcode from p"))
 def s03(spark, d):
     return _vintage(spark, d)[1].select("series", "tcode").withColumn("tcode", io.override_tcode(F.col("series"), F.col("tcode")))
@@ -242,6 +252,14 @@ def m13(spark, d):
     return run_models(obs, None, HORIZONS, ["arp_direct", "ar_factor", "forest"], 12, done, 10)
 
 
+@query("m13_stored_models")
+def m13_stored(spark, d):
+    """The grid in a folder: a run of one model, then one of three that finds the first done."""
+    obs, path = growth(spark, d, "region"), io.scratch(spark, "grid")
+    stored_models(obs, None, [1], ["arp_direct"], 12, path, 2)
+    return stored_models(obs, None, [1], ["arp_direct", "ridge", "ar_factor"], 12, path, 2)
+
+
 def _enriched(spark, d):
     obs = brands(spark, d)
     split = obs.select("ds").distinct().orderBy(F.desc("ds")).limit(12).agg(F.min("ds")).first()[0]  # loadings know nothing of the last year
@@ -315,6 +333,22 @@ def c05(spark, d):
     return L.hyperparameter_search(carry_forward(dense(spark, d, "region")), None, 1, tries + tries[:3])
 
 
+SEARCHED = [
+    *({"model": "lasso", "ic": ic} for ic in ("bic", "aic")),
+    *({"model": "ridge", "lam": lam} for lam in (1.0, 30.0, 1000.0)),
+    *({"model": "arp_direct", "most": most} for most in (1, 6)),
+    {"model": "random_forest", "trees": 20, "lags": 2},
+]
+
+
+@query("c05_search_models")
+def c05_models(spark, d):
+    """One search over penalised, autoregressive and tree models, in two runs over one ledger."""
+    obs, ledger = brands(spark, d), io.scratch(spark, "ledger")
+    L.search_models(obs, None, HORIZONS, SEARCHED[:3], ledger=ledger)
+    return L.search_models(obs, None, HORIZONS, SEARCHED, ledger=ledger)
+
+
 # --- factors ------------------------------------------------------------------------------------
 def regions(spark, d):
     return growth(spark, d, "region")
@@ -357,6 +391,12 @@ def f04(spark, d):
     return FA.factor_fill(dense(spark, d, "nation"), 2)
 
 
+@query("f04_fill_by_rounds")
+def f04_rounds(spark, d):
+    """All panels at once in rounds of joins and sums, as large ones are filled."""
+    return FA.fill_by_rounds(densify_panel(dense(spark, d, "region")), 2)
+
+
 def _r2(spark, d):
     obs = regions(spark, d)
     return FA.factor_r2(standardise(obs), FA.loadings(obs, 3), FA.factors(obs, 3))
@@ -414,12 +454,13 @@ def f07(spark, d):
 
 @query("f08_two_step_factors")
 def f08(spark, d):
-    return FA.two_step_factors(regions(spark, d))
+    """Two factors, two lags, one shock, on series with gaps."""
+    return FA.two_step_factors(gappy(spark, d, "region"), 2, 2, 1)
 
 
 @query("m12_state_forecast")
 def m12(spark, d):
-    return FA.state_forecasts(regions(spark, d))
+    return FA.state_forecasts(gappy(spark, d, "region"), 2, 3, 2, 1)
 
 
 # --- tests --------------------------------------------------------------------------------------
@@ -428,6 +469,19 @@ def t01(spark, d):
     return ST.adf(dense(spark, d, "supp"))
 
 
+_ADF = """, y1 as (select panel_id, series, value - avg(value) over (partition by panel_id, series) as y, row_number() over (partition by panel_id, series order by ds) as i from d where value is not null),
+x1 as (select *, lag(y) over w as x, y - lag(y) over w as v from y1 window w as (partition by panel_id, series order by i)),
+z1 as (select *, lag(v) over (partition by panel_id, series order by i) as z from x1),
+m1 as (select panel_id, series, count(*) as n, regr_sxx(v, x) as xx, regr_sxx(v, z) as zz, regr_sxy(z, x) as xz, regr_sxy(v, x) as xv, regr_sxy(v, z) as zv, regr_syy(v, z) as vv from z1 where i >= 3 group by all having count(*) > 4),
+b1 as (select *, (xv * zz - zv * xz) / (xx * zz - xz * xz) as b, (zv * xx - xv * xz) / (xx * zz - xz * xz) as c from m1)
+select panel_id, series, round(b / sqrt((vv - b * xv - c * zv) / (n - 3) * zz / (xx * zz - xz * xz)), 6) as t, n::int as n from b1"""
+
+
+@query("t01_adf_one_lag", sql("supp", _ADF))
+def t01_one(spark, d):
+    return ST.adf(dense(spark, d, "supp"), fixed=1).where("n > 4").select("panel_id", "series", F.round("t", 6).alias("t"), "n")
+
+
 @query("t03_keep_stationary")
 def t03(spark, d):
     kept, dropped = ST.keep_stationary(dense(spark, d, "brand"))

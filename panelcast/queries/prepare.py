@@ -214,6 +214,21 @@ def j04(spark, d):
     return C.crisis_flag(dense(spark, d, "flag"), C.crisis_months(recessions(spark), 2, 3)).select(*KEYS, "crisis")
 
 
+_HELD = """with i as (select user_id, ts as a, ts + to_microseconds((900 + 90 * abs(value))::bigint * 1000000) as b from events where event_type = 'error' and value is not null)
+select event_id, (select count(*) from i where i.user_id = e.user_id and e.ts between a and b) as n_intervals, (exists (select 1 from i where i.user_id = e.user_id and e.ts between a and b))::int as crisis from events e"""
+
+
+@query("j04_interval_flag", _HELD)
+def j04i(spark, d):
+    """Events inside the incidents of their user; an incident opens with an error and lasts some seconds by its value."""
+    rows = table(spark, d, "events")
+    ts = F.col("ts").cast("timestamp")
+    lasts = F.timestamp_micros(F.unix_micros(ts) + (F.lit(900) + 90 * F.abs("value")).cast("decimal(18,6)").cast("decimal(18,0)").cast("long") * 1_000_000)
+    incidents = rows.where("event_type = 'error' and value is not null").select("user_id", ts.alias("start"), lasts.alias("end"))
+    held = C.interval_flag(rows.select("event_id", "user_id", ts.alias("ts")), incidents, ["user_id"], "ts", 7200.0)
+    return held.select("event_id", "n_intervals", "crisis")
+
+
 @query("u04_unique_crisis_months", sql("flag", _CRISIS + " select ds from c where ds in (select ds from d)"))
 def u04(spark, d):
     dates = dense(spark, d, "flag").select("ds").distinct()
@@ -306,6 +321,19 @@ def w16(spark, d):
     return X.standardise(dense(spark, d, "supp")).select(*KEYS, r8("value").alias("value"))
 
 
+_SCALED = """, i as (select panel_id, series, ds, value, row_number() over (partition by panel_id, series order by ds) as s, count(*) over (partition by panel_id, series) as t from d),
+e as (select * from i where t - 24 > 0 and s between t - 24 and t - 1),
+w as (select e.panel_id, e.series, e.s, e.t, any_value(e.ds) as origin_ds, any_value(e.value) as value, count(i.value) as n, avg(i.value) as mean, stddev_samp(i.value) as sd
+  from e join i on i.panel_id = e.panel_id and i.series = e.series and i.s between e.s - (e.t - 25) and e.s group by all)
+select panel_id, series, (s - (t - 24) + 1)::int as window_id, origin_ds, n, round(mean, 6) as mean, round(sd, 6) as sd, round(case when sd > 1e-9 then (value - mean) / sd end, 6) + 0.0 as z from w"""
+
+
+@query("w16_window_scaling", sql("supp", _SCALED))
+def w16w(spark, d):
+    out = X.window_scaling(dense(spark, d, "supp"), 24, 1)
+    return out.select("panel_id", "series", "window_id", "origin_ds", "n", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean", "sd", "z")])
+
+
 _DEMEAN = "select panel_id, series, ds, 0 as mode, round(value, 8) as y from d union all select panel_id, series, ds, 1, round(value - avg(value) over (partition by panel_id, series), 8) + 0.0 from d union all select panel_id, series, ds, 2, round((value - avg(value) over (partition by panel_id, series)) / stddev_samp(value) over (partition by panel_id, series), 8) + 0.0 from d union all select panel_id, series, ds, 3, round((value - avg(value) over (partition by panel_id, series order by ds rows unbounded preceding)) / stddev_samp(value) over (partition by panel_id, series), 8) + 0.0 from d"
 
 

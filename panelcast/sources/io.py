@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,6 +27,39 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/panelcast/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read back, so lineage ends there and a lost executor repeats nothing before it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_vintages(spark: SparkSession, path: str, sep: str = ",", date_format: str = "yyyy-MM-dd", panel: str = r"([^/]*?)(\.[^./]*)?$") -> tuple[DataFrame, DataFrame]:
+    """``obs`` and ``series_meta(panel_id, series, tcode)`` of a folder of vintages, each a panel named by its file (the first group of ``panel`` in its path).
+
+    Each file has its own header, so columns may come, go and move between files.  A file is one row (a vintage is a
+    few megabytes), its lines are dealt over tasks, and a line meets the names of its file by position.
+    Blanks and texts that are no numbers are NULL; a line's surplus cells are left out; a file without a header gives no rows.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), panel, 1).alias("panel_id"), F.regexp_replace("value", "^\ufeff", "").alias("v"))
+    lines = raw.select("panel_id", F.filter(F.split("v", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
+    heads = lines.select("panel_id", "lines", F.split(F.col("lines")[0], re.escape(sep)).alias("names")).where(F.size("lines") > 1)
+    rows = heads.select("panel_id", "names", F.explode(F.slice("lines", 2, F.size("lines") - 1)).alias("line")).repartition("panel_id", "line")
+    cells = rows.select("panel_id", F.split("line", re.escape(sep)).alias("c"), "names")
+    day = F.try_to_timestamp(F.trim(F.col("c")[0]), F.lit(date_format)).cast("date").alias("ds")
+    place = F.arrays_zip(F.slice("names", 2, F.size("names")).alias("n"), F.slice("c", 2, F.size("c")).alias("v"))
+    long = cells.select("panel_id", day, F.explode(place).alias("p")).where("trim(p.n) <> ''")
+    long = long.select("panel_id", "ds", clean_name(F.trim(F.col("p.n"))).alias("series"), F.expr("try_cast(trim(p.v) as double)").alias("value"))
+    obs = long.where("ds is not null").select("panel_id", "series", "ds", F.nanvl("value", F.lit(None).cast("double")).alias("value"))
+    meta = long.where("ds is null and value is not null").select("panel_id", "series", F.col("value").cast("int").alias("tcode"))
+    return obs, meta
+
+
 def read_vintage(spark: SparkSession, path: str, sep: str = ",", panel: str = "vintage", date_format: str = "yyyy-MM-dd") -> tuple[DataFrame, DataFrame]:
     """``obs`` and ``series_meta(panel_id, series, tcode)`` from a wide file: names, then codes, then one row a month; blanks are NULL."""
     raw = spark.read.csv(path, sep=sep, header=True)
@@ -46,6 +80,17 @@ def write_vintage(obs: DataFrame, meta: DataFrame, path: str, names: list[str],
     codes.unionByName(rows).orderBy("o", "sasdate").drop("o").coalesce(1).write.csv(path, sep=sep, header=True)  # one vintage is one small file by definition
 
 
+def write_vintages(obs: DataFrame, meta: DataFrame, path: str, sep: str = ",") -> None:
+    """A wide file for each panel, in a folder ``panel_id=...``: its own names, their codes, then one line a month; a panel's lines meet in one task."""
+    names = meta.groupBy("panel_id").agg(F.array_sort(F.collect_list(F.struct("series", "tcode"))).alias("m")).select("panel_id", F.col("m.series").alias("names"), F.col("m.tcode").alias("codes"))
+    head = F.concat_ws(sep, F.lit("sasdate"), "names"), F.concat_ws(sep, F.lit("Transform:"), F.col("codes").cast("array<string>"))
+    heads = names.select("panel_id", F.posexplode(F.array(*head)).alias("o", "value"))
+    cells = obs.groupBy("panel_id", "ds").agg(F.map_from_entries(F.collect_list(F.struct("series", "value"))).alias("v")).join(names, "panel_id")
+    line = F.concat_ws(sep, F.col("ds").cast("string"), F.transform("names", lambda n: F.coalesce(F.try_element_at("v", n).cast("string"), F.lit(""))))
+    lines = heads.unionByName(cells.select("panel_id", F.lit(2).alias("o"), line.alias("value")))
+    lines.repartition("panel_id").sortWithinPartitions("panel_id", "o", "value").select("panel_id", "value").write.partitionBy("panel_id").text(path)
+
+
 def override_tcode(series: Column, tcode: Column) -> Column:
     """4 becomes 5, 6 becomes 5, then the named series get 6."""
     return F.when(series.isin(*SECOND_DIFFERENCE), 6).when(tcode.isin(4, 6), 5).otherwise(tcode)
