@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import transforms as T
+from ..operators import autoregress as AR
 from ..operators import evaluate as E
 from ..operators import factors as FA
 from ..operators import forests as FO
@@ -127,8 +128,16 @@ def _forecast(name: str, model: str, source: str = "brand", m: int = M, **option
         return L.forecast(obs, L.work_list(obs, None, HORIZONS, m), m, model, **options)
 
 
-_forecast("m02_arp_direct", "arp_direct", "region")
-_forecast("m02b_arp_iterated", "arp_iterated", "region")
+@query("m02_arp_direct")
+def m02_direct(spark, d):
+    return AR.ar_forecasts(growth(spark, d, "region"), HORIZONS, M)
+
+
+@query("m02b_arp_iterated")
+def m02b(spark, d):
+    return AR.ar_forecasts(growth(spark, d, "region"), HORIZONS, M, iterated=True)
+
+
 _forecast("m03_ar_factor", "ar_factor")
 _forecast("m03_ar_factor_iterated", "ar_factor_iterated")
 _forecast("m04_lasso", "lasso", "region", ic="bic")

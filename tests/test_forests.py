@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelcast.kernels import forest as K
+from panelcast.operators import autoregress as AR
 from panelcast.operators import forests as FO
 from panelcast.operators import linear as L
 
@@ -198,6 +199,22 @@ def test_forests_do_not_look_ahead(spark):
     assert len(made["a"]) > 20 and made["a"] == made["b"]
 
 
+@pytest.mark.parametrize("iterated", [False, True])
+def test_autoregressions_from_moments_equal_the_kernel(spark, iterated):
+    y = [1e4 + float((i * 29) % 13) + 3 * np.sin(i / 2) for i in range(60)]
+    df = panel(spark, y, ("p", "q")).where("panel_id = 'p' or series <> 'c_3' or ds < date'2004-06-01'")
+    holes = df.where("panel_id = 'q' and series = 'b_0'").withColumn("series", F.lit("gap")).withColumn("value", F.when(F.col("ds") != F.lit("2001-03-01"), F.col("value")))
+    for ic, m in (("bic", 7), ("aic", 30)):
+        got = {(r.panel_id, r.target, r.h, r.window_id): r for r in AR.ar_forecasts(df.unionByName(holes), [1, 3], m, 4, ic, iterated).collect()}
+        alone = df.unionByName(df.where("series = 'c_3' and panel_id = 'q'").withColumn("panel_id", F.lit("alone"))).where("series <> 'c_3' or panel_id <> 'q'")
+        want = L.forecast(alone, L.work_list(alone, None, [1, 3], m), m, "arp_iterated" if iterated else "arp_direct", most=4, ic=ic).collect()
+        assert len(got) == len(want) > 0
+        for w in want:
+            r = got["q" if w.panel_id == "alone" else w.panel_id, w.target, w.h, w.window_id]
+            assert (r.origin_ds, r.target_ds, r.y_true) == (w.origin_ds, w.target_ds, w.y_true)
+            assert abs(r.y_pred - w.y_pred) < 1e-5 and abs(r.in_sample - w.in_sample) < 1e-5 and abs(r.err - w.err) < 1e-5
+
+
 def test_units_have_tasks_of_their_own(spark):
     """Groups small in bytes aren't merged into one task."""
     df = panel(spark, [float(i % 7) for i in range(60)], [f"p{i}" for i in range(8)])
