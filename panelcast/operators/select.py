@@ -1,4 +1,4 @@
-"""Selections as sparse rows: codes, preselection, importance per group."""
+"""Selections as sparse rows: codes."""
 
 from __future__ import annotations
 
@@ -15,14 +15,8 @@ def codes(spark) -> DataFrame:
 
 
 def selection_codes(selection: DataFrame, bases: DataFrame) -> DataFrame:
-    """``window_id, base, code``: the lowest code of the transforms selected, 0 if none."""
-    coded = selection.join(F.broadcast(codes(selection.sparkSession)), "transform").groupBy("window_id", "base").agg(F.min("code").alias("code"))  # 24 rows
-    # every window meets every base name by definition of the result; the names are one copy a window
-    windows = selection.select("window_id").distinct()
-    grid = windows.join(bases.select("base").distinct())
-    return grid.join(coded, ["window_id", "base"], "left").withColumn("code", F.coalesce("code", F.lit(0)))
-
-
-def preselected(obs: DataFrame, selection: DataFrame) -> DataFrame:
-    """Rows of each window's selected series only."""
-    return obs.join(selection.select("window_id", "series").distinct(), ["window_id", "series"], "left_semi")
+    """``panel_id, window_id, base, code``: the lowest code of the transforms selected, 0 if none; every window of a panel has all its bases."""
+    coded = selection.join(F.broadcast(codes(selection.sparkSession)), "transform").groupBy("panel_id", "window_id", "base").agg(F.min("code").alias("code"))  # 24 rows
+    windows = selection.select("panel_id", "window_id").distinct()
+    grid = windows.join(bases.select("panel_id", "base").distinct(), "panel_id")
+    return grid.join(coded, ["panel_id", "window_id", "base"], "left").withColumn("code", F.coalesce("code", F.lit(0)))

@@ -274,11 +274,11 @@ def a11(spark, d):
     return E.min_selected(every.where("month(window_id) <> 6"), every, 5)  # nothing is selected in June
 
 
-@query("k04_selection_code", sql("brand", _SEL + ", b as (select distinct series as base from p), w as (select distinct window_id from s) select w.window_id, b.base, coalesce(min(case transform when 'lvl' then 1 when 'dif_log' then 5 end), 0) as code from w cross join b left join s on s.window_id = w.window_id and s.base = b.base group by all"))
+@query("k04_selection_code", sql("brand", _SEL + ", b as (select distinct series as base from p), w as (select distinct window_id from s) select 'brand' as panel_id, w.window_id, b.base, coalesce(min(case transform when 'lvl' then 1 when 'dif_log' then 5 end), 0) as code from w cross join b left join s on s.window_id = w.window_id and s.base = b.base group by all"))
 def k04(spark, d):
     from ..operators.select import selection_codes
 
-    return selection_codes(selection(spark, d), panel(spark, d, "brand").select(F.col("series").alias("base")).distinct())
+    return selection_codes(selection(spark, d).withColumn("panel_id", F.lit("brand")), panel(spark, d, "brand").select("panel_id", F.col("series").alias("base")))
 
 
 _LMAX = """, x as (select x.panel_id, o.series as target, x.series, x.value, o.value as y from p x join p o using (panel_id, ds) where x.series <> o.series),

@@ -402,8 +402,8 @@ def f04(spark, d):
 
 @query("f04_fill_by_rounds")
 def f04_rounds(spark, d):
-    """All panels at once in rounds of joins and sums, as large ones are filled."""
-    return FA.fill_by_rounds(densify_panel(dense(spark, d, "region")), 2)
+    """All panels at once in rounds of joins and sums, as large ones are filled, until fits move by less than a ten-thousandth."""
+    return FA.fill_by_rounds(densify_panel(dense(spark, d, "region")), 2, tol=1e-4)
 
 
 def _r2(spark, d):
@@ -421,12 +421,18 @@ def k01(spark, d):
     return FA.top_series(_r2(spark, d), 10)
 
 
-def _given(spark, d):
-    """Shares of explained variance for given loadings: all one for factor 1, 1 to 5 by the length of the name's number for factor 2."""
+def _given_loadings(spark, d):
+    """Standardised rows and given loadings: all one for factor 1, -1 to 1 by the name's number for factor 2."""
     obs = standardise(growth(spark, d, "region"))
     places = obs.select("panel_id", "series").distinct()
     second = (F.substring("series", 7, 9).cast("int") % 5 - 2).cast("double") / 2
     load = places.select("panel_id", "series", F.explode(F.array(F.struct(F.lit(1).alias("factor"), F.lit(1.0).alias("loading")), F.struct(F.lit(2).alias("factor"), second.alias("loading")))).alias("l")).select("panel_id", "series", "l.factor", "l.loading")
+    return obs, load
+
+
+def _given(spark, d):
+    """Shares of explained variance for given loadings."""
+    obs, load = _given_loadings(spark, d)
     return FA.factor_r2(obs, load, FA.project(obs, load))
 
 
@@ -441,6 +447,12 @@ a2 as (select *, avg(marginal) over p as factor_share, avg(r2) over p as total_s
 _R2_COLUMNS = ("r2", "marginal", "factor_share", "total_share")
 
 
+@query("f01_project_given", _R2 + "select panel_id, ds, factor, round(f, 6) + 0.0 as value from f2")
+def f01_given(spark, d):
+    obs, load = _given_loadings(spark, d)
+    return FA.project(obs, load).select("panel_id", "ds", "factor", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
 @query("f05_factor_r2_given", _R2 + "select panel_id, series, factor, " + ", ".join(f"round({c}, 6) + 0.0 as {c}" for c in _R2_COLUMNS) + " from a2")
 def f05_given(spark, d):
     return _given(spark, d).select("panel_id", "series", "factor", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in _R2_COLUMNS])

@@ -17,6 +17,7 @@ from panelcast.operators import features as X
 from panelcast.operators import linear as L
 from panelcast.operators import stationary as ST
 from panelcast.operators import trees as TR
+from panelcast.operators.select import selection_codes
 from panelcast.plans.grid import run_models
 from panelcast.sources import io
 
@@ -182,6 +183,12 @@ def test_windows_without_a_selection_count_as_none(spark):
     assert [(r.target, r.least) for r in E.min_selected(chosen, windows).collect()] == [("t", 0)]
 
 
+def test_selection_codes_belong_to_panels(spark):
+    chosen = spark.createDataFrame([("p", 1, "a", "dif_log"), ("p", 1, "a", "lvl"), ("q", 2, "b", "box")], "panel_id string, window_id int, base string, transform string")
+    bases = spark.createDataFrame([("p", "a"), ("p", "c"), ("q", "b"), ("q", "b")], "panel_id string, base string")
+    assert sorted(tuple(r) for r in selection_codes(chosen, bases).collect()) == [("p", 1, "a", 1), ("p", 1, "c", 0), ("q", 2, "b", 12)]
+
+
 def test_codes_belong_to_panels(spark):
     two = obs(spark, [1, 2, 4]).union(obs(spark, [1, 2, 4]).withColumn("panel_id", F.lit("q")))
     meta = spark.createDataFrame([("p", "a", 1), ("q", "a", 2)], "panel_id string, series string, tcode int")

@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from panelcast.plans.panels import panel
 from panelcast.queries.all_queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -40,8 +42,45 @@ def test_against_sql(spark, duck, name):
     assert len(cols) == len(cur.description) and got == want
 
 
+def frame(spark, name):
+    return QUERIES[name](spark, DATA).toPandas()
+
+
+FORECASTS = ["m02_arp_direct", "m02b_arp_iterated", "m04_lasso", "m05_ridge", "m06_adaptive_lasso", "m07_random_forest_full_size", "m08_preselected_forest", "m12_state_factors", "m13_stored_models"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", FORECASTS)
+def test_forecasts_are_whole(spark, name):
+    """One row a target, horizon and window, finite, with its error and an origin before its label."""
+    df = frame(spark, name)
+    key = ["panel_id", "model", "target", "h", "target_ds"]
+    assert len(df) and not df.duplicated(key).any() and np.isfinite(df["y_pred"]).all()
+    assert np.allclose(df["err"], df["y_true"] - df["y_pred"]) and (df["origin_ds"] < df["target_ds"]).all()
+    scale = df.groupby(["panel_id", "target"])["y_true"].transform(lambda v: np.abs(v).max())
+    assert ((df["y_pred"].abs() <= 5 * scale).mean() > 0.95) if "ar" in name or "forest" in name else True
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_selections_have_one_series_of_each_group(spark):
+    for name in ("v02_select_one_per_group", "v03_select_one_per_group_rf", "v04_select_recursive_rf"):
+        df = frame(spark, name)
+        df["var_group"] = df["series"].str.slice(6).astype(int) % 5
+        n = df.groupby(["panel_id", "target", "h", "window_id"])["var_group"].agg(["count", "nunique"])
+        assert len(n) >= 24 and (n["count"] == n["nunique"]).all() and (n["nunique"] == 5).all(), name
+    assert (frame(spark, "v04_select_recursive_rf").groupby(["target", "window_id"])["round"].agg(set) == {1, 2, 3, 4, 5}).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name,source", [("f04_factor_fill", "nation"), ("f04_fill_by_rounds", "region")])
+def test_fills_leave_no_gap_and_known_values_alone(spark, name, source):
+    df = frame(spark, name).merge(panel(spark, DATA, source).toPandas(), on=["panel_id", "series", "ds"], how="left")
+    known = df["value"].notna()
+    assert np.isfinite(df["filled"]).all() and known.any() and np.allclose(df["filled"][known], df["value"][known])
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["f02_factor_count", "f04_factor_fill", "t01_adf", "t06_model_confidence_set", "m04_lasso", "w23_spline_fill", "s07_write_errors", "s10_write_selection"])
+@pytest.mark.parametrize("name", ["f02_factor_count", "t01_adf", "t06_model_confidence_set", "w23_spline_fill", "s07_write_errors", "s10_write_selection", "c05_search_models"])
 def test_others_give_rows(spark, name):
     assert not QUERIES[name](spark, DATA).isEmpty()
 
