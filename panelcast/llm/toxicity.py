@@ -151,13 +151,13 @@ class ToxicityModel:
 
 
 def training_set(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """``text, toxic`` of at most ``most`` labelled documents outside fold 0, chosen by a hash of the id."""
+    """``text, toxic, tries`` of at most ``most`` labelled documents outside fold 0, chosen by a hash of the id; a third of them are ``tries``."""
     usable = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
     chosen = (
         usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     # at most ``most`` pairs of an id and a label are broadcast, so the texts of the corpus are only filtered
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) == 0).alias("tries"))
 
 
 def _features(text: str | None) -> Counter:
@@ -182,20 +182,22 @@ def fit(
 
     Log-odds compare the rates of a feature among all tokens of toxic and of other documents.  Features
     in fewer than ``least_docs`` documents are unknown; those whose document counts lie within ``least_z``
-    standard errors of the base rate count as zero.  Of ``costs`` per token the one with the least
-    logistic loss on the sample is taken.
+    standard errors of the base rate count as zero.  K, the logistic curve and the cost per token, that of ``costs`` with
+    the least logistic loss, are fitted on a third of the sample with counts of the other two thirds; then the counts
+    of the whole sample are used.  A sample with few toxic or few other documents serves for both.
     """
     sample = cut(training_set(docs, labels, max_training), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+            for text, toxic, tries in zip(*(c.to_pylist() for c in batch.columns)):
                 side = 1 if toxic else 0
                 for f, n in _features(text).items():
-                    row = held.setdefault(f, [0, 0, 0, 0])
-                    row[side] += n
-                    row[2 + side] += 1
+                    row = held.setdefault(f, [0] * 8)
+                    for first in (0,) if tries else (0, 4):  # of all, and of those that don't fit the curve
+                        row[first + side] += n
+                        row[first + 2 + side] += 1
                 if len(held) > 300_000:
                     yield from out(held)
                     held = {}
@@ -205,33 +207,48 @@ def fit(
         names = list(held)
         for i in range(0, len(names), 20_000):
             part = names[i : i + 20_000]
-            columns = [pa.array([held[f][k] for f in part], pa.int64()) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *columns], ["f", "nc", "nt", "c", "t"])
+            columns = [pa.array([held[f][k] for f in part], pa.int64()) for k in range(8)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *columns], ["f", *_COUNTS])
 
-    counts = (
-        sample.mapInArrow(count, "f string, nc long, nt long, c long, t long")
-        .groupBy("f")
-        .agg(*[F.sum(x).alias(x) for x in ("nc", "nt", "c", "t")])
-    )
+    counts = sample.mapInArrow(count, "f string, " + ", ".join(f"{c} long" for c in _COUNTS)).groupBy("f").agg(*[F.sum(x).alias(x) for x in _COUNTS])
     counts = cut(counts, "toxicity-counts")
     word = ~F.col("f").endswith("*")
-    tokens = counts.where(word).agg(F.sum("nc"), F.sum("nt")).first()
+    tokens = counts.where(word).agg(*[F.sum(c) for c in ("nc", "nt", "nc0", "nt0")]).first()
     kept = counts.where(F.col("c") + F.col("t") >= least_docs).collect()  # bounded by the sample
-    n_toxic, n_all = (x or 0 for x in sample.agg(F.count_if(F.col("toxic") == 1), F.count(F.lit(1))).first())
-    if not n_toxic or n_toxic == n_all or not all(tokens):  # nothing to learn from: the base rate alone
+    learn = ~F.col("tries")
+    sizes = sample.agg(F.count_if(F.col("toxic") == 1), F.count(F.lit(1)), F.count_if(learn & (F.col("toxic") == 1)), F.count_if(learn)).first()
+    n_toxic, n_all, some_toxic, some = (x or 0 for x in sizes)
+    if not n_toxic or n_toxic == n_all or not all(tokens[:2]):  # nothing to learn from: the base rate alone
         base = (n_toxic + 0.5) / (n_all + 1)
         return ToxicityModel({}, costs[0], 1.0, a=math.log(base / (1 - base)), b=0.0)
-    base, share = n_toxic / n_all, tokens[1] / (tokens[0] + tokens[1])
-    known, weight = {}, Counter()
-    for f, nc, nt, c, t in kept:
-        up, down = t + prior * base, c + prior * (1 - base)
-        z = (math.log(up / down) - math.log(base / (1 - base))) / math.sqrt(1 / up + 1 / down)
-        odds = math.log((nt + prior * share) / (nc + prior * (1 - share))) - math.log(share / (1 - share))
-        known[f] = odds if abs(z) >= least_z else 0.0
-        if not f.endswith("*"):
-            weight[known[f]] += nc + prior * (1 - share)
-    weight[0.0] += max(0.0, tokens[0] - sum(weight.values()))
-    return _calibrate([ToxicityModel(known, x, _lambda(weight, x)) for x in costs], sample)
+
+    def built(first: int, n_toxic: int, n_all: int) -> list[ToxicityModel]:
+        base, share = n_toxic / n_all, tokens[first // 2 + 1] / (tokens[first // 2] + tokens[first // 2 + 1])
+        known, weight = {}, Counter()
+        for f, *both in kept:
+            nc, nt, c, t = both[first : first + 4]
+            if c + t < least_docs:
+                continue
+            up, down = t + prior * base, c + prior * (1 - base)
+            z = (math.log(up / down) - math.log(base / (1 - base))) / math.sqrt(1 / up + 1 / down)
+            odds = math.log((nt + prior * share) / (nc + prior * (1 - share))) - math.log(share / (1 - share))
+            known[f] = odds if abs(z) >= least_z else 0.0
+            if not f.endswith("*"):
+                weight[known[f]] += nc + prior * (1 - share)
+        weight[0.0] += max(0.0, tokens[first // 2] - sum(weight.values()))
+        return [ToxicityModel(known, x, _lambda(weight, x)) for x in costs]
+
+    whole, tried_toxic = built(0, n_toxic, n_all), n_toxic - some_toxic
+    if min(some_toxic, some - some_toxic, tried_toxic, n_all - some - tried_toxic) < LEAST_OF_A_KIND or not all(tokens[2:]):
+        return _calibrate(whole, sample)
+    fitted = _calibrate(built(4, some_toxic, some), sample.where("tries"))
+    model = next(m for m in whole if m.cost == fitted.cost)
+    model.k, model.a, model.b = fitted.k, fitted.a, fitted.b
+    return model
+
+
+_COUNTS = ("nc", "nt", "c", "t", "nc0", "nt0", "c0", "t0")
+LEAST_OF_A_KIND = 20  # toxic and other documents on either side that are needed to fit the curve on texts the counts never saw
 
 
 def _lambda(weight: Counter, cost: float) -> float:
@@ -252,14 +269,14 @@ def _lambda(weight: Counter, cost: float) -> float:
 
 
 def _calibrate(models: list[ToxicityModel], sample: DataFrame) -> ToxicityModel:
-    """For each model K by maximum likelihood over clean training documents, then the logistic curve of best segments.
+    """For each model K by maximum likelihood over clean documents of the sample, then the logistic curve of best segments.
 
     The model with the least loss gets its curve anew from the joint statistic.
     """
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, toxic = (c.to_pylist() for c in batch.columns)
+            texts, toxic = (c.to_pylist() for c in batch.columns[:2])
             rows = []
             for text in texts:
                 odds = models[0].odds(text)
@@ -282,7 +299,7 @@ def _calibrate(models: list[ToxicityModel], sample: DataFrame) -> ToxicityModel:
 
     def joint_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, toxic = (c.to_pylist() for c in batch.columns)
+            texts, toxic = (c.to_pylist() for c in batch.columns[:2])
             yield pa.RecordBatch.from_pydict({"x": pa.array([model.statistic(t)[0] for t in texts], pa.float64()), "y": [int(v) for v in toxic]})
 
     found = sample.mapInArrow(joint_of, "x double, y long").collect()  # two numbers for each of the bounded sample
