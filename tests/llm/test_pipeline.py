@@ -82,7 +82,7 @@ def test_run_applies_all_stages(spark, small):
 @pytest.mark.parametrize("name", sorted(Q.SQL))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df = Q.queries()[name](spark, DATA)
     cols = sorted(df.columns)
