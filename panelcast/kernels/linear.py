@@ -64,8 +64,8 @@ def _knots(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray) -> np.ndarray
     active, sign = [int(np.argmax(np.where(usable, np.abs(xy), -1.0)))], []
     sign = [float(np.sign(xy[active[0]]))]
     order = np.argsort(-np.asarray(lambdas), kind="stable")
-    while i < len(order) and lambdas[order[i]] >= level:
-        i += 1
+    falling = np.asarray(lambdas)[order]
+    i = int(np.searchsorted(-falling, -level, side="right"))
     left = -1  # the coefficient that has just become zero may not come back at once
     for _ in range(20 * k + 20):
         try:
@@ -85,9 +85,10 @@ def _knots(gram: np.ndarray, xy: np.ndarray, lambdas: np.ndarray) -> np.ndarray
         zeros[~np.isfinite(zeros) | (zeros >= level - 1e-12 * top)] = -np.inf
         enters, drops = meets.max(initial=-np.inf), zeros.max(initial=-np.inf)
         new = max(enters, drops, 0.0)
-        while i < len(order) and lambdas[order[i]] >= new:
-            out[order[i], active] = u - lambdas[order[i]] * d
-            i += 1
+        j = int(np.searchsorted(-falling, -new, side="right"))
+        if j > i:
+            out[np.ix_(order[i:j], active)] = u - falling[i:j, None] * d
+            i = j
         if i == len(order) or new <= min(least, 0.0):
             break
         level, left = new, -1
@@ -207,8 +208,11 @@ def block_cv(method: str, x: np.ndarray | None, y: np.ndarray | None, lambdas: n
     errors = []
     for tr, te in block_splits(len(run), h, ratio, test):
         known = run.part(tr)
-        w = first_stage(known, h, ratio=ratio, test=test) if method == "adaptive" else np.ones(len(known.xy))
-        b = path(method, known.gram * np.outer(w, w), known.xy * w, len(known), lambdas, alpha) * w
+        if method == "adaptive":
+            w = first_stage(known, h, ratio=ratio, test=test)
+            b = path(method, known.gram * np.outer(w, w), known.xy * w, len(known), lambdas, alpha) * w
+        else:
+            b = path(method, known.gram, known.xy, len(known), lambdas, alpha)
         errors.append((known.missed(run.part(te), b) ** 2).mean(axis=1))
     return np.mean(errors, axis=0) if errors else np.zeros(len(lambdas))
 
