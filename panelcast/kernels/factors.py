@@ -162,18 +162,19 @@ def two_step(x: np.ndarray, r: int, p: int = 1, q: int | None = None) -> dict:
     """Principal components and a VAR(p) with ``q`` shocks give the start values, the Kalman filter and smoother the factors.
 
     Gaps stay gaps for the filter; for the start values only they are filled by iteration.  A series without two
-    values, or a constant one, counts as zeros.
+    values, or a constant one, counts as zeros.  There are at most as many factors as series; a panel of
+    ``p`` + 1 dates or fewer has no autoregression.
     """
-    known = ~np.isnan(x)
+    known, r = ~np.isnan(x), min(r, x.shape[1])
     mean = np.array([c[k].mean() if k.any() else 0.0 for c, k in zip(x.T, known.T)])
     sd = np.array([c[k].std(ddof=1) if k.sum() > 1 else 0.0 for c, k in zip(x.T, known.T)])
     sd = np.where(sd > 1e-12, sd, 1.0)
     z = (x - mean) / sd
     full = factor_fill(z, r)
     loadings, f, _ = static_factors(full, r)
-    b, e = var_fit(f, p, constant=False)
+    b, e = var_fit(f, p, constant=False) if len(f) > p + 1 else (np.zeros((r * p, r)), f)
     noise = np.array([max(((c[k] - f[k] @ row) ** 2).mean() if k.any() else 1.0, 1e-4) for c, k, row in zip(z.T, known.T, loadings)])
-    a, cov = companion(b, e.T @ e / len(e), p, r if q is None else q)
+    a, cov = companion(b, e.T @ e / len(e), p, r if q is None else min(q, r))
     wide = np.hstack([loadings, np.zeros((len(loadings), r * (p - 1)))])
     filtered, smooth = kalman(z, wide, noise, a, cov)
     return {"loadings": wide, "a": a, "q": cov, "noise": noise, "states": filtered, "filtered": filtered[:, :r], "smooth": smooth[:, :r], "mean": mean, "sd": sd}

@@ -128,8 +128,12 @@ def _grow(forest: Forest, bins: np.ndarray, y: np.ndarray, trees: np.ndarray, or
         key_tree, key_node = np.divmod(key, forest.feature.shape[1])
         count, total = np.bincount(of, w), np.bincount(of, w * y[row])
         forest.value[key_tree, key_node] = total / count
-        if level == forest.depth:
+        large = count >= 2 * least  # others can't be split
+        if level == forest.depth or not large.any():
             return
+        on = large[of]
+        tree, row, w, node, of = tree[on], row[on], w[on], node[on], (large.cumsum() - 1)[of[on]]
+        key_tree, key_node, key, count, total = (v[large] for v in (key_tree, key_node, key, count, total))
         subset = order[(mix(seed, 4, key_tree, key_node) % np.uint64(TABLE)).astype(np.int64)]  # nodes x tries
         place = (of[:, None] * tries + np.arange(tries)) * size + bins[row[:, None], subset[of]]
         shape, flat = (len(key), tries, size), place.ravel()

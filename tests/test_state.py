@@ -81,6 +81,9 @@ def test_two_steps_keep_series_with_gaps():
     assert np.allclose(ahead, fit["loadings"] @ state * fit["sd"] + fit["mean"]) and np.isfinite(ahead).all()
     odd = np.column_stack([holes, np.full(120, np.nan), np.ones(120)])
     assert np.isfinite(KF.two_step(odd, 2)["smooth"]).all()
+    for small in (x[:30, :1], x[:2, :3], np.full((20, 2), np.nan), holes[:30, :3]):
+        fit = KF.two_step(small, 4, 2, 3)
+        assert fit["smooth"].shape == (len(small), min(4, small.shape[1])) and np.isfinite(fit["smooth"]).all() and np.isfinite(KF.state_forecast(fit, 2)).all()
 
 
 def test_panels_with_gaps_keep_their_dates(spark):
