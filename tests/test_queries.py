@@ -85,6 +85,13 @@ def test_others_give_rows(spark, name):
     assert not QUERIES[name](spark, DATA).isEmpty()
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["m05_ridge", "f04_factor_fill", "t06_model_confidence_set"])
+def test_much_work_has_many_tasks(spark, name):
+    """Groups of few bytes and much work aren't merged into a task or two."""
+    assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_entry(spark):
     assert entry.entry(spark).count() == 6
