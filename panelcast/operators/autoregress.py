@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.transforms import KEYS, by_date, whole
+from ..sources.io import cut
 from .features import up_to
 from .linear import FORECAST
 from .spread import tasks
@@ -42,6 +43,7 @@ def window_moments(obs: DataFrame, h: int, m: int, most: int, step: int, least:
     ahead = F.array(*[F.lead("y", step - k).over(order) if step > k else F.lag("y", k - step).over(order) for k in range(most)])
     there = {"origin_ds": F.lead("ds", step).over(order), "target_ds": F.lead("ds", step + h).over(order), "y_true": F.lead("value", step + h).over(order)}
     made = seen.select(*KEYS, "i", "t", "near", sums.alias("sums"), ahead.alias("now"), *[v.alias(k) for k, v in there.items()])
+    made = cut(made, "moments")  # both ends of a window are read from it
     # the last pair of window tt ends at i = t - m + tt - h - step, its first begins at tt + most - 1
     ends = made.withColumn("tt", F.col("i") - F.col("t") + m + h + step).where(F.col("tt").between(0, m - 1) & (F.col("i") + step - h - F.col("tt") + 1 >= least))
     ends = ends.withColumn("before", F.col("tt") + most - 2)
@@ -58,7 +60,7 @@ def ar_forecasts(obs: DataFrame, horizons: list[int], m: int, most: int = 6, ic:
     Direct ones regress the value ``h`` steps later; iterated ones that of the next step, which is then repeated.
     The results are those of the models ``arp_direct`` and ``arp_iterated``.
     """
-    out = None
+    obs, out = cut(obs.select(*KEYS, "ds", "value"), "series"), None
     for h in horizons:
         rows = _solved(window_moments(obs, h, m, most, 1 if iterated else h), h, most, ic, iterated)
         out = rows if out is None else out.unionByName(rows)
