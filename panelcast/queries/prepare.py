@@ -223,7 +223,7 @@ def j04i(spark, d):
     """Events inside the incidents of their user; an incident opens with an error and lasts some seconds by its value."""
     rows = table(spark, d, "events")
     ts = F.col("ts").cast("timestamp")
-    lasts = F.timestamp_micros(F.unix_micros(ts) + (F.lit(900) + 90 * F.abs("value")).cast("decimal(18,6)").cast("decimal(18,0)").cast("long") * 1_000_000)
+    lasts = F.timestamp_micros(F.unix_micros(ts) + F.rint(F.lit(900) + 90 * F.abs("value")).cast("long") * 1_000_000)  # halves to even, as SQL's cast
     incidents = rows.where("event_type = 'error' and value is not null").select("user_id", ts.alias("start"), lasts.alias("end"))
     held = C.interval_flag(rows.select("event_id", "user_id", ts.alias("ts")), incidents, ["user_id"], "ts", 7200.0)
     return held.select("event_id", "n_intervals", "crisis")

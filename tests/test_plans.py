@@ -142,3 +142,20 @@ def test_window_scaling_by_its_rows(spark):
         last = y[30 - 6 + w - 2 - 1]
         assert r.z is None if last is None else abs(r.z - (last - np.mean(own)) / np.std(own, ddof=1)) < 1e-6
         assert (got["flat", w].mean, got["flat", w].sd, got["flat", w].z) == (5.0, 0.0, None)
+
+
+def test_interval_ends_at_halves_are_those_of_the_sql(spark, tmp_path):
+    """904.5 seconds are 904 in SQL's cast, and 905.4999997 are 905: an event in the second after is outside."""
+    import duckdb
+
+    from panelcast.queries.all_queries import QUERIES, SQL
+
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, at, 1, "error", 0.05), (2, at, 2, "error", 5.4999997 / 90), (3, at, 3, "error", 5.5 / 90)]
+    rows += [(10 * u + k, at + dt.timedelta(seconds=s), u, "view", 1.0) for u in (1, 2, 3) for k, s in enumerate((903.9, 904.0, 904.4, 905.0, 905.6, 906.0, 906.1))]
+    con = duckdb.connect()
+    con.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double)")
+    con.executemany("insert into events values (?, ?, ?, ?, ?)", rows)
+    con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got = QUERIES["j04_interval_flag"](spark, f"file://{tmp_path}").select("event_id", "n_intervals", "crisis")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(con.execute(f"select event_id, n_intervals, crisis from ({SQL['j04_interval_flag']})").fetchall())
