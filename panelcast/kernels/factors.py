@@ -53,6 +53,20 @@ def factor_count_gap(eigen: np.ndarray, most: int, rounds: int = 4) -> int:
     return count
 
 
+def factor_fit(z: np.ndarray, r: int) -> np.ndarray:
+    """The fit of r factors, from the products of dates or of series, whichever are fewer: both give the same projection."""
+    if z.shape[0] < z.shape[1]:
+        u = gram_basis(z @ z.T, r)
+        return u @ (u.T @ z)
+    loadings, factors, _ = static_factors(z, min(r, z.shape[1]))
+    return factors @ loadings.T
+
+
+def gram_basis(gram: np.ndarray, r: int) -> np.ndarray:
+    """Eigenvectors of the r greatest eigenvalues, in falling order."""
+    return np.linalg.eigh(gram)[1][:, ::-1][:, :r]
+
+
 def factor_fill(x: np.ndarray, r: int, most: int = 50, tol: float = 1e-6) -> np.ndarray:
     """Gaps filled by iteration: column means first, then the fit of r factors, until fits stand still."""
     gap = np.isnan(x)
@@ -63,8 +77,7 @@ def factor_fill(x: np.ndarray, r: int, most: int = 50, tol: float = 1e-6) -> np.
     out, before = np.where(gap, mean, x), None
     for _ in range(most):
         m, s = scale(out)
-        loadings, factors, _ = static_factors((out - m) / s, min(r, x.shape[1]))
-        fit = factors @ loadings.T * s + m
+        fit = factor_fit((out - m) / s, r) * s + m
         out = np.where(gap, fit, x)
         if before is not None and ((fit - before) ** 2).sum() / max((before**2).sum(), 1e-300) < tol:
             break

@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import factors as K
+from ..kernels.linear import scale
 from ..sources.io import cut
+from .calendar import densify_panel
 from .spread import dealt
 
 LOADINGS = "panel_id string, series string, factor int, loading double"
@@ -146,17 +148,102 @@ FILLED = "panel_id string, series string, ds date, filled double"
 def factor_fill(obs: DataFrame, r: int = 2, most: int = 50, tol: float = 1e-6, most_cells: int = 1 << 20) -> DataFrame:
     """``panel_id, series, ds, filled``: gaps from the fit of ``r`` factors, refitted until fits stand still (relative change of squares below ``tol``) or ``most`` times.
 
-    Panels of up to ``most_cells`` cells are iterated in a task each; larger ones take part in rounds of
-    joins and sums, in which no task holds a panel (``fill_by_rounds``).  Both give the same numbers.
-    Every series must have a row at every date of its panel.
+    Panels of up to ``most_cells`` cells are iterated in a task each; larger ones take part in rounds, in which no task holds
+    a panel: by rows of series where these are more than the dates (``fill_by_series``), else by dates (``fill_by_rounds``).
+    All give the same numbers.  A date or series that a row names is filled throughout its panel.
     """
-    sizes = obs.groupBy("panel_id").agg(F.count(F.lit(1)).alias("cells"))
-    large = sizes.where(F.col("cells") > most_cells).select("panel_id")
-    each = lambda x, days, names: [(n, d, float(v)) for d, row in zip(days, K.factor_fill(x, r, most, tol)) for n, v in zip(names, row)]
-    if large.isEmpty():
-        return per_panel(obs, FILLED, each, gaps=True)
-    rounds = fill_by_rounds(obs.join(large, "panel_id", "left_semi"), r, most, tol)
-    return per_panel(obs.join(large, "panel_id", "left_anti"), FILLED, each, gaps=True).unionByName(rounds)
+    obs = cut(obs.select("panel_id", "series", "ds", "value"), "fill-obs")
+    sizes = obs.groupBy("panel_id").agg(F.count_distinct("series").alias("n"), F.count_distinct("ds").alias("t"))
+    sizes = cut(sizes.where(F.col("n") * F.col("t") > most_cells).select("panel_id", (F.col("n") > F.col("t")).alias("wide")), "fill-sizes")  # a row a large panel
+    kinds = {row.wide for row in sizes.select("wide").distinct().collect()}
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="ds", columns="series", values="value").sort_index()
+        filled = K.factor_fill(wide.to_numpy(float), r, most, tol)
+        names, days = wide.columns.to_numpy(object), wide.index.to_numpy(object)
+        return pd.DataFrame({"panel_id": pdf["panel_id"].iat[0], "series": np.tile(names, len(days)), "ds": np.repeat(days, len(names)), "filled": filled.ravel()})
+
+    small = obs.join(sizes, "panel_id", "left_anti") if kinds else obs
+    out = dealt(small, "panel_id").groupBy("panel_id").applyInPandas(task, FILLED)
+    for wide in kinds:
+        each = densify_panel(obs.join(sizes.where(F.col("wide") == wide), "panel_id", "left_semi"))
+        out = out.unionByName((fill_by_series if wide else fill_by_rounds)(each, r, most, tol))
+    return out
+
+
+def fill_by_series(obs: DataFrame, r: int = 2, most: int = 50, tol: float = 1e-6) -> DataFrame:
+    """``fill_by_rounds`` for panels of more series than dates: a row holds a series, and T x T numbers of a panel meet in a task.
+
+    A round sums the products of dates over the standardised series, takes their first ``r`` eigenvectors, and projects
+    each series on these.  Every series must have a row at every date of its panel.
+    """
+    keys = ["panel_id", "series"]
+    lists = obs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ds", "value"))).alias("v"))
+    first = lists.select(*keys, F.col("v.value").alias("value"), F.lit(None).cast("array<double>").alias("fit"))
+    active = cut(dealt(first, *keys), "fill-series")
+    days = cut(obs.select("panel_id", "ds").distinct().groupBy("panel_id").agg(F.array_sort(F.collect_list("ds")).alias("days")), "fill-days")
+
+    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        """Panel, rows, values, fits before (None in the first round), values with gaps filled, their means and deviations; a row a series."""
+        for pdf in batches:
+            for panel, rows in pdf.groupby("panel_id", sort=False):
+                x = np.vstack([np.asarray(v, float) for v in rows["value"]])
+                known = ~np.isnan(x)
+                if rows["fit"].iat[0] is None:
+                    fit, other = None, (np.where(known, x, 0.0).sum(axis=1) / np.maximum(known.sum(axis=1), 1))[:, None]
+                else:
+                    fit = other = np.vstack(rows["fit"].to_list())
+                full = np.where(known, x, other)
+                mean, sd = scale(full.T)
+                yield panel, rows, x, fit, full, mean[:, None], sd[:, None]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for panel, _, _, _, full, mean, sd in matrices(batches):
+            z = (full - mean) / sd
+            if panel not in held and sum(g.size for g in held.values()) + z.shape[1] ** 2 > 1 << 24:
+                yield from (parts(p, g) for p, g in held.items())
+                held = {}
+            held[panel] = held.get(panel, 0.0) + z.T @ z
+        yield from (parts(p, g) for p, g in held.items())
+
+    def parts(panel: str, gram: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"panel_id": panel, "row": np.arange(len(gram)), "sums": list(gram)})
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"panel_id": pdf["panel_id"].iloc[:1], "row": pdf["row"].iloc[:1], "sums": [np.sum(pdf["sums"].to_list(), axis=0)]})
+
+    def basis(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = K.gram_basis(np.vstack(pdf.sort_values("row")["sums"].to_list()), r)
+        return pd.DataFrame({"panel_id": pdf["panel_id"].iloc[:1], "basis": [u.ravel()]})
+
+    def project_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows, x, before, full, mean, sd in matrices(batches):
+            u = np.asarray(rows["basis"].iat[0]).reshape(x.shape[1], -1)
+            fit = ((full - mean) / sd) @ u @ u.T * sd + mean
+            moved = (None, None) if before is None else (((fit - before) ** 2).sum(axis=1), (before**2).sum(axis=1))
+            yield pd.DataFrame({"panel_id": rows["panel_id"], "series": rows["series"], "value": rows["value"], "fit": list(fit), "moved": moved[0], "size": moved[1], "gaps": np.isnan(x).any(axis=1)})
+
+    out = None
+    for turn in range(most):
+        rows = active.mapInPandas(sums, "panel_id string, row int, sums array<double>")
+        gram = rows.groupBy("panel_id", "row").applyInPandas(total, "panel_id string, row int, sums array<double>")
+        bases = cut(gram.groupBy("panel_id").applyInPandas(basis, "panel_id string, basis array<double>"), "fill-basis")
+        made = active.join(bases, "panel_id").mapInPandas(project_rows, "panel_id string, series string, value array<double>, fit array<double>, moved double, size double, gaps boolean")
+        fitted = cut(made, "fill-series")
+        moved = F.sum("moved") / F.greatest(F.sum("size"), F.lit(1e-300))
+        ended = F.coalesce(moved < tol, F.lit(False)) | ~F.bool_or("gaps") | F.lit(turn == most - 1)
+        state = cut(fitted.groupBy("panel_id").agg(ended.alias("ended")), "fill-state")  # a row a panel
+        known = {row.ended for row in state.select("ended").distinct().collect()}
+        if True in known:
+            done = fitted.join(state.where("ended"), "panel_id", "left_semi").select(*keys, F.arrays_zip("value", "fit").alias("v")).join(days, "panel_id")
+            cells = done.select(*keys, F.posexplode("v").alias("i", "v"), "days")
+            cells = cells.select(*keys, F.expr("days[i]").alias("ds"), F.coalesce(F.nanvl("v.value", F.lit(None).cast("double")), "v.fit").alias("filled"))
+            out = cells if out is None else out.unionByName(cells)
+        if False not in known:
+            break
+        active = fitted.join(state.where("not ended"), "panel_id", "left_semi").select(*keys, "value", "fit")
+    return out
 
 
 def fill_by_rounds(obs: DataFrame, r: int = 2, most: int = 50, tol: float = 1e-6) -> DataFrame:

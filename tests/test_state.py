@@ -131,3 +131,33 @@ def test_unit_roots_from_moments_equal_the_kernel(spark, ic):
         r = got[f"s{j}"]
         assert (r.lag, r.n) == (lag, n) and abs(r.critical - KT.critical(max(n, 1))) < 1e-12
         assert (r.t is None) == bool(np.isnan(t)) and (r.t is None or abs(r.t - t) < 1e-6 * max(1, abs(t)))
+
+
+def test_wide_panels_fill_by_series_as_one_task_does(spark):
+    panels = {}
+    for p, (t, n) in {"a": (12, 30), "b": (20, 25), "whole": (10, 14), "tall": (30, 6)}.items():
+        f = RNG.normal(size=(t, 2)).cumsum(axis=0)
+        panels[p] = f @ RNG.normal(size=(2, n)) + RNG.normal(size=(t, n)) * 0.2
+        if p != "whole":
+            panels[p][RNG.random((t, n)) < 0.1] = np.nan
+    panels["a"][4:, 0], panels["a"][0, 0] = np.nan, 1.0
+    df = long(spark, panels)
+    # a series that starts late, as a calendar of its own leaves it: no rows, but cells of the panel
+    late = df.where("not (panel_id = 'a' and series = 's0' and ds > date'2000-04-01')")
+    day = lambda i: dt.date(2000 + i // 12, i % 12 + 1, 1)
+    for most in (4,):
+        for rows in (FA.factor_fill(late, 2, most, 1e-5, most_cells=0), FA.factor_fill(late, 2, most, 1e-5, most_cells=400)):
+            got = {(r.panel_id, r.series, r.ds): r.filled for r in rows.collect()}
+            assert len(got) == sum(x.size for x in panels.values())
+            for p, x in panels.items():
+                want = KF.factor_fill(x, 2, most, 1e-5)
+                assert np.allclose([[got[p, f"s{j}", day(i)] for j in range(x.shape[1])] for i in range(len(x))], want, atol=1e-6), (p, most)
+
+
+def test_fits_of_wide_panels_need_only_products_of_dates(monkeypatch):
+    x = RNG.normal(size=(20, 60))
+    loadings, f, _ = KF.static_factors(x, 3)
+    seen, eigh = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda a: (seen.append(len(a)), eigh(a))[1])
+    assert np.allclose(KF.factor_fit(x, 3), f @ loadings.T, atol=1e-9) and np.allclose(KF.factor_fit(x.T, 3).shape, (60, 20))
+    assert set(seen) == {20}
