@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.transforms import by_date, KEYS, whole
-from ..kernels.spline import spline_fill_values
+from ..kernels.spline import spline_fill_many
 from .calendar import ma_fill, trim_bad_edges
-from .spread import each_series
+from .spread import each_batch, each_series
 
 
 def before() -> WindowSpec:
@@ -115,11 +117,11 @@ def seasonal_decompose(obs: DataFrame, period: int) -> DataFrame:
 def spline_fill(obs: DataFrame) -> DataFrame:
     """Cubic not-a-knot spline through the known values, between the first and the last of them."""
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(filled=spline_fill_values(pdf["value"].to_numpy(float)))
+    def each(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        filled = spline_fill_many(pc.cast(rows["value"], pa.float64()).to_numpy(), starts)
+        return rows.drop_columns("value").append_column("filled", pa.array(filled, from_pandas=True))
 
-    out = each_series(obs.select(*KEYS, "ds", "value"), each, "panel_id string, series string, ds date, value double, filled double")
-    return out.select(*KEYS, "ds", F.nanvl("filled", F.lit(None).cast("double")).alias("filled"))
+    return each_batch(obs.select(*KEYS, "ds", "value"), each, "panel_id string, series string, ds date, filled double")
 
 
 def fill_gaps(obs: DataFrame, mode: int, k: int = 3) -> DataFrame:

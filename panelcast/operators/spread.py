@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..functions.transforms import KEYS
@@ -44,3 +46,39 @@ def each_series(df: DataFrame, each: Callable[[pd.DataFrame], pd.DataFrame], sch
             yield each(rest)
 
     return dealt(df, *KEYS).sortWithinPartitions(*KEYS, "ds").mapInPandas(run, schema)
+
+
+def each_batch(df: DataFrame, each: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """As ``each_series``, for work that takes many series at once: ``each`` has a table of whole series and the rows at which they start."""
+
+    def changes(rows: pa.Table) -> np.ndarray:
+        moved = np.zeros(max(len(rows) - 1, 0), bool)
+        for k in KEYS:
+            c = rows[k].combine_chunks()
+            a, b = c.slice(1), c.slice(0, max(len(c) - 1, 0))
+            moved |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+        return np.flatnonzero(moved) + 1
+
+    def made(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(parts)
+        yield from each(rows, np.r_[0, changes(rows)]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not len(rows):
+                continue
+            at = changes(rows)
+            if len(at):
+                yield from made([*held, rows.slice(0, at[-1])])
+                held = [rows.slice(at[-1])]
+            elif held and len(changes(pa.concat_tables([held[-1].slice(len(held[-1]) - 1), rows.slice(0, 1)]))):
+                yield from made(held)
+                held = [rows]
+            else:
+                held.append(rows)
+        if held:
+            yield from made(held)
+
+    return dealt(df, *KEYS).sortWithinPartitions(*KEYS, "ds").mapInArrow(run, schema)

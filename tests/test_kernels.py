@@ -259,3 +259,24 @@ def test_spline_follows_a_cubic():
     gap[[0, 4, 5, 11, 19]] = np.nan
     got = spline_fill_values(gap)
     assert np.allclose(got[1:19], y[1:19]) and np.isnan(got[[0, 19]]).all()
+
+
+def test_splines_of_many_vectors_at_once():
+    import tracemalloc
+
+    from panelcast.kernels.spline import spline_fill_many
+
+    vectors = [RNG.normal(size=n) for n in (1, 2, 3, 4, 5, 9, 40, 90, 3, 17)]
+    for y in vectors[1:]:
+        y[RNG.random(len(y)) < 0.4] = np.nan
+    vectors += [np.full(5, np.nan), np.array([np.nan, 1.0, np.nan, 4.0, np.nan, 9.0, np.nan]), np.array([1.0, np.nan, 27.0, 64.0, np.nan, 216.0])]
+    got = spline_fill_many(np.concatenate(vectors), np.cumsum([0, *map(len, vectors)])[:-1])
+    assert np.array_equal(got, np.concatenate([spline_fill_values(y) for y in vectors]), equal_nan=True)
+    assert np.allclose(got[-6:], [1, 8, 27, 64, 125, 216]) and np.isnan(got[-7]) and np.isnan(got[-13])
+    x = np.arange(4000.0)
+    y = np.where(x % 3 == 1, np.nan, np.sin(x / 50))
+    tracemalloc.start()
+    filled = spline_fill_values(y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(filled - np.sin(x / 50))[1:-1].max() < 1e-5 and peak < 10_000_000  # no matrix of points by points

@@ -255,3 +255,24 @@ def test_blank_cells_of_a_vintage_are_null(spark, tmp_path):
     data, meta = io.read_vintage(spark, f"file://{tmp_path}/v.csv")
     assert {(r.series, str(r.ds), r.value) for r in data.collect()} == {("RPIx", "2000-01-01", 1.5), ("RPIx", "2000-02-01", None), ("M1", "2000-01-01", None), ("M1", "2000-02-01", 2.0)}
     assert {(r.panel_id, r.series, r.tcode) for r in meta.collect()} == {("vintage", "RPIx", 5), ("vintage", "M1", 6)}
+
+
+def test_splines_do_not_depend_on_batches(spark):
+    """Series longer than an Arrow batch, many in a batch, and one without a name."""
+    from panelcast.kernels.spline import spline_fill_values
+
+    rng = np.random.default_rng(3)
+    made = {("p" if i % 2 else "q", f"s{i}" if i else None): np.where(rng.random(n) < 0.4, np.nan, rng.normal(size=n)) for i, n in enumerate((6, 40, 3, 7, 7, 14, 1, 5, 8))}
+    rows = [(p, s, dt.date(2000, 1, 1) + dt.timedelta(days=i), None if np.isnan(v) else float(v)) for (p, s), y in made.items() for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "panel_id string, series string, ds date, value double").coalesce(1)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("3", "7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = X.spline_fill(df).orderBy("panel_id", "series", "ds").collect()
+            assert len(got) == len(rows)
+            for (p, s), y in made.items():
+                filled = [r.filled for r in got if (r.panel_id, r.series) == (p, s)]
+                assert np.allclose([np.nan if v is None else v for v in filled], spline_fill_values(y), equal_nan=True)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
