@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transforms import by_date, KEYS, whole
+from .spread import dealt
 
 STEPS = {"month": "interval 1 month", "hour": "interval 1 hour", "day": "interval 1 day"}
 
@@ -190,7 +191,11 @@ def flag_outliers(obs: DataFrame, k: float = 10.0, method: str = "matlab") -> Da
 
 
 def ma_fill(obs: DataFrame, k: int = 3) -> DataFrame:
-    """At missing rows: the median of the series put there, then the centred mean of 2k + 1 terms, edges repeated."""
+    """At missing rows: the median of the series put there, then the centred mean of 2k + 1 terms, edges repeated.
+
+    Rows are dealt over a given number of tasks: they are few bytes and much memory once sorted and in windows.
+    """
+    obs = dealt(obs, *KEYS)
     frame = by_date().rowsBetween(-k, k)
     med = F.percentile("value", F.lit(0.5)).over(whole())
     seen = obs.withColumn("_f", F.coalesce("value", med)).withColumn("_n", F.row_number().over(by_date())).withColumn("_t", F.count(F.lit(1)).over(whole()))

@@ -9,6 +9,7 @@ from ..functions import transforms as T
 from ..operators import calendar as C
 from ..operators import features as X
 from ..plans.panels import RECESSIONS_SQL, dense, panel, recessions, sql, table
+from ..sources.io import cut
 from .registry import query, r8
 
 KEYS = ["panel_id", "series", "ds"]
@@ -391,7 +392,7 @@ def w23(spark, d):
 
 @query("w23_fill_gaps")
 def w23_modes(spark, d):
-    obs, out = dense(spark, d, "supp"), None
+    obs, out = cut(dense(spark, d, "supp"), "gaps"), None  # for five ways and three edges
     for mode in range(1, 6):
         rows = X.fill_gaps(obs, mode).withColumn("mode", F.lit(mode))
         out = rows if out is None else out.unionByName(rows)
