@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.transforms import KEYS, transform
 from ..operators.calendar import carry_forward, densify, drop_first, drop_incomplete
+from ..sources.io import cut
 
 MONEY = "decimal(18,2)"
 
@@ -52,8 +53,12 @@ def dense(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def growth(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Logarithmic differences of a panel's complete series; gaps take the last value, so no row knows a later one."""
-    obs = carry_forward(dense(spark, sf_dir, name)).select(*KEYS, "ds", transform(5).alias("value"))
+    """Logarithmic differences of a panel's complete series; gaps take the last value, so no row knows a later one.
+
+    The panel's monthly sums are a stored table, so facts are read once, however often the rows are used.
+    """
+    rows = cut(panel(spark, sf_dir, name), "panel")
+    obs = carry_forward(densify(rows)).select(*KEYS, "ds", transform(5).alias("value"))
     return drop_incomplete(drop_first(obs, 1))
 
 

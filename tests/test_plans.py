@@ -54,6 +54,25 @@ def test_a_stopped_grid_is_continued_without_repeats(spark, tmp_path, monkeypatc
     assert rows(G.stored_models(*args, ["arp_direct", stops], 3, path, slices=2)) == rows(want) and not ran
 
 
+def test_a_stored_grid_makes_its_panel_table_once(spark, tmp_path, monkeypatch):
+    """Six units of two models read what the first step stored; columns beside the value stay, as they are features of pooled models."""
+    df, path, made = panel(spark, [float(i % 7) for i in range(60)], ("p", "q", "r")), f"file://{tmp_path}/grid", spark.sparkContext.accumulator(0)
+    seen, run = [], G.run_models
+    monkeypatch.setattr(G, "run_models", lambda obs, *rest: (seen.append(obs.columns), run(obs, *rest))[1])
+
+    def counted(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf.assign(other=1.0)
+
+    obs = df.mapInPandas(counted, "panel_id string, series string, ds date, value double, other double")
+    args = (obs, None, [1], ["arp_direct", "ridge"], 3, path, 3)
+    rows = lambda d: sorted(map(str, d.select(*G.COLUMNS).collect()))
+    assert rows(G.stored_models(*args)) == rows(run(df, None, [1], ["arp_direct", "ridge"], 3))
+    assert made.value == df.count() and seen == [obs.columns] * 6
+    assert G.stored_models(*args).count() == 3 * 5 * 2 * 3 and made.value == df.count()  # nothing is left to do, so nothing is made
+
+
 def test_pooled_models_are_added_by_name(spark):
     df = panel(spark, [float(i % 7) for i in range(60)])
 

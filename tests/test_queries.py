@@ -99,6 +99,13 @@ def test_windows_over_dense_rows_have_many_tasks(spark, name, times):
     assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= times * 4 * spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", ["m05_ridge", "m13_run_models"])
+def test_models_read_stored_sums(spark, name):
+    """Every model and horizon uses the panel; none goes back to the facts."""
+    assert not [f for f in QUERIES[name](spark, DATA).inputFiles() if "lineitem" in f]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_entry(spark):
     assert entry.entry(spark).count() == 6
